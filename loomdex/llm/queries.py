@@ -5,20 +5,34 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, secrets
+from . import bpe, learn, quality, secrets, toxicity
 from .common import table
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(learn.labelled(docs, labels, "quality", fold=4, held_out=2))
+    return quality.scored_documents(docs, model, fold=4, held_out=2, threshold=0.7)
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(learn.labelled(docs, labels, "toxic", fold=5, held_out=0))
+    return toxicity.scored_documents(docs, model, fold=5, held_out=0, threshold=0.5)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 QUERIES = {
+    "op2_quality": op2_quality,
     "op4_secret_scan": op4_secret_scan,
+    "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
 }
 ORACLE_SQL: dict[str, str] = {}
