@@ -56,6 +56,11 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def key_limit(share: float) -> int:
+    """The hash below which about this share of all 64-bit hashes lies."""
+    return min(2**63 - 1, int((2 * share - 1) * 2**63))
+
+
 def text_groups(batch: pa.RecordBatch, column: str, chars: int) -> Iterator[tuple[int, list[str]]]:
     """Slices of a batch's text column with about `chars` characters each, as
     (first row, texts).  A null text counts as empty; one text is never cut."""

@@ -6,26 +6,37 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import key_limit
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, fold: int, held_out: int) -> DataFrame:
-    """(key, text, label) of the labelled rows outside the held-out fold, which
-    is the remainder of crc32(doc_id as text).  Null labels and texts are left out."""
-    marks = labels.where(F.crc32(F.col("doc_id").cast("string")) % fold != held_out)
-    marks = marks.where(F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
-    joined = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(marks, "doc_id")
-    return joined.select(F.xxhash64("doc_id").alias("key"), "text", "label")
-
-
-def sample(rows: DataFrame, per_class: int, longest: int) -> tuple[dict[int, list[str]], dict[int, int]]:
-    """At most `per_class` texts of each class 0 and 1, those with the smallest
-    hashed keys among texts up to `longest` characters, and the class counts of
-    all rows.  The two bounds bound what reaches the driver."""
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    texts = {}
+
+def marks(labels: DataFrame, label: str, fold: int, held_out: int) -> DataFrame:
+    """(doc_id, label) of the labelled rows outside the held-out fold, which is
+    the remainder of crc32(doc_id as text).  Null labels are left out."""
+    kept = labels.where(F.crc32(F.col("doc_id").cast("string")) % fold != held_out)
+    return kept.where(F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
+
+
+def sample(
+    docs: DataFrame, marks: DataFrame, per_class: int, longest: int
+) -> tuple[dict[int, list[str]], dict[int, int]]:
+    """At most `per_class` texts of each class 0 and 1, of documents with the
+    smallest hashed ids, without texts of over `longest` characters; and the
+    class counts of all marks.  The two bounds bound what reaches the driver:
+    ids are chosen from the marks alone, and only their texts are fetched."""
+    spark = docs.sparkSession
+    counts = {r["label"]: r["count"] for r in marks.groupBy("label").count().collect()}
+    counts = {value: counts.get(value, 0) for value in (0, 1)}
+    keyed = marks.withColumn("key", F.xxhash64("doc_id"))
+    chosen = []
     for value in (0, 1):
-        some = rows.where((F.col("label") == value) & (F.length("text") <= longest))
-        texts[value] = [r["text"] for r in some.orderBy("key", "text").limit(per_class).select("text").collect()]
-    return texts, {value: counts.get(value, 0) for value in (0, 1)}
+        share = min(1.0, (3 * per_class + 100) / max(counts[value], 1))  # enough for all the smallest keys
+        below = keyed.where((F.col("label") == value) & (F.col("key") <= key_limit(share)))
+        chosen += below.orderBy("key", "doc_id").limit(per_class).collect()
+    ids = spark.createDataFrame(chosen, keyed.schema)
+    fits = docs.where(F.length("text") <= longest).select("doc_id", "text")
+    rows = fits.join(F.broadcast(ids), "doc_id").select("key", "doc_id", "label", "text").collect()
+    rows.sort(key=lambda r: (r["key"], r["doc_id"], r["text"]))
+    return {value: [r["text"] for r in rows if r["label"] == value] for value in (0, 1)}, counts
 
 
 class Logistic:

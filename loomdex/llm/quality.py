@@ -72,10 +72,10 @@ class QualityModel:
     calibration: Logistic
 
 
-def fit(rows: DataFrame, per_class: int = SAMPLE_PER_CLASS, longest: int = SAMPLE_LONGEST) -> QualityModel:
-    """From (key, text, label): even places of each class's sample build the
+def fit(docs: DataFrame, marks: DataFrame, per_class: int = SAMPLE_PER_CLASS, longest: int = SAMPLE_LONGEST) -> QualityModel:
+    """From documents and their marks (doc_id, label): even places of each class's sample build the
     dictionaries, odd places calibrate."""
-    texts, counts = sample(rows, per_class, longest)
+    texts, counts = sample(docs, marks, per_class, longest)
     good, bad = (build_dictionary(texts[value][::2]) for value in (1, 0))
     sizer = Sizer(good, bad)
     held = [(t, value) for value in (0, 1) for t in texts[value][1::2] or texts[value]]

@@ -5,13 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, learn, quality, secrets, toxicity
-from .common import table
+from . import ann, bpe, learn, quality, secrets, toxicity
+from .common import Scratch, table
+
+
+def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.search(rows, rows.where("vec_id % 50 = 0"), 5, Scratch(spark, "ann"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = quality.fit(learn.labelled(docs, labels, "quality", fold=4, held_out=2))
+    model = quality.fit(docs, learn.marks(labels, "quality", fold=4, held_out=2))
     return quality.scored_documents(docs, model, fold=4, held_out=2, threshold=0.7)
 
 
@@ -21,7 +26,7 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = toxicity.fit(learn.labelled(docs, labels, "toxic", fold=5, held_out=0))
+    model = toxicity.fit(docs, learn.marks(labels, "toxic", fold=5, held_out=0))
     return toxicity.scored_documents(docs, model, fold=5, held_out=0, threshold=0.5)
 
 
@@ -30,6 +35,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_permutation_index": op1_permutation_index,
     "op2_quality": op2_quality,
     "op4_secret_scan": op4_secret_scan,
     "op9_toxicity": op9_toxicity,

@@ -150,10 +150,10 @@ def learn_lexicon(toxic: list[str], clean: list[str]) -> ToxicityModel:
     return ToxicityModel(weights, exceptions)
 
 
-def fit(rows: DataFrame, per_class: int = SAMPLE_PER_CLASS, longest: int = SAMPLE_LONGEST) -> ToxicityModel:
-    """From (key, text, label): even places of each class's sample give the
+def fit(docs: DataFrame, marks: DataFrame, per_class: int = SAMPLE_PER_CLASS, longest: int = SAMPLE_LONGEST) -> ToxicityModel:
+    """From documents and their marks (doc_id, label): even places of each class's sample give the
     lexicon, odd places calibrate."""
-    texts, counts = sample(rows, per_class, longest)
+    texts, counts = sample(docs, marks, per_class, longest)
     return fit_texts(texts, counts)
 
 
