@@ -30,6 +30,8 @@ from .vectors import distinct_vectors, matrix, unit, usable
 
 #: Pivots, the nearest of them that are posted, and the share of a block that is reranked (at least so many).
 PIVOTS, POSTED = 256, 128
+#: Vectors in the sample that pivots are chosen from, and the cosine from which one is too like a chosen pivot.
+PIVOT_SAMPLE, PIVOT_LIKE = 1536, 0.8
 RERANKED_SHARE, RERANKED_LEAST = 0.1, 128
 #: Rows whose sum reaches this share of the greatest possible one are all reranked.
 CLOSE = 0.7
@@ -41,6 +43,17 @@ LEAST_BLOCKS = 16
 RESULT = "query_id long, vec_id long, score double"
 
 
+def choose_pivots(sample: np.ndarray) -> np.ndarray:
+    """The first of the sample that are unlike each other, so that a large
+    group of near copies gives one pivot; then others, if those are too few."""
+    chosen, others = [], []
+    for i, row in enumerate(sample):
+        if len(chosen) == PIVOTS:
+            break
+        (others if chosen and (sample[chosen] @ row).max() >= PIVOT_LIKE else chosen).append(i)
+    return sample[(chosen + others)[:PIVOTS]]
+
+
 def pivot_order(rows: np.ndarray, pivots: np.ndarray, posted: int) -> np.ndarray:
     """The places of each row's nearest pivots, nearest first."""
     return np.argsort(-(rows @ pivots.T), axis=1, kind="stable")[:, :posted]
@@ -105,9 +118,10 @@ def search(
     parts = []
     for dim, count in distinct.groupBy("dim").count().collect():
         sample = distinct.where(F.col("dim") == dim).select("rep", "v", F.xxhash64("rep").alias("key"))
-        share = min(1.0, (3 * PIVOTS + 100) / count)
-        sample = sample.where(F.col("key") <= key_limit(share)).orderBy("key").limit(PIVOTS)
-        pivots = spark.sparkContext.broadcast(unit(np.array([r["v"] for r in sample.collect()], dtype=np.float64)))
+        share = min(1.0, (3 * PIVOT_SAMPLE + 100) / count)
+        sample = sample.where(F.col("key") <= key_limit(share)).orderBy("key").limit(PIVOT_SAMPLE)
+        sample = unit(np.array([r["v"] for r in sample.collect()], dtype=np.float64))
+        pivots = spark.sparkContext.broadcast(choose_pivots(sample))
         n_queries = asked.where(F.col("dim") == dim).count()
         blocks = max(LEAST_BLOCKS, -(-count // BLOCK))
         query_blocks = max(1, -(-n_queries // QUERY_BLOCK))
