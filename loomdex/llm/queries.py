@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, learn, quality, secrets, toxicity
+from . import ann, bpe, embed_dedup, learn, quality, secrets, toxicity
 from .common import Scratch, table
 
 
@@ -24,6 +24,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.9, Scratch(spark, "embed"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, learn.marks(labels, "toxic", fold=5, held_out=0))
@@ -38,6 +42,7 @@ QUERIES = {
     "op1_permutation_index": op1_permutation_index,
     "op2_quality": op2_quality,
     "op4_secret_scan": op4_secret_scan,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
 }

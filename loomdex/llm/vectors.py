@@ -5,20 +5,23 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def usable(frame: DataFrame, vec_id: str, vector: str) -> DataFrame:
-    """(id, v) of the rows that take part: id and vector not null, no null,
-    NaN or infinite component, and not zero (an empty vector is zero)."""
+def usable_row(vector: str) -> Column:
+    """Whether a vector takes part: not null, no null, NaN or infinite
+    component, and not zero (an empty vector is zero)."""
     v = F.col(vector)
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    there = F.exists(v, lambda x: x != 0)
-    return frame.where(F.col(vec_id).isNotNull() & v.isNotNull()).where(sound & there).select(
-        F.col(vec_id).cast("long").alias("id"), v.alias("v")
-    )
+    return F.coalesce(sound & F.exists(v, lambda x: x != 0), F.lit(False))
+
+
+def usable(frame: DataFrame, vec_id: str, vector: str) -> DataFrame:
+    """(id, v) of the rows whose id is not null and whose vector takes part."""
+    there = frame.where(F.col(vec_id).isNotNull() & usable_row(vector))
+    return there.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).alias("v"))
 
 
 def distinct_vectors(vectors: DataFrame, smallest: int) -> DataFrame:
