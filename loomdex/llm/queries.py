@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, embed_dedup, learn, quality, secrets, toxicity
+from . import ann, bpe, curriculum, embed_dedup, learn, quality, secrets, sql, toxicity
 from .common import Scratch, table
 
 
@@ -28,6 +28,10 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.9, Scratch(spark, "embed"))
 
 
+def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curriculum.documents_by_position(curriculum.mix(table(spark, sf_dir, "documents"), Scratch(spark, "mix")))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, learn.marks(labels, "toxic", fold=5, held_out=0))
@@ -43,7 +47,10 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op4_secret_scan": op4_secret_scan,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
+    "op8_curriculum_mix": op8_curriculum_mix,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_curriculum_mix": sql.CURRICULUM_MIX,
+}
