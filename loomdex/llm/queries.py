@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, curriculum, embed_dedup, learn, ngram_join, quality, secrets, sql, toxicity
+from . import ann, bpe, curriculum, embed_dedup, learn, line_dedup, ngram_join, quality, secrets, sql, toxicity
 from .common import Scratch, table
 
 
@@ -28,6 +28,10 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.9, Scratch(spark, "embed"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(table(spark, sf_dir, "documents"), Scratch(spark, "lines"))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return ngram_join.near_groups(docs, 4, ngram_join.Jaccard(85, 100), Scratch(spark, "ngram"))
@@ -52,11 +56,13 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op4_secret_scan": op4_secret_scan,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
+    "op6_line_dedup": op6_line_dedup,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_curriculum_mix": op8_curriculum_mix,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op6_line_dedup": sql.LINE_DEDUP,
     "op8_curriculum_mix": sql.CURRICULUM_MIX,
 }

@@ -40,3 +40,34 @@ select doc_id, size, source_size, target, cast(words as bigint) as taken, copies
   end as position
 from shares
 """
+
+LINE_DEDUP = r"""
+with docs as (
+  select doc_id, text, string_split(text, chr(10)) as lines from documents
+), rows as (
+  select doc_id, pos, trim(lines[pos + 1], concat(' ', chr(9), chr(11), chr(12), chr(13))) as line
+  from (select doc_id, lines, unnest(range(len(lines))) as pos from docs)
+), kept as (
+  select * from rows where length(line) >= 12
+), firsts as (
+  select line, min((doc_id, pos)) as first, length(line) as n from kept group by line
+), halves as (
+  select line, first, n, s, 0 as side, substring(line, n - (s - s // 2) + 1, s - s // 2) as part
+  from (select *, unnest([n, n - 1]) as s from firsts)
+  union all
+  select line, first, n, s, 1, substring(line, 1, s // 2) from (select *, unnest([n, n - 1]) as s from firsts)
+), near as (
+  select distinct a.line from halves a join halves b
+    on a.s = b.s and a.side = b.side and a.part = b.part and b.first < a.first and a.line <> b.line
+  where abs(a.n - b.n) <= 1 and levenshtein(a.line, b.line) <= 1
+), gone as (
+  select k.doc_id, list(k.pos) as removed
+  from kept k join firsts f on k.line = f.line left join near n on k.line = n.line
+  where n.line is not null or (k.doc_id, k.pos) <> f.first
+  group by k.doc_id
+)
+select d.doc_id, cast(coalesce(len(d.lines), 0) as bigint) as n_lines, cast(coalesce(len(g.removed), 0) as bigint) as n_removed,
+  sha256(case when g.removed is null then coalesce(d.text, '') else coalesce(array_to_string(
+    list_filter(list_transform(range(len(d.lines)), lambda i: case when list_contains(g.removed, i) then null else d.lines[i + 1] end), lambda x: x is not null), chr(10)), '') end) as text_sha256
+from docs d left join gone g on d.doc_id = g.doc_id
+"""
