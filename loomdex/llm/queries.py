@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, curriculum, embed_dedup, learn, line_dedup, ngram_join, quality, secrets, sql, toxicity
+from . import ann, bpe, curriculum, embed_dedup, learn, license_scan, line_dedup, ngram_join, quality, secrets, sql, toxicity
 from .common import Scratch, table
 
 
@@ -20,6 +20,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored_documents(docs, model, fold=4, held_out=2, threshold=0.7)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = license_scan.document_paths(table(spark, sf_dir, "documents"))
+    return license_scan.scan(files, Scratch(spark, "license")).withColumnRenamed("id", "doc_id")
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"))
 
@@ -54,6 +59,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_permutation_index": op1_permutation_index,
     "op2_quality": op2_quality,
+    "op3_license_scan": op3_license_scan,
     "op4_secret_scan": op4_secret_scan,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_line_dedup": op6_line_dedup,
@@ -63,6 +69,9 @@ QUERIES = {
     "op10_bpe": op10_bpe,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op3_license_scan": sql.license_scan(
+        license_scan.TEMPLATES, license_scan.THRESHOLD, license_scan.MARKER, license_scan.TOKEN
+    ),
     "op6_line_dedup": sql.LINE_DEDUP,
     "op8_curriculum_mix": sql.CURRICULUM_MIX,
 }

@@ -71,3 +71,62 @@ select d.doc_id, cast(coalesce(len(d.lines), 0) as bigint) as n_lines, cast(coal
     list_filter(list_transform(range(len(d.lines)), lambda i: case when list_contains(g.removed, i) then null else d.lines[i + 1] end), lambda x: x is not null), chr(10)), '') end) as text_sha256
 from docs d left join gone g on d.doc_id = g.doc_id
 """
+
+
+def license_scan(templates: list[tuple[str, str]], threshold: float, marker: str, token: str) -> str:
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    rows = ",\n    ".join(f"({i}, {quoted(n)}, {quoted(t)})" for i, (n, t) in enumerate(templates))
+    return rf"""
+with files as (
+  select doc_id as id, text, doc_id % 10 = 0 as named,
+    concat(coalesce(source, 'none'), '/', cast(doc_id // 1000 as varchar)) as thousands,
+    concat(coalesce(source, 'none'), '/', cast(doc_id // 1000 as varchar), '/', cast(doc_id // 100 as varchar)) as hundreds
+  from documents
+), placed as (
+  select *, case when id % 100 = 0 then thousands else hundreds end as dir,
+    case when named then concat(case when id % 100 = 0 then thousands else hundreds end, '/LICENSE.', cast(id as varchar))
+      else concat(hundreds, '/text.', cast(id as varchar)) end as path
+  from files
+), templates(template, license, unit_text) as (
+  values {rows}
+), marked as (
+  select id, named, text, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{marker}')) as lines
+  from placed where named or regexp_matches(text, '{marker}')
+), listed as (
+  select id, case when named then [text] else list_concat([array_to_string(lines, chr(10))], lines) end as units from marked
+), units as (
+  select id, unnest(units) as unit_text, unnest(range(len(units))) as unit from listed
+), words as (
+  select id, unit, unnest(regexp_extract_all(lower(unit_text), '{token}')) as term from units
+), terms as (
+  select id, unit, term, count(*) as tf from words group by all
+), template_terms as (
+  select template, license, term, count(*) as tf
+  from (select template, license, unnest(regexp_extract_all(lower(unit_text), '{token}')) as term from templates) group by all
+), total as (
+  select (select count(*) from (select distinct id, unit from terms)) + {len(templates)} as n
+), idf as (
+  select term, ln((1.0 + (select n from total)) / (1.0 + count(*))) + 1.0 as idf
+  from (select term from terms union all select term from template_terms) group by term
+), weighed as (
+  select id, unit, term, tf * idf as w from terms join idf using (term)
+), known as (
+  select template, license, term, tf * idf as w from template_terms join idf using (term)
+), norms as (select id, unit, sqrt(sum(w * w)) as norm from weighed group by all),
+template_norms as (select template, sqrt(sum(w * w)) as norm from known group by all),
+scored as (
+  select u.id, k.license, round(sum(u.w * k.w) / any_value(n.norm * t.norm), 6) as score
+  from weighed u join known k using (term) join norms n on u.id = n.id and u.unit = n.unit join template_norms t on k.template = t.template
+  group by u.id, u.unit, k.template, k.license
+), own as (
+  select id, license, score from scored where score >= {threshold}
+  qualify row_number() over (partition by id order by score desc, license) = 1
+), stated as (
+  select p.dir, o.license, o.score from placed p join own o using (id) where p.named
+  qualify row_number() over (partition by p.dir order by o.score desc, o.license) = 1
+)
+select p.id as doc_id, p.path, coalesce(o.license, h.license, t.license) as license, coalesce(o.score, h.score, t.score) as score,
+  case when o.id is not null then 'own' when coalesce(h.license, t.license) is not null then 'inherited' end as origin,
+  case when o.id is null then coalesce(h.dir, t.dir) end as from_dir
+from placed p left join own o using (id) left join stated h on h.dir = p.dir left join stated t on t.dir = p.thousands
+"""
