@@ -9,7 +9,7 @@ its state once, and a word's tokens are read backwards from its last state.
 
 Defined results: a null text is empty and has no tokens; special tokens in a
 text are recognised as the tokenizer file says; repeated rows are encoded
-alike; extra columns are ignored by the query and kept by `encode_documents`.
+alike; other columns play no part.
 """
 
 from __future__ import annotations
@@ -26,9 +26,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from .common import map_rows, text_groups
+from .common import map_rows
 
 # The byte-level pre-tokenisation pattern and the characters
 # with the property White_Space.
@@ -219,23 +218,21 @@ def load_spec(path: str) -> str:
         return f.read()
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """docs with a column of token ids, array<int>."""
+def encode_documents(docs: DataFrame, tokenizer_path: str, keep: list[str], text: str = "text") -> DataFrame:
+    """`keep`, n_tokens, the token ids, and whether they decode to the text."""
     spec = docs.sparkSession.sparkContext.broadcast(load_spec(tokenizer_path))
-    names = [c for c in docs.columns if c != ids]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         tool = encoder(spec.value)
-        for batch in batches:
-            for start, texts in text_groups(batch, text, 2_000_000):
-                rows = [np.frombuffer(p, np.int32) for p in tool.encode_batch(texts)]
-                made = pa.array(rows, type=pa.list_(pa.int32()))
-                kept = [batch.column(c).slice(start, len(texts)) for c in names]
-                yield pa.RecordBatch.from_arrays([*kept, made], names=[*names, ids])
-
-    fields = [docs.schema[c] for c in names]
-    schema = StructType([*fields, StructField(ids, ArrayType(IntegerType()), False)])
-    return docs.select(*names).mapInArrow(run, schema)
+
+        def run(texts: list[str]):
+            for t, packed in zip(texts, tool.encode_batch(texts)):
+                yield len(packed) // 4, np.frombuffer(packed, np.int32), tool.decode(packed) == t
+
+        return run
+
+    schema = pa.schema([("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("intact", pa.bool_())])
+    return map_rows(docs, make, schema, "n_tokens long, ids array<int>, intact boolean", keep, text)
 
 
 def decode_documents(encoded: DataFrame, tokenizer_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:

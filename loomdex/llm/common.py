@@ -103,4 +103,16 @@ def map_rows(
                 yield pa.RecordBatch.from_arrays(kept + made, names=names)
 
     kept_ddl = ", ".join(f"`{c}` {frame.schema[c].dataType.simpleString()}" for c in keep)
-    return frame.select(*keep, text).mapInArrow(run, f"{kept_ddl}, {ddl}")
+    return frame.select(*dict.fromkeys([*keep, text])).mapInArrow(run, f"{kept_ddl}, {ddl}")
+
+
+def filter_rows(frame: DataFrame, make: Callable[[], Callable[[list[str]], Iterable[bool]]], text: str = "text") -> DataFrame:
+    """The rows whose text the function, made once per task by `make`, accepts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        accept = make()
+        for batch in batches:
+            for start, texts in text_groups(batch, text, 2_000_000):
+                yield batch.slice(start, len(texts)).filter(pa.array([bool(x) for x in accept(texts)]))
+
+    return frame.mapInArrow(run, frame.schema)

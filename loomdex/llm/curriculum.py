@@ -147,6 +147,6 @@ def training_stream(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id") -
     """The documents as they are read in training: one row a reading, in order
     of position.  Documents are not cut, so the last one of a source's stream
     may run over the target."""
-    readings = mixed.select("doc_id", F.explode("positions").alias("position"))
-    own = docs.join(readings.withColumnRenamed("doc_id", doc_id), doc_id)
-    return own.repartitionByRange("position", doc_id).sortWithinPartitions("position", doc_id).select(*docs.columns)
+    readings = mixed.select(F.col("doc_id").alias("id"), F.explode("positions").alias("position"))
+    own = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("id")).join(readings, "id")
+    return own.repartitionByRange("position", "id").sortWithinPartitions("position", "id").select("row.*")

@@ -168,27 +168,43 @@ def removed_lines(
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
 
 
-def without_lines(docs: DataFrame, removed: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the text that stays, and the columns n_lines and n_removed."""
-    named = removed.select(F.col("doc_id").alias(doc_id), F.col("removed").alias("_removed"))
+def cleaned(docs: DataFrame, removed: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(row, text, n_lines, n_removed) of each row of docs: the whole row as it
+    was, and the text that stays."""
     # Split before the join, so that the lambda below refers to a column and not to the split.
-    cut = docs.withColumn("_lines", F.split(F.col(text), "\n", -1))
-    rows = cut.join(named, doc_id, "left")
-    gone = F.concat(F.array(F.lit(-1)), F.col("_removed"), F.array(F.size("_lines")))
+    cut = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("doc_id"), F.split(F.col(text), "\n", -1).alias("lines"))
+    rows = cut.join(removed.select("doc_id", "removed"), "doc_id", "left")
+    gone = F.concat(F.array(F.lit(-1)), F.col("removed"), F.array(F.size("lines")))
     starts = F.slice(gone, 1, F.size(gone) - 1)
     stays = F.flatten(
-        F.zip_with(starts, F.slice(gone, 2, F.size(gone)), lambda a, b: F.slice("_lines", a + 2, b - a - 1))
+        F.zip_with(starts, F.slice(gone, 2, F.size(gone)), lambda a, b: F.slice("lines", a + 2, b - a - 1))
     )
-    kept = F.when(F.col("_removed").isNull(), F.col(text)).otherwise(F.array_join(stays, "\n"))
     return rows.select(
-        *(kept.alias(c) if c == text else F.col(c) for c in docs.columns),
-        F.when(F.col("_lines").isNull(), 0).otherwise(F.size("_lines")).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_removed"), F.lit(0)).cast("long").alias("n_removed"),
+        "row",
+        F.when(F.col("removed").isNull(), F.col("row")[text]).otherwise(F.array_join(stays, "\n")).alias("text"),
+        F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
+        F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
+    )
+
+
+def deduplicated(
+    docs: DataFrame, scratch: Scratch, min_chars: int = MIN_CHARS, doc_id: str = "doc_id", text: str = "text", chars: str = "n_chars"
+) -> DataFrame:
+    """docs, with all their columns, without the lines that go and without the
+    documents that this leaves blank; `chars`, if there, is counted anew."""
+    removed = scratch.write(removed_lines(docs, scratch, min_chars, doc_id, text), "removed")
+    rows = cleaned(docs, removed, doc_id, text)
+    rows = rows.where((F.col("n_removed") == 0) | (F.length(F.btrim("text", F.lit(TRIMMED + "\n"))) > 0))
+    new = {text: F.col("text"), chars: F.length("text").cast(docs.schema[chars].dataType) if chars in docs.columns else None}
+    changed = F.col("n_removed") > 0
+    return rows.select(
+        *(F.when(changed, new[c]).otherwise(F.col("row")[c]).alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns)
     )
 
 
 def digests(docs: DataFrame, scratch: Scratch, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, n_lines, n_removed and the SHA-256 of the text that stays."""
     own = docs.select("doc_id", "text")
-    kept = without_lines(own, scratch.write(removed_lines(own, scratch, min_chars), "removed"))
-    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    kept = cleaned(own, scratch.write(removed_lines(own, scratch, min_chars), "removed"))
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")
+    return kept.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", digest)

@@ -285,3 +285,9 @@ def near_groups(
     top = top.select("digest", F.coalesce("c2", "c1").alias("component_id"))
     out = ids.join(top, "digest", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """docs without those that are not their component's smallest id."""
+    gone = groups.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias(doc_id)).distinct()
+    return docs.join(gone, doc_id, "left_anti").select(*docs.columns)

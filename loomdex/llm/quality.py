@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import filter_rows, map_rows
 from .learn import Logistic, sample
 
 #: Bounds of the labelled sample that the dictionaries and the calibration are fitted on.
@@ -100,6 +100,18 @@ def score(docs: DataFrame, model: QualityModel, keep: list[str], text: str = "te
     return map_rows(docs, make, pa.schema([("score", pa.float64())]), "score double", keep, text)
 
 
+def accepted(docs: DataFrame, model: QualityModel, threshold: float, text: str = "text") -> DataFrame:
+    """The documents that score the threshold or more, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        own = shared.value
+        sizer = Sizer(own.good, own.bad)
+        return lambda texts: own.calibration.scores(np.array([sizer.features(t) for t in texts])) >= threshold
+
+    return filter_rows(docs, make, text)
+
+
 def scored_documents(docs: DataFrame, model: QualityModel, fold: int, held_out: int, threshold: float) -> DataFrame:
     found = score(docs, model, ["doc_id"])
     return found.select(
