@@ -15,7 +15,10 @@ that a group of near copies costs no more than its size:
 1. in each posting list, every document meets the list's pivot, the member
    with the fewest shingles of its own, and candidates are verified;
 2. documents that share postings and are in different components meet, with
-   size and match bounds as join conditions, and candidates are verified.
+   bounds of sizes, matches and parities as join conditions, and candidates are
+   verified.  A set's parities are those of its shingles' counts in PARITY_BITS
+   cells: two sets differ in as many shingles at least as cells, so almost
+   only pairs that are linked leave the join.
 
 Every link between different components is found in round 2, so components
 are exact.  Sets of candidates are hashed again from their texts and compared
@@ -46,6 +49,9 @@ from .shingles import shingle_sets
 SKETCH_BITS, SEGMENT_BITS = 18, 13
 #: Most shared shingles that a document may ask for, and the cost of a candidate in postings.
 MOST_MATCHES, CANDIDATE_COST = 24, 2.0
+#: Cells of a set's parities, 64 to a word.
+PARITY_BITS = 512
+PARITY_WORDS = [f"parity_{i}" for i in range(PARITY_BITS // 64)]
 #: Bits of the filter of candidates that spares texts from the exchange.
 FILTER_BITS = 25
 
@@ -147,25 +153,34 @@ def choose_prefix(hashes: np.ndarray, levels: np.ndarray, frequency: np.ndarray,
     return hashes[order[: n - least + best]]
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """The parities of the cell counts, as 64-bit words."""
+    counts = np.bincount((hashes & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def prefixes(docs: DataFrame, doc_id: str, text: str, width: int, sketch: np.ndarray, measure: Jaccard) -> DataFrame:
-    """(doc_id, n, digest, prefix) of every document."""
+    """(doc_id, n, digest, prefix, parities) of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(crowding(sketch))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, frequency = shared.value
         for batch in batches:
-            sizes, digests, chosen = [], [], []
+            sizes, digests, chosen, odd = [], [], [], []
             for found in shingle_sets(batch.column(1), width):
                 sizes.append(len(found))
                 digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
                 chosen.append(as_signed(choose_prefix(found, levels, frequency, measure)) if len(found) else None)
+                odd.append(parities(found))
+            words = np.array(odd, np.int64).reshape(len(odd), -1)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-                 pa.array(chosen, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "digest", "prefix"],
+                 pa.array(chosen, pa.list_(pa.int64())), *(pa.array(c) for c in words.T)],
+                names=["doc_id", "n", "digest", "prefix", *PARITY_WORDS],
             )
 
-    return docs.select(doc_id, text).mapInArrow(run, "doc_id long, n long, digest binary, prefix array<long>")
+    schema = "doc_id long, n long, digest binary, prefix array<long>, " + ", ".join(f"{w} long" for w in PARITY_WORDS)
+    return docs.select(doc_id, text).mapInArrow(run, schema)
 
 
 def candidate_filter(ids: DataFrame) -> np.ndarray:
@@ -263,13 +278,17 @@ def near_groups(
     live = live.join(named, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed_lists = live.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     live = live.join(mixed_lists.where("low < high").select("token"), "token")
-    live = scratch.write(live, "mixed")
-    left, right = side("a", "component"), side("b", "component")
+    odd = sets.select(F.col("doc_id").alias("id"), *PARITY_WORDS)
+    odd = odd.join(live.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    live = scratch.write(live.join(odd, "id"), "mixed")
+    left, right = side("a", "component", *PARITY_WORDS), side("b", "component", *PARITY_WORDS)
     rest = F.greatest(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))
     possible = F.least("live_a", "live_b") >= measure.overlap(F.col("n_a"), F.col("n_b")) - rest
     apart = (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b"))
     fits = measure.sizes_fit(F.col("n_a"), F.col("n_b"))
-    on = (left["token"] == right["token"]) & apart & fits & possible
+    differing = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in PARITY_WORDS), F.lit(0))
+    allowed = F.col("n_a") + F.col("n_b") - 2 * measure.overlap(F.col("n_a"), F.col("n_b"))
+    on = (left["token"] == right["token"]) & apart & fits & possible & (differing <= allowed)
     met = left.join(right, on).groupBy("a", "b", "n_a", "n_b", "p_a", "p_b").agg(F.count("*").alias("m"))
     pairs = scratch.write(met.where(enough(F.col("m"), measure)).select("a", "b"), "pairs")
     links = verified(docs, pairs, doc_id, text, width, measure, scratch)
