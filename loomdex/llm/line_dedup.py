@@ -35,8 +35,6 @@ from .common import Scratch
 MIN_CHARS = 12
 #: Length of a block in the second step.
 BLOCK_CHARS = 32
-#: Rows of flagged lines up to which they are broadcast (16-byte ids and a place: 4 MB); beyond, Spark joins by exchange.
-BROADCAST_ROWS = 100_000
 
 TRIMMED = " \t\x0b\x0c\r"
 
@@ -117,8 +115,7 @@ def near_lines(docs: DataFrame, distinct: DataFrame, scratch: Scratch, min_chars
     shared = shared_keys(keyed)
     open_ids = keyed.join(shared, "key").select("id").distinct().join(distinct.select("id", "first"), "id")
     open_ids = scratch.write(open_ids, "open")
-    sized = F.broadcast(open_ids) if open_ids.count() <= BROADCAST_ROWS else open_ids
-    rows = lines_of(docs, min_chars, doc_id, text).join(sized, "id")
+    rows = lines_of(docs, min_chars, doc_id, text).join(open_ids, "id")
     rows = rows.where((F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.pos") == F.col("pos")))
     rows = scratch.write(rows.dropDuplicates(["id"]).select("id", "first", "line", F.length("line").alias("length")), "texts")
     blocks = scratch.write(rows.select("id", F.explode(block_keys("line", "length")).alias("b")).select("id", "b.*"), "blocks")
@@ -162,8 +159,7 @@ def removed_lines(
     near = scratch.write(near_lines(docs, distinct, scratch, min_chars, doc_id, text), "near").withColumn("near", F.lit(True))
     flagged = distinct.select("id", "first", "times").join(near, "id", "left")
     flagged = scratch.write(flagged.where("near or times > 1").select("id", "first", F.coalesce("near", F.lit(False)).alias("near")), "flagged")
-    sized = F.broadcast(flagged) if flagged.count() <= BROADCAST_ROWS else flagged
-    again = lines_of(docs, min_chars, doc_id, text).select("doc_id", "pos", "id").join(sized, "id")
+    again = lines_of(docs, min_chars, doc_id, text).select("doc_id", "pos", "id").join(flagged, "id")
     gone = again.where(F.col("near") | (F.struct("doc_id", "pos") != F.col("first")))
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
 
