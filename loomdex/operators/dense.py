@@ -39,8 +39,9 @@ def all_scores(vectors: DataFrame, queries: DataFrame, measure: str = "cosine")
             sound = (F.col("nv") > 0) & (F.col("nq") > 0)
             score = F.when(sound, product / (F.col("nv") * F.col("nq"))).otherwise(F.lit(0.0))
         else:
-            score = F.col("nv") * F.col("nv") + F.col("nq") * F.col("nq") - 2 * product
-        parts.append(met.select("query_id", "doc_id", F.round(score, 6).alias("score")))
+            score = F.greatest(F.col("nv") * F.col("nv") + F.col("nq") * F.col("nq") - 2 * product, F.lit(0.0))
+        # Adding 0 makes a negative zero positive, so equal scores are equal bits.
+        parts.append(met.select("query_id", "doc_id", (F.round(score, 6) + 0.0).alias("score")))
     return reduce(DataFrame.unionByName, parts)
 
 
