@@ -35,6 +35,8 @@ from .common import Scratch
 MIN_CHARS = 12
 #: Length of a block in the second step.
 BLOCK_CHARS = 32
+#: Bits of a filter of lines or keys, half a megabyte.
+FILTER_BITS = 1 << 22
 
 TRIMMED = " \t\x0b\x0c\r"
 
@@ -83,9 +85,41 @@ def block_keys(line: str, length: str) -> Column:
     return F.concat(keys(0), keys(1))
 
 
-def shared_keys(keyed: DataFrame) -> DataFrame:
-    """The keys that more than one line has."""
-    return keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
+def cell(value: Column) -> Column:
+    """A value's cell in a filter."""
+    return F.pmod(F.xxhash64(value, F.lit(11)), F.lit(FILTER_BITS))
+
+
+def filter_of(values: DataFrame, column: str) -> DataFrame:
+    """One row with the bitmap of the cells of a column's values, of a fixed
+    size however many there are.  False hits cost only work."""
+    at = cell(F.col(column))
+    hit = values.select(F.floor(at / 64).cast("int").alias("word"), (at % 64).cast("int").alias("bit"))
+    words = hit.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    every = values.sparkSession.range(FILTER_BITS // 64).select(F.col("id").cast("int").alias("word"))
+    filled = every.join(words, "word", "left").select("word", F.coalesce("bits", F.lit(0)).alias("bits"))
+    ordered = F.array_sort(F.collect_list(F.struct("word", "bits")))
+    return filled.agg(F.transform(ordered, lambda x: x["bits"]).alias("filter"))
+
+
+def filtered(rows: DataFrame, column: str, filters: DataFrame) -> DataFrame:
+    """The rows whose value may be among those of the filter.  The broadcast
+    side is one row of FILTER_BITS / 8 bytes."""
+    at = cell(F.col(column))
+    word = F.element_at("filter", (F.floor(at / 64) + 1).cast("int"))
+    hit = F.getbit(word, (at % 64).cast("int")) == 1
+    return rows.join(F.broadcast(filters), hit).select(*rows.columns)
+
+
+def lines_with_shared_keys(keyed: DataFrame, scratch: Scratch) -> DataFrame:
+    """(line) of the rows (line, key), both long, whose key another line has
+    too.  A key of two lines names both; only keys of more are joined back."""
+    ends = keyed.groupBy("key").agg(F.min("line").alias("low"), F.max("line").alias("high"), F.count("*").alias("n"))
+    ends = scratch.write(ends.where("low < high"), "ends")
+    two = ends.select(F.explode(F.array("low", "high")).alias("line"))
+    more = scratch.write(ends.where("n > 2").select("key"), "more")
+    rest = filtered(keyed, "key", filter_of(more, "key")).join(more, "key").select("line")
+    return two.union(rest).distinct()
 
 
 def variants(matched: DataFrame) -> DataFrame:
@@ -111,15 +145,17 @@ def variants(matched: DataFrame) -> DataFrame:
 
 def near_lines(docs: DataFrame, distinct: DataFrame, scratch: Scratch, min_chars: int, doc_id: str, text: str) -> DataFrame:
     """(id) of distinct lines that are within one edit of an earlier one."""
-    keyed = distinct.select("id", F.explode("halves").alias("key"))
-    shared = shared_keys(keyed)
-    open_ids = keyed.join(shared, "key").select("id").distinct().join(distinct.select("id", "first"), "id")
+    number = F.xxhash64("id").alias("line")  # a short name of a line, where a mistake costs only work
+    keyed = distinct.select(number, F.explode("halves").alias("key"))
+    numbers = lines_with_shared_keys(keyed, scratch)
+    open_ids = distinct.select("id", "first", number).join(numbers, "line").select("id", "first")
     open_ids = scratch.write(open_ids, "open")
-    rows = lines_of(docs, min_chars, doc_id, text).join(open_ids, "id")
+    rows = filtered(lines_of(docs, min_chars, doc_id, text), "id", filter_of(open_ids, "id")).join(open_ids, "id")
     rows = rows.where((F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.pos") == F.col("pos")))
     rows = scratch.write(rows.dropDuplicates(["id"]).select("id", "first", "line", F.length("line").alias("length")), "texts")
     blocks = scratch.write(rows.select("id", F.explode(block_keys("line", "length")).alias("b")).select("id", "b.*"), "blocks")
-    matched = blocks.join(shared_keys(blocks), "key").join(rows, "id")
+    shared = blocks.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
+    matched = blocks.join(shared, "key").join(rows, "id")
     emitted = scratch.write(variants(matched), "variants")
     bests = emitted.groupBy("variant").agg(
         F.count("*").alias("lines"),
@@ -158,8 +194,11 @@ def removed_lines(
     distinct = scratch.write(distinct, "distinct")
     near = scratch.write(near_lines(docs, distinct, scratch, min_chars, doc_id, text), "near").withColumn("near", F.lit(True))
     flagged = distinct.select("id", "first", "times").join(near, "id", "left")
-    flagged = scratch.write(flagged.where("near or times > 1").select("id", "first", F.coalesce("near", F.lit(False)).alias("near")), "flagged")
-    again = lines_of(docs, min_chars, doc_id, text).select("doc_id", "pos", "id").join(flagged, "id")
+    kept = flagged.where("near or times > 1")
+    flagged = scratch.write(kept.select("id", "first", F.coalesce("near", F.lit(False)).alias("near")), "flagged")
+    scratch.drop(distinct)
+    again = filtered(lines_of(docs, min_chars, doc_id, text).select("doc_id", "pos", "id"), "id", filter_of(flagged, "id"))
+    again = again.join(flagged, "id")
     gone = again.where(F.col("near") | (F.struct("doc_id", "pos") != F.col("first")))
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
 
