@@ -204,11 +204,12 @@ def removed_lines(
 
 
 def cleaned(docs: DataFrame, removed: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row, text, n_lines, n_removed) of each row of docs: the whole row as it
-    was, and the text that stays."""
+    """(row, doc_id, text, n_lines, n_removed) of each row of docs: its other
+    columns, and the text that stays."""
     # Split before the join, so that the lambda below refers to a column and not to the split.
-    cut = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("doc_id"), F.split(F.col(text), "\n", -1).alias("lines"))
-    rows = cut.join(removed.select("doc_id", "removed"), "doc_id", "left")
+    others = F.struct(*(F.col(c) for c in docs.columns if c != text), F.lit(0).alias("_"))
+    cut = docs.select(others.alias("row"), F.col(doc_id).alias("doc_id"), F.split(F.col(text), "\n", -1).alias("lines"))
+    rows = cut.join(removed.select("doc_id", "removed").hint("merge"), "doc_id", "left")
     gone = F.concat(F.array(F.lit(-1)), F.col("removed"), F.array(F.size("lines")))
     starts = F.slice(gone, 1, F.size(gone) - 1)
     stays = F.flatten(
@@ -216,7 +217,8 @@ def cleaned(docs: DataFrame, removed: DataFrame, doc_id: str = "doc_id", text: s
     )
     return rows.select(
         "row",
-        F.when(F.col("removed").isNull(), F.col("row")[text]).otherwise(F.array_join(stays, "\n")).alias("text"),
+        "doc_id",
+        F.array_join(F.when(F.col("removed").isNull(), F.col("lines")).otherwise(stays), "\n").alias("text"),
         F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
         F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
     )
@@ -229,12 +231,18 @@ def deduplicated(
     documents that this leaves blank; `chars`, if there, is counted anew."""
     removed = scratch.write(removed_lines(docs, scratch, min_chars, doc_id, text), "removed")
     rows = cleaned(docs, removed, doc_id, text)
-    rows = rows.where((F.col("n_removed") == 0) | (F.length(F.btrim("text", F.lit(TRIMMED + "\n"))) > 0))
-    new = {text: F.col("text"), chars: F.length("text").cast(docs.schema[chars].dataType) if chars in docs.columns else None}
     changed = F.col("n_removed") > 0
-    return rows.select(
-        *(F.when(changed, new[c]).otherwise(F.col("row")[c]).alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns)
-    )
+    rows = rows.where(~changed | (F.length(F.btrim("text", F.lit(TRIMMED + "\n"))) > 0))
+
+    def column(c: str) -> Column:
+        if c == text:
+            return F.col("text").alias(c)
+        if c == chars:
+            count = F.length("text").cast(docs.schema[chars].dataType)
+            return F.when(changed, count).otherwise(F.col("row")[c]).alias(c)
+        return F.col("row")[c].alias(c)
+
+    return rows.select(*map(column, docs.columns))
 
 
 def digests(docs: DataFrame, scratch: Scratch, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -242,4 +250,4 @@ def digests(docs: DataFrame, scratch: Scratch, min_chars: int = MIN_CHARS) -> Da
     own = docs.select("doc_id", "text")
     kept = cleaned(own, scratch.write(removed_lines(own, scratch, min_chars), "removed"))
     digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")
-    return kept.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", digest)
+    return kept.select("doc_id", "n_lines", "n_removed", digest)
