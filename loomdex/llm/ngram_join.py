@@ -15,10 +15,12 @@ that a group of near copies costs no more than its size:
 1. in each posting list, every document meets the list's pivot, the member
    with the fewest shingles of its own, and candidates are verified;
 2. documents that share postings and are in different components meet, with
-   bounds of sizes, matches and parities as join conditions, and candidates are
-   verified.  A set's parities are those of its shingles' counts in PARITY_BITS
-   cells: two sets differ in as many shingles at least as cells, so almost
-   only pairs that are linked leave the join.
+   bounds of sizes, matches, places and parities as join conditions, and
+   candidates are verified.  A pair of known sizes needs shorter prefixes than
+   a document by itself, so matches count only up to the pair's own place.  A
+   set's parities are those of its shingles' counts in cells: two sets differ
+   in as many shingles at least as cells.  PARITY_BITS cells go through the
+   join; as many as the set has shingles are compared after it.
 
 Every link between different components is found in round 2, so components
 are exact.  Sets of candidates are hashed again from their texts and compared
@@ -67,6 +69,9 @@ class Jaccard:
         """Of a set of n with any linked set."""
         return -(-self.part * n // self.whole)
 
+    def least_overlap_of(self, n: Column) -> Column:
+        return F.ceil(F.lit(self.part) * n / F.lit(self.whole))
+
     def overlap(self, n: Column, m: Column) -> Column:
         """Of linked sets of n and m."""
         return F.ceil(F.lit(self.part) * (n + m) / F.lit(self.part + self.whole))
@@ -153,33 +158,39 @@ def choose_prefix(hashes: np.ndarray, levels: np.ndarray, frequency: np.ndarray,
     return hashes[order[: n - least + best]]
 
 
-def parities(hashes: np.ndarray) -> np.ndarray:
+def parities(hashes: np.ndarray, bits: int) -> np.ndarray:
     """The parities of the cell counts, as 64-bit words."""
-    counts = np.bincount((hashes & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS)
+    counts = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
 
 
+def own_bits(n: int) -> int:
+    """Cells for the parities of a set of n: a power of two."""
+    return max(PARITY_BITS, 1 << max(n - 1, 0).bit_length())
+
+
 def prefixes(docs: DataFrame, doc_id: str, text: str, width: int, sketch: np.ndarray, measure: Jaccard) -> DataFrame:
-    """(doc_id, n, digest, prefix, parities) of every document."""
+    """(doc_id, n, digest, prefix, parities, and those in fewer cells) of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(crowding(sketch))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, frequency = shared.value
         for batch in batches:
-            sizes, digests, chosen, odd = [], [], [], []
+            sizes, digests, chosen, odd, fine = [], [], [], [], []
             for found in shingle_sets(batch.column(1), width):
                 sizes.append(len(found))
                 digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
                 chosen.append(as_signed(choose_prefix(found, levels, frequency, measure)) if len(found) else None)
-                odd.append(parities(found))
+                odd.append(parities(found, PARITY_BITS))
+                fine.append(parities(found, own_bits(len(found))) if len(found) else None)
             words = np.array(odd, np.int64).reshape(len(odd), -1)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-                 pa.array(chosen, pa.list_(pa.int64())), *(pa.array(c) for c in words.T)],
-                names=["doc_id", "n", "digest", "prefix", *PARITY_WORDS],
+                 pa.array(chosen, pa.list_(pa.int64())), pa.array(fine, pa.list_(pa.int64())), *(pa.array(c) for c in words.T)],
+                names=["doc_id", "n", "digest", "prefix", "parities", *PARITY_WORDS],
             )
 
-    schema = "doc_id long, n long, digest binary, prefix array<long>, " + ", ".join(f"{w} long" for w in PARITY_WORDS)
+    schema = "doc_id long, n long, digest binary, prefix array<long>, parities array<long>, " + ", ".join(f"{w} long" for w in PARITY_WORDS)
     return docs.select(doc_id, text).mapInArrow(run, schema)
 
 
@@ -233,6 +244,19 @@ def verified(
     return links
 
 
+def differing_cells(a: str, b: str) -> Column:
+    """In how many cells two parities differ; the finer one is folded if the
+    other has half as many cells."""
+
+    def folded(x: str, than: str) -> Column:
+        half = F.floor(F.size(x) / 2).cast("int")
+        both = F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda i, j: i.bitwiseXOR(j))
+        return F.when(F.size(x) > F.size(than), both).otherwise(F.col(x))
+
+    bits = F.zip_with(folded(a, b), folded(b, a), lambda i, j: F.bit_count(i.bitwiseXOR(j)))
+    return F.aggregate(bits, F.lit(0), lambda s, x: s + x)
+
+
 def enough(m: Column, measure: Jaccard) -> Column:
     """Whether m shared prefix shingles leave a link between a and b possible."""
     rest = F.greatest(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))
@@ -249,7 +273,7 @@ def near_groups(
     equal = ids.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     reps = scratch.write(equal, "equal")
 
-    postings = sets.select(F.col("doc_id").alias("id"), F.explode("prefix").alias("token"))
+    postings = sets.select(F.col("doc_id").alias("id"), F.posexplode("prefix").alias("place", "token"))
     common = postings.groupBy("token").count().where("count > 1").select("token")
     own = sets.where("digest is not null").select(F.col("doc_id").alias("id"), "n", F.size("prefix").alias("p"))
     own = own.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
@@ -277,20 +301,33 @@ def near_groups(
     named = first.withColumnRenamed("node", "id")
     live = live.join(named, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed_lists = live.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    live = live.join(mixed_lists.where("low < high").select("token"), "token")
+    live = live.drop("live").join(mixed_lists.where("low < high").select("token"), "token")
+    live = scratch.write(live, "open")
+    # Only shingles of lists that are still open can be shared with another component.
+    live = live.join(live.groupBy("id").agg(F.count("*").alias("live")), "id")
     odd = sets.select(F.col("doc_id").alias("id"), *PARITY_WORDS)
     odd = odd.join(live.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     live = scratch.write(live.join(odd, "id"), "mixed")
-    left, right = side("a", "component", *PARITY_WORDS), side("b", "component", *PARITY_WORDS)
+    left, right = (side(x, "component", "place", *PARITY_WORDS) for x in "ab")
     rest = F.greatest(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))
     possible = F.least("live_a", "live_b") >= measure.overlap(F.col("n_a"), F.col("n_b")) - rest
     apart = (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b"))
     fits = measure.sizes_fit(F.col("n_a"), F.col("n_b"))
+    # The matches that both prefixes of a pair of these sizes must hold, and where they can lie.
+    matches = F.least(*(F.col(f"p_{x}") - F.col(f"n_{x}") + measure.least_overlap_of(F.col(f"n_{x}")) for x in "ab"))
+    reach = matches - measure.overlap(F.col("n_a"), F.col("n_b"))
+    within = (F.col("place_a") < F.col("n_a") + reach) & (F.col("place_b") < F.col("n_b") + reach)
     differing = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in PARITY_WORDS), F.lit(0))
     allowed = F.col("n_a") + F.col("n_b") - 2 * measure.overlap(F.col("n_a"), F.col("n_b"))
-    on = (left["token"] == right["token"]) & apart & fits & possible & (differing <= allowed)
+    on = (left["token"] == right["token"]) & apart & fits & within & possible & (differing <= allowed)
     met = left.join(right, on).groupBy("a", "b", "n_a", "n_b", "p_a", "p_b").agg(F.count("*").alias("m"))
-    pairs = scratch.write(met.where(enough(F.col("m"), measure)).select("a", "b"), "pairs")
+    met = scratch.write(met.where(F.col("m") >= matches).select("a", "b", "n_a", "n_b"), "met")
+    fine = sets.select(F.col("doc_id").alias("id"), "parities")
+    ends = met.select(F.col("a").alias("id")).union(met.select(F.col("b").alias("id"))).distinct()
+    fine = scratch.write(fine.join(ends, "id", "left_semi").dropDuplicates(["id"]), "fine")
+    own = lambda x: fine.select(F.col("id").alias(x), F.col("parities").alias(f"fine_{x}"))
+    met = met.join(own("a"), "a").join(own("b"), "b")
+    pairs = scratch.write(met.where(differing_cells("fine_a", "fine_b") <= allowed).select("a", "b"), "pairs")
     links = verified(docs, pairs, doc_id, text, width, measure, scratch)
     up = named.select(F.col("id"), F.col("component"))
     ends = links.join(up.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
