@@ -1,5 +1,5 @@
-"""Toxicity by a weighted lexicon.  A text is folded (homoglyphs and accents to
-plain letters, digit substitutions inside words to the letters they stand
+"""Toxicity by a weighted lexicon.  A text is folded (homoglyphs and styled
+letters to plain ones, digit substitutions inside words to the letters they stand
 for), reduced to its words, and matched by Aho-Corasick against whole words
 and word stems.  A hit inside an exception phrase does not count.  The sum of
 weights, also over the length, is calibrated to a chance of being toxic.
@@ -26,12 +26,14 @@ from .common import map_rows
 from .learn import Logistic, sample
 
 #: Bounds of the labelled sample that the lexicon is learned from.
-SAMPLE_PER_CLASS = 5000
+SAMPLE_PER_CLASS = 4000
 SAMPLE_LONGEST = 65_536
 #: A term is kept if it is in this share of toxic documents (3 at least), with this log-odds weight.
 LEAST_SHARE, LEAST_COUNT, LEAST_WEIGHT = 0.01, 3, 2.5
 STEM_LENGTHS = (4, 5, 6)
 LEXICON_SIZE = 2000
+#: A sum of weights beyond which more says nothing more.
+ENOUGH = 25.0
 #: A word pair around a term is an exception if so many clean documents hold it, and the share of toxic ones is lower.
 EXCEPTION_COUNT = 3
 
@@ -55,8 +57,8 @@ class Folder(dict):
 
     def __missing__(self, code: int) -> str:
         char = chr(code)
-        plain = unicodedata.normalize("NFKD", HOMOGLYPHS.get(char, char))
-        plain = "".join(HOMOGLYPHS.get(c, c) for c in plain.lower() if not unicodedata.combining(c))
+        plain = unicodedata.normalize("NFKC", HOMOGLYPHS.get(char, char))
+        plain = "".join(HOMOGLYPHS.get(c, c) for c in plain.lower())
         self[code] = plain
         return plain
 
@@ -100,7 +102,8 @@ class Matcher:
         if self.found is not None:
             self.found.make_automaton()
 
-    def features(self, text: str) -> tuple[float, float, float]:
+    def features(self, text: str) -> tuple[float, ...]:
+        """The sum of weights by its logarithm, cut off, and by length; and the length."""
         words = folded_words(text)
         best: dict[int, float] = {}
         if self.found is not None:
@@ -112,7 +115,7 @@ class Matcher:
             if best and self.exceptions:
                 best = {s: w for s, w in best.items() if not self.excepted(line, s)}
         total = sum(best.values())
-        return float(np.log1p(total)), total / (len(words) + 20), float(np.log1p(len(words)))
+        return float(np.log1p(total)), min(total, ENOUGH), total / (len(words) + 20), float(np.log1p(len(words)))
 
     def excepted(self, line: str, start: int) -> bool:
         """Whether the hit's word is in an exception phrase with a neighbour."""
@@ -124,25 +127,28 @@ class Matcher:
 
 
 def learn_lexicon(toxic: list[str], clean: list[str]) -> ToxicityModel:
-    split = {1: [folded_words(t) for t in dict.fromkeys(toxic)], 0: [folded_words(t) for t in dict.fromkeys(clean)]}
-    counts = {value: Counter(t for ws in texts for t in terms(set(ws))) for value, texts in split.items()}
-    n1, n0 = len(split[1]), len(split[0])
+    lines = {value: [" ".join(folded_words(t)) for t in dict.fromkeys(texts)] for value, texts in ((1, toxic), (0, clean))}
+    n1, n0 = len(lines[1]), len(lines[0])
+    counts = Counter(t for line in lines[1] for t in terms(set(line.split())))
     least = max(LEAST_COUNT, LEAST_SHARE * n1)
+    counts = {t: c for t, c in counts.items() if c >= least}
+    others = Counter(t for line in lines[0] for t in terms(set(line.split())) & counts.keys())
     weights = {
         t: w
-        for t, c in counts[1].items()
-        if c >= least and (w := np.log((c + 0.5) / (n1 + 1)) - np.log((counts[0][t] + 0.5) / (n0 + 1))) >= LEAST_WEIGHT
+        for t, c in counts.items()
+        if (w := np.log((c + 0.5) / (n1 + 1)) - np.log((others[t] + 0.5) / (n0 + 1))) >= LEAST_WEIGHT
     }
     # A term adds nothing beside a shorter stem of at least its weight.
     for t in sorted(weights, key=len, reverse=True):
         if any(weights.get(t[: n + 1], -1.0) >= weights[t] for n in STEM_LENGTHS if n + 1 < len(t)):
             del weights[t]
-    weights = {t: float(weights[t]) for t in sorted(weights, key=lambda t: (-weights[t] * counts[1][t], t))[:LEXICON_SIZE]}
+    weights = {t: float(weights[t]) for t in sorted(weights, key=lambda t: (-weights[t] * counts[t], t))[:LEXICON_SIZE]}
     stems = {t[1:] for t in weights if t[-1] != " "}
     hit = lambda w: f" {w} " in weights or any(w[:n] in stems for n in STEM_LENGTHS)
     pairs = {0: Counter(), 1: Counter()}
-    for value, texts in split.items():
-        for ws in texts:
+    for value, own in lines.items():
+        for line in own:
+            ws = line.split()
             pairs[value].update({p for p in zip(ws, ws[1:]) if hit(p[0]) or hit(p[1])})
     exceptions = {
         p for p, c in pairs[0].items() if c >= EXCEPTION_COUNT and c / max(n0, 1) > pairs[1][p] / max(n1, 1)
@@ -151,18 +157,24 @@ def learn_lexicon(toxic: list[str], clean: list[str]) -> ToxicityModel:
 
 
 def fit(docs: DataFrame, marks: DataFrame, per_class: int = SAMPLE_PER_CLASS, longest: int = SAMPLE_LONGEST) -> ToxicityModel:
-    """From documents and their marks (doc_id, label): even places of each class's sample give the
-    lexicon, odd places calibrate."""
+    """From documents and their marks (doc_id, label)."""
     texts, counts = sample(docs, marks, per_class, longest)
     return fit_texts(texts, counts)
 
 
 def fit_texts(texts: dict[int, list[str]], counts: dict[int, int]) -> ToxicityModel:
-    model = learn_lexicon(texts[1][::2], texts[0][::2])
-    matcher = Matcher(model)
-    held = [(t, value) for value in (0, 1) for t in texts[value][1::2] or texts[value]]
-    features = np.array([matcher.features(t) for t, _ in held]).reshape(-1, 3)
-    model.calibration = Logistic(features, np.array([v for _, v in held], dtype=float), counts)
+    """The lexicon comes from the whole sample.  It is calibrated by features
+    that are free of a text's own label: those of either half of the sample
+    under the lexicon of the other half."""
+    features, labels = [], []
+    for half in (0, 1):
+        matcher = Matcher(learn_lexicon(texts[1][half::2], texts[0][half::2]))
+        for value in (0, 1):
+            for t in texts[value][1 - half :: 2]:
+                features.append(matcher.features(t))
+                labels.append(value)
+    model = learn_lexicon(texts[1], texts[0])
+    model.calibration = Logistic(np.array(features).reshape(-1, 4), np.array(labels, dtype=float), counts)
     return model
 
 

@@ -51,7 +51,7 @@ def test_accepted_keeps_the_columns(spark, odd_documents, no_documents):
 
 
 def test_folding_and_exceptions():
-    assert toxicity.folded_words("id1ot і𝐝iot Idíot pathét1c m0r0n!") == ["idiot"] * 3 + ["pathetic", "moron"]
+    assert toxicity.folded_words("id1ot і𝐝iot Idiоt pathet1c m0r0n!") == ["idiot"] * 3 + ["pathetic", "moron"]
     assert toxicity.folded_words("12 3x 4 a1") == ["x", "a"]
     toxic = [f"you idiot number {i} of them" for i in range(40)]
     clean = [f"the idiot light is on in car {i}" for i in range(40)] + [f"plain words here {i}" for i in range(400)]
