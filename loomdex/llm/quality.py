@@ -58,11 +58,15 @@ class Sizer:
                 )
             )
 
-    def features(self, text: str) -> tuple[float, float, float]:
+    def features(self, text: str) -> tuple[float, ...]:
+        """The normalised difference of the sizes, the compressed share, the
+        length, and what the difference means at such a share and length."""
         data = text.encode()
         parts = blocks(data)
         good, bad = (sum(len(tool.compress(p)) for p in parts) for tool in self.tools)
-        return (bad - good) / (bad + good + 100), (good + bad) / (2 * len(data) + 1), float(np.log1p(len(data)))
+        difference, share = (bad - good) / (bad + good + 100), (good + bad) / (2 * len(data) + 1)
+        length = float(np.log1p(len(data)))
+        return difference, share, length, difference * length, share * share, difference * share
 
 
 @dataclass
@@ -73,14 +77,21 @@ class QualityModel:
 
 
 def fit(docs: DataFrame, marks: DataFrame, per_class: int = SAMPLE_PER_CLASS, longest: int = SAMPLE_LONGEST) -> QualityModel:
-    """From documents and their marks (doc_id, label): even places of each class's sample build the
-    dictionaries, odd places calibrate."""
+    """From documents and their marks (doc_id, label).  The dictionaries come
+    from the whole sample.  They are calibrated by features that are free of a
+    text's own label: those of either half of the sample under the dictionaries
+    of the other half."""
     texts, counts = sample(docs, marks, per_class, longest)
-    good, bad = (build_dictionary(texts[value][::2]) for value in (1, 0))
-    sizer = Sizer(good, bad)
-    held = [(t, value) for value in (0, 1) for t in texts[value][1::2] or texts[value]]
-    features = np.array([sizer.features(t) for t, _ in held]).reshape(-1, 3)
-    return QualityModel(good, bad, Logistic(features, np.array([v for _, v in held], dtype=float), counts))
+    features, labels = [], []
+    for half in (0, 1):
+        sizer = Sizer(*(build_dictionary(texts[value][half::2]) for value in (1, 0)))
+        for value in (0, 1):
+            for t in texts[value][1 - half :: 2]:
+                features.append(sizer.features(t))
+                labels.append(value)
+    good, bad = (build_dictionary(texts[value]) for value in (1, 0))
+    calibration = Logistic(np.array(features).reshape(-1, 6), np.array(labels, dtype=float), counts)
+    return QualityModel(good, bad, calibration)
 
 
 def score(docs: DataFrame, model: QualityModel, keep: list[str], text: str = "text") -> DataFrame:
