@@ -12,6 +12,8 @@ import random
 import re
 import time
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from threading import Lock
 from typing import Protocol
 
 import numpy as np
@@ -95,17 +97,18 @@ class TokenBucket:
 
     def __init__(self, rate: float, burst: int, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
         self.rate, self.burst, self.clock, self.sleep = rate, burst, clock, sleep
-        self.tokens, self.at = float(burst), clock()
+        self.tokens, self.at, self.lock = float(burst), clock(), Lock()
 
     def acquire(self) -> None:
-        while True:
-            now = self.clock()
-            self.tokens = min(self.burst, self.tokens + (now - self.at) * self.rate)
-            self.at = now
-            if self.tokens >= 1:
-                self.tokens -= 1
-                return
-            self.sleep((1 - self.tokens) / self.rate)
+        with self.lock:
+            while True:
+                now = self.clock()
+                self.tokens = min(self.burst, self.tokens + (now - self.at) * self.rate)
+                self.at = now
+                if self.tokens >= 1:
+                    self.tokens -= 1
+                    return
+                self.sleep((1 - self.tokens) / self.rate)
 
 
 def rate_for(requests_per_minute: float, partitions: int, headroom: float = 0.9) -> float:
@@ -145,14 +148,17 @@ def score_pairs(query: Column | str, text: Column | str, model: str = "overlap-p
     return run(query, text)
 
 
-def complete_column(prompt: Column | str, model: str, requests_per_minute: float | None = None, partitions: int = 1) -> Column:
-    """The model's text for each prompt; a call that keeps failing gives the
-    error text instead, so one failure does not end the job."""
+def complete_column(
+    prompt: Column | str, model: str, requests_per_minute: float | None = None, partitions: int = 1, in_flight: int = 4
+) -> Column:
+    """The model's text for each prompt, with so many calls of a task under way
+    at a time; a call that keeps failing gives the error text instead, so one
+    failure does not end the job."""
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = create(model)
-        bucket = TokenBucket(rate_for(requests_per_minute, partitions), 4) if requests_per_minute else None
+        bucket = TokenBucket(rate_for(requests_per_minute, partitions), in_flight) if requests_per_minute else None
 
         def one(p: str) -> str:
             if bucket:
@@ -162,8 +168,9 @@ def complete_column(prompt: Column | str, model: str, requests_per_minute: float
             except Exception as e:  # noqa: BLE001
                 return f"{ERROR_PREFIX} {e}"
 
-        for batch in batches:
-            yield batch.fillna("").map(one)
+        with ThreadPoolExecutor(in_flight) as pool:
+            for batch in batches:
+                yield pd.Series(list(pool.map(one, batch.fillna(""))), index=batch.index, dtype=object)
 
     return run(prompt)
 
