@@ -2,9 +2,10 @@
 
 A vector is represented by its nearest pivots in order.  Each block of vectors
 posts them in one inverted file a pivot, as (vector, rank).  A query reads the
-files of its own nearest pivots; with absent pivots placed at rank m, the
-footrule distance of two orders is a constant less twice the sum, over shared
-pivots, of m - max(rank, rank), so the sum ranks the block's vectors.  The best
+files of its own nearest pivots, fewer than are posted.  With absent pivots
+placed at rank m, the footrule distance of two orders is a constant less twice
+the sum, over shared pivots, of m - max(rank, rank), so the sum over the pivots
+that were read ranks the block's vectors.  The best
 share of a block, and everything close to the query's own order, is reranked by
 the exact cosine.
 
@@ -28,8 +29,8 @@ from pyspark.sql.window import Window
 from .common import Scratch, key_limit
 from .vectors import distinct_vectors, matrix, unit, usable
 
-#: Pivots, the nearest of them that are posted, and the share of a block that is reranked (at least so many).
-PIVOTS, POSTED = 256, 128
+#: Pivots, the nearest of them that are posted, those that a query reads, and the share of a block that is reranked (at least so many).
+PIVOTS, POSTED, READ = 256, 128, 64
 #: Vectors in the sample that pivots are chosen from, and the cosine from which one is too like a chosen pivot.
 PIVOT_SAMPLE, PIVOT_LIKE = 1536, 0.8
 RERANKED_SHARE, RERANKED_LEAST = 0.1, 128
@@ -72,15 +73,16 @@ def search_block(vectors: pd.DataFrame, queries: pd.DataFrame, pivots: np.ndarra
     rows, asked = unit(matrix(vectors["v"])), unit(matrix(queries["v"]))
     posted = min(POSTED, len(pivots))
     files = inverted_files(pivot_order(rows, pivots, posted), len(pivots))
+    most = sum(posted - rank for rank in range(min(READ, posted)))
     budget = min(len(rows), max(RERANKED_LEAST, int(np.ceil(RERANKED_SHARE * len(rows)))))
     ids = vectors["ids"].tolist()
     out: list[tuple[int, int, float]] = []
-    for query, order, x in zip(queries["id"], pivot_order(asked, pivots, posted), asked):
+    for query, order, x in zip(queries["id"], pivot_order(asked, pivots, min(READ, posted)), asked):
         shared = np.zeros(len(rows), np.int32)
         for rank, pivot in enumerate(order):
             at, ranks = files[pivot]
             shared[at] += posted - np.maximum(ranks, rank)
-        close = np.flatnonzero(shared >= CLOSE * posted * (posted + 1) / 2)
+        close = np.flatnonzero(shared >= CLOSE * most)
         near = np.union1d(np.argpartition(-shared, budget - 1)[:budget], close)
         scores = rows[near] @ x
         best = np.sort(scores)[::-1][: k + 1][-1]
