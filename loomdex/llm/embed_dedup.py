@@ -21,11 +21,13 @@ rows that repeat an id are copies, or further vectors, of one node.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -149,8 +151,11 @@ def pack_tiles(distinct: DataFrame, axes: np.ndarray, scratch: Scratch) -> DataF
     count = placed.count()
     n = max(1, -(-count // TILE))
     cuts = placed.approxQuantile("place", [i / n for i in range(1, n)], 0.1 / n) if n > 1 else []
-    interval = F.size(F.filter(F.lit(cuts).cast("array<double>"), lambda c: c < F.col("place")))
-    placed = placed.withColumn("interval", interval)
+    if cuts:
+        splits = [-math.inf, *sorted(set(cuts)), math.inf]
+        placed = Bucketizer(splits=splits, inputCol="place", outputCol="interval").transform(placed)
+    else:
+        placed = placed.withColumn("interval", F.lit(0.0))
     sizes = placed.groupBy("interval").agg(F.count("*").alias("rows"))
     # Equal places can fill an interval beyond a tile; such an interval becomes several tiles.
     parts = F.ceil(F.col("rows") / TILE)
