@@ -69,9 +69,11 @@ def corpus_summary(registry: DataFrame, combined: DataFrame) -> DataFrame:
 
 def with_ordinal(frame: DataFrame, order: str, name: str = "ordinal") -> DataFrame:
     """A dense position from 0 in the order of a unique column.  Partitions of
-    a range sort are numbered by themselves and moved by the counts before, so
-    no task sees all rows."""
-    spread = frame.repartitionByRange(F.col(order)).sortWithinPartitions(order)
+    a range exchange are numbered by themselves and moved by the counts before,
+    so no task sees all rows.  Their number is set, so that both uses of the
+    exchange have the same partitions."""
+    parts = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = frame.repartitionByRange(parts, F.col(order))
     spread = spread.withColumn("_p", F.spark_partition_id())
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     starts = spread.groupBy("_p").agg(F.count("*").alias("_c"))
