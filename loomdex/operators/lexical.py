@@ -38,11 +38,13 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     for the mean length."""
     words = docs.select(F.col(doc_id).alias("doc_id"), tokenize(F.coalesce(F.col(text), F.lit(""))).alias("words"))
     words = words.withColumn("dl", F.size("words").cast("long"))
+    # An outer explode: for an inner one, a filter is inferred that tokenizes every text again.
     # tf is counted within the partition that holds the document, before the exchange.
-    postings = words.select("doc_id", "dl", F.explode("words").alias("term")).groupBy("doc_id", "dl", "term")
-    postings = postings.agg(F.count("*").alias("tf"))
+    postings = words.select("doc_id", "dl", F.explode_outer("words").alias("term")).where("term is not null")
+    postings = postings.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
     stats = words.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = words.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    df = words.select(F.explode_outer(F.array_distinct("words")).alias("term")).where("term is not null")
+    df = df.groupBy("term").agg(F.count("*").alias("df"))
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     terms = df.crossJoin(F.broadcast(stats.select("n"))).withColumn("raw", raw)  # stats is one row
     mean = terms.agg(F.avg("raw").alias("mean_idf"))
@@ -54,9 +56,11 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 def scores(index: LexicalIndex, queries: DataFrame, query_id: str, text: str, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, doc_id, score) for documents that share a term with a query;
     a term counts as often as the query has it."""
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokenize(text)).alias("term"))
-    asked = asked.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    met = index.postings.join(asked.join(index.terms, "term"), "term").crossJoin(F.broadcast(index.stats))
+    asked = queries.select(F.col(query_id).alias("query_id"), F.explode_outer(tokenize(text)).alias("term"))
+    asked = asked.where("term is not null").groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    # The semi join goes below the aggregation that makes the postings, so only asked terms are exchanged.
+    some = index.postings.join(asked.select("term"), "term", "left_semi")
+    met = some.join(asked.join(index.terms, "term"), "term").crossJoin(F.broadcast(index.stats))
     norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / norm
     return met.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
