@@ -44,8 +44,9 @@ TRIMMED = " \t\x0b\x0c\r"
 def lines_of(docs: DataFrame, min_chars: int, doc_id: str, text: str) -> DataFrame:
     """(doc_id, pos, line, id): the trimmed lines that are long enough, with
     a 128-bit digest."""
+    # An outer explode: for an inner one, a filter is inferred that splits every text again.
     rows = docs.where(F.col(doc_id).isNotNull()).select(
-        F.col(doc_id).alias("doc_id"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "raw")
+        F.col(doc_id).alias("doc_id"), F.posexplode_outer(F.split(F.col(text), "\n", -1)).alias("pos", "raw")
     )
     rows = rows.select("doc_id", "pos", F.btrim("raw", F.lit(TRIMMED)).alias("line"))
     rows = rows.where(F.length("line") >= min_chars)
