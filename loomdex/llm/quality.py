@@ -42,6 +42,20 @@ def build_dictionary(texts: list[str]) -> bytes:
         return b"".join(parts)[-DICTIONARY_BYTES:] or b" " * 8
 
 
+def own_lines(texts: dict[int, list[str]]) -> dict[int, list[str]]:
+    """The texts of either class without lines that both classes have: such
+    lines say nothing, but would favour the class that repeats them more."""
+    lines = {value: {line for t in own for line in t.split("\n")} for value, own in texts.items()}
+    both = lines[0] & lines[1]
+    return {value: ["\n".join(x for x in t.split("\n") if x not in both) for t in own] for value, own in texts.items()}
+
+
+def dictionaries(texts: dict[int, list[str]]) -> tuple[bytes, bytes]:
+    """The dictionaries of good and of bad text."""
+    own = own_lines(texts)
+    return build_dictionary(own[1]), build_dictionary(own[0])
+
+
 class Sizer:
     """Sizes of a text under the two dictionaries."""
 
@@ -84,12 +98,12 @@ def fit(docs: DataFrame, marks: DataFrame, per_class: int = SAMPLE_PER_CLASS, lo
     texts, counts = sample(docs, marks, per_class, longest)
     features, labels = [], []
     for half in (0, 1):
-        sizer = Sizer(*(build_dictionary(texts[value][half::2]) for value in (1, 0)))
+        sizer = Sizer(*dictionaries({value: texts[value][half::2] for value in (0, 1)}))
         for value in (0, 1):
             for t in texts[value][1 - half :: 2]:
                 features.append(sizer.features(t))
                 labels.append(value)
-    good, bad = (build_dictionary(texts[value]) for value in (1, 0))
+    good, bad = dictionaries(texts)
     calibration = Logistic(np.array(features).reshape(-1, 6), np.array(labels, dtype=float), counts)
     return QualityModel(good, bad, calibration)
 
