@@ -72,6 +72,8 @@ ORACLE_SQL: dict[str, str] = {
     "op3_license_scan": sql.license_scan(
         license_scan.TEMPLATES, license_scan.THRESHOLD, license_scan.MARKER, license_scan.TOKEN
     ),
+    "op5_embedding_near_dedup": sql.EMBEDDING_NEAR_DEDUP,
     "op6_line_dedup": sql.LINE_DEDUP,
+    "op7_ngram_jaccard": sql.NGRAM_JACCARD,
     "op8_curriculum_mix": sql.CURRICULUM_MIX,
 }

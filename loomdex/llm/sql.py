@@ -130,3 +130,49 @@ select p.id as doc_id, p.path, coalesce(o.license, h.license, t.license) as lice
   case when o.id is null then coalesce(h.dir, t.dir) end as from_dir
 from placed p left join own o using (id) left join stated h on h.dir = p.dir left join stated t on t.dir = p.thousands
 """
+
+
+#: Components of links(a, b), both ways, for nodes(id): the smallest id within reach.
+REACHED = """reached(id, other) as (
+  select id, id from nodes
+  union
+  select r.id, l.b from reached r join links l on r.other = l.a
+), components as (
+  select id, min(other) as component_id from reached group by id
+)"""
+
+EMBEDDING_NEAR_DEDUP = f"""
+with recursive sound as (
+  select vec_id as id, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings
+  where embedding is not null and vec_id is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), units as (
+  select id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) as u from sound
+), nodes as (select vec_id as id from embeddings),
+links as (
+  select x.id as a, y.id as b from units x, units y
+  where x.id <> y.id and len(x.u) = len(y.u) and list_dot_product(x.u, y.u) >= 0.9
+), {REACHED}, counts as (select a as id, count(*) as n from links group by a)
+select c.id as vec_id, coalesce(n, 0) as n_links, component_id, c.id = component_id as kept
+from components c left join counts using (id)
+"""
+
+NGRAM_JACCARD = rf"""
+with recursive split as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents
+), sets as (
+  select distinct doc_id, shingle from (
+    select doc_id, array_to_string(w[i:i + 3], ' ') as shingle from (select doc_id, w, unnest(range(1, len(w) - 2)) as i from split where len(w) >= 4)
+    union all
+    select doc_id, array_to_string(w, ' ') from split where len(w) between 1 and 3)
+), sizes as (select doc_id, count(*) as n from sets group by doc_id),
+nodes as (select distinct doc_id as id from documents),
+shared as (
+  select x.doc_id as a, y.doc_id as b, count(*) as m from sets x join sets y on x.shingle = y.shingle and x.doc_id <> y.doc_id group by all
+), links as (
+  select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * m >= 85 * (x.n + y.n - m)
+), {REACHED}
+select d.doc_id, coalesce(n, 0) as n_shingles, component_id
+from documents d join components c on c.id = d.doc_id left join sizes s on s.doc_id = d.doc_id
+"""
