@@ -35,6 +35,8 @@ from .common import Scratch
 MIN_CHARS = 12
 #: Length of a block in the second step.
 BLOCK_CHARS = 32
+#: More than a document has lines.
+PLACES = 2**31
 #: Bits of a filter of lines or keys, half a megabyte.
 FILTER_BITS = 1 << 22
 
@@ -151,7 +153,11 @@ def near_lines(docs: DataFrame, distinct: DataFrame, scratch: Scratch, min_chars
     numbers = lines_with_shared_keys(keyed, scratch)
     open_ids = distinct.select("id", "first", number).join(numbers, "line").select("id", "first")
     open_ids = scratch.write(open_ids, "open")
-    rows = filtered(lines_of(docs, min_chars, doc_id, text), "id", filter_of(open_ids, "id")).join(open_ids, "id")
+    # Only documents that hold an open line for the first time are split again.
+    holders = filter_of(open_ids.select(F.col("first.doc_id").alias("doc_id")), "doc_id")
+    held = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = lines_of(filtered(held, "doc_id", holders), min_chars, "doc_id", "text")
+    rows = filtered(rows, "id", filter_of(open_ids, "id")).join(open_ids, "id")
     rows = rows.where((F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.pos") == F.col("pos")))
     rows = scratch.write(rows.dropDuplicates(["id"]).select("id", "first", "line", F.length("line").alias("length")), "texts")
     blocks = scratch.write(rows.select("id", F.explode(block_keys("line", "length")).alias("b")).select("id", "b.*"), "blocks")
@@ -186,12 +192,18 @@ def removed_lines(
     """(doc_id, removed): the places of the lines that go, in order, of each
     document that loses any."""
     rows = lines_of(docs, min_chars, doc_id, text).withColumn("halves", half_keys(F.col("line")))
+    # Document and place as one number: its least can be kept in a hash aggregation, a struct's cannot.
+    place = F.col("doc_id").cast("decimal(20,0)") * F.lit(PLACES).cast("decimal(11,0)") + F.col("pos").cast("decimal(10,0)")
     distinct = rows.groupBy("id").agg(
-        F.min(F.struct("doc_id", "pos")).alias("first"),
+        F.min(place).alias("place"),
         F.count("*").alias("times"),
         *(F.min(F.col("halves")[i]).alias(f"k{i}") for i in range(4)),
     )
-    distinct = distinct.select("id", "first", "times", F.array(*(f"k{i}" for i in range(4))).alias("halves"))
+    at = F.pmod("place", F.lit(PLACES).cast("decimal(11,0)"))
+    holder = (F.col("place") - at) / F.lit(PLACES).cast("decimal(11,0)")
+    kind = docs.schema[doc_id].dataType
+    first = F.struct(holder.cast(kind).alias("doc_id"), at.cast("int").alias("pos")).alias("first")
+    distinct = distinct.select("id", first, "times", F.array(*(f"k{i}" for i in range(4))).alias("halves"))
     distinct = scratch.write(distinct, "distinct")
     near = scratch.write(near_lines(docs, distinct, scratch, min_chars, doc_id, text), "near").withColumn("near", F.lit(True))
     flagged = distinct.select("id", "first", "times").join(near, "id", "left")

@@ -54,3 +54,11 @@ def test_a_common_line_stays_linear(documents_of, scratch):
     docs = documents_of([(i, f"a line that all the documents share\nand line number {i:04d} of them", "en", "s", 0) for i in range(300)])
     found = {r["doc_id"]: r["n_removed"] for r in line_dedup.digests(docs, scratch).collect()}
     assert found[0] == 0 and all(n >= 1 for i, n in found.items() if i)
+
+
+def test_great_and_negative_ids(documents_of, scratch):
+    line = "one and the same line of text"
+    ids = [2**63 - 1, -(2**63), -5, 0, 2**53 + 1]
+    docs = documents_of([(i, f"short\n{line}", "en", "s", 0) for i in ids])
+    found = {r["doc_id"]: r["n_removed"] for r in line_dedup.digests(docs, scratch).collect()}
+    assert found == {i: int(i != min(ids)) for i in ids}
