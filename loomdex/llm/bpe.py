@@ -127,11 +127,15 @@ class TrieEncoder:
             token = ending_token.get(at)
             if token is not None:
                 found.append((i, token))
+        pairs = self.pairs
         for start, token in reversed(found):
             if start == 0:
                 if self.stands_alone(token):
                     return token
-            elif self.stands_alone(token) and self.may_follow(last[start], token):
+                continue
+            # A token that does not stand alone follows nothing, so pairs need no check of it.
+            known = pairs.get(last[start] << 32 | token)
+            if known or known is None and self.may_follow(last[start], token):
                 return token
         raise AssertionError("every byte is a token, so some token ends each prefix")
 
