@@ -1,5 +1,7 @@
+import time
+
 from loomdex.operators import grading
-from loomdex.streaming import incremental
+from loomdex.streaming import incremental, progress
 
 SCHEMA = "conv_id long, ts timestamp, response string, correct_answer string"
 
@@ -31,3 +33,21 @@ def test_windowed_accuracy(spark, tmp_path):
     query = out.writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted((r["total"], r["correct"]) for r in spark.table("windows").collect()) == [(10, 5), (10, 5)]
+
+
+def test_progress(spark, tmp_path):
+    assert progress.line(0, 4, 0, 0.0) == "0/4 questions, accuracy 0.0000, 0.00 a second"
+    assert progress.line(2, None, 1, 4.0) == "2 questions, accuracy 0.5000, 0.50 a second"
+    said = []
+    listener = progress.Heartbeat(said.append)
+    spark.streams.addListener(listener)
+    inbox = str(tmp_path / "inbox")
+    rows(spark, range(3)).write.parquet(inbox)
+    query = incremental.evaluate_stream(spark, inbox, rows(spark, []).schema, grading.grade, str(tmp_path / "r"), str(tmp_path / "s"))
+    query.awaitTermination()
+    for _ in range(50):
+        if "ended" in said:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(listener)
+    assert said[0].startswith("started") and "batch 0: 3 rows" in said and "ended" in said
