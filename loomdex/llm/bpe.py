@@ -36,6 +36,8 @@ WHITE_SPACE = "\t-\r \x85\xa0  -     　"
 
 #: Chunks kept per worker; beyond that the cache starts anew.
 CACHE_CHUNKS = 400_000
+#: Pairs of tokens kept, whether one may follow the other.
+CACHE_PAIRS = 400_000
 #: Chunks of one text handled at a time.
 TEXT_CHUNKS = 500_000
 
@@ -111,7 +113,7 @@ class TrieEncoder:
         key = left << 32 | right
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) > CACHE_PAIRS:
                 self.pairs.clear()
             both = self.token_bytes[left] + self.token_bytes[right]
             known = self.pairs[key] = self.merge([self.ids[bytes([b])] for b in both]) == [left, right]
@@ -173,6 +175,11 @@ class TrieEncoder:
         for c, ws in split.items():
             self.cache[c] = known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws])
 
+    def release(self) -> None:
+        """Gives up the chunks at the end of a task: a worker that waits for
+        other work must not hold them."""
+        self.cache = {}
+
     def pieces(self, text: str) -> Iterator[list[str] | int]:
         """Lists of chunks that are encoded independently, and special ids."""
         parts = self.special.split(text) if self.special and any(s in text for s in self.specials) else [text]
@@ -233,6 +240,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, keep: list[str], text
             for t, packed in zip(texts, tool.encode_batch(texts)):
                 yield len(packed) // 4, np.frombuffer(packed, np.int32), tool.decode(packed) == t
 
+        run.done = tool.release
         return run
 
     schema = pa.schema([("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("intact", pa.bool_())])
@@ -266,6 +274,7 @@ def digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                     hashlib.sha256(tool.decode(packed).encode()).hexdigest(),
                 )
 
+        run.done = tool.release
         return run
 
     schema = pa.schema([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])

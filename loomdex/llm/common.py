@@ -87,7 +87,8 @@ def map_rows(
 ) -> DataFrame:
     """Applies a function of a list of texts, made once per task by `make`, and
     returns the columns in `keep` followed by the fields of the returned
-    tuples.  Texts are taken in groups of bounded size."""
+    tuples.  Texts are taken in groups of bounded size.  If the function has an
+    attribute `done`, that is called at the end of the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = make()
@@ -101,6 +102,7 @@ def map_rows(
                 ]
                 names = keep + schema.names
                 yield pa.RecordBatch.from_arrays(kept + made, names=names)
+        getattr(score, "done", lambda: None)()
 
     kept_ddl = ", ".join(f"`{c}` {frame.schema[c].dataType.simpleString()}" for c in keep)
     return frame.select(*dict.fromkeys([*keep, text])).mapInArrow(run, f"{kept_ddl}, {ddl}")
