@@ -103,6 +103,7 @@ def map_rows(
                 names = keep + schema.names
                 yield pa.RecordBatch.from_arrays(kept + made, names=names)
         getattr(score, "done", lambda: None)()
+        pa.default_memory_pool().release_unused()  # a worker that waits should be small
 
     kept_ddl = ", ".join(f"`{c}` {frame.schema[c].dataType.simpleString()}" for c in keep)
     return frame.select(*dict.fromkeys([*keep, text])).mapInArrow(run, f"{kept_ddl}, {ddl}")
