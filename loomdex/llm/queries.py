@@ -22,7 +22,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = license_scan.document_paths(table(spark, sf_dir, "documents"))
-    return license_scan.scan(files, Scratch(spark, "license")).withColumnRenamed("id", "doc_id")
+    return license_scan.scan(files, Scratch(spark, "license"), as_sql=True).withColumnRenamed("id", "doc_id")
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
