@@ -17,7 +17,9 @@ buckets.  Only DataFrame operations are used.
 
 Defined results: a null text has size 0, and a document of size 0 is never
 taken; a null source is a source, the last in order; repeated rows are read as
-further documents; without any words every target is 0.
+further documents; without any words every target is 0.  The stream holds
+each row of the documents, with a null or repeated id too, as often as it is
+read.
 """
 
 from __future__ import annotations
@@ -40,6 +42,16 @@ PRECEDING = (Window.unboundedPreceding, -1)
 CURVES = ((1.5, 1.0, 0.5), (1.0, 1.0, 1.0), (0.5, 1.0, 1.5))
 
 
+def key_of(value: Column) -> Column:
+    """A string that is null for no value; the null's comes last in order."""
+    return F.coalesce(F.concat(F.lit("0"), value.cast("string")), F.lit("1"))
+
+
+def size_of(text: Column) -> Column:
+    """The words of a text."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
+
+
 def source_targets(sized: DataFrame, weights: Sequence[int], cap: int) -> DataFrame:
     """(source_key, source_size, place, target), one row a source.  The windows
     run over sources, whose number is that of the groups, not of the rows."""
@@ -95,8 +107,8 @@ def mix(
     sized = scratch.write(
         docs.select(
             F.col(doc_id).alias("doc_id"),
-            F.coalesce(F.concat(F.lit("0"), F.col(source).cast("string")), F.lit("1")).alias("source_key"),
-            F.coalesce(F.regexp_count(F.col(text), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
+            key_of(F.col(source)).alias("source_key"),
+            size_of(F.col(text)).alias("size"),
             F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).alias("key"),
         ).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS)),
         "sized",
@@ -143,10 +155,21 @@ def documents_by_position(mixed: DataFrame) -> DataFrame:
     return rows.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
-def training_stream(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+def training_stream(
+    docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text"
+) -> DataFrame:
     """The documents as they are read in training: one row a reading, in order
     of position.  Documents are not cut, so the last one of a source's stream
-    may run over the target."""
-    readings = mixed.select(F.col("doc_id").alias("id"), F.explode("positions").alias("position"))
-    own = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("id")).join(readings, "id")
+    may run over the target.  The mix tells rows apart by id, source and size
+    only, so among rows that are alike in these the n-th takes the n-th readings."""
+    alike = ["id_key", "source_key", "size"]
+    keys = lambda i, s: [key_of(F.col(i)).alias("id_key"), key_of(F.col(s)).alias("source_key")]
+    readings = mixed.groupBy(*keys("doc_id", "source"), "size").agg(F.array_sort(F.collect_list("positions")).alias("readings"))
+    readings = readings.where(F.exists("readings", lambda x: F.size(x) > 0))
+    nth = F.row_number().over(Window.partitionBy(*alike).orderBy("mark"))
+    own = docs.select(
+        F.struct("*").alias("row"), F.col(doc_id).alias("id"), *keys(doc_id, source), size_of(F.col(text)).alias("size"), F.xxhash64(text).alias("mark")
+    )
+    own = own.withColumn("nth", nth).join(readings, alike)
+    own = own.select("row", "id", F.explode(F.element_at("readings", F.col("nth"))).alias("position"))
     return own.repartitionByRange("position", "id").sortWithinPartitions("position", "id").select("row.*")

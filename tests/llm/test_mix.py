@@ -59,3 +59,24 @@ def test_reruns_agree(documents_of, scratch):
     key = lambda r: hashlib.md5(str(r).encode()).hexdigest()
     a, b = (sorted(map(key, curriculum.mix(d, scratch).collect())) for d in (docs, docs.repartition(7)))
     assert a == b
+
+
+def test_stream_holds_every_reading_of_null_and_repeated_ids(documents_of, scratch):
+    rows = [(i, f"unique {i} " + "w " * (i % 7), "en", "ab"[i % 2], 0) for i in range(40)]
+    rows += [(None, f"null {i} " + "w " * (i % 3), "en", "abc"[i % 3] if i % 4 else None, 0) for i in range(30)]
+    rows += [(50, "the same row", "en", "a", 0)] * 4 + [(51, f"one id {i}", "en", "ab"[i % 2], 0) for i in range(6)]
+    docs = documents_of(rows, clashing=True)
+    mixed = curriculum.mix(docs, scratch)
+    want = {}
+    for r in mixed.collect():
+        key = (r["doc_id"], r["source"], r["size"])
+        want[key] = want.get(key, 0) + r["copies"]
+    stream = curriculum.training_stream(docs, mixed)
+    found, times = {}, {}
+    for r in stream.collect():
+        key = (r["doc_id"], r["source"], len(r["text"].split()))
+        found[key] = found.get(key, 0) + 1
+        times[r["text"]] = times.get(r["text"], 0) + 1
+    assert stream.columns == docs.columns
+    assert found == {k: n for k, n in want.items() if n}
+    assert all(n <= 3 * sum(row[1] == t for row in rows) for t, n in times.items())
