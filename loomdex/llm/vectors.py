@@ -26,13 +26,13 @@ def usable(frame: DataFrame, vec_id: str, vector: str) -> DataFrame:
 
 def distinct_vectors(vectors: DataFrame, smallest: int) -> DataFrame:
     """One row (v, rep, copies, ids) for each distinct vector; ids are its
-    smallest ids, at most `smallest`.  The rank limit is applied before the
+    smallest ids, at most `smallest`, each once.  The rank limit is applied before the
     exchange too, so a vector that many rows share sends a few rows a task."""
     counts = vectors.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     if smallest == 1:
         return counts.withColumn("ids", F.array("rep"))
     first = Window.partitionBy("v").orderBy("id")
-    few = vectors.withColumn("n", F.row_number().over(first)).where(F.col("n") <= smallest)
+    few = vectors.dropDuplicates(["id", "v"]).withColumn("n", F.row_number().over(first)).where(F.col("n") <= smallest)
     ids = few.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     return counts.join(ids, "v")
 

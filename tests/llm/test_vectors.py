@@ -85,3 +85,11 @@ def test_recall_on_the_tables(spark, scratch, sf):
             hit += len({i for _, i in best} & {r["vec_id"] for r in found if r["query_id"] == q})
             total += 5
     assert hit / total >= 0.9
+
+
+def test_repeated_rows_leave_room_for_other_ids(spark, scratch):
+    rows = [(1, [1.0, 0.0], 0)] * 9 + [(2, [1.0, 0.0], 0), (3, [1.0, 0.0], 0), (4, [0.0, 1.0], 0), (5, [1.0, 0.2], 0)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    found = ann.search(frame, frame.where("vec_id in (1, 5)"), 3, scratch).collect()
+    nearest = {q: [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (1, 5)}
+    assert nearest == {1: [2, 3, 5], 5: [1, 2, 3]}
