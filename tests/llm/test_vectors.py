@@ -93,3 +93,22 @@ def test_repeated_rows_leave_room_for_other_ids(spark, scratch):
     found = ann.search(frame, frame.where("vec_id in (1, 5)"), 3, scratch).collect()
     nearest = {q: [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (1, 5)}
     assert nearest == {1: [2, 3, 5], 5: [1, 2, 3]}
+
+
+def test_recall_where_the_order_decides(spark, monkeypatch):
+    """One block, of which only the nearest tenth by pivot order is reranked."""
+    monkeypatch.setattr(ann, "RERANKED_LEAST", 1)
+    monkeypatch.setattr(ann, "CLOSE", 9.0)
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas().sort_values("vec_id", ignore_index=True)
+    scores = cosines([(i, list(v)) for i, v in zip(rows["vec_id"], rows["embedding"])])
+    ids = rows["vec_id"].tolist()
+    unit = ann.unit(ann.matrix(rows["embedding"]))
+    pivots = ann.choose_pivots(unit[np.random.default_rng(0).permutation(len(rows))[: ann.PIVOT_SAMPLE]])
+    asked = rows[rows["vec_id"] % 50 == 0]
+    vectors = rows.assign(ids=[[i] for i in ids]).rename(columns={"embedding": "v"})
+    found = ann.search_block(vectors, asked.rename(columns={"vec_id": "id", "embedding": "v"}), pivots, 5)
+    hit = 0
+    for at, q in zip(asked.index, asked["vec_id"]):
+        best = sorted((-scores[at, j], i) for j, i in enumerate(ids) if i != q)[:5]
+        hit += len({i for _, i in best} & set(found[found["query_id"] == q]["vec_id"]))
+    assert hit / (5 * len(asked)) >= 0.9
