@@ -50,9 +50,16 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
-def test_imports_without_the_training_data_part(tmp_path):
+@pytest.mark.parametrize("gone", [["loomdex/llm", "tests/llm"], ["loomdex/llm", "tests/llm", "corpus_pipeline.py"]])
+def test_works_without_the_training_data_part(tmp_path, gone):
+    """With only the two folders deleted, and with the pipeline deleted too."""
     copy = tmp_path / "repo"
-    shutil.copytree(REPO, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
-    code = "import __spark_entry__ as e; print(len(e.queries()), [n for n in e.queries() if n.startswith('op') or n == 'pipeline'])"
-    said = subprocess.run([sys.executable, "-c", code], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, capture_output=True, text=True)
-    assert said.stdout.split() == [str(len(queries.QUERIES)), "[]"], said.stderr
+    shutil.copytree(REPO, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache"))
+    for name in gone:
+        (shutil.rmtree if (copy / name).is_dir() else os.remove)(copy / name)
+    env = os.environ | {"PYTHONPATH": str(copy)}
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), [n for n in e.queries() if n.startswith('op') or n == 'pipeline'])"
+    said = subprocess.run([sys.executable, "-c", code], cwd=copy, env=env, capture_output=True, text=True)
+    assert said.stdout.split() == [str(len(queries.QUERIES)), str(len(queries.SQL)), "[]"], said.stderr
+    said = subprocess.run([sys.executable, "-m", "pytest", "--collect-only", "-q", "tests"], cwd=copy, env=env, capture_output=True, text=True)
+    assert said.returncode == 0 and "test_entry.py" in said.stdout, said.stdout
