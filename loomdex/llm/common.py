@@ -3,14 +3,26 @@ reading and Arrow batch plumbing."""
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: Masters whose tasks run in the driver's process.
+LOCAL_MASTER = re.compile(r"local(\[[^\]]*\])?")
+#: Most files of a scratch table for each core.
+FILES_PER_CORE = 4
+#: Bytes of text that are handled at a time.
+GROUP_BYTES = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,17 +31,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.  The session's own setting
-    is used; a local one is made only where none is set, as in tests."""
+    is used; a local one is made only where none is set and all tasks run in
+    this process, as in tests."""
     set_dir = spark.conf.get(CHECKPOINT_KEY, None)
     if set_dir:
         return set_dir.rstrip("/")
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return own.get().rstrip("/")
+    if not LOCAL_MASTER.fullmatch(spark.sparkContext.master):
+        raise ValueError(f"{CHECKPOINT_KEY} must name a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomdex-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+#: The scratch folders made inside `scratch_scope`.
+_SCOPE: ContextVar[list[Scratch] | None] = ContextVar("scratch_scope", default=None)
+
+
+@contextmanager
+def scratch_scope() -> Iterator[None]:
+    """On leaving, every scratch folder made inside is deleted; what was made
+    of its tables must have been written by then."""
+    made: list[Scratch] = []
+    token = _SCOPE.set(made)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        for scratch in made:
+            scratch.close()
+
+
 class Scratch:
     """Tables written under the shared folder, to cut lineage and to be read
     more than once.  A table survives lost executors; `drop` frees its space
@@ -39,21 +72,40 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/loomdex-{label}-{uuid.uuid4().hex}"
         self._count = 0
+        self._there: set[str] = set()
+        if (made := _SCOPE.get()) is not None:
+            made.append(self)
 
     def write(self, frame: DataFrame, name: str = "t") -> DataFrame:
+        """The frame as a table, in a few files for each core at most: many
+        small ones cost more to make, list and open than they hold."""
         self._count += 1
         path = f"{self.root}/{self._count:03d}_{name}"
-        frame.write.parquet(path)
+        most = FILES_PER_CORE * self.spark.sparkContext.defaultParallelism
+        frame.coalesce(most).write.parquet(path)
         kept = self.spark.read.schema(frame.schema).parquet(path)
         kept._loomdex_path = path
+        self._there.add(path)
         return kept
 
+    def _delete(self, path: str) -> None:
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
     def drop(self, *frames: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for frame in frames:
-            path = jvm.org.apache.hadoop.fs.Path(frame._loomdex_path)
-            path.getFileSystem(conf).delete(path, True)
+            self._delete(frame._loomdex_path)
+            self._there.discard(frame._loomdex_path)
+
+    def drop_all_but(self, *frames: DataFrame) -> None:
+        kept = {frame._loomdex_path for frame in frames if hasattr(frame, "_loomdex_path")}
+        for path in self._there - kept:
+            self._delete(path)
+        self._there &= kept
+
+    def close(self) -> None:
+        self._delete(self.root)
+        self._there.clear()
 
 
 def key_limit(share: float) -> int:
@@ -61,19 +113,37 @@ def key_limit(share: float) -> int:
     return min(2**63 - 1, int((2 * share - 1) * 2**63))
 
 
-def text_groups(batch: pa.RecordBatch, column: str, chars: int) -> Iterator[tuple[int, list[str]]]:
-    """Slices of a batch's text column with about `chars` characters each, as
-    (first row, texts).  A null text counts as empty; one text is never cut."""
-    values = batch.column(column).to_pylist()
-    start, size, group = 0, 0, []
-    for i, value in enumerate(values):
-        group.append(value or "")
-        size += len(group[-1])
-        if size >= chars:
-            yield start, group
-            start, size, group = i + 1, 0, []
-    if group:
-        yield start, group
+def give_back() -> None:
+    """Returns unused memory to the system at the end of a task, as a worker
+    that waits for other work should be small."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def parts(batch: pa.RecordBatch, column: int | str, size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices of about so many bytes of a text column; a row is never cut."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(lengths, dtype=np.int64)
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def slices(batches: Iterable[pa.RecordBatch], column: int | str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """All batches in such slices.  Gives memory back after the last one."""
+    for batch in batches:
+        yield from parts(batch, column, size)
+    give_back()
+
+
+def texts_of(batch: pa.RecordBatch, column: int | str) -> list[str]:
+    """A text column; a null text counts as empty."""
+    return [x or "" for x in batch.column(column).to_pylist()]
 
 
 def map_rows(
@@ -83,7 +153,7 @@ def map_rows(
     ddl: str,
     keep: list[str],
     text: str = "text",
-    chars: int = 2_000_000,
+    size: int = GROUP_BYTES,
 ) -> DataFrame:
     """Applies a function of a list of texts, made once per task by `make`, and
     returns the columns in `keep` followed by the fields of the returned
@@ -92,18 +162,13 @@ def map_rows(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = make()
-        for batch in batches:
-            for start, texts in text_groups(batch, text, chars):
-                rows = list(score(texts))
-                kept = [batch.column(c).slice(start, len(texts)) for c in keep]
-                made = [
-                    pa.array([r[i] for r in rows], type=schema.field(i).type)
-                    for i in range(len(schema))
-                ]
-                names = keep + schema.names
-                yield pa.RecordBatch.from_arrays(kept + made, names=names)
+        for part in slices(batches, text, size):
+            rows = list(score(texts_of(part, text)))
+            made = [pa.array([r[i] for r in rows], type=schema.field(i).type) for i in range(len(schema))]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *made], names=keep + schema.names)
         getattr(score, "done", lambda: None)()
-        pa.default_memory_pool().release_unused()  # a worker that waits should be small
+        del score
+        give_back()
 
     kept_ddl = ", ".join(f"`{c}` {frame.schema[c].dataType.simpleString()}" for c in keep)
     return frame.select(*dict.fromkeys([*keep, text])).mapInArrow(run, f"{kept_ddl}, {ddl}")
@@ -114,8 +179,9 @@ def filter_rows(frame: DataFrame, make: Callable[[], Callable[[list[str]], Itera
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         accept = make()
-        for batch in batches:
-            for start, texts in text_groups(batch, text, 2_000_000):
-                yield batch.slice(start, len(texts)).filter(pa.array([bool(x) for x in accept(texts)]))
+        for part in slices(batches, text, GROUP_BYTES):
+            yield part.filter(pa.array([bool(x) for x in accept(texts_of(part, text))]))
+        del accept
+        give_back()
 
     return frame.mapInArrow(run, frame.schema)
