@@ -6,9 +6,10 @@ from loomdex.llm.common import Scratch
 
 #: Names that the operators use inside, as columns of the input.
 CLASHING = [
-    "id", "text_", "score", "label", "key", "line", "lines", "pos", "row", "removed", "n", "p", "token", "digest", "rep",
+    "id", "text_", "score", "label", "key", "line", "lines", "pos", "row", "removed", "n", "p", "token", "digest",
     "component_id", "component", "position", "positions", "size", "start", "target", "taken", "ids", "n_tokens", "intact", "v",
-    "n_lines", "n_removed", "prefix", "source_key", "bucket", "rank", "path", "license",
+    "n_lines", "n_removed", "prefix", "source_key", "bucket", "rank", "path", "license", "first", "near", "times", "halves", "dim",
+    "copies", "block", "unit", "term", "dir", "from_dir", "rep", "pivot", "s", "j", "b", "c", "g", "group", "_hot", "_salt",
 ]
 
 DOCUMENTS = T.StructType(
