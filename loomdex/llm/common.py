@@ -14,13 +14,16 @@ from contextvars import ContextVar
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 #: Masters whose tasks run in the driver's process.
 LOCAL_MASTER = re.compile(r"local(\[[^\]]*\])?")
 #: Most files of a scratch table for each core.
-FILES_PER_CORE = 4
+FILES_PER_CORE = 2
+#: Keys that can be hot, the least rows of one, and the partitions its rows are dealt to.
+HOT_KEYS, HOT_ROWS, SALTS = 512, 10_000, 64
 #: Bytes of text that are handled at a time.
 GROUP_BYTES = 2_000_000
 
@@ -113,6 +116,20 @@ def key_limit(share: float) -> int:
     return min(2**63 - 1, int((2 * share - 1) * 2**63))
 
 
+def hot_join(rows: DataFrame, keys: DataFrame, key: str, times: str, spread: Column) -> DataFrame:
+    """rows joined with keys (key, times, …), which has one row for each key
+    and about how many rows hold it.  A key with a HOT_KEYS-th of all that are
+    counted is hot; there are HOT_KEYS of them at most, so those are broadcast
+    to mark their rows, which `spread` deals to SALTS partitions."""
+    total = keys.agg(F.sum(times)).first()[0] or 0
+    hot = F.col(times) >= F.lit(max(HOT_ROWS, -(-total // HOT_KEYS)))
+    marks = keys.where(hot).select(key, F.lit(True).alias("_hot"))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread, F.lit(5)), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    left = rows.join(F.broadcast(marks), key, "left").withColumn("_salt", salt).drop("_hot")
+    every = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return left.join(keys.withColumn("_salt", F.explode(every)), [key, "_salt"]).drop("_salt")
+
+
 def give_back() -> None:
     """Returns unused memory to the system at the end of a task, as a worker
     that waits for other work should be small."""

@@ -2,10 +2,10 @@
 
 A line, trimmed of white space, goes if an earlier line (by document id, then
 place) equals it or is within one edit of it.  Two lines within one edit agree
-outside one block: with s the shorter length cut into B blocks, they have the
+outside one block: with s the shorter length cut into blocks, they have the
 same prefix before some block and the same suffix after it.
 
-1. Lines whose half before or after the middle (B = 2) occurs in no other line
+1. Lines whose half before or after the middle (two blocks) occurs in no other line
    have no neighbour; the others are kept with their texts.
 2. Those are cut into blocks of about BLOCK_CHARS.  Where a block's
    surroundings occur in another line too, all variants of the line with a
@@ -16,6 +16,8 @@ same prefix before some block and the same suffix after it.
    others need to meet, and no variant's lines are paired with each other.
 4. The edit distance of each such pair is verified.
 
+All steps take time linear in a line's length.
+
 Only (document, place) of lines that go are joined back to the documents.
 
 Defined results: null texts stay null; lines shorter than `min_chars` after
@@ -28,8 +30,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import Scratch
+from .common import Scratch, hot_join
 
 #: Lines below this length are too short to compare.
 MIN_CHARS = 12
@@ -37,8 +40,8 @@ MIN_CHARS = 12
 BLOCK_CHARS = 32
 #: More than a document has lines.
 PLACES = 2**31
-#: Bits of a filter of lines or keys, half a megabyte.
-FILTER_BITS = 1 << 22
+#: Least and most bits of a filter of lines or keys: half a megabyte and eight.
+LEAST_FILTER_BITS, MOST_FILTER_BITS = 1 << 22, 1 << 26
 
 TRIMMED = " \t\x0b\x0c\r"
 
@@ -55,63 +58,73 @@ def lines_of(docs: DataFrame, min_chars: int, doc_id: str, text: str) -> DataFra
     return rows.withColumn("id", F.unhex(F.md5("line")))
 
 
-def block_key(line: Column, length: Column, s: Column, j: Column, blocks: Column) -> Column:
-    """The hash of what lies around block j when the shorter length is s."""
-    begin, end = F.floor(j * s / blocks).cast("int"), F.floor((j + 1) * s / blocks).cast("int")
-    before = F.substring(line, F.lit(1), begin)
-    after = F.substring(line, length - (s - end) + 1, s - end)
-    return F.xxhash64(s, j, before, after)
-
-
 def half_keys(line: Column) -> Column:
-    """The four keys of a line: either half, as the shorter and as the longer of two."""
-    length, two = F.length(line), F.lit(2)
-    return F.array(
-        *(block_key(line, length, length - less, F.lit(j), two) for less in (0, 1) for j in (0, 1))
-    )
-
-
-def block_keys(line: str, length: str) -> Column:
-    """All (s, j, key) of a line for blocks of about BLOCK_CHARS."""
-
-    def keys(less: int) -> Column:
-        s = F.col(length) - less
-        blocks = F.greatest(F.ceil(s / BLOCK_CHARS), F.lit(2)).cast("int")
-        each = F.sequence(F.lit(0), blocks - 1)
-        return F.transform(
-            each,
-            lambda j: F.struct(
-                s.alias("s"), j.alias("j"), blocks.alias("blocks"), block_key(F.col(line), F.col(length), s, j, blocks).alias("key")
-            ),
-        )
-
-    return F.concat(keys(0), keys(1))
-
-
-def cell(value: Column) -> Column:
+    """The four keys of a line: what lies around either half, with the line as
+    the shorter and as the longer of two."""
+    length = F.length(line)
+
+    def key(s: Column, j: int) -> Column:
+        cut = F.floor(s / 2).cast("int")
+        other = F.substring(line, length - cut + 1, cut) if j == 0 else F.substring(line, F.lit(1), cut)
+        return F.xxhash64(s, F.lit(j), other)
+
+    return F.array(*(key(length - less, j) for less in (0, 1) for j in (0, 1)))
+
+
+def block_chars(s: Column) -> Column:
+    """Characters of a block when the shorter length is s; there are two blocks at least."""
+    return F.when(s > 2 * BLOCK_CHARS, F.lit(BLOCK_CHARS)).otherwise(F.ceil(s / 2)).cast("int")
+
+
+def block_rows(lines: DataFrame) -> DataFrame:
+    """(id, s, j, key) of lines (id, line, length), each as the shorter and as
+    the longer of two.  The key tells the shorter length s, the place j of a
+    block, and all that lies around it: the blocks before it, counted from the
+    start of the line, and those after it, from its end.  Each block is hashed
+    with its place, and the hashes are added up by exclusive or, so the work
+    is linear in a line's length."""
+
+    def rows(less: int) -> DataFrame:
+        s = F.col("length") - less
+        size = block_chars(s)
+        pattern = F.concat(F.lit("(?s).{1,"), size.cast("string"), F.lit("}"))
+        cut = lambda text: F.regexp_extract_all(text, pattern, F.lit(0))
+        hashed = lambda blocks: F.transform(blocks, lambda x, i: F.xxhash64(i, x))
+        left = hashed(F.slice(cut("line"), F.lit(1), F.ceil(s / size).cast("int")))
+        right = hashed(cut(F.substring(F.col("line"), F.lit(1 + less), F.col("length"))))
+        found = lines.select("id", s.alias("s"), F.posexplode(F.arrays_zip(left.alias("l"), right.alias("r"))).alias("j", "b"))
+        return found.select("id", "s", "j", "b.l", "b.r")
+
+    place = Window.partitionBy("id", "s").orderBy("j")
+    before = F.coalesce(F.bit_xor("l").over(place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    after = F.coalesce(F.bit_xor("r").over(place.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
+    both = rows(0).unionByName(rows(1))
+    return both.select("id", "s", "j", F.xxhash64("s", "j", before, after).alias("key"))
+
+
+def cell(value: Column, bits: int) -> Column:
     """A value's cell in a filter."""
-    return F.pmod(F.xxhash64(value, F.lit(11)), F.lit(FILTER_BITS))
-
-
-def filter_of(values: DataFrame, column: str) -> DataFrame:
-    """One row with the bitmap of the cells of a column's values, of a fixed
-    size however many there are.  False hits cost only work."""
-    at = cell(F.col(column))
+    return F.pmod(F.xxhash64(value, F.lit(11)), F.lit(bits))
+
+
+def filtered(rows: DataFrame, column: str, values: DataFrame, of: str | None = None) -> DataFrame:
+    """Rows whose value may be among those of a column of a written table, told
+    by a bitmap in one broadcast row.  Its size follows the count of values;
+    with more than MOST_FILTER_BITS would serve, all rows pass.  What passes by
+    mistake costs only work, as a join follows."""
+    bits = max(LEAST_FILTER_BITS, 1 << (8 * values.count()).bit_length())
+    if bits > MOST_FILTER_BITS:
+        return rows
+    at = cell(F.col(of or column), bits)
     hit = values.select(F.floor(at / 64).cast("int").alias("word"), (at % 64).cast("int").alias("bit"))
     words = hit.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
-    every = values.sparkSession.range(FILTER_BITS // 64).select(F.col("id").cast("int").alias("word"))
+    every = values.sparkSession.range(bits // 64).select(F.col("id").cast("int").alias("word"))
     filled = every.join(words, "word", "left").select("word", F.coalesce("bits", F.lit(0)).alias("bits"))
     ordered = F.array_sort(F.collect_list(F.struct("word", "bits")))
-    return filled.agg(F.transform(ordered, lambda x: x["bits"]).alias("filter"))
-
-
-def filtered(rows: DataFrame, column: str, filters: DataFrame) -> DataFrame:
-    """The rows whose value may be among those of the filter.  The broadcast
-    side is one row of FILTER_BITS / 8 bytes."""
-    at = cell(F.col(column))
-    word = F.element_at("filter", (F.floor(at / 64) + 1).cast("int"))
-    hit = F.getbit(word, (at % 64).cast("int")) == 1
-    return rows.join(F.broadcast(filters), hit).select(*rows.columns)
+    bitmap = filled.agg(F.transform(ordered, lambda x: x["bits"]).alias("filter"))
+    own = cell(F.col(column), bits)
+    found = F.getbit(F.element_at("filter", (F.floor(own / 64) + 1).cast("int")), (own % 64).cast("int")) == 1
+    return rows.join(F.broadcast(bitmap), found).select(*rows.columns)
 
 
 def lines_with_shared_keys(keyed: DataFrame, scratch: Scratch) -> DataFrame:
@@ -120,17 +133,22 @@ def lines_with_shared_keys(keyed: DataFrame, scratch: Scratch) -> DataFrame:
     ends = keyed.groupBy("key").agg(F.min("line").alias("low"), F.max("line").alias("high"), F.count("*").alias("n"))
     ends = scratch.write(ends.where("low < high"), "ends")
     two = ends.select(F.explode(F.array("low", "high")).alias("line"))
-    more = scratch.write(ends.where("n > 2").select("key"), "more")
-    rest = filtered(keyed, "key", filter_of(more, "key")).join(more, "key").select("line")
+    more = scratch.write(ends.where("n > 2").select("key", "n"), "more")
+    rest = hot_join(filtered(keyed, "key", more), more, "key", "n", F.col("line")).select("line")
     return two.union(rest).distinct()
 
 
+def block_bounds() -> tuple[Column, Column]:
+    """Where block j of the shorter length s begins and ends."""
+    size = block_chars(F.col("s"))
+    return F.col("j") * size, F.least((F.col("j") + 1) * size, F.col("s"))
+
+
 def variants(matched: DataFrame) -> DataFrame:
-    """(variant, first, id, whole): the deletion neighbourhood of the matched
+    """(id, first, s, j, variant, whole): the deletion neighbourhood of the matched
     block of each line.  The place of the deletion is part of the variant where
     both lines lose a character; `whole` marks a line that lost none."""
-    begin = F.floor(F.col("j") * F.col("s") / F.col("blocks")).cast("int")
-    end = F.floor((F.col("j") + 1) * F.col("s") / F.col("blocks")).cast("int")
+    begin, end = block_bounds()
     longer = F.col("length") - F.col("s")
     cut = matched.withColumn("middle", F.substring("line", begin + 1, end - begin + longer))
     cut = cut.drop("line").withColumn("longer", longer)
@@ -140,10 +158,8 @@ def variants(matched: DataFrame) -> DataFrame:
     same = F.transform(places, lambda p: F.struct(hashed("same", p, lost(p)).alias("variant"), F.lit(None).cast("boolean").alias("whole")))
     shorter = F.array(F.struct(hashed("gap", F.lit(0), F.col("middle")).alias("variant"), F.lit(True).alias("whole")))
     gaps = F.transform(places, lambda p: F.struct(hashed("gap", F.lit(0), lost(p)).alias("variant"), F.lit(False).alias("whole")))
-    found = F.when(F.col("longer") == 0, F.concat(same, F.when(F.length("middle") >= 0, shorter))).otherwise(F.array_distinct(gaps))
-    some = cut.where(F.length("middle") > 0).select("id", "first", F.explode(found).alias("v"))
-    empty = cut.where((F.length("middle") == 0) & (F.col("longer") == 0)).select("id", "first", F.explode(shorter).alias("v"))
-    return some.unionByName(empty).select("id", "first", "v.variant", "v.whole")
+    found = F.when(F.col("longer") == 0, F.concat(same, shorter)).otherwise(F.array_distinct(gaps))
+    return cut.select("id", "first", "s", "j", F.explode(found).alias("v")).select("id", "first", "s", "j", "v.variant", "v.whole")
 
 
 def near_lines(docs: DataFrame, distinct: DataFrame, scratch: Scratch, min_chars: int, doc_id: str, text: str) -> DataFrame:
@@ -154,36 +170,46 @@ def near_lines(docs: DataFrame, distinct: DataFrame, scratch: Scratch, min_chars
     open_ids = distinct.select("id", "first", number).join(numbers, "line").select("id", "first")
     open_ids = scratch.write(open_ids, "open")
     # Only documents that hold an open line for the first time are split again.
-    holders = filter_of(open_ids.select(F.col("first.doc_id").alias("doc_id")), "doc_id")
     held = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = lines_of(filtered(held, "doc_id", holders), min_chars, "doc_id", "text")
-    rows = filtered(rows, "id", filter_of(open_ids, "id")).join(open_ids, "id")
+    held = filtered(held, "doc_id", open_ids.select(F.col("first.doc_id").alias("holder")), "holder")
+    rows = filtered(lines_of(held, min_chars, "doc_id", "text"), "id", open_ids).join(open_ids, "id")
     rows = rows.where((F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.pos") == F.col("pos")))
     rows = scratch.write(rows.dropDuplicates(["id"]).select("id", "first", "line", F.length("line").alias("length")), "texts")
-    blocks = scratch.write(rows.select("id", F.explode(block_keys("line", "length")).alias("b")).select("id", "b.*"), "blocks")
+    blocks = scratch.write(block_rows(rows.select("id", "line", "length")), "blocks")
     shared = blocks.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
     matched = blocks.join(shared, "key").join(rows, "id")
     emitted = scratch.write(variants(matched), "variants")
     bests = emitted.groupBy("variant").agg(
         F.count("*").alias("lines"),
-        F.min_by("id", F.struct("first")).alias("best"),
+        F.min_by("id", F.struct("first")).alias("best_best"),
         F.min("first").alias("best_first"),
         F.min_by("id", F.when(F.col("whole"), F.col("first"))).alias("whole_best"),
         F.min(F.when(F.col("whole"), F.col("first"))).alias("whole_first"),
         F.min_by("id", F.when(~F.col("whole"), F.col("first"))).alias("cut_best"),
         F.min(F.when(~F.col("whole"), F.col("first"))).alias("cut_first"),
     ).where("lines > 1")
+    # A variant has no more lines than there are characters that one place can hold.
     met = emitted.join(bests, "variant")
     # A whole line meets the cut ones and these the whole one; where both lost the same place, all meet.
-    partner = F.when(F.col("whole").isNull(), F.struct(F.col("best_first").alias("first"), F.col("best").alias("other")))
-    partner = partner.when(F.col("whole"), F.struct(F.col("cut_first").alias("first"), F.col("cut_best").alias("other")))
-    partner = partner.otherwise(F.struct(F.col("whole_first").alias("first"), F.col("whole_best").alias("other")))
+    meets = lambda which: F.struct(F.col(f"{which}_first").alias("first"), F.col(f"{which}_best").alias("other"), "s", "j")
+    partner = F.when(F.col("whole").isNull(), meets("best")).when(F.col("whole"), meets("cut")).otherwise(meets("whole"))
     met = met.withColumn("partner", partner).where("partner.first < first")
-    pairs = met.groupBy("id").agg(F.min("partner").alias("partner")).select("id", F.col("partner.other").alias("other"))
+    pairs = met.groupBy("id").agg(F.min("partner").alias("p")).select("id", "p.other", "p.s", "p.j")
     side = lambda a, b: rows.select(F.col("id").alias(a), F.col("line").alias(b))
     known = pairs.join(side("id", "line"), "id").join(side("other", "other_line"), "other")
-    near = F.levenshtein("line", "other_line", 1).between(0, 1)
-    return known.where(near).select("id")
+    return known.where(within_one_edit("line", "other_line")).select("id")
+
+
+def within_one_edit(a: str, b: str) -> Column:
+    """Whether two lines are equal around block j of the shorter length s, and
+    within one edit inside it.  (The edit distance of whole lines would take
+    time in the square of their length.)"""
+    begin, end = block_bounds()
+    rest = F.col("s") - end
+    before = lambda x: F.substring(F.col(x), F.lit(1), begin)
+    middle = lambda x: F.substring(F.col(x), begin + 1, F.length(x) - begin - rest)
+    after = lambda x: F.substring(F.col(x), F.length(x) - rest + 1, rest)
+    return (before(a) == before(b)) & (after(a) == after(b)) & F.levenshtein(middle(a), middle(b), 1).between(0, 1)
 
 
 def removed_lines(
@@ -208,10 +234,10 @@ def removed_lines(
     near = scratch.write(near_lines(docs, distinct, scratch, min_chars, doc_id, text), "near").withColumn("near", F.lit(True))
     flagged = distinct.select("id", "first", "times").join(near, "id", "left")
     kept = flagged.where("near or times > 1")
-    flagged = scratch.write(kept.select("id", "first", F.coalesce("near", F.lit(False)).alias("near")), "flagged")
-    scratch.drop(distinct)
-    again = filtered(lines_of(docs, min_chars, doc_id, text).select("doc_id", "pos", "id"), "id", filter_of(flagged, "id"))
-    again = again.join(flagged, "id")
+    flagged = scratch.write(kept.select("id", "first", "times", F.coalesce("near", F.lit(False)).alias("near")), "flagged")
+    scratch.drop_all_but(flagged)
+    again = filtered(lines_of(docs, min_chars, doc_id, text).select("doc_id", "pos", "id"), "id", flagged)
+    again = hot_join(again, flagged, "id", "times", F.col("doc_id"))
     gone = again.where(F.col("near") | (F.struct("doc_id", "pos") != F.col("first")))
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
 
