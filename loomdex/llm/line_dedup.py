@@ -95,9 +95,11 @@ def block_rows(lines: DataFrame) -> DataFrame:
         found = lines.select("id", s.alias("s"), F.posexplode(F.arrays_zip(left.alias("l"), right.alias("r"))).alias("j", "b"))
         return found.select("id", "s", "j", "b.l", "b.r")
 
+    # Of these frames each takes one pass; one that ends with the last row would take one for each row.
     place = Window.partitionBy("id", "s").orderBy("j")
-    before = F.coalesce(F.bit_xor("l").over(place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    after = F.coalesce(F.bit_xor("r").over(place.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
+    so_far, whole = (place.rowsBetween(Window.unboundedPreceding, x) for x in (0, Window.unboundedFollowing))
+    before = F.bit_xor("l").over(so_far).bitwiseXOR(F.col("l"))
+    after = F.bit_xor("r").over(whole).bitwiseXOR(F.bit_xor("r").over(so_far))
     both = rows(0).unionByName(rows(1))
     return both.select("id", "s", "j", F.xxhash64("s", "j", before, after).alias("key"))
 

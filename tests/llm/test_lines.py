@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 from loomdex.llm import line_dedup
 from tests.llm import brute
@@ -62,3 +63,19 @@ def test_great_and_negative_ids(documents_of, scratch):
     docs = documents_of([(i, f"short\n{line}", "en", "s", 0) for i in ids])
     found = {r["doc_id"]: r["n_removed"] for r in line_dedup.digests(docs, scratch).collect()}
     assert found == {i: int(i != min(ids)) for i in ids}
+
+
+def test_long_lines_take_linear_time(documents_of, scratch):
+    """Near-equal lines of 100 kB and of 10 MB, each pair alone in its table."""
+    took = {}
+    for size in (100_000, 100_000, 10_000_000):
+        rng = random.Random(size)
+        block = "".join(rng.choice("abcdefgh ij") for _ in range(10_000))
+        line = "".join(f"{block}{i}" for i in range(size // 10_000))
+        at = size // 3
+        docs = documents_of([(1, line, "en", "s", 0), (2, line[:at] + "#" + line[at:], "en", "s", 0), (3, line[:at] + "##" + line[at + 1 :], "en", "s", 0)])
+        began = time.time()
+        found = {r["doc_id"]: r["n_removed"] for r in line_dedup.digests(docs, scratch).collect()}
+        took[size] = time.time() - began
+        assert found == {1: 0, 2: 1, 3: 1}  # 3 is one edit from 2 and two from 1
+    assert took[10_000_000] < 100 * max(took[100_000], 1)

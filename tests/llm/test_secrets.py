@@ -1,8 +1,10 @@
 import base64
 import hashlib
 import re
+import time
 
 from loomdex.llm import secrets
+from loomdex.llm.queries import op4_secret_scan
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS, HEX = re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]+")
@@ -47,3 +49,27 @@ def test_documents(odd_documents, no_documents):
     assert secrets.digests(no_documents).count() == 0
     spans = secrets.find_secrets(odd_documents, ["doc_id"]).collect()
     assert len(spans) == 10 and all(r["secrets"] == [] for r in spans)
+
+
+def test_long_texts_take_linear_time():
+    for unit in ("eyJ", "eyJa.", "eyJ.", "token ", "password=", "AKIA", "api_key  ", "-----BEGIN A ", "0a"):
+        took = {}
+        for size in (100_000, 10_000_000):
+            text = unit * (size // len(unit))
+            began = time.process_time()
+            secrets.text_spans(text)
+            took[size] = time.process_time() - began
+        assert took[10_000_000] < 400 * max(took[100_000], 0.01), unit
+
+
+def test_the_registered_query_equals_the_patterns(spark):
+    rows = op4_secret_scan(spark, "/root/testdata/sf0.001").collect()
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert len(rows) == len(texts)
+    for r in rows:
+        found = base_spans(texts[r["doc_id"]])
+        listed = ",".join(f"{k}:{s}:{e}" for s, e, k in found)
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == kind for _, _, k in found) for kind in secrets.BASE_KINDS]
+        assert r["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest()
+        spans = r["spans"].split(",") if r["spans"] else []
+        assert [x for x in spans if x.split(":")[0] in secrets.BASE_KINDS] == [f"{k}:{s}:{e}" for s, e, k in found]
