@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from loomdex.llm import bpe, curriculum, learn, line_dedup, ngram_join, quality
-from loomdex.llm.common import Scratch, table
+from loomdex.llm.common import Scratch, scratch_scope, table
 
 #: Documents with a lower chance of being good are rejected.
 LEAST_QUALITY = 0.5
@@ -56,8 +56,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark, "pipeline")
+    """Each stage's scratch tables go when it has been written, and its input
+    when the next one is."""
+    results = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = scratch.write(stage(spark, docs, sf_dir), name)
+        with scratch_scope():
+            docs = results.write(stage(spark, docs, sf_dir), name)
+        results.drop_all_but(docs)
     return docs
