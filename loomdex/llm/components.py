@@ -25,8 +25,10 @@ def components(links: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
         parents = both.groupBy("node").agg(F.least(F.col("node"), F.min("b")).alias("parent"))
         parents = scratch.write(parents, "parents")
         while True:  # pointer jumping; the pointers lead to smaller nodes, so there are no cycles
-            up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("root"))
-            jumped = parents.join(up, "parent").select("node", F.col("root").alias("parent"), (F.col("root") != F.col("parent")).alias("moved"))
+            up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("next"))
+            further = parents.select(F.col("node").alias("next"), F.col("parent").alias("root"))
+            jumped = parents.join(up, "parent").join(further, "next")
+            jumped = jumped.select("node", F.col("root").alias("parent"), (F.col("root") != F.col("parent")).alias("moved"))
             jumped = scratch.write(jumped, "jumped")
             scratch.drop(parents)
             parents = jumped.select("node", "parent")

@@ -27,7 +27,9 @@ are exact.  Sets of candidates are hashed again from their texts and compared
 in full.
 
 Defined results: null, empty and blank texts have no shingles and are alone;
-ties do not arise; repeated rows are copies; other columns play no part.
+ties do not arise; repeated rows are copies; an empty table gives no rows; a
+text of any length is one set, and work is linear in its length; other
+columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch
+from .common import Scratch, give_back, hot_join, slices
 from .components import components
 from .shingles import shingle_sets
 
@@ -94,15 +96,8 @@ def count_sketch(docs: DataFrame, text: str, width: int) -> np.ndarray:
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in batches:
-            pending, size = [], 0
-            for found in shingle_sets(batch.column(0), width):
-                pending.append(found)
-                size += len(found)
-                if size > 2_000_000:
-                    counts += binned(pending)
-                    pending, size = [], 0
-            counts += binned(pending)
+        for part in slices(batches, 0):
+            counts += binned(list(shingle_sets(part.column(0), width)))
         parts = counts.reshape(rows, -1)
         small = [p.astype(np.min_scalar_type(int(p.max()))) for p in parts]
         yield pa.RecordBatch.from_arrays(
@@ -117,6 +112,7 @@ def count_sketch(docs: DataFrame, text: str, width: int) -> np.ndarray:
             for segment, size, counts in zip(*(c.to_pylist() for c in batch.columns)):
                 one = np.frombuffer(counts, f"u{size}").astype(np.int64)
                 total[segment] = total[segment] + one if segment in total else one
+        give_back()
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(total), pa.int32()), pa.array([t.tobytes() for t in total.values()], pa.binary())],
             names=["segment", "counts"],
@@ -175,7 +171,7 @@ def prefixes(docs: DataFrame, doc_id: str, text: str, width: int, sketch: np.nda
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, frequency = shared.value
-        for batch in batches:
+        for batch in slices(batches, 1):
             sizes, digests, chosen, odd, fine = [], [], [], [], []
             for found in shingle_sets(batch.column(1), width):
                 sizes.append(len(found))
@@ -217,7 +213,7 @@ def candidate_sets(docs: DataFrame, ids: DataFrame, doc_id: str, text: str, widt
     own = own.select("id", "text", F.bitmap_bucket_number(place).alias("segment"), F.bitmap_bit_position(place).alias("bit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             segment, bit = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
             hit = bits.value[segment * 4096 + bit // 8] >> (bit % 8).astype(np.uint8) & 1
             some = batch.filter(pa.array(hit.astype(bool)))
@@ -233,15 +229,13 @@ def candidate_sets(docs: DataFrame, ids: DataFrame, doc_id: str, text: str, widt
 def verified(
     docs: DataFrame, pairs: DataFrame, doc_id: str, text: str, width: int, measure: Jaccard, scratch: Scratch
 ) -> DataFrame:
-    """The pairs (a, b) whose whole sets are linked."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    """The pairs (a, b) of a written table whose whole sets are linked."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = scratch.write(candidate_sets(docs, ids, doc_id, text, width), "sets")
     side = lambda name: sets.select(F.col("id").alias(name), F.col("hashes").alias(f"set_{name}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("set_a", "set_b"))
-    links = scratch.write(both.where(measure.linked(shared, F.size("set_a"), F.size("set_b"))).select("a", "b"), "links")
-    scratch.drop(sets)
-    return links
+    return both.where(measure.linked(shared, F.size("set_a"), F.size("set_b"))).select("a", "b")
 
 
 def differing_cells(a: str, b: str) -> Column:
@@ -267,19 +261,19 @@ def near_groups(
     docs: DataFrame, width: int, measure: Jaccard, scratch: Scratch, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of `docs`."""
+    of_document = F.count("*").over(Window.partitionBy("id"))
     sketch = count_sketch(docs, text, width)
     sets = scratch.write(prefixes(docs, doc_id, text, width, sketch, measure), "prefixes")
     ids = sets.select("doc_id", "n", "digest")
-    equal = ids.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    equal = ids.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     reps = scratch.write(equal, "equal")
 
     postings = sets.select(F.col("doc_id").alias("id"), F.posexplode("prefix").alias("place", "token"))
-    common = postings.groupBy("token").count().where("count > 1").select("token")
+    common = postings.groupBy("token").count().where("count > 1")
     own = sets.where("digest is not null").select(F.col("doc_id").alias("id"), "n", F.size("prefix").alias("p"))
     own = own.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    live = scratch.write(postings.join(common, "token").join(own, "id"), "live")
-    matched = live.groupBy("id").agg(F.count("*").alias("live"))
-    live = scratch.write(live.join(matched, "id"), "matched")
+    live = postings.join(common.select("token"), "token").join(own, "id")
+    live = scratch.write(live.withColumn("live", of_document), "live")
 
     def side(name: str, *more: str) -> DataFrame:
         return live.select("token", F.col("id").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("n", "p", "live", *more)))
@@ -296,18 +290,16 @@ def near_groups(
     star = scratch.write(met, "star")
     links = verified(docs, star, doc_id, text, width, measure, scratch)
     first = components(links, scratch)
+    scratch.drop_all_but(sets, reps, live, first)
 
     # Round 2: members of a posting list that are still in different components.
     named = first.withColumnRenamed("node", "id")
     live = live.join(named, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed_lists = live.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     live = live.drop("live").join(mixed_lists.where("low < high").select("token"), "token")
-    live = scratch.write(live, "open")
+    odd = sets.select(F.col("doc_id").alias("id"), *PARITY_WORDS).dropDuplicates(["id"])
     # Only shingles of lists that are still open can be shared with another component.
-    live = live.join(live.groupBy("id").agg(F.count("*").alias("live")), "id")
-    odd = sets.select(F.col("doc_id").alias("id"), *PARITY_WORDS)
-    odd = odd.join(live.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    live = scratch.write(live.join(odd, "id"), "mixed")
+    live = scratch.write(live.withColumn("live", of_document).join(odd, "id"), "mixed")
     left, right = (side(x, "component", "place", *PARITY_WORDS) for x in "ab")
     rest = F.greatest(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))
     possible = F.least("live_a", "live_b") >= measure.overlap(F.col("n_a"), F.col("n_b")) - rest
@@ -323,7 +315,7 @@ def near_groups(
     met = left.join(right, on).groupBy("a", "b", "n_a", "n_b", "p_a", "p_b").agg(F.count("*").alias("m"))
     met = scratch.write(met.where(F.col("m") >= matches).select("a", "b", "n_a", "n_b"), "met")
     fine = sets.select(F.col("doc_id").alias("id"), "parities")
-    ends = met.select(F.col("a").alias("id")).union(met.select(F.col("b").alias("id"))).distinct()
+    ends = met.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     fine = scratch.write(fine.join(ends, "id", "left_semi").dropDuplicates(["id"]), "fine")
     own = lambda x: fine.select(F.col("id").alias(x), F.col("parities").alias(f"fine_{x}"))
     met = met.join(own("a"), "a").join(own("b"), "b")
@@ -333,14 +325,18 @@ def near_groups(
     ends = links.join(up.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
     ends = ends.join(up.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
     ends = ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    second = components(scratch.write(ends, "ends"), scratch)
+    second = components(ends, scratch)
+    scratch.drop_all_but(sets, reps, first, second)
 
     top = reps.join(named.select(F.col("id").alias("rep"), F.col("component").alias("c1")), "rep", "left")
     top = top.withColumn("c1", F.coalesce("c1", "rep"))
     top = top.join(second.select(F.col("node").alias("c1"), F.col("component").alias("c2")), "c1", "left")
-    top = top.select("digest", F.coalesce("c2", "c1").alias("component_id"))
-    out = ids.join(top, "digest", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    top = scratch.write(top.select("digest", "copies", F.coalesce("c2", "c1").alias("component_id")), "top")
+    alone = ids.where("digest is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    out = hot_join(ids.where("digest is not null"), top, "digest", "copies", F.col("doc_id"))
+    # A null id that repeats another document's set is in that one's component.
+    out = out.select("doc_id", "n", F.coalesce("component_id", "doc_id").alias("component_id")).unionByName(alone)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def representatives(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id") -> DataFrame:
