@@ -1,11 +1,17 @@
 """Compression classifier: one Zstandard dictionary is built from good labelled
-text and one from bad.  A text is compressed in blocks with either; the
-difference of the two sizes over their sum, read together with the compressed
-share and the length, becomes a calibrated chance of being good.
+text and one from bad.  A text is compressed in short blocks with either; the
+difference of the two sizes over their sum, and nothing else, becomes a
+calibrated chance of being good.
+
+A dictionary is trained by the library; where there is too little text to
+train on, the text itself, cut to its last DICTIONARY_BYTES, serves as one.
+Work is linear in a text's length, and a text is read whole.
 
 Defined results: a null or empty text gets the score that the calibration
-gives to a difference of zero at length zero; with labels of one class only,
-every score is the smoothed class share; repeated rows score alike.
+gives to a difference of zero; with labels of one class only, every score is
+the smoothed class share; repeated rows score alike; repeated ids give one
+sampled text each; an empty table gives no rows; other columns, whatever their
+names, play no part.
 """
 
 from __future__ import annotations
@@ -19,15 +25,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import filter_rows, map_rows
-from .learn import Logistic, sample
+from .learn import Isotonic, sample
 
 #: Bounds of the labelled sample that the dictionaries and the calibration are fitted on.
 SAMPLE_PER_CLASS = 3000
 SAMPLE_LONGEST = 65_536
-#: Bytes of a dictionary, and of a block that is compressed by itself.
+#: Bytes of a dictionary, and of a block that is compressed by itself.  In a long block a text
+#: repeats itself more than the dictionary, which then says less.
 DICTIONARY_BYTES = 112_640
-BLOCK = 4096
+BLOCK = 512
 LEVEL = 3
+#: Added to the sum of the sizes, so that a few bytes say little.
+DAMPING = 20
 
 
 def blocks(data: bytes) -> list[bytes]:
@@ -72,40 +81,35 @@ class Sizer:
                 )
             )
 
-    def features(self, text: str) -> tuple[float, ...]:
-        """The normalised difference of the sizes, the compressed share, the
-        length, and what the difference means at such a share and length."""
-        data = text.encode()
-        parts = blocks(data)
+    def difference(self, text: str) -> float:
+        """The difference of the sizes over their sum: above 0 if the good dictionary serves better."""
+        parts = blocks(text.encode())
         good, bad = (sum(len(tool.compress(p)) for p in parts) for tool in self.tools)
-        difference, share = (bad - good) / (bad + good + 100), (good + bad) / (2 * len(data) + 1)
-        length = float(np.log1p(len(data)))
-        return difference, share, length, difference * length, share * share, difference * share
+        return (bad - good) / (bad + good + DAMPING)
 
 
 @dataclass
 class QualityModel:
     good: bytes
     bad: bytes
-    calibration: Logistic
+    calibration: Isotonic
 
 
 def fit(docs: DataFrame, marks: DataFrame, per_class: int = SAMPLE_PER_CLASS, longest: int = SAMPLE_LONGEST) -> QualityModel:
     """From documents and their marks (doc_id, label).  The dictionaries come
-    from the whole sample.  They are calibrated by features that are free of a
-    text's own label: those of either half of the sample under the dictionaries
-    of the other half."""
+    from the whole sample.  They are calibrated by differences that are free of
+    a text's own label: those of either half of the sample under the
+    dictionaries of the other half."""
     texts, counts = sample(docs, marks, per_class, longest)
-    features, labels = [], []
+    values, labels = [], []
     for half in (0, 1):
         sizer = Sizer(*dictionaries({value: texts[value][half::2] for value in (0, 1)}))
         for value in (0, 1):
-            for t in texts[value][1 - half :: 2]:
-                features.append(sizer.features(t))
-                labels.append(value)
+            own = texts[value][1 - half :: 2]
+            values += map(sizer.difference, own)
+            labels += [value] * len(own)
     good, bad = dictionaries(texts)
-    calibration = Logistic(np.array(features).reshape(-1, 6), np.array(labels, dtype=float), counts)
-    return QualityModel(good, bad, calibration)
+    return QualityModel(good, bad, Isotonic(np.array(values), np.array(labels, dtype=float), counts))
 
 
 def score(docs: DataFrame, model: QualityModel, keep: list[str], text: str = "text") -> DataFrame:
@@ -117,7 +121,7 @@ def score(docs: DataFrame, model: QualityModel, keep: list[str], text: str = "te
         sizer = Sizer(own.good, own.bad)
 
         def run(texts: list[str]):
-            found = own.calibration.scores(np.array([sizer.features(t) for t in texts]))
+            found = own.calibration.scores(np.array([sizer.difference(t) for t in texts]))
             return ((float(s),) for s in found)
 
         return run
@@ -132,7 +136,7 @@ def accepted(docs: DataFrame, model: QualityModel, threshold: float, text: str =
     def make():
         own = shared.value
         sizer = Sizer(own.good, own.bad)
-        return lambda texts: own.calibration.scores(np.array([sizer.features(t) for t in texts])) >= threshold
+        return lambda texts: own.calibration.scores(np.array([sizer.difference(t) for t in texts])) >= threshold
 
     return filter_rows(docs, make, text)
 

@@ -2,9 +2,14 @@
 
 import hashlib
 import re
+import struct
 from collections import defaultdict
 from itertools import combinations
 
+import numpy as np
+import xxhash
+import zstandard
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -103,3 +108,87 @@ def mixed(rows):
             out[i] = (n, goal[s], sum(parts), sum(p > 0 for p in parts))
             start += n
     return out
+
+
+# Classifiers.  `texts` is a dict of texts by id, `marks` one of labels by id.
+
+
+def spark_hash(i):
+    """Spark's xxhash64 of a long, as a signed number."""
+    return int.from_bytes(xxhash.xxh64(struct.pack("<q", i), seed=42).digest(), "big", signed=True)
+
+
+def by_class(texts, marks):
+    chosen = sorted((i for i in marks if i in texts and texts[i] is not None), key=lambda i: (spark_hash(i), i))
+    return {v: [texts[i] for i in chosen if marks[i] == v] for v in (0, 1)}
+
+
+def least_squares_rising(values, labels, weights):
+    """For each distinct value the isotonic fit, by its minimax formula."""
+    groups = sorted(set(values))
+    w, y = (
+        np.array([sum(b for a, b in zip(values, column) if a == g) for g in groups])
+        for column in (weights, [w * t for w, t in zip(weights, labels)])
+    )
+    cw, cy = np.concatenate([[0], np.cumsum(w)]), np.concatenate([[0], np.cumsum(y)])
+    fit = []
+    for i in range(len(groups)):
+        fit.append(max(min((cy[b] - cy[a]) / (cw[b] - cw[a]) for b in range(i + 1, len(groups) + 1)) for a in range(i + 1)))
+    return groups, w, fit
+
+
+def quality_scores(texts, marks):
+    own = by_class(texts, marks)
+
+    def dictionary(ts):
+        blocks = [t.encode()[i : i + 512] for t in ts for i in range(0, len(t.encode()), 512)]
+        return zstandard.train_dictionary(112_640, blocks)
+
+    def pair(halves):
+        lines = {v: set("\n".join(ts).split("\n")) for v, ts in halves.items()}
+        common = lines[0] & lines[1]
+        return [dictionary(["\n".join(x for x in t.split("\n") if x not in common) for t in halves[v]]) for v in (1, 0)]
+
+    def difference(text, pair):
+        data = text.encode()
+        sizes = []
+        for d in pair:
+            tool = zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append(sum(len(tool.compress(data[i : i + 512])) for i in range(0, len(data), 512)))
+        return (sizes[1] - sizes[0]) / (sum(sizes) + 20)
+
+    values, labels = [], []
+    for half in (0, 1):
+        tools = pair({v: own[v][half::2] for v in (0, 1)})
+        for v in (0, 1):
+            for t in own[v][1 - half :: 2]:
+                values.append(difference(t, tools))
+                labels.append(v)
+    n = {v: sum(m == v for m in marks.values()) for v in (0, 1)}
+    raw = [n[y] / labels.count(y) for y in labels]
+    weights = [w * len(labels) / sum(raw) for w in raw]
+    groups, w, fit = least_squares_rising(values, labels, weights)
+    share = (n[1] + 1) / (n[0] + n[1] + 2)
+    at, chance, i = [], [], 0
+    while i < len(groups):  # pools of equal fit
+        j = i
+        while j < len(groups) and abs(fit[j] - fit[i]) < 1e-12:
+            j += 1
+        weight = sum(w[i:j])
+        at.append(sum(g * x for g, x in zip(groups[i:j], w[i:j])) / weight)
+        chance.append((fit[i] * weight + share) / (weight + 1))
+        i = j
+    for i in range(1, len(chance)):
+        chance[i] = max(chance[i], chance[i - 1])
+    tools = pair(own)
+
+    def score(text):
+        x = difference(text or "", tools)
+        if x <= at[0]:
+            return chance[0]
+        for (a, p), (b, q) in zip(zip(at, chance), zip(at[1:], chance[1:])):
+            if x <= b:
+                return p + (q - p) * (x - a) / (b - a)
+        return chance[-1]
+
+    return {i: score(t) for i, t in texts.items()}

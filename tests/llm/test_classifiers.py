@@ -1,7 +1,12 @@
+import zlib
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loomdex.llm import learn, quality, toxicity
+from loomdex.llm.queries import op2_quality, op9_toxicity
+from tests.llm import brute
 
 SF = "/root/testdata/sf0.01"
 
@@ -18,6 +23,34 @@ def test_quality_on_held_out_documents(spark):
     assert held_out_accuracy(scored, labels, "quality") >= 0.9
 
 
+def used_marks(labels, label, fold, held_out):
+    rows = [(r["doc_id"], r[label]) for r in labels.collect()]
+    return {i: v for i, v in rows if zlib.crc32(str(i).encode()) % fold != held_out and v is not None}
+
+
+def test_the_quality_query_equals_plain_python(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    want = brute.quality_scores(texts, used_marks(labels, "quality", 4, 2))
+    found = op2_quality(spark, SF).collect()
+    assert {r["doc_id"] for r in found} == set(want)
+    for r in found:
+        assert r["score"] == pytest.approx(want[r["doc_id"]], abs=1e-9)
+        assert r["predicted"] == int(r["score"] >= 0.7)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+
+
+def test_isotonic_is_the_rising_least_squares_fit():
+    rng = np.random.default_rng(3)
+    values = rng.integers(0, 40, 200) / 10
+    labels = (rng.random(200) < values / 4).astype(float)
+    own = learn.Isotonic(values, labels, {0: 100, 1: 100})
+    weights = np.where(labels == 1, 100 / labels.sum(), 100 / (200 - labels.sum()))
+    groups, _, fit = brute.least_squares_rising(list(values), list(labels), list(weights * 200 / weights.sum()))
+    assert len({round(f, 12) for f in fit}) == len(own.at)
+    assert (np.diff(own.scores(np.linspace(-1, 5, 100))) >= 0).all()
+
+
 def test_toxicity_on_held_out_documents(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     scored = toxicity.scored_documents(docs, toxicity.fit(docs, learn.marks(labels, "toxic", 5, 0)), 5, 0, 0.5)
