@@ -1,19 +1,27 @@
 """Model adapters: embedding, reranking, query rewriting and generation.
 
 A model is a plain object with one method on a list; adapters call it for
-Arrow batches, loading it once a task.  The `Hashed…` and `Overlap…` models are
-deterministic stand-ins that need no network and no weights.
+Arrow batches, making it once a task.  It is named by what `register` knows, by
+"package.module:attribute", or by the callable that makes it; tasks get that
+callable, so a model registered on the driver works in them.  The `Hashed…`
+and `Overlap…` models are deterministic stand-ins that need no network and no
+weights.
 """
 
 from __future__ import annotations
 
 import hashlib
+import importlib
+import json
 import random
 import re
 import time
-from collections.abc import Callable, Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
-from threading import Lock
+import urllib.request
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from concurrent.futures import Future, ThreadPoolExecutor
+from functools import partial
+from threading import BoundedSemaphore, Lock
 from typing import Protocol
 
 import numpy as np
@@ -21,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import ERROR_PREFIX
+from .text import ERROR_PREFIX, rewrite_prompt
 
 WORDS = re.compile(r"\w+")
 
@@ -72,24 +80,144 @@ class HashedAnswers:
 
 
 class EchoRewrite:
-    """The query with white space collapsed."""
+    """The query with white space collapsed.  It takes the query itself, not a prompt around it."""
+
+    takes_query = True
 
     def complete(self, prompts: Sequence[str]) -> list[str]:
         return [" ".join(p.split()) for p in prompts]
 
 
-REGISTRY: dict[str, Callable[[], object]] = {
+class ChatModel:
+    """A chat endpoint: the first choice's content, else its reasoning, else an empty text."""
+
+    def __init__(self, base_url: str, options: Mapping[str, object], api_key: str = "", timeout: float = 120.0):
+        self.url = base_url.rstrip("/") + "/chat/completions"
+        self.options, self.timeout = dict(options), timeout
+        self.headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {api_key}"} if api_key else {})
+
+    def one(self, prompt: str) -> str:
+        body = json.dumps(self.options | {"messages": [{"role": "user", "content": prompt}]}).encode()
+        request = urllib.request.Request(self.url, body, self.headers, method="POST")
+        with urllib.request.urlopen(request, timeout=self.timeout) as reply:
+            message = json.load(reply)["choices"][0]["message"]
+        return message.get("content") or message.get("reasoning_content") or ""
+
+    def complete(self, prompts: Sequence[str]) -> list[str]:
+        return [self.one(p) for p in prompts]
+
+
+def available_devices() -> list[str]:
+    """What models can run on here; only cpu without the library that tells."""
+    try:
+        import torch
+    except ImportError:
+        return ["cpu"]
+    mps = getattr(torch.backends, "mps", None)
+    return ["cuda"] * torch.cuda.is_available() + ["mps"] * bool(mps and mps.is_available()) + ["cpu"]
+
+
+DEVICES = ("cuda", "mps", "cpu")
+
+
+def resolve_device(wanted: str | None, available: Sequence[str]) -> str:
+    """auto, or nothing, takes the best available device; one that is not there becomes cpu."""
+    word = (wanted or "auto").strip().lower()
+    if word == "auto":
+        return next((d for d in DEVICES if d in available), "cpu")
+    if word.split(":")[0] not in DEVICES:
+        raise ValueError(f"unknown device {wanted!r}")
+    return word if word.split(":")[0] in available else "cpu"
+
+
+def device_for(wanted: str | None) -> str:
+    return resolve_device(wanted, available_devices())
+
+
+# Short names of embedding models.
+EMBEDDING_ALIASES = {
+    "default": "sentence-transformers/all-MiniLM-L6-v2",
+    "medical": "emilyalsentzer/Bio_ClinicalBERT",
+    "pubmed": "sentence-transformers/all-mpnet-base-v2",
+    "biobert": "dmis-lab/biobert-base-cased-v1.1",
+    "bge-m3": "BAAI/bge-m3",
+    "bge-small": "BAAI/bge-small-en-v1.5",
+}
+RERANKER = "BAAI/bge-reranker-large"
+
+
+class SentenceEmbedding:
+    """Unit vectors of a sentence-transformers model, by its name or a short one."""
+
+    def __init__(self, model: str = "default", device: str = "auto", batch_size: int = 256):
+        from sentence_transformers import SentenceTransformer
+
+        self.batch_size = batch_size
+        self.model = SentenceTransformer(EMBEDDING_ALIASES.get(model, model), device=device_for(device))
+        self.dimension = self.model.get_sentence_embedding_dimension()
+
+    def embed(self, texts: Sequence[str]) -> list[list[float]]:
+        return self.model.encode(list(texts), batch_size=self.batch_size, normalize_embeddings=True).tolist()
+
+
+class CrossEncoderPairs:
+    """Scores of a sentence-transformers cross-encoder."""
+
+    def __init__(self, model: str = RERANKER, device: str = "auto"):
+        from sentence_transformers import CrossEncoder
+
+        self.model = CrossEncoder(model, device=device_for(device))
+
+    def score(self, pairs: Sequence[tuple[str, str]]) -> list[float]:
+        return [float(x) for x in self.model.predict([list(p) for p in pairs])]
+
+
+Maker = Callable[[], object]
+REGISTRY: dict[str, Callable[..., object]] = {
     "hashed-embedding": HashedEmbedding,
     "overlap-pairs": OverlapPairs,
     "hashed-answers": HashedAnswers,
     "echo-rewrite": EchoRewrite,
+    "chat": ChatModel,
+    "sentence-embedding": SentenceEmbedding,
+    "cross-encoder": CrossEncoderPairs,
 }
 
 
-def create(name: str):
-    if name not in REGISTRY:
-        raise ValueError(f"unknown model {name!r}; known: {sorted(REGISTRY)}")
-    return REGISTRY[name]()
+def register(name: str, make: Callable[..., object]) -> None:
+    """Makes a model known by a name."""
+    REGISTRY[name] = make
+
+
+def maker(model: str | Maker, /, **settings) -> Maker:
+    """What makes the model: of a registered name, of "package.module:attribute",
+    or the callable itself; with settings, if any are given."""
+    if callable(model):
+        make = model
+    elif model in REGISTRY:
+        make = REGISTRY[model]
+    elif ":" in model:
+        module, _, attribute = model.partition(":")
+        make = getattr(importlib.import_module(module), attribute)
+    elif model in EMBEDDING_ALIASES:
+        make = partial(SentenceEmbedding, model)
+    else:
+        raise ValueError(f"unknown model {model!r}; known: {sorted(REGISTRY)}")
+    return partial(make, **settings) if settings else make
+
+
+def create(name: str | Maker):
+    return maker(name)()
+
+
+def pair_stats(model: str | Maker | None, top_k: int, device: str = "auto") -> dict[str, object]:
+    """What a reranking run uses, and whether its model can be made here."""
+    try:
+        available = model is not None and create(model) is not None
+    except Exception:  # noqa: BLE001
+        available = False
+    name = model if model is None or isinstance(model, str) else getattr(model, "__name__", type(model).__name__)
+    return {"reranking": model is not None, "available": available, "model": name, "device": device_for(device), "top_k": top_k}
 
 
 class TokenBucket:
@@ -128,60 +256,112 @@ def with_retries(call: Callable[[], str], attempts: int = 5, sleep: Callable[[fl
     raise ValueError("attempts must be positive")
 
 
-def embed_column(text: Column | str, model: str = "hashed-embedding") -> Column:
+def once(function):
+    """The function marked as not deterministic: else a filter on what is made
+    of its result is pushed below it with a second call of the model."""
+    return function.asNondeterministic()
+
+
+def embed_column(text: Column | str, model: str | Maker = "hashed-embedding") -> Column:
+    make = maker(model)
+
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = create(model)
+        own = make()
         for batch in batches:
             yield pd.Series(own.embed(batch.fillna("").tolist()), index=batch.index)
 
-    return run(text)
+    return once(run)(text)
 
 
-def score_pairs(query: Column | str, text: Column | str, model: str = "overlap-pairs") -> Column:
+def score_pairs(query: Column | str, text: Column | str, model: str | Maker = "overlap-pairs") -> Column:
+    """The model's scores; null where it cannot be made or fails, so that the old order holds."""
+    make = maker(model)
+
     @F.pandas_udf("double")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        own = create(model)
+        try:
+            own = make()
+        except Exception:  # noqa: BLE001
+            own = None
         for q, t in batches:
-            yield pd.Series(own.score(list(zip(q.fillna(""), t.fillna("")))), index=q.index)
+            try:
+                found = own.score(list(zip(q.fillna(""), t.fillna(""))))
+            except Exception:  # noqa: BLE001
+                found = [None] * len(q)
+            yield pd.Series(found, index=q.index, dtype="float64")
+
+    return once(run)(query, text)
+
+
+def rolling(batches: Iterable[pd.Series], call: Callable[[str], str], in_flight: int, ahead: int = 2) -> Iterator[pd.Series]:
+    """The calls' results, batch by batch in order, with `in_flight` calls under
+    way and `ahead` times as many handed over: a slow call holds up its own
+    batch, not those that follow."""
+    slots = BoundedSemaphore(in_flight * ahead)
+    waiting: deque[tuple[pd.Index, list[Future]]] = deque()
 
-    return run(query, text)
+    def handed_over(pool: ThreadPoolExecutor, text: str) -> Future:
+        slots.acquire()
+        future = pool.submit(call, text)
+        future.add_done_callback(lambda _: slots.release())
+        return future
+
+    def collected(index: pd.Index, futures: list[Future]) -> pd.Series:
+        return pd.Series([f.result() for f in futures], index=index, dtype=object)
+
+    with ThreadPoolExecutor(in_flight) as pool:
+        for batch in batches:
+            waiting.append((batch.index, [handed_over(pool, text) for text in batch]))
+            while waiting and all(f.done() for f in waiting[0][1]):
+                yield collected(*waiting.popleft())
+        while waiting:
+            yield collected(*waiting.popleft())
 
 
 def complete_column(
-    prompt: Column | str, model: str, requests_per_minute: float | None = None, partitions: int = 1, in_flight: int = 4
+    prompt: Column | str,
+    model: str | Maker,
+    requests_per_minute: float | None = None,
+    partitions: int = 1,
+    in_flight: int = 4,
+    attempts: int = 5,
 ) -> Column:
-    """The model's text for each prompt, with so many calls of a task under way
-    at a time; a call that keeps failing gives the error text instead, so one
+    """The model's text for each prompt.  The rate is that of all partitions
+    together.  A call that keeps failing gives the error text instead, so one
     failure does not end the job."""
+    make = maker(model)
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = create(model)
+        own = make()
         bucket = TokenBucket(rate_for(requests_per_minute, partitions), in_flight) if requests_per_minute else None
 
-        def one(p: str) -> str:
+        def attempt(p: str) -> str:
             if bucket:
                 bucket.acquire()
+            return own.complete([p])[0]
+
+        def one(p: str) -> str:
             try:
-                return with_retries(lambda: own.complete([p])[0])
+                return with_retries(lambda: attempt(p), attempts)
             except Exception as e:  # noqa: BLE001
                 return f"{ERROR_PREFIX} {e}"
 
-        with ThreadPoolExecutor(in_flight) as pool:
-            for batch in batches:
-                yield pd.Series(list(pool.map(one, batch.fillna(""))), index=batch.index, dtype=object)
+        yield from rolling((b.fillna("") for b in batches), one, in_flight)
 
-    return run(prompt)
+    return once(run)(prompt)
 
 
-def rewrite_queries(queries: DataFrame, query: str, gate: Column, model: str = "echo-rewrite") -> DataFrame:
+def rewrite_queries(queries: DataFrame, query: str, gate: Column, model: str | Maker = "echo-rewrite", **calls) -> DataFrame:
     """Adds rewritten: the model's text where the gate is true, the query
-    itself elsewhere and where the model gives nothing.  The rows are split by
-    the gate, because a condition around a Python function would not spare
-    the calls."""
+    itself elsewhere and where the model gives nothing or fails.  The rows are
+    split by the gate, because a condition around a Python function would not
+    spare the calls."""
+    make = maker(model)
+    takes_query = getattr(getattr(make, "func", make), "takes_query", False)
     gated = queries.withColumn("_gate", F.coalesce(gate, F.lit(False)))
-    said = complete_column(F.col(query), model)
+    said = complete_column(F.col(query) if takes_query else rewrite_prompt(query), make, **calls)
     useful = F.when(~F.startswith("_said", F.lit(ERROR_PREFIX)), F.nullif(F.trim("_said"), F.lit("")))
     asked = gated.where("_gate").withColumn("_said", said).withColumn("rewritten", F.coalesce(useful, F.col(query)))
     rest = gated.where("not _gate").withColumn("rewritten", F.col(query))

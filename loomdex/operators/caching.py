@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import question_key
 
@@ -24,6 +25,13 @@ def misses(questions: DataFrame, cache: DataFrame) -> DataFrame:
     return questions.join(cache.select("question_key"), "question_key", "left_anti")
 
 
+def totals(questions: DataFrame, cache: DataFrame) -> DataFrame:
+    """One row: all keyed questions, those that the cache holds and those that it lacks."""
+    held = cache.select("question_key").distinct().withColumn("_c", F.lit(1))
+    rows = questions.join(held, "question_key", "left")
+    return rows.agg(F.count("*").alias("total_questions"), F.count("_c").alias("cached_count"), F.count_if(F.col("_c").isNull()).alias("missing_count"))
+
+
 def for_generation(questions: DataFrame, cache: DataFrame) -> DataFrame:
     """Keyed questions with their cached retrieval; one without gets an error."""
     held = cache.dropDuplicates(["question_key"]).withColumn("_held", F.lit(True))
@@ -46,6 +54,15 @@ def latest_incomplete(checkpoints: DataFrame) -> DataFrame:
     return best.select("script_name", (-F.col("c._o")).alias("checkpoint_id"), "c.timestamp", "c.processed_questions", "c.total_questions")
 
 
+def interrupted(checkpoints: DataFrame) -> DataFrame:
+    """Of checkpoints with `file`, each script's newest that is not complete; a
+    run whose size is not known yet is not complete."""
+    total = F.coalesce("total_questions", F.lit(0))
+    open_ones = checkpoints.where((total == 0) | (F.coalesce("processed_questions", F.lit(0)) < total))
+    newest = Window.partitionBy("script_name").orderBy(F.desc("timestamp"), "file")
+    return open_ones.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
+
+
 def resumable(checkpoint_total: Column, processed: Column, total: Column) -> Column:
     """Whether a checkpoint fits a run of `total` questions and is incomplete."""
     return (processed < checkpoint_total) & (checkpoint_total == total)

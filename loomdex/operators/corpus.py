@@ -22,9 +22,57 @@ def documents(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.col("content"), *(column(c).alias(c) for c in METADATA))
 
 
-def normalized(value: Column) -> Column:
-    """A metadata value as text; nested values as JSON, null as an empty mark."""
-    return F.coalesce(value.cast("string"), F.lit("null"))
+#: What stands for a missing value in a key; no text of a corpus holds it.
+MISSING = "\x00null"
+
+
+def sorted_items(m: Column) -> Column:
+    """The entries of a map as an array of (key, value) in order of the keys."""
+    return F.array_sort(F.map_entries(m))
+
+
+def with_default(m: Column, key: str, default: Column) -> Column:
+    """A map's value of a key, or the default where the map, the key or the value is missing."""
+    return F.coalesce(F.try_element_at(m, F.lit(key)), default)
+
+
+def updated(m: Column, other: Column) -> Column:
+    """A map with another's entries in place of its own; a null map is empty."""
+    empty = F.create_map().cast("map<string,string>")
+    m, other = F.coalesce(m, empty), F.coalesce(other, empty)
+    return F.map_concat(F.map_filter(m, lambda k, v: ~F.map_contains_key(other, k)), other)
+
+
+def normalized(value: Column, kind: str | None = None) -> Column:
+    """A metadata value as text: nested values (of a type that begins with
+    array, struct or map) as JSON, a map's entries in order of their keys, and
+    a mark for null."""
+    if kind is not None and kind.startswith("map"):
+        value, kind = sorted_items(value), "array"
+    nested = kind is not None and kind.startswith(("array", "struct"))
+    return F.coalesce(F.to_json(value) if nested else value.cast("string"), F.lit(MISSING))
+
+
+def metadata_identity(docs: DataFrame, content: str, keys: Sequence[str]) -> Column:
+    """identity() of a frame's columns, with their types."""
+    kinds = dict(docs.dtypes)
+    return identity(F.col(content), [(k, normalized(F.col(k), kinds[k])) for k in keys])
+
+
+def chunks(articles: DataFrame, text: str, words: int = 200, overlap: int = 40) -> DataFrame:
+    """Passages of at most `words` words of each article, each beginning
+    `overlap` words before the last one ends; `chunk` numbers them from 0.  A
+    blank article has none.  Other columns are kept."""
+    if not 0 <= overlap < words:
+        raise ValueError("the overlap must be less than a passage")
+    step = words - overlap
+    split = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"(?U)\s+"), lambda w: w != "")
+    rows = articles.withColumn("_words", split).where(F.size("_words") > 0)
+    starts = F.sequence(F.lit(0), F.greatest(F.size("_words") - overlap - 1, F.lit(0)), F.lit(step))
+    rows = rows.withColumn("_start", F.explode(starts))
+    passage = F.array_join(F.slice("_words", F.col("_start") + 1, F.lit(words)), " ")
+    others = [c for c in articles.columns if c != text]
+    return rows.select(*others, (F.col("_start") / step).cast("int").alias("chunk"), passage.alias(text))
 
 
 def identity(content: Column, metadata: Sequence[tuple[str, Column]]) -> Column:

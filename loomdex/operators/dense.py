@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Queries that are broadcast at a time; their number is checked first.
 QUERY_BLOCK = 2000
+#: Rows and queries that are multiplied at a time.
+ROWS, QUERIES = 4096, 256
+#: Digits of a score, and what rounding moves it by at most.
+DIGITS, ROUNDING = 6, 0.5e-6
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -21,35 +28,70 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def all_scores(vectors: DataFrame, queries: DataFrame, measure: str = "cosine") -> DataFrame:
-    """(query_id, doc_id, score) of every query, (query_id, q), with every row
-    of vectors, (doc_id, v).  A zero or null vector has cosine 0.  Queries are
-    broadcast in blocks of a bounded size; norms are taken once a row."""
+def measured(rows: np.ndarray, queries: np.ndarray, measure: str) -> np.ndarray:
+    """Scores of all rows (as columns) with all queries; a zero vector has cosine 0."""
+    products = queries @ rows.T
+    squares = [(m * m).sum(1) for m in (queries, rows)]
+    if measure == "l2":
+        return np.maximum(squares[0][:, None] + squares[1][None, :] - 2 * products, 0.0)
+    norms = np.sqrt(squares[0])[:, None] * np.sqrt(squares[1])[None, :]
+    return np.divide(products, norms, out=np.zeros_like(products), where=norms > 0)
+
+
+def best_of_batches(shared, k: int, measure: str):
+    """For each Arrow batch of vectors and each block of queries the rows that
+    can be among a query's k nearest when scores are rounded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, queries = shared.value
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS).to_pandas()
+                part = part[[v is not None and len(v) == queries.shape[1] for v in part["v"]]]
+                if not len(part):
+                    continue
+                rows, docs = np.array(part["v"].tolist(), dtype=np.float64), part["doc_id"].to_numpy()
+                for first in range(0, len(ids), QUERIES):
+                    scores = measured(rows, queries[first : first + QUERIES], measure)
+                    key = scores if measure == "l2" else -scores
+                    at = min(k, key.shape[1]) - 1
+                    limit = np.partition(key, at, axis=1)[:, at : at + 1] + 2 * ROUNDING
+                    which, row = np.nonzero(key <= limit)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[first + which], pa.int64()), pa.array(docs[row], pa.int64()), pa.array(scores[which, row], pa.float64())],
+                        names=["query_id", "doc_id", "score"],
+                    )
+
+    return run
+
+
+def topk(vectors: DataFrame, queries: DataFrame, k: int, measure: str = "cosine", where: Column | None = None) -> DataFrame:
+    """The k nearest of the rows (doc_id, v) that `where` admits, of each query
+    (query_id, q), with their rank; scores are rounded to DIGITS and ties go to the smaller
+    doc_id.  Queries are broadcast in blocks of QUERY_BLOCK rows, so vectors
+    are not moved; each batch of vectors is multiplied with a block at once
+    and passes on its own k best.  A zero vector has cosine 0; null vectors and
+    vectors of another length take no part."""
     if measure not in ("cosine", "l2"):
         raise ValueError(f"unknown measure {measure!r}")
-    left = vectors.select("doc_id", "v", norm(F.col("v")).alias("nv"))
-    asked = queries.select("query_id", "q", norm(F.col("q")).alias("nq"))
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    spark = vectors.sparkSession
+    rows = (vectors if where is None else vectors.where(where)).select("doc_id", "v")
+    asked = queries.select("query_id", "q").where("q is not null")
+    count = asked.count()
+    blocks = max(1, -(-count // QUERY_BLOCK))
     parts = []
-    for i in range(blocks):
+    for i in range(blocks if count else 0):
         own = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        met = left.crossJoin(F.broadcast(own))
-        product = dot(F.col("v"), F.col("q"))
-        if measure == "cosine":
-            sound = (F.col("nv") > 0) & (F.col("nq") > 0)
-            score = F.when(sound, product / (F.col("nv") * F.col("nq"))).otherwise(F.lit(0.0))
-        else:
-            score = F.greatest(F.col("nv") * F.col("nv") + F.col("nq") * F.col("nq") - 2 * product, F.lit(0.0))
-        # Adding 0 makes a negative zero positive, so equal scores are equal bits.
-        parts.append(met.select("query_id", "doc_id", (F.round(score, 6) + 0.0).alias("score")))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def topk(vectors: DataFrame, queries: DataFrame, k: int, measure: str = "cosine", where: Column | None = None) -> DataFrame:
-    """The k nearest rows of each query with their rank, among those that
-    `where` admits; ties go to the smaller doc_id."""
-    rows = vectors if where is None else vectors.where(where)
-    best = F.desc("score") if measure == "cosine" else F.asc("score")
-    order = Window.partitionBy("query_id").orderBy(best, "doc_id")
-    hits = all_scores(rows, queries, measure).withColumn("rank", F.row_number().over(order))
-    return hits.where(F.col("rank") <= k)
+        by_length: dict[int, list] = {}
+        for r in own.collect():
+            by_length.setdefault(len(r["q"]), []).append(r)
+        for found in by_length.values():
+            block = np.array([r["query_id"] for r in found], dtype=np.int64), np.array([r["q"] for r in found], dtype=np.float64)
+            shared = spark.sparkContext.broadcast(block)
+            parts.append(rows.mapInArrow(best_of_batches(shared, k, measure), "query_id long, doc_id long, score double"))
+    if not parts:
+        return spark.createDataFrame([], "query_id long, doc_id long, score double, rank int")
+    # Adding 0 makes a negative zero positive, so equal scores are equal bits.
+    scored = reduce(DataFrame.unionByName, parts).withColumn("score", F.round("score", DIGITS) + 0.0)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score") if measure == "cosine" else F.asc("score"), "doc_id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

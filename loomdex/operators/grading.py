@@ -56,9 +56,10 @@ def running(graded: DataFrame, ordinal: str, by: str, block: int = 100_000) -> D
 
 def every_nth(progress: DataFrame, n: int, by: str, error: Column | None = None) -> DataFrame:
     """Rows of a running result that are reported: each n-th, the last, and those with an error."""
-    last = F.max("done").over(Window.partitionBy(by))
-    shown = (F.col("done") % n == 0) | (F.col("done") == last)
-    return progress.withColumn("_s", shown if error is None else shown | error).where("_s").drop("_s")
+    last = progress.groupBy(by).agg(F.max("done").alias("_last"))
+    shown = (F.col("done") % n == 0) | F.col("_last").isNotNull()
+    rows = progress.join(last.withColumnRenamed("_last", "done").withColumn("_last", F.lit(True)), [by, "done"], "left")
+    return rows.where(shown if error is None else shown | error).select(*progress.columns)
 
 
 def recall_at_k(hits: DataFrame, questions: DataFrame, ks: Sequence[int]) -> DataFrame:

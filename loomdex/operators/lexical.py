@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,6 +14,8 @@ from ..functions.text import tokenize
 K1, B = 1.5, 0.75
 #: Share of the mean idf that a negative idf becomes.
 EPSILON = 0.25
+#: Most (query, term) pairs that are broadcast.
+BROADCAST_TERMS = 200_000
 
 
 @dataclass
@@ -23,15 +26,44 @@ class LexicalIndex:
     terms: DataFrame
     stats: DataFrame
 
-    def write(self, path: str) -> None:
-        self.postings.repartition("term").write.mode("overwrite").parquet(f"{path}/postings")
-        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
-        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
+    def write(self, path: str, k1: float = K1, b: float = B) -> None:
+        """As tables, postings sorted by term, and what tells whether they fit:
+        the count of documents and the parameters.  Terms are counted from the
+        written postings, so texts are tokenized once for them."""
+        spark = self.stats.sparkSession
+        self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+        stats = self.stats.withColumns({"k1": F.lit(float(k1)), "b": F.lit(float(b))})
+        stats.write.mode("overwrite").parquet(f"{path}/stats-part")
+        stats = spark.read.parquet(f"{path}/stats-part")
+        weights(spark.read.parquet(f"{path}/postings"), stats).write.mode("overwrite").parquet(f"{path}/terms")
+        stats.write.mode("overwrite").parquet(f"{path}/stats")  # the last one: without it the index does not fit
 
     @classmethod
     def read(cls, spark, path: str) -> LexicalIndex:
         return cls(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "terms", "stats")))
 
+    @classmethod
+    def read_if_valid(cls, spark, path: str, documents: int, k1: float = K1, b: float = B) -> LexicalIndex | None:
+        """The index at a path if it is whole and made of so many documents with
+        these parameters, else None."""
+        try:
+            known = spark.read.parquet(f"{path}/stats").first()
+            if (known["n"], known["k1"], known["b"]) != (documents, k1, b):
+                return None
+            return cls.read(spark, path)
+        except (AnalysisException, ValueError, TypeError):
+            return None
+
+
+def stored_index(docs: DataFrame, folder: str, k1: float = K1, b: float = B) -> LexicalIndex:
+    """The index of `docs` kept in a folder, built and written if it is not there or does not fit."""
+    spark = docs.sparkSession
+    found = LexicalIndex.read_if_valid(spark, folder, docs.count(), k1, b)
+    if found is None:
+        build_index(docs).write(folder, k1, b)
+        found = LexicalIndex.read(spark, folder)
+    return found
+
 
 def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> LexicalIndex:
     """The index of all documents; one without words has no postings but counts
@@ -43,14 +75,17 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     postings = words.select("doc_id", "dl", F.explode_outer("words").alias("term")).where("term is not null")
     postings = postings.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
     stats = words.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = words.select(F.explode_outer(F.array_distinct("words")).alias("term")).where("term is not null")
-    df = df.groupBy("term").agg(F.count("*").alias("df"))
+    return LexicalIndex(postings, weights(postings, stats), stats)
+
+
+def weights(postings: DataFrame, stats: DataFrame) -> DataFrame:
+    """(term, df, idf); a negative idf becomes a share of the mean idf."""
+    df = postings.groupBy("term").agg(F.count("*").alias("df"))
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     terms = df.crossJoin(F.broadcast(stats.select("n"))).withColumn("raw", raw)  # stats is one row
     mean = terms.agg(F.avg("raw").alias("mean_idf"))
     terms = terms.crossJoin(F.broadcast(mean))
-    terms = terms.select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
-    return LexicalIndex(postings, terms, stats)
+    return terms.select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
 
 
 def scores(index: LexicalIndex, queries: DataFrame, query_id: str, text: str, k1: float = K1, b: float = B) -> DataFrame:
@@ -58,9 +93,10 @@ def scores(index: LexicalIndex, queries: DataFrame, query_id: str, text: str, k1
     a term counts as often as the query has it."""
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode_outer(tokenize(text)).alias("term"))
     asked = asked.where("term is not null").groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    # The semi join goes below the aggregation that makes the postings, so only asked terms are exchanged.
-    some = index.postings.join(asked.select("term"), "term", "left_semi")
-    met = some.join(asked.join(index.terms, "term"), "term").crossJoin(F.broadcast(index.stats))
+    # Few asked terms are broadcast, so postings stay where they are, however frequent a term is.
+    few = asked.count() <= BROADCAST_TERMS
+    asked = asked.join(index.terms, "term") if not few else index.terms.join(F.broadcast(asked), "term")
+    met = index.postings.join(F.broadcast(asked) if few else asked, "term").crossJoin(F.broadcast(index.stats.select("avgdl")))
     norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / norm
     return met.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))

@@ -3,30 +3,77 @@ retrieval and reranking; in one go or as retrieval, cache and generation."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import os
+from collections.abc import Mapping
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import models, text
 from ..operators import caching, dense, fusion, grading, lexical
 from ..sources import tables
+from .config import RERANKER_DEVICE, RERANKER_MODEL, REWRITE, CallSettings, ChatSettings, GateSettings
 
 
 @dataclass(frozen=True)
 class EvaluationConfig:
-    """Parameters of a run.  Nothing here is a credential."""
+    """Parameters of a run.  A model is a name or what makes it; nothing that
+    `shown` gives is a credential."""
 
     top_k: int = 3
     search_k: int = 10
     fetch_k: int = 30
     dense_weight: float = fusion.DENSE_WEIGHT
     rrf_k: int = fusion.RRF_K
-    answer_model: str = "hashed-answers"
-    rewrite_model: str | None = None
-    rerank_model: str | None = None
+    answer_model: str | models.Maker = "hashed-answers"
+    rewrite_model: str | models.Maker | None = None
+    rerank_model: str | models.Maker | None = None
     strict_errors: bool = True
     index_version: str = "1"
+    chat: ChatSettings = ChatSettings()
+    rewrite_chat: ChatSettings = ChatSettings()
+    gate: GateSettings = GateSettings()
+    calls: CallSettings = CallSettings(requests_per_minute=None)
+    call_partitions: int = 1
+
+    @classmethod
+    def read(cls, env: Mapping[str, str] = os.environ, enhanced: bool = False, **given) -> EvaluationConfig:
+        """From environment settings, where arguments that are not None go first.
+        With an endpoint set, answers (and rewrites, if asked for) come from it."""
+        chat = ChatSettings.read(env=env)
+        rewrite = ChatSettings.read(REWRITE, env, replace(chat, max_tokens=200))
+        own: dict[str, object] = {"chat": chat, "rewrite_chat": rewrite, "gate": GateSettings.read(env)}
+        own["calls"] = CallSettings.read(env, enhanced)
+        if (make := chat.maker()) is not None:
+            own["answer_model"] = make
+        else:
+            own["calls"] = replace(own["calls"], requests_per_minute=None)  # the stand-ins are no service
+        if enhanced and (make := rewrite.maker()) is not None and own["gate"].enabled:
+            own["rewrite_model"] = make
+        if enhanced and (name := env.get(RERANKER_MODEL, "").strip()):
+            own["rerank_model"] = models.maker("cross-encoder", model=name, device=env.get(RERANKER_DEVICE, "auto"))
+        return cls(**own | {k: v for k, v in given.items() if v is not None})
+
+    def call_options(self) -> dict[str, object]:
+        return {
+            "requests_per_minute": self.calls.requests_per_minute,
+            "partitions": self.call_partitions,
+            "in_flight": self.calls.in_flight,
+            "attempts": self.calls.attempts,
+        }
+
+    def shown(self) -> dict[str, object]:
+        """What a run's results tell of its parameters."""
+        name = lambda m: m if m is None or isinstance(m, str) else getattr(getattr(m, "func", m), "__name__", "model")
+        return {
+            "top_k": self.top_k, "search_k": self.search_k, "fetch_k": self.fetch_k, "dense_weight": self.dense_weight, "rrf_k": self.rrf_k,
+            "answer_model": name(self.answer_model), "llm_provider": self.chat.provider, "llm_model": self.chat.model,
+            "temperature": self.chat.temperature, "enable_thinking": self.chat.enable_thinking,
+            "rewrite_model": name(self.rewrite_model), "rewrite_mode": self.gate.mode,
+            **{f"reranker_{k}": v for k, v in models.pair_stats(self.rerank_model, self.top_k).items()},
+            "requests_per_minute": self.calls.requests_per_minute, "max_concurrent": self.calls.in_flight, "strict_errors": self.strict_errors,
+        }
 
 
 def prepared(questions: DataFrame) -> DataFrame:
@@ -37,7 +84,11 @@ def prepared(questions: DataFrame) -> DataFrame:
 
 
 def answered(prompts: DataFrame, config: EvaluationConfig) -> DataFrame:
-    said = prompts.withColumn("response", models.complete_column(F.col("prompt"), config.answer_model))
+    """Graded answers.  A limited rate is shared by call_partitions tasks, so
+    the prompts are dealt to as many."""
+    if config.calls.requests_per_minute:
+        prompts = prompts.repartition(config.call_partitions)
+    said = prompts.withColumn("response", models.complete_column(F.col("prompt"), config.answer_model, **config.call_options()))
     return grading.grade(said, strict=config.strict_errors)
 
 
@@ -68,8 +119,10 @@ def hybrid_hits(
     The prompt later takes the question as it was asked."""
     asked = questions.withColumn("query", text.dictionary_rewrite("question"))
     if config.rewrite_model:
-        gate = text.needs_model_rewrite("query")
-        asked = models.rewrite_queries(asked, "query", gate, config.rewrite_model).drop("query").withColumnRenamed("rewritten", "query")
+        g = config.gate
+        gate = text.needs_model_rewrite("query", g.enabled, g.mode, g.max_chars, g.max_words)
+        said = models.rewrite_queries(asked, "query", gate, config.rewrite_model, **config.call_options())
+        asked = said.drop("query").withColumnRenamed("rewritten", "query")
     sparse = lexical.topk_padded(index, docs, asked, "query_id", "query", config.fetch_k)
     near = dense_hits(questions, vectors, query_vectors, config.fetch_k)
     fused = fusion.hybrid(near, sparse, config.search_k, config.dense_weight, config.rrf_k)
@@ -87,14 +140,19 @@ def with_retrieval(questions: DataFrame, hits: DataFrame, docs: DataFrame, confi
     return answered(rows.withColumn("prompt", prompt), config)
 
 
-def retrieve_to_cache(questions: DataFrame, hits: DataFrame, docs: DataFrame, path: str, config: EvaluationConfig) -> None:
-    """Adds the retrievals that the cache lacks."""
+def retrieve_to_cache(questions: DataFrame, hits: DataFrame, docs: DataFrame, path: str, config: EvaluationConfig) -> DataFrame:
+    """Adds the retrievals that the cache lacks, and returns one row of totals:
+    all questions, those that now have a retrieval, and those that had one."""
     spark = questions.sparkSession
     rows = caching.keyed(prepared(questions))
     cache = tables.read_cache(spark, path, config.index_version, config.top_k)
+    before = caching.totals(rows, cache).first()
     missing = caching.misses(rows, cache).dropDuplicates(["question_key"])
     found = missing.join(contexts(hits, docs), "query_id")
     tables.append_cache(found, path, config.index_version, config.top_k)
+    held = caching.hits(rows, tables.read_cache(spark, path, config.index_version, config.top_k)).count()
+    row = (before["total_questions"], held, before["cached_count"])
+    return spark.createDataFrame([row], "total_questions long, processed_questions long, cached_count long")
 
 
 def generate_from_cache(questions: DataFrame, path: str, config: EvaluationConfig) -> DataFrame:
@@ -107,12 +165,29 @@ def generate_from_cache(questions: DataFrame, path: str, config: EvaluationConfi
     return held.unionByName(lost, allowMissingColumns=True)
 
 
-def resume(questions: DataFrame, results_path: str, run, key: str = "ordinal") -> DataFrame:
-    """Runs `run` on the questions without a result, appends, and returns all results."""
+def resume(questions: DataFrame, results_path: str, run, key: str = "ordinal", batch: int | None = None, progress=None) -> DataFrame:
+    """Runs `run` on the questions without a result, appends, and returns all
+    results.  With `batch`, so many questions (by ordinal) are run and appended
+    at a time, and `progress(done, correct)` is called after each."""
     spark = questions.sparkSession
-    there = tables.exists(spark, results_path)
-    rest = caching.remaining(questions, spark.read.parquet(results_path), key) if there else questions
-    tables.append_results(run(rest), results_path)
+
+    def rest() -> DataFrame:
+        there = tables.exists(spark, results_path)
+        return caching.remaining(questions, spark.read.parquet(results_path), key) if there else questions
+
+    if batch is None:
+        tables.append_results(run(rest()), results_path)
+        return spark.read.parquet(results_path)
+    bounds = rest().agg(F.min(key).alias("low"), F.max(key).alias("high")).first()
+    if bounds["low"] is None and not tables.exists(spark, results_path):
+        tables.append_results(run(questions), results_path)  # no questions: an empty table
+    for low in range(bounds["low"], bounds["high"] + 1, batch) if bounds["low"] is not None else ():
+        some = rest().where(F.col(key).between(low, low + batch - 1))
+        if not some.isEmpty():
+            tables.append_results(run(some), results_path)
+        if progress is not None:
+            so_far = grading.stage_result(spark.read.parquet(results_path)).first()
+            progress(so_far["total_questions"], so_far["correct"])
     return spark.read.parquet(results_path)
 
 
@@ -127,22 +202,65 @@ def grid_search(questions: DataFrame, hits: DataFrame, docs: DataFrame, ks: list
     return out
 
 
-def build_vector_index(docs: DataFrame, path: str, model: str = "hashed-embedding") -> DataFrame:
-    """Writes (doc_id, v, source) and one row of metadata, and returns that."""
-    rows = docs.select("doc_id", models.embed_column("text", model).alias("v"), "source")
-    rows.write.mode("overwrite").parquet(f"{path}/vectors")
-    kept = docs.sparkSession.read.parquet(f"{path}/vectors")
+def vector_rows(docs: DataFrame, model: str | models.Maker) -> DataFrame:
+    return docs.select("doc_id", models.embed_column("text", model).alias("v"), "source")
+
+
+def write_vector_metadata(spark: SparkSession, path: str, model: str) -> DataFrame:
+    kept = spark.read.parquet(f"{path}/vectors")
     counts = kept.groupBy("source").agg(F.count("*").alias("n"))
     meta = counts.agg(
-        F.sum("n").alias("document_count"), F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("sources")
+        F.coalesce(F.sum("n"), F.lit(0)).alias("document_count"), F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("sources")
     ).withColumn("embedding_model", F.lit(model))
     meta.write.mode("overwrite").parquet(f"{path}/metadata")
-    return docs.sparkSession.read.parquet(f"{path}/metadata")
+    return spark.read.parquet(f"{path}/metadata")
 
 
-def load_vector_index(spark, path: str, model: str | None = None) -> DataFrame:
-    """The vectors; a model other than the recorded one is an error."""
-    recorded = spark.read.parquet(f"{path}/metadata").first()["embedding_model"]
-    if model is not None and model != recorded:
-        raise ValueError(f"the index was built with {recorded!r}, not {model!r}")
+def build_vector_index(docs: DataFrame, path: str, model: str = "hashed-embedding") -> DataFrame:
+    """Writes (doc_id, v, source) and one row of metadata, and returns that."""
+    vector_rows(docs, model).write.mode("overwrite").parquet(f"{path}/vectors")
+    return write_vector_metadata(docs.sparkSession, path, model)
+
+
+def append_to_vector_index(docs: DataFrame, path: str, model: str | None = None) -> DataFrame:
+    """Adds documents to an index, or makes one if it is not there; those whose
+    doc_id it holds already are left out.  Returns the new metadata."""
+    spark = docs.sparkSession
+    recorded = vector_metadata(spark, path)
+    if recorded is None:
+        return build_vector_index(docs, path, model or "hashed-embedding")
+    known = load_vector_index(spark, path, model)
+    fresh = docs.join(known.select("doc_id"), "doc_id", "left_anti")
+    vector_rows(fresh, recorded["embedding_model"]).write.mode("append").parquet(f"{path}/vectors")
+    return write_vector_metadata(spark, path, recorded["embedding_model"])
+
+
+def vector_metadata(spark: SparkSession, path: str):
+    """The row of metadata of an index; None if it is not there."""
+    return spark.read.parquet(f"{path}/metadata").first() if tables.exists(spark, f"{path}/metadata") else None
+
+
+def load_vector_index(spark: SparkSession, path: str, model: str | None = None, missing_ok: bool = False) -> DataFrame:
+    """The vectors; a model other than the recorded one is an error, and so is
+    a missing index, unless `missing_ok` asks for no vectors then."""
+    recorded = vector_metadata(spark, path)
+    if recorded is None:
+        if missing_ok:
+            return spark.createDataFrame([], "doc_id long, v array<double>, source string")
+        raise FileNotFoundError(f"no vector index at {path}")
+    if model is not None and model != recorded["embedding_model"]:
+        raise ValueError(f"the index was built with {recorded['embedding_model']!r}, not {model!r}")
     return spark.read.parquet(f"{path}/vectors")
+
+
+# Queries that show whether an index answers.
+SMOKE_QUERIES = ("hypertension treatment", "diabetes diagnosis", "pneumonia antibiotics")
+
+
+def smoke_retrieval(docs: DataFrame, vectors: DataFrame, model: str, k: int = 5) -> DataFrame:
+    """(query, rank, source, preview, score) of the smoke queries."""
+    spark = docs.sparkSession
+    asked = spark.createDataFrame(list(enumerate(SMOKE_QUERIES)), "query_id long, query string")
+    hits = dense.topk(vectors, asked.select("query_id", models.embed_column("query", model).alias("q")), k)
+    rows = hits.join(docs.select("doc_id", "text", "source"), "doc_id").join(asked, "query_id")
+    return rows.select("query", "rank", "source", text.question_preview("text", 60).alias("preview"), "score").orderBy("query_id", "rank")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import argparse
+import json
+import os
 import time
 from collections.abc import Callable
 from dataclasses import replace
@@ -11,13 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import models
-from ..operators import corpus, grading, lexical
+from ..operators import caching, corpus, grading, lexical
 from ..sources import tables
+from ..streaming.progress import line
 from . import evaluation
+from .config import EMBEDDING_MODEL, embedding_runtime, sane_environment
 from .evaluation import EvaluationConfig
 
 JOBS: dict[str, Callable[[SparkSession, argparse.Namespace], str]] = {}
 KS = (1, 3, 5, 10)
+#: Questions of a sample run and of a comparison.
+SAMPLE, SMALL_SAMPLE = 973, 50
 
 
 def job(f: Callable[[SparkSession, argparse.Namespace], str]) -> Callable[[SparkSession, argparse.Namespace], str]:
@@ -25,9 +31,50 @@ def job(f: Callable[[SparkSession, argparse.Namespace], str]) -> Callable[[Spark
     return f
 
 
+def configured(args: argparse.Namespace, enhanced: bool = False, **given) -> EvaluationConfig:
+    """From the environment and the arguments; those go first."""
+    own = {"answer_model": args.answer_model, "call_partitions": args.call_partitions}
+    if enhanced:
+        own |= {"rewrite_model": args.rewrite_model, "rerank_model": args.rerank_model}
+    return EvaluationConfig.read(os.environ, enhanced, **own | given)
+
+
+def run_files(spark: SparkSession, args: argparse.Namespace, config: EvaluationConfig) -> tables.RunFiles:
+    return tables.RunFiles(spark, f"{args.out}/summary", args.job, config.shown())
+
+
 def finish(spark: SparkSession, args: argparse.Namespace, sections: dict[str, DataFrame], config: EvaluationConfig) -> str:
-    shown = {k: str(v) for k, v in vars(config).items()}
-    return tables.write_summary(spark, f"{args.out}/summary", args.job, sections, shown)
+    return run_files(spark, args, config).final({name: frame.first().asDict(recursive=True) for name, frame in sections.items()})
+
+
+def tracked(spark: SparkSession, args: argparse.Namespace, config: EvaluationConfig, rows: DataFrame, run) -> DataFrame:
+    """Runs the questions without a result in batches; after each the live
+    results and the checkpoint tell how far the run is.  Returns the one-row
+    result of all."""
+    total, began, files = rows.count(), time.time(), run_files(spark, args, config)
+
+    def progress(done: int, correct: int) -> None:
+        elapsed = time.time() - began
+        print(line(done, total, correct, elapsed))
+        files.live({"total_questions": total, "processed_questions": done, "correct": correct, "accuracy": correct / max(done, 1), "elapsed_time": elapsed})
+        state = {"dataset_name": "test", "total_questions": total, "processed_questions": done, "correct_count": correct, "total_count": done}
+        tables.write_checkpoint(spark, args.out, args.job, **state, elapsed_time=elapsed, config=arguments(args))
+
+    results = evaluation.resume(rows, f"{args.out}/results", run, batch=args.batch, progress=progress)
+    elapsed = time.time() - began
+    out = grading.stage_result(results, elapsed=elapsed)
+    return out.withColumns({"dataset_name": F.lit("test"), "expected_questions": F.lit(total), "elapsed_time": F.lit(elapsed)})
+
+
+@job
+def chunk_corpus(spark: SparkSession, args: argparse.Namespace) -> str:
+    """Passages of downloaded articles (JSON with `content`), as a corpus that
+    combine-corpora reads."""
+    articles = tables.read_chunks(spark, args.articles)
+    passages = corpus.chunks(articles.where("content is not null"), "content", args.words, args.overlap)
+    numbered = passages.withColumn("id", F.concat_ws("-", F.nullif("id", F.lit("")), F.col("chunk").cast("string"))).drop("chunk")
+    numbered.write.mode("overwrite").parquet(f"{args.out}/chunks")
+    return f"{articles.count()} articles, {spark.read.parquet(f'{args.out}/chunks').count()} passages"
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
@@ -72,22 +119,51 @@ def build_index(spark: SparkSession, args: argparse.Namespace) -> str:
     docs.write.mode("overwrite").parquet(f"{args.out}/documents")
     docs = spark.read.parquet(f"{args.out}/documents")
     lexical.build_index(docs).write(f"{args.out}/lexical")
-    meta = evaluation.build_vector_index(docs, f"{args.out}/vectors", args.embedding_model).first()
-    return f"{meta['document_count']} documents, model {meta['embedding_model']}, sources {meta['sources']}"
+    model = args.embedding_model or os.environ.get(EMBEDDING_MODEL, "").strip() or "hashed-embedding"
+    meta = evaluation.build_vector_index(docs, f"{args.out}/vectors", model).first()
+    said = [f"{meta['document_count']} documents, model {meta['embedding_model']}, sources {meta['sources']}"]
+    if not args.skip_smoke:
+        vectors = evaluation.load_vector_index(spark, f"{args.out}/vectors")
+        hits = evaluation.smoke_retrieval(docs, vectors, model).collect()
+        said += [f"{h['query']}: {h['rank']}. [{h['source']}] {h['preview']} ({h['score']:.4f})" for h in hits]
+    return "\n".join(said)
+
+
+@job
+def add_documents(spark: SparkSession, args: argparse.Namespace) -> str:
+    """Adds the documents of a combined corpus to an index; those it holds stay as they are."""
+    folder = args.index
+    known = spark.read.parquet(f"{folder}/documents")
+    key = F.sha2(F.concat_ws("\x1f", F.col("source"), F.col("text")), 256)
+    fresh = read_corpus(spark, args.corpus).join(known.select(key.alias("_k")), key == F.col("_k"), "left_anti")
+    first = known.agg(F.coalesce(F.max("doc_id") + 1, F.lit(0))).first()[0]
+    fresh = corpus.with_ordinal(fresh, "doc_id", "_n").withColumn("doc_id", F.col("_n") + first).drop("_n")
+    fresh.select("doc_id", "text", "source").write.mode("append").parquet(f"{folder}/documents")
+    docs = spark.read.parquet(f"{folder}/documents")
+    lexical.build_index(docs).write(f"{folder}/lexical")
+    meta = evaluation.append_to_vector_index(docs, f"{folder}/vectors").first()
+    return f"{meta['document_count']} documents"
 
 
 def opened(spark: SparkSession, args: argparse.Namespace, questions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The documents, their vectors and the questions' vectors."""
+    """The documents, their vectors and the questions' vectors, by the model of the index."""
     docs = spark.read.parquet(f"{args.index}/documents")
     vectors = evaluation.load_vector_index(spark, f"{args.index}/vectors", args.embedding_model)
+    recorded = evaluation.vector_metadata(spark, f"{args.index}/vectors").asDict()
+    model = args.embedding_model or embedding_runtime(recorded, "hashed-embedding")["model"]
     own = evaluation.prepared(questions)
-    return docs, vectors, own.select("query_id", models.embed_column("question", args.embedding_model).alias("q"))
+    return docs, vectors, own.select("query_id", models.embed_column("question", model).alias("q"))
+
+
+def lexical_index(spark: SparkSession, args: argparse.Namespace) -> lexical.LexicalIndex:
+    """The index as built; built anew if it does not fit the documents."""
+    return lexical.stored_index(spark.read.parquet(f"{args.index}/documents"), f"{args.index}/lexical")
 
 
 @job
 def evaluate_no_rag(spark: SparkSession, args: argparse.Namespace) -> str:
-    config, rows = EvaluationConfig(), asked(spark, args, "test")
-    stage = graded_stage(evaluation.without_retrieval(rows, config), f"{args.out}/results", "test", rows.count())
+    config, rows = configured(args), asked(spark, args, "test")
+    stage = tracked(spark, args, config, rows, lambda rest: evaluation.without_retrieval(rest, config))
     return finish(spark, args, {"test_set_evaluation": stage}, config)
 
 
@@ -95,7 +171,7 @@ def evaluate_no_rag(spark: SparkSession, args: argparse.Namespace) -> str:
 def evaluate_naive_rag(spark: SparkSession, args: argparse.Namespace) -> str:
     """With the given k, or the best of several on the development questions;
     recall at several k comes from the same hits."""
-    config, sections = EvaluationConfig(), {}
+    config, sections = configured(args), {}
     if args.top_k:
         config = replace(config, top_k=args.top_k)
     else:
@@ -109,8 +185,8 @@ def evaluate_naive_rag(spark: SparkSession, args: argparse.Namespace) -> str:
     docs, vectors, own = opened(spark, args, rows)
     evaluation.dense_hits(evaluation.prepared(rows), vectors, own, max(KS)).write.mode("overwrite").parquet(f"{args.out}/hits")
     hits = spark.read.parquet(f"{args.out}/hits")
-    answered = evaluation.with_retrieval(rows, hits.where(F.col("rank") <= config.top_k), docs, config)
-    sections["test_set_evaluation"] = graded_stage(answered, f"{args.out}/results", "test", rows.count())
+    near = hits.where(F.col("rank") <= config.top_k)
+    sections["test_set_evaluation"] = tracked(spark, args, config, rows, lambda rest: evaluation.with_retrieval(rest, near, docs, config))
     texts = hits.join(docs.select("doc_id", "text"), "doc_id")
     found = grading.recall_at_k(texts, evaluation.prepared(rows).select("query_id", "answer"), KS)
     found.write.mode("overwrite").parquet(f"{args.out}/recall")
@@ -122,24 +198,66 @@ def evaluate_naive_rag(spark: SparkSession, args: argparse.Namespace) -> str:
 @job
 def evaluate_hybrid_rag(spark: SparkSession, args: argparse.Namespace) -> str:
     """Hybrid retrieval with rewriting and reranking; a run that was cut off goes on."""
-    config = EvaluationConfig(top_k=args.top_k or 5, rewrite_model=args.rewrite_model, rerank_model=args.rerank_model)
-    rows = asked(spark, args, "test")
-    index = lexical.LexicalIndex.read(spark, f"{args.index}/lexical")
+    config = configured(args, True, top_k=args.top_k or 5)
+    rows, index = asked(spark, args, "test"), lexical_index(spark, args)
 
     def run(rest: DataFrame) -> DataFrame:
         docs, vectors, own = opened(spark, args, rest)
         hits = evaluation.hybrid_hits(evaluation.prepared(rest), docs, index, vectors, own, config)
         return evaluation.with_retrieval(rest, hits, docs, config)
 
-    stage = grading.stage_result(evaluation.resume(rows, f"{args.out}/results", run))
+    stage = tracked(spark, args, config, rows, run)
     return finish(spark, args, {"test_set_evaluation": stage}, config)
 
 
+@job
+def evaluate_sample(spark: SparkSession, args: argparse.Namespace) -> str:
+    """Dense retrieval on a sample after the development questions."""
+    config = configured(args, top_k=args.top_k or 3)
+    rows = sampled(spark, args, SAMPLE)
+
+    def run(rest: DataFrame) -> DataFrame:
+        docs, vectors, own = opened(spark, args, rest)
+        return evaluation.with_retrieval(rest, evaluation.dense_hits(evaluation.prepared(rest), vectors, own, config.top_k), docs, config)
+
+    return finish(spark, args, {"sample_evaluation": tracked(spark, args, config, rows, run)}, config)
+
+
+def sampled(spark: SparkSession, args: argparse.Namespace, n: int) -> DataFrame:
+    return corpus.sample(tables.read_questions(spark, args.questions), args.dev, args.test or n)
+
+
+@job
+def retrieve(spark: SparkSession, args: argparse.Namespace) -> str:
+    """First of two stages: retrievals of a sample, kept in a cache."""
+    began, config = time.time(), configured(args, top_k=args.top_k or 3)
+    rows = sampled(spark, args, SAMPLE)
+    docs, vectors, own = opened(spark, args, rows)
+    hits = evaluation.dense_hits(evaluation.prepared(rows), vectors, own, config.top_k)
+    totals = evaluation.retrieve_to_cache(rows, hits, docs, cache_path(args), config).first().asDict()
+    totals["elapsed_time"] = time.time() - began
+    tables.put_text(spark, f"{args.out}/retrieval_results.json", json.dumps(totals))
+    return run_files(spark, args, config).final({"retrieval": totals})
+
+
+@job
+def generate(spark: SparkSession, args: argparse.Namespace) -> str:
+    """Second of two stages: answers of the sample from the cache."""
+    config = configured(args, top_k=args.top_k or 3)
+    rows = sampled(spark, args, SAMPLE)
+    stage = tracked(spark, args, config, rows, lambda rest: evaluation.generate_from_cache(rest, cache_path(args), config))
+    return finish(spark, args, {"sample_evaluation": stage}, config)
+
+
+def cache_path(args: argparse.Namespace) -> str:
+    return args.cache or f"{args.out}/cache"
+
+
 @job
 def compare_sample(spark: SparkSession, args: argparse.Namespace) -> str:
     """A sample of questions without and with dense retrieval."""
-    config = EvaluationConfig(top_k=args.top_k or 3)
-    rows = corpus.sample(tables.read_questions(spark, args.questions), args.dev, args.test or 50)
+    config = configured(args, top_k=args.top_k or 3)
+    rows = sampled(spark, args, SMALL_SAMPLE)
     docs, vectors, own = opened(spark, args, rows)
     plain = graded_stage(evaluation.without_retrieval(rows, config), f"{args.out}/no_rag", "sample", rows.count())
     hits = evaluation.dense_hits(evaluation.prepared(rows), vectors, own, config.top_k)
@@ -148,6 +266,47 @@ def compare_sample(spark: SparkSession, args: argparse.Namespace) -> str:
     return finish(spark, args, sections, config)
 
 
+def interrupted_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest checkpoint of each job in a folder that did not end."""
+    return caching.interrupted(tables.read_checkpoints(spark, folder, sorted(JOBS)))
+
+
+@job
+def resume(spark: SparkSession, args: argparse.Namespace) -> str:
+    """Finds the jobs of a folder that were cut off and runs them again with
+    the arguments they had; what they had done stays done."""
+    said = []
+    for row in interrupted_runs(spark, args.out).orderBy("script_name").collect():
+        said.append(f"{row['script_name']}: {row['processed_questions']}/{row['total_questions']} of {row['timestamp']}")
+        again = argparse.Namespace(**vars(args) | {k: json.loads(v) for k, v in row["config"].items()})
+        said.append(run_job(spark, again))
+    return "\n".join(said) or "no interrupted run"
+
+
+def arguments(args: argparse.Namespace) -> dict[str, str]:
+    """The arguments of a job as they are kept in its checkpoint."""
+    return {k: json.dumps(v) for k, v in vars(args).items()}
+
+
+def run_job(spark: SparkSession, args: argparse.Namespace) -> str:
+    """Runs a job.  While a run of questions goes on, its checkpoint tells so; a
+    failure is noted in it, and the end clears it."""
+    followed = args.questions is not None
+    if followed:
+        tables.write_checkpoint(spark, args.out, args.job, total_questions=0, processed_questions=0, config=arguments(args))
+    try:
+        said = JOBS[args.job](spark, args)
+    except BaseException as e:
+        if followed:
+            last = tables.read_checkpoints(spark, args.out, [args.job]).orderBy(F.desc("timestamp")).first()
+            state = {k: v for k, v in last.asDict().items() if k not in ("file", "timestamp", "config")} if last else {}
+            tables.write_checkpoint(spark, args.out, args.job, **state | {"error_message": repr(e), "config": arguments(args)})
+        raise
+    if followed:
+        tables.clear_checkpoint(spark, args.out, args.job)
+    return said
+
+
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="loomdex", description="Retrieval and evaluation jobs.")
     out.add_argument("job", choices=sorted(JOBS))
@@ -160,7 +319,15 @@ def parser() -> argparse.ArgumentParser:
     out.add_argument("--dev", type=int, default=0)
     out.add_argument("--test", type=int, default=None)
     out.add_argument("--top-k", type=int, default=None)
-    out.add_argument("--embedding-model", default="hashed-embedding")
+    out.add_argument("--batch", type=int, default=200, help="questions between two checkpoints")
+    out.add_argument("--call-partitions", type=int, default=1, help="tasks that share the rate of calls")
+    out.add_argument("--cache", help="folder of cached retrievals")
+    out.add_argument("--articles", help="JSON articles to cut into passages")
+    out.add_argument("--words", type=int, default=200)
+    out.add_argument("--overlap", type=int, default=40)
+    out.add_argument("--skip-smoke", action="store_true")
+    out.add_argument("--embedding-model", default=None)
+    out.add_argument("--answer-model", default=None)
     out.add_argument("--rewrite-model", default=None)
     out.add_argument("--rerank-model", default=None)
     return out
@@ -168,5 +335,6 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> str:
     args = parser().parse_args(argv)
+    sane_environment()
     session = spark or SparkSession.builder.appName(f"loomdex {args.job}").getOrCreate()
-    return JOBS[args.job](session, args)
+    return run_job(session, args)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .functions import dictionary, models, text
 from .operators import caching, corpus, dense, fusion, grading, lexical
 from .plans import evaluation
+from .sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -69,7 +70,12 @@ def query_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def index(spark: SparkSession, d: str) -> lexical.LexicalIndex:
-    return lexical.build_index(read(spark, d, "documents"))
+    """The index of the documents, kept in the shared folder under a name made
+    of their files, so that queries build it once."""
+    docs, folder = read(spark, d, "documents"), tables.shared_folder(spark)
+    if folder is None:
+        return lexical.build_index(docs)
+    return lexical.stored_index(docs, f"{folder}/loomdex-lexical-{tables.files_key(docs)}")
 
 
 def answers(spark: SparkSession, d: str) -> DataFrame:
@@ -115,13 +121,14 @@ def graded(spark: SparkSession, d: str) -> DataFrame:
 
 # Tokens and BM25.
 
-BM25 = r"""words as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') as w from documents),
+BM25 = r"""words as materialized (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') as w from documents),
 lens as (select doc_id, len(w) as dl from words),
 stats as (select count(*) as n, avg(dl) as avgdl from lens),
-postings as (select doc_id, term, count(*) as tf from (select doc_id, unnest(w) as term from words) group by all),
+postings as materialized (select doc_id, term, count(*) as tf from (select doc_id, unnest(w) as term from words) group by all),
 df as (select term, count(*) as df from postings group by term),
-raw as (select term, df, ln(n - df + 0.5) - ln(df + 0.5) as raw from df, stats),
-terms as (select term, df, case when raw < 0 then 0.25 * (select avg(raw) from raw) else raw end as idf from raw),
+raw as materialized (select term, df, ln(n - df + 0.5) - ln(df + 0.5) as raw from df, stats),
+mean as materialized (select avg(raw) as mean_idf from raw),
+terms as (select term, df, case when raw < 0 then 0.25 * mean_idf else raw end as idf from raw, mean),
 asked as (select query_id, term, count(*) as qtf from (
   select item_id as query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) as term from benchmark) group by all),
 bm25 as (select query_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) as score
@@ -340,9 +347,13 @@ def format_options(spark: SparkSession, d: str) -> DataFrame:
     return questions(spark, d).select("query_id", text.format_options("options").alias("shown"))
 
 
-CONTEXTS = f"""{RRF}, contexts as (
+def contexts_sql(name: str, k: int) -> str:
+    return f"""{name} as (
   select query_id, string_agg(concat('[', cast(rank as varchar), '] ', text), chr(10) || chr(10) order by rank) as context
-  from hybrid join documents using (doc_id) where rank <= 3 group by query_id)"""
+  from hybrid join documents using (doc_id) where rank <= {k} group by query_id)"""
+
+
+CONTEXTS = f"{RRF}, {contexts_sql('contexts', 3)}"
 
 
 def contexts(spark: SparkSession, d: str) -> DataFrame:
@@ -489,10 +500,12 @@ def generation_cache_left(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("query_id", F.try_element_at("contexts", F.lit(1)).alias("context"), "error")
 
 
-@query("select event_id, user_id from events where user_id not in (select user_id from events where event_type = 'purchase' and user_id is not null)")
+@query("select event_id, user_id from events where user_id not in (select user_id from events where event_type = 'purchase' and event_id % 7 = 0 and user_id is not null)")
 def resume_anti(spark: SparkSession, d: str) -> DataFrame:
+    """Events of users for whom a seventh of the purchases, the runs that are done, has none."""
     log = read(spark, d, "events").select("event_id", "user_id", "event_type")
-    return caching.remaining(log, log.where("event_type = 'purchase'"), "user_id").select("event_id", "user_id")
+    done = log.where("event_type = 'purchase' and event_id % 7 = 0")
+    return caching.remaining(log, done, "user_id").select("event_id", "user_id")
 
 
 CHECKPOINTS = """checkpoints as (select event_type as script_name, strftime(ts, '%Y-%m-%dT%H:%M:%S') as timestamp, event_id as checkpoint_id,
@@ -612,7 +625,51 @@ def error_predicate(spark: SparkSession, d: str) -> DataFrame:
     return answers(spark, d).select("conv_id", "turn", text.is_error("response").alias("is_error"))
 
 
-# Model adapters with deterministic stand-ins: SQL cannot call them.
+# Runs: what a folder of checkpoints and a retrieval run report.
+
+
+@query(f"""with {CHECKPOINTS} select script_name, checkpoint_id, processed_questions, total_questions from (
+  select *, row_number() over (partition by script_name order by timestamp desc, checkpoint_id) as n from checkpoints
+  where total_questions = 0 or processed_questions < total_questions) where n = 1""")
+def interrupted_runs(spark: SparkSession, d: str) -> DataFrame:
+    rows = caching.interrupted(checkpoints(spark, d).withColumn("file", F.lpad(F.col("checkpoint_id").cast("string"), 20, "0")))
+    return rows.select("script_name", "checkpoint_id", "processed_questions", "total_questions")
+
+
+@query("""select count(*) as total_questions, count(c.k) as cached_count, count(*) - count(c.k) as missing_count
+from benchmark b left join (select distinct md5(text) as k from benchmark where item_id % 2 = 0) c on md5(b.text) = c.k""")
+def retrieval_totals(spark: SparkSession, d: str) -> DataFrame:
+    rows, held = cached(spark, d)
+    return caching.totals(rows, held)
+
+
+@query("""select doc_id, array_to_string(list_transform(list_sort([concat('lang=', lang), concat('source=', source), 'kind=text']), lambda x: x), '|') as items,
+  coalesce(source, 'unknown') as source, 'none' as publisher from documents where lang is not null and source is not null""")
+def metadata_map(spark: SparkSession, d: str) -> DataFrame:
+    """Metadata as a map: merged, with a default, and as sorted items."""
+    rows = read(spark, d, "documents").where("lang is not null and source is not null")
+    own = F.create_map(F.lit("kind"), F.lit("document"), F.lit("lang"), F.col("lang"))
+    merged = corpus.updated(own, F.create_map(F.lit("kind"), F.lit("text"), F.lit("source"), F.col("source")))
+    rows = rows.withColumn("m", merged)
+    items = F.array_join(F.transform(corpus.sorted_items(F.col("m")), lambda e: F.concat_ws("=", e["key"], e["value"])), "|")
+    return rows.select(
+        "doc_id", items.alias("items"), corpus.with_default(F.col("m"), "source", F.lit("unknown")).alias("source"),
+        corpus.with_default(F.col("m"), "publisher", F.lit("none")).alias("publisher"),
+    )
+
+
+PASSAGE, STEP = 60, 45
+
+
+@query(rf"""with cut as (select doc_id, list_filter(regexp_split_to_array(text, '{SPACE}+'), lambda w: w <> '') as w from documents where text is not null),
+starts as (select doc_id, w, unnest(range(0, greatest(len(w) - {PASSAGE - STEP} - 1, 0) + 1, {STEP})) as s from cut where len(w) > 0)
+select doc_id, cast(s / {STEP} as int) as chunk, md5(array_to_string(w[s + 1 : s + {PASSAGE}], ' ')) as text_md5 from starts""")
+def article_chunks(spark: SparkSession, d: str) -> DataFrame:
+    rows = corpus.chunks(read(spark, d, "documents").select("doc_id", "text"), "text", PASSAGE, PASSAGE - STEP)
+    return rows.select("doc_id", "chunk", F.md5("text").alias("text_md5"))
+
+
+# Model adapters with deterministic stand-ins.
 
 
 @query()
@@ -620,33 +677,69 @@ def embed_stub(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", models.embed_column("text").alias("v"))
 
 
-@query()
+WORD_SETS = r"list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+'))"
+
+
+@query(f"""with {RRF}, pairs as (
+  select h.query_id, h.doc_id, h.rank, {WORD_SETS.format('b.text')} as q, {WORD_SETS.format('t.text')} as t
+  from hybrid h join documents t using (doc_id) join benchmark b on b.item_id = h.query_id),
+scored as (select query_id, doc_id, rank, case when len(q) > 0 then len(list_intersect(q, t)) / len(q) else 0.0 end as rerank_score from pairs)
+select query_id, doc_id, rerank_score, new_rank from (
+  select *, cast(row_number() over (partition by query_id order by rerank_score desc, rank) as int) as new_rank from scored) where new_rank <= 5""")
 def rerank_stub(spark: SparkSession, d: str) -> DataFrame:
     rows = fusion.with_texts(hybrid_rows(spark, d), read(spark, d, "documents")).join(questions(spark, d), "query_id")
     scored = rows.withColumn("rerank_score", models.score_pairs("question", "text"))
     return fusion.rerank(scored, 5).select("query_id", "doc_id", "rerank_score", "new_rank")
 
 
-@query()
+@query(rf"""with {ASKED}, flat as (select conv_id, turn, query, regexp_replace(query, '^{SPACE}+|{SPACE}+$', '', 'g') as q from asked),
+gated as (select *, case when q = '' then false when regexp_matches(q, '[\x{{4e00}}-\x{{9fff}}]') then true
+  when regexp_matches(lower(q), '(^|[^\p{{L}}\p{{N}}_])({"|".join(k for k, _ in dictionary.ABBREVIATIONS)})([^\p{{L}}\p{{N}}_]|$)') then true
+  when length(q) > 160 then false when len(regexp_split_to_array(q, '{SPACE}+')) > 24 then false else true end as needed from flat)
+select conv_id, turn, case when needed then regexp_replace(q, '{SPACE}+', ' ', 'g') else query end as rewritten from gated""")
 def llm_rewrite_stub(spark: SparkSession, d: str) -> DataFrame:
     asked = asked_queries(spark, d)
     return models.rewrite_queries(asked, "query", text.needs_model_rewrite("query")).select("conv_id", "turn", "rewritten")
 
 
-@query()
+HEX = "0123456789abcdef"
+
+
+def answered_sql(name: str, context: str | None, contexts_name: str = "contexts") -> str:
+    """The stand-in's answers: an option letter by the first byte of the prompt's MD5."""
+    digit = lambda i: f"(instr('{HEX}', substr(h, {i}, 1)) - 1)"
+    source = "questions" if context is None else f"questions left join {contexts_name} using (query_id)"
+    return f"""{name}_hashed as (select query_id, {LETTER} as correct_answer, md5({prompt_sql(context)}) as h from {source}),
+{name} as (select query_id, substr('ABCDE', cast(({digit(1)} * 16 + {digit(2)}) % 5 + 1 as int), 1) as predicted_answer, correct_answer from {name}_hashed)"""
+
+
+SAID = "select query_id, predicted_answer, coalesce(predicted_answer = correct_answer, false) as is_correct, concat('Answer: ', predicted_answer) as response from said"
+
+
+@query(f"with {CONTEXTS}, {QUESTIONS}, {answered_sql('said', 'context')} {SAID}")
 def llm_answer_stub(spark: SparkSession, d: str) -> DataFrame:
     rows = questions(spark, d).withColumn("ordinal", F.col("query_id")).drop("query_id")
     out = evaluation.with_retrieval(rows, hybrid_rows(spark, d).where("rank <= 3"), read(spark, d, "documents"))
     return out.select("query_id", "predicted_answer", "is_correct", "response")
 
 
-@query()
+@query(f"with {QUESTIONS}, {answered_sql('said', None)} {SAID}")
 def llm_norag_stub(spark: SparkSession, d: str) -> DataFrame:
     rows = questions(spark, d).withColumn("ordinal", F.col("query_id")).drop("query_id")
     return evaluation.without_retrieval(rows).select("query_id", "predicted_answer", "is_correct", "response")
 
 
-@query()
+def grid_sql(ks: tuple[int, ...]) -> str:
+    parts = [f"{contexts_sql(f'contexts_{k}', k)}, {answered_sql(f'said_{k}', 'context', f'contexts_{k}')}" for k in ks]
+    rows = " union all ".join(
+        f"select {i} as place, {k} as k, count(*) as total_questions, cast(count_if(predicted_answer = correct_answer) as bigint) as correct from said_{k}"
+        for i, k in enumerate(ks)
+    )
+    return f"""with {RRF}, {QUESTIONS}, {", ".join(parts)}, grid as ({rows})
+select cast(k as int) as k, total_questions, correct, round(correct / total_questions, 9) as accuracy from grid order by accuracy desc, place limit 1"""
+
+
+@query(grid_sql(KS[:3]))
 def grid_search_stub(spark: SparkSession, d: str) -> DataFrame:
     rows = questions(spark, d).withColumn("ordinal", F.col("query_id")).drop("query_id")
     found = evaluation.grid_search(rows, hybrid_rows(spark, d), read(spark, d, "documents"), list(KS[:3]))

@@ -193,3 +193,70 @@ def test_writers(spark, docs, tmp_path):
     stage = grading.stage_result(spark.createDataFrame([(True,), (False,)], "is_correct boolean"))
     shown = tables.write_summary(spark, str(tmp_path / "s"), "run", {"test_set": stage}, {"k": "3"})
     assert "accuracy: 0.5000" in shown and spark.read.json(str(tmp_path / "s" / "json")).first()["run"] == "run"
+
+
+def test_a_stored_index_must_fit(spark, docs, tmp_path):
+    path = str(tmp_path / "ix")
+    read = lambda *a: lexical.LexicalIndex.read_if_valid(spark, path, *a)
+    assert read(5) is None
+    assert lexical.stored_index(docs, path).terms.count() == 4
+    assert read(5) is not None and read(4) is None and read(5, 1.2) is None and read(5, 1.5, 0.5) is None
+    assert lexical.stored_index(docs.where("doc_id < 2"), path).terms.count() == 4
+    assert read(2) is not None
+
+
+def test_vectors_are_appended_once_and_may_be_missing(spark, docs, tmp_path):
+    path, named = str(tmp_path / "v"), docs.withColumn("source", F.lit("s"))
+    assert evaluation.load_vector_index(spark, path, missing_ok=True).count() == 0
+    with pytest.raises(FileNotFoundError):
+        evaluation.load_vector_index(spark, path)
+    assert evaluation.append_to_vector_index(named.where("doc_id < 2"), path).first()["document_count"] == 2
+    assert evaluation.append_to_vector_index(named, path).first()["document_count"] == 5
+    with pytest.raises(ValueError):
+        evaluation.append_to_vector_index(named, path, "another")
+
+
+def test_metadata_values_and_maps(spark):
+    frame = spark.sql("select 'null' as t, cast(null as string) as n, map('b', 1, 'a', 2) as m, named_struct('y', 1, 'x', array(1)) as s, 1.5 as d")
+    row = frame.select(*(corpus.normalized(F.col(c), kind).alias(c) for c, kind in frame.dtypes)).first()
+    assert row["t"] == "null" != row["n"]
+    assert row["m"] == '[{"key":"a","value":2},{"key":"b","value":1}]' and row["s"] == '{"y":1,"x":[1]}' and row["d"] == "1.5"
+    own = frame.withColumn("k", corpus.metadata_identity(frame, "t", ["n", "m", "s"]))
+    assert own.withColumn("k2", corpus.metadata_identity(frame, "t", ["s", "m", "n"])).where("k = k2").count() == 1
+    maps = spark.sql("select map('a', '1') as m, map('a', '2', 'c', '3') as o, cast(null as map<string,string>) as none")
+    row = maps.select(
+        corpus.sorted_items(corpus.updated(F.col("m"), F.col("o"))).alias("u"), corpus.updated(F.col("none"), F.col("m")).alias("e"),
+        corpus.with_default(F.col("m"), "z", F.lit("d")).alias("d"), corpus.with_default(F.col("none"), "a", F.lit("d")).alias("nd"),
+    ).first()
+    assert [tuple(x) for x in row["u"]] == [("a", "2"), ("c", "3")] and row["e"] == {"a": "1"} and row["d"] == row["nd"] == "d"
+
+
+def test_passages_of_articles(spark):
+    rows = spark.createDataFrame([(1, " ".join("abcdefghij")), (2, "a b"), (3, " "), (4, None)], "id int, text string")
+    found = corpus.chunks(rows, "text", 4, 1).orderBy("id", "chunk").collect()
+    assert [(r["id"], r["chunk"], r["text"]) for r in found] == [(1, 0, "a b c d"), (1, 1, "d e f g"), (1, 2, "g h i j"), (2, 0, "a b")]
+    with pytest.raises(ValueError):
+        corpus.chunks(rows, "text", 4, 4)
+
+
+def test_dense_scores_against_plain_python(spark):
+    rng = random.Random(1)
+    vectors = [(i, [rng.choice([-1.0, 0.0, 0.5, 2.0]) for _ in range(4)]) for i in range(60)] + [(60, None), (61, [1.0])]
+    asked = [(i, v) for i, v in vectors[:9]] + [(99, None)]
+    left = spark.createDataFrame(vectors, "doc_id long, v array<double>").repartition(5)
+    right = spark.createDataFrame(asked, "query_id long, q array<double>")
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+
+    def score(a, b, measure):
+        if measure == "l2":
+            return round(max(0.0, sum((x - y) ** 2 for x, y in zip(a, b))), 6)
+        size = (dot(a, a) * dot(b, b)) ** 0.5
+        return round(dot(a, b) / size, 6) if size else 0.0
+
+    for measure in ("cosine", "l2"):
+        found = {(r["query_id"], r["rank"]): (r["doc_id"], r["score"]) for r in dense.topk(left, right, 7, measure).collect()}
+        for q, x in asked[:9]:
+            sign = 1 if measure == "l2" else -1
+            want = sorted((sign * score(x, v, measure), i) for i, v in vectors[:60])[:7]
+            assert [found[q, r + 1] for r in range(7)] == [(i, pytest.approx(sign * s)) for s, i in want]
+    assert dense.topk(left, right.where("false"), 3).count() == 0
