@@ -48,7 +48,7 @@ def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = toxicity.fit(docs, learn.marks(labels, "toxic", fold=5, held_out=0))
+    model = toxicity.fit(docs, learn.marks(labels, "toxic", fold=5, held_out=0), Scratch(spark, "toxicity"))
     return toxicity.scored_documents(docs, model, fold=5, held_out=0, threshold=0.5)
 
 

@@ -4,9 +4,21 @@ for), reduced to its words, and matched by Aho-Corasick against whole words
 and word stems.  A hit inside an exception phrase does not count.  The sum of
 weights, also over the length, is calibrated to a chance of being toxic.
 
-The lexicon, its weights and the exception phrases are learned from labelled
-rows.  Defined results: a null or empty text has no hits; with labels of one
-class only, every score is the smoothed class share; repeated rows score alike.
+The lexicon, its weights and the exception phrases are learned from a bounded
+sample of labelled rows.  Terms and word pairs are counted in Spark; only those
+that can enter a lexicon reach the driver, and of each sampled text its four
+numbers.  Three lexicons are learned side by side: of the whole sample, and of
+either half of it for the calibration of the other half.  Copies of a text are
+one text for the lexicons and are in the same half.
+
+At most LEXICON_SIZE terms are kept, those that explain most; and a sum of
+weights beyond ENOUGH counts as ENOUGH in one of the four numbers.
+
+Defined results: a null or empty text has no hits; with labels of one class
+only, every score is the smoothed class share; repeated rows score alike;
+repeated ids give one sampled text each; an empty table gives no rows; texts
+are read whole, in time linear in their length; other columns, whatever their
+names, play no part.
 """
 
 from __future__ import annotations
@@ -14,16 +26,17 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
-from .learn import Logistic, sample
+from .common import Scratch, map_rows, slices
+from .learn import Logistic, sample_rows
 
 #: Bounds of the labelled sample that the lexicon is learned from.
 SAMPLE_PER_CLASS = 4000
@@ -32,6 +45,8 @@ SAMPLE_LONGEST = 65_536
 LEAST_SHARE, LEAST_COUNT, LEAST_WEIGHT = 0.01, 3, 2.5
 STEM_LENGTHS = (4, 5, 6)
 LEXICON_SIZE = 2000
+#: Tasks that the sample is dealt to.
+SAMPLE_PARTITIONS = 48
 #: A sum of weights beyond which more says nothing more.
 ENOUGH = 25.0
 #: A word pair around a term is an exception if so many clean documents hold it, and the share of toxic ones is lower.
@@ -126,56 +141,147 @@ class Matcher:
         return (before, word) in self.exceptions or (word, after) in self.exceptions
 
 
-def learn_lexicon(toxic: list[str], clean: list[str]) -> ToxicityModel:
-    lines = {value: [" ".join(folded_words(t)) for t in dict.fromkeys(texts)] for value, texts in ((1, toxic), (0, clean))}
-    n1, n0 = len(lines[1]), len(lines[0])
-    counts = Counter(t for line in lines[1] for t in terms(set(line.split())))
-    least = max(LEAST_COUNT, LEAST_SHARE * n1)
-    counts = {t: c for t, c in counts.items() if c >= least}
-    others = Counter(t for line in lines[0] for t in terms(set(line.split())) & counts.keys())
-    weights = {
-        t: w
-        for t, c in counts.items()
-        if (w := np.log((c + 0.5) / (n1 + 1)) - np.log((others[t] + 0.5) / (n0 + 1))) >= LEAST_WEIGHT
-    }
-    # A term adds nothing beside a shorter stem of at least its weight.
-    for t in sorted(weights, key=len, reverse=True):
-        if any(weights.get(t[: n + 1], -1.0) >= weights[t] for n in STEM_LENGTHS if n + 1 < len(t)):
-            del weights[t]
-    weights = {t: float(weights[t]) for t in sorted(weights, key=lambda t: (-weights[t] * counts[t], t))[:LEXICON_SIZE]}
-    stems = {t[1:] for t in weights if t[-1] != " "}
-    hit = lambda w: f" {w} " in weights or any(w[:n] in stems for n in STEM_LENGTHS)
-    pairs = {0: Counter(), 1: Counter()}
-    for value, own in lines.items():
-        for line in own:
-            ws = line.split()
-            pairs[value].update({p for p in zip(ws, ws[1:]) if hit(p[0]) or hit(p[1])})
-    exceptions = {
-        p for p, c in pairs[0].items() if c >= EXCEPTION_COUNT and c / max(n0, 1) > pairs[1][p] / max(n1, 1)
-    }
-    return ToxicityModel(weights, exceptions)
-
-
-def fit(docs: DataFrame, marks: DataFrame, per_class: int = SAMPLE_PER_CLASS, longest: int = SAMPLE_LONGEST) -> ToxicityModel:
+#: The three lexicons: of the half 0, of the half 1, and of all texts.
+FITS = (0, 1, 2)
+
+
+@dataclass
+class Sizes:
+    """Distinct texts of a lexicon's sample."""
+
+    toxic: int
+    clean: int
+
+    @property
+    def least(self) -> float:
+        return max(LEAST_COUNT, LEAST_SHARE * self.toxic)
+
+    def weight(self, toxic: float, clean: float) -> float:
+        """The log-odds of a term in so many toxic and clean texts."""
+        return float(np.log((toxic + 0.5) / (self.toxic + 1)) - np.log((clean + 0.5) / (self.clean + 1)))
+
+    def weight_of(self, toxic: Column, clean: Column) -> Column:
+        return F.log((toxic + 0.5) / (self.toxic + 1)) - F.log((clean + 0.5) / (self.clean + 1))
+
+
+def counted(sample: DataFrame, found, schema: str) -> DataFrame:
+    """Applies a function of (fits, label, text) that gives keys; rows of the keys
+    with their toxic and clean counts.  A task adds up what a slice of texts holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = schema.replace(" string", "").replace(" int", "").split(", ")
+        for part in slices(batches, "text"):
+            counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
+            for half, label, text in zip(*(part.column(c).to_pylist() for c in ("half", "label", "text"))):
+                counts[label].update(found(half, text))
+            keys = list(counts[0].keys() | counts[1].keys())
+            columns = [pa.array([k[i] for k in keys], type=pa.int32() if name == "fit" else pa.string()) for i, name in enumerate(names)]
+            sums = [pa.array([counts[label][k] for k in keys], type=pa.int64()) for label in (1, 0)]
+            yield pa.RecordBatch.from_arrays([*columns, *sums], names=[*names, "toxic", "clean"])
+
+    rows = sample.select("half", "label", "text").mapInArrow(run, f"{schema}, toxic long, clean long")
+    keys = [x.split()[0] for x in schema.split(", ")]
+    return rows.groupBy(*keys).agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
+
+def fits_of(half: int) -> tuple[int, int]:
+    """The lexicons that a text of this half is counted for."""
+    return half, 2
+
+
+def learned_weights(sample: DataFrame, sizes: dict[int, Sizes]) -> dict[int, dict[str, float]]:
+    """The terms and weights of each lexicon."""
+
+    def found(half: int, text: str) -> list[tuple[int, str]]:
+        own = terms(set(folded_words(text)))
+        return [(fit, t) for fit in fits_of(half) for t in own]
+
+    rows = counted(sample, found, "fit int, term string")
+    enough = F.lit(False)
+    for fit, size in sizes.items():
+        # A hair below the bound, which is decided on the driver.
+        heavy = size.weight_of(F.col("toxic"), F.col("clean")) >= LEAST_WEIGHT - 1e-6
+        enough = enough | ((F.col("fit") == fit) & (F.col("toxic") >= size.least) & heavy)
+    out: dict[int, dict[str, float]] = {}
+    counts: dict[int, dict[str, int]] = {fit: {} for fit in FITS}
+    weights: dict[int, dict[str, float]] = {fit: {} for fit in FITS}
+    for r in rows.where(enough).collect():
+        weight = sizes[r["fit"]].weight(r["toxic"], r["clean"])
+        if weight >= LEAST_WEIGHT:
+            weights[r["fit"]][r["term"]] = weight
+            counts[r["fit"]][r["term"]] = r["toxic"]
+    for fit, own in weights.items():
+        # A term adds nothing beside a shorter stem of at least its weight.
+        for t in sorted(own, key=lambda t: (-len(t), t)):
+            if any(own.get(t[: n + 1], -1.0) >= own[t] for n in STEM_LENGTHS if n + 1 < len(t)):
+                del own[t]
+        kept = sorted(own, key=lambda t: (-own[t] * counts[fit][t], t))[:LEXICON_SIZE]
+        out[fit] = {t: own[t] for t in kept}
+    return out
+
+
+def learned_exceptions(sample: DataFrame, sizes: dict[int, Sizes], weights: dict[int, dict[str, float]]) -> dict[int, set[tuple[str, str]]]:
+    """The word pairs with a hit that clean texts hold more often."""
+    shared = sample.sparkSession.sparkContext.broadcast(weights)
+
+    def found(half: int, text: str) -> set[tuple[int, str, str]]:
+        words, out = folded_words(text), set()
+        for fit in fits_of(half):
+            own = shared.value[fit]
+            hit = {w for w in set(words) if f" {w} " in own or any(" " + w[:n] in own for n in STEM_LENGTHS)}
+            if hit:
+                out |= {(fit, a, b) for a, b in zip(words, words[1:]) if a in hit or b in hit}
+        return out
+
+    rows = counted(sample, found, "fit int, a string, b string").where(F.col("clean") >= EXCEPTION_COUNT)
+    out: dict[int, set[tuple[str, str]]] = {fit: set() for fit in FITS}
+    cleaner = F.lit(False)
+    for fit, size in sizes.items():
+        more = F.col("clean") / max(size.clean, 1) > F.col("toxic") / max(size.toxic, 1)
+        cleaner = cleaner | ((F.col("fit") == fit) & more)
+    for r in rows.where(cleaner).collect():
+        out[r["fit"]].add((r["a"], r["b"]))
+    return out
+
+
+def calibration_rows(sample: DataFrame, models: dict[int, ToxicityModel]) -> list:
+    """(label, copies, features) of each sampled text under the lexicon of the other half."""
+    shared = sample.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matchers = {half: Matcher(shared.value[1 - half]) for half in (0, 1)}
+        for part in slices(batches, "text"):
+            halves, texts = (part.column(c).to_pylist() for c in ("half", "text"))
+            made = [matchers[h].features(t) for h, t in zip(halves, texts)]
+            features = pa.array(made, type=pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([part.column("label"), part.column("copies"), features], names=["label", "copies", "features"])
+
+    rows = sample.mapInArrow(run, "label int, copies long, features array<double>")
+    return sorted((r["label"], tuple(r["features"]), r["copies"]) for r in rows.collect())
+
+
+def fit(
+    docs: DataFrame, marks: DataFrame, scratch: Scratch | None = None, per_class: int = SAMPLE_PER_CLASS, longest: int = SAMPLE_LONGEST
+) -> ToxicityModel:
     """From documents and their marks (doc_id, label)."""
-    texts, counts = sample(docs, marks, per_class, longest)
-    return fit_texts(texts, counts)
-
-
-def fit_texts(texts: dict[int, list[str]], counts: dict[int, int]) -> ToxicityModel:
-    """The lexicon comes from the whole sample.  It is calibrated by features
-    that are free of a text's own label: those of either half of the sample
-    under the lexicon of the other half."""
-    features, labels = [], []
-    for half in (0, 1):
-        matcher = Matcher(learn_lexicon(texts[1][half::2], texts[0][half::2]))
-        for value in (0, 1):
-            for t in texts[value][1 - half :: 2]:
-                features.append(matcher.features(t))
-                labels.append(value)
-    model = learn_lexicon(texts[1], texts[0])
-    model.calibration = Logistic(np.array(features).reshape(-1, 4), np.array(labels, dtype=float), counts)
-    return model
+    scratch = scratch or Scratch(docs.sparkSession, "toxicity")
+    rows, counts = sample_rows(docs, marks, per_class, longest)
+    distinct = rows.groupBy("label", "text").agg(F.count("*").alias("copies"))
+    distinct = distinct.withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int"))
+    # One or two texts a partition would be too few, but a sample is small: the tasks are dealt by text.
+    sample = scratch.write(distinct.repartition(SAMPLE_PARTITIONS, "text"), "sample")
+    held = {(r["half"], r["label"]): r["count"] for r in sample.groupBy("half", "label").count().collect()}
+    size = lambda halves: Sizes(*(sum(held.get((h, label), 0) for h in halves) for label in (1, 0)))
+    sizes = {0: size([0]), 1: size([1]), 2: size([0, 1])}
+    weights = learned_weights(sample, sizes)
+    exceptions = learned_exceptions(sample, sizes, weights)
+    models = {f: ToxicityModel(weights[f], exceptions[f]) for f in FITS}
+    found = calibration_rows(sample, models)
+    scratch.drop(sample)
+    features = np.repeat(np.array([f for _, f, _ in found]).reshape(-1, 4), [n for *_, n in found], axis=0)
+    labels = np.repeat([float(label) for label, *_ in found], [n for *_, n in found])
+    models[2].calibration = Logistic(features, labels, counts)
+    return models[2]
 
 
 def score(docs: DataFrame, model: ToxicityModel, keep: list[str], text: str = "text") -> DataFrame:

@@ -1,6 +1,7 @@
 """Plain Python versions of the operators, for small inputs."""
 
 import hashlib
+import math
 import re
 import struct
 from collections import defaultdict
@@ -192,3 +193,78 @@ def quality_scores(texts, marks):
         return chance[-1]
 
     return {i: score(t) for i, t in texts.items()}
+
+
+def toxicity_scores(texts, marks, words_of):
+    """Words are folded by the given function; everything else is worked out by scanning words."""
+    own = {v: list(dict.fromkeys(ts)) for v, ts in by_class(texts, marks).items()}
+    every = by_class(texts, marks)
+    half_of = {t: xxhash.xxh64(t.encode(), seed=42).intdigest() % 2 for ts in own.values() for t in ts}
+    words = {t: words_of(t) for t in half_of}
+
+    def stems(w):
+        return [" " + w[:n] for n in (4, 5, 6) if len(w) >= n]
+
+    def learned(keep):
+        sets = {v: [set(words[t]) for t in ts if keep(half_of[t])] for v, ts in own.items()}
+        n1, n0 = len(sets[1]), len(sets[0])
+        held = {v: defaultdict(int) for v in (0, 1)}
+        for v, documents in sets.items():
+            for document in documents:
+                entries = {f" {w} " for w in document} | {" " + w[:n] for w in document for n in (4, 5, 6) if len(w) > n}
+                for e in entries:
+                    held[v][e] += 1
+        weights = {}
+        for e, c in held[1].items():
+            weight = math.log((c + 0.5) / (n1 + 1)) - math.log((held[0][e] + 0.5) / (n0 + 1))
+            if c >= max(3, 0.01 * n1) and weight >= 2.5:
+                weights[e] = weight
+        for length in sorted({len(e) for e in weights}, reverse=True):
+            for e in [e for e in weights if len(e) == length]:
+                shorter = [e[: n + 1] for n in (4, 5, 6) if n + 1 < len(e)]
+                if any(x in weights and weights[x] >= weights[e] for x in shorter):
+                    del weights[e]
+        best = sorted(weights, key=lambda e: (-weights[e] * held[1][e], e))[:2000]
+        weights = {e: weights[e] for e in best}
+        pairs = {v: defaultdict(int) for v in (0, 1)}
+        is_hit = lambda w: f" {w} " in weights or any(x in weights for x in stems(w))
+        for v, ts in own.items():
+            for t in ts:
+                if keep(half_of[t]):
+                    for p in {p for p in zip(words[t], words[t][1:]) if is_hit(p[0]) or is_hit(p[1])}:
+                        pairs[v][p] += 1
+        exceptions = {p for p, c in pairs[0].items() if c >= 3 and c / max(n0, 1) > pairs[1][p] / max(n1, 1)}
+        return weights, exceptions
+
+    def features(ws, lexicon):
+        weights, exceptions = lexicon
+        total = 0.0
+        for i, w in enumerate(ws):
+            found = [weights[e] for e in [f" {w} ", *stems(w)] if e in weights]
+            around = {(ws[i - 1] if i else "", w), (w, ws[i + 1] if i + 1 < len(ws) else "")}
+            if found and not around & exceptions:
+                total += max(found)
+        return [math.log1p(total), min(total, 25.0), total / (len(ws) + 20), math.log1p(len(ws))]
+
+    halves = [learned(lambda h, k=k: h == k) for k in (0, 1)]
+    rows = [(features(words[t], halves[1 - half_of[t]]), v) for v in (0, 1) for t in every[v]]
+    x, y = np.array([r for r, _ in rows]), np.array([v for _, v in rows], float)
+    # Ridge logistic regression on balanced classes by gradient steps of Newton's method until nothing moves.
+    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-9)
+    design = lambda f: np.column_stack([np.ones(len(f)), (f - mean) / scale])
+    d, n = design(x), len(y)
+    weight = np.where(y == 1, n / (2 * y.sum()), n / (2 * (n - y.sum())))
+    beta = np.zeros(d.shape[1])
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-d @ beta))
+        gradient = d.T @ (weight * (y - p)) - 1e-3 * n * beta
+        hessian = d.T @ (d * (weight * p * (1 - p))[:, None]) + 1e-3 * n * np.eye(len(beta))
+        beta = beta + np.linalg.solve(hessian, gradient)
+    n1 = sum(v == 1 for v in marks.values())
+    shift = math.log((n1 + 1) / (len(marks) - n1 + 1))
+    whole = learned(lambda h: True)
+    out = {}
+    for i, t in texts.items():
+        z = shift + (design(np.array([features(words_of(t or ""), whole)])) @ beta)[0]
+        out[i] = 1 / (1 + math.exp(-max(-30, min(30, z))))
+    return out

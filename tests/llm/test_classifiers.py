@@ -83,13 +83,26 @@ def test_accepted_keeps_the_columns(spark, odd_documents, no_documents):
     assert quality.accepted(no_documents, model, 0.0).count() == 0
 
 
-def test_folding_and_exceptions():
+def test_folding_and_exceptions(spark):
     assert toxicity.folded_words("id1ot і𝐝iot Idiоt pathet1c m0r0n!") == ["idiot"] * 3 + ["pathetic", "moron"]
     assert toxicity.folded_words("12 3x 4 a1") == ["x", "a"]
     toxic = [f"you idiot number {i} of them" for i in range(40)]
     clean = [f"the idiot light is on in car {i}" for i in range(40)] + [f"plain words here {i}" for i in range(400)]
-    model = toxicity.fit_texts({1: toxic, 0: clean}, {1: 40, 0: 440})
-    matcher = toxicity.Matcher(model)
+    docs = spark.createDataFrame(list(enumerate(toxic + clean)), "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i < 40)) for i in range(480)], "doc_id long, label int")
+    matcher = toxicity.Matcher(toxicity.fit(docs, marks))
     assert matcher.features("you id10t there")[0] > 0
     assert matcher.features("an idiot light")[0] == 0
     assert matcher.features("")[0] == 0
+
+
+def test_the_toxicity_query_equals_plain_python(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    want = brute.toxicity_scores(texts, used_marks(labels, "toxic", 5, 0), toxicity.folded_words)
+    found = op9_toxicity(spark, SF).collect()
+    assert {r["doc_id"] for r in found} == set(want)
+    for r in found:
+        assert r["score"] == pytest.approx(want[r["doc_id"]], abs=1e-9)
+        assert r["predicted"] == int(r["score"] >= 0.5)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
