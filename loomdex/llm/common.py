@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 #: Masters whose tasks run in the driver's process.
 LOCAL_MASTER = re.compile(r"local(\[[^\]]*\])?")
-#: Most files of a scratch table for each core.
-FILES_PER_CORE = 2
+#: Files of a scratch table for each core, and bytes of its input for each file; the greater number is the limit.
+FILES_PER_CORE, FILE_BYTES = 2, 32 << 20
 #: Keys that can be hot, the least rows of one, and the partitions its rows are dealt to.
 HOT_KEYS, HOT_ROWS, SALTS = 512, 10_000, 64
 #: Bytes of text that are handled at a time.
@@ -66,6 +66,13 @@ def scratch_scope() -> Iterator[None]:
             scratch.close()
 
 
+def bytes_read(frame: DataFrame) -> int:
+    """The size of the files that a frame is made of; what has no known size counts as nothing."""
+    leaves = frame._jdf.queryExecution().analyzed().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(size for size in sizes if size < 1 << 60)
+
+
 class Scratch:
     """Tables written under the shared folder, to cut lineage and to be read
     more than once.  A table survives lost executors; `drop` frees its space
@@ -80,12 +87,13 @@ class Scratch:
             made.append(self)
 
     def write(self, frame: DataFrame, name: str = "t") -> DataFrame:
-        """The frame as a table, in a few files for each core at most: many
-        small ones cost more to make, list and open than they hold."""
+        """The frame as a table.  Many small files cost more to make, list and
+        open than they hold, so there are no more than a few for each core, or
+        one for each FILE_BYTES that are read for it, if that is more."""
         self._count += 1
         path = f"{self.root}/{self._count:03d}_{name}"
-        most = FILES_PER_CORE * self.spark.sparkContext.defaultParallelism
-        frame.coalesce(most).write.parquet(path)
+        cores = self.spark.sparkContext.defaultParallelism
+        frame.coalesce(max(FILES_PER_CORE * cores, -(-bytes_read(frame) // FILE_BYTES))).write.parquet(path)
         kept = self.spark.read.schema(frame.schema).parquet(path)
         kept._loomdex_path = path
         self._there.add(path)
