@@ -3,11 +3,11 @@
 Unit vectors are rotated to the principal axes, which keeps every dot product
 and puts the largest coordinates first.  Rows are dealt into tiles along the
 first axis; two unit vectors with cosine c lie within sqrt(2 - 2c) on every
-axis, so only tiles with near intervals meet.  In a pair of tiles the leading
-coordinates are multiplied first; the rest of a product is at most the product
-of the two suffix norms, so pairs whose bound is below the threshold are left,
-and rows without any open pair are not carried on.  What stays open is
-decided by the cosine of the original vectors in double precision.
+axis, so only tiles with near intervals meet.  In a pair of tiles products are
+accumulated along the axes; the rest of a product is at most the product of
+the two suffix norms, so pairs whose bound is below the threshold are left
+after a few axes.  What stays open is decided by the cosine of the original
+vectors in double precision.
 
 A pair of tiles returns link counts of its rows and the edges of a spanning
 forest, not its links, so a large group of near copies stays linear in size.
@@ -15,8 +15,10 @@ Copies of a vector are one row that carries their number.
 
 Defined results: vectors that are null, zero or hold null or non-finite
 components link with nothing and are their own component, as are rows with a
-null id (whose component is null); vectors of different lengths never link;
-rows that repeat an id are copies, or further vectors, of one node.
+null id (whose component is null); vectors of different lengths never link; a
+cosine of exactly the threshold links; rows that repeat an id are copies, or
+further vectors, of one node; an empty table gives no rows; other columns,
+whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -31,14 +33,16 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, give_back, hot_join
 from .components import components
 from .vectors import distinct_vectors, matrix, unit, usable, usable_row
 
-#: Rows of a tile, leading coordinates of the two bounds, and the slack of single precision.
+#: Rows of a tile, the axes after which open pairs are told from others, and the slack of single precision.
 TILE = 4096
-LEADING = (16, 32)
+STOPS = (8, 16, 24, 32, 48)
 SLACK = 1e-5
+#: The share of open pairs from which a whole block is multiplied, and pairs that are decided at a time.
+DENSE, PAIRS = 0.02, 65_536
 #: Rows of a tile that are compared at a time.
 STRIP = 512
 NONE = np.iinfo(np.int32).max
@@ -52,6 +56,7 @@ def moments(vectors: DataFrame, dim: int) -> np.ndarray:
         for batch in batches:
             rows = unit(matrix(batch["v"]))
             total += rows.T @ rows
+        give_back()
         yield pd.DataFrame({"cell": np.arange(dim * dim), "value": total.ravel()})
 
     cells = vectors.select("v").mapInPandas(partial, "cell int, value double")
@@ -66,25 +71,44 @@ def principal_axes(total: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(axes[:, np.argsort(-values)])
 
 
-def open_pairs(a: np.ndarray, b: np.ndarray, lead: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Which rows of a and of b still have a pair that can reach the threshold
-    by their leading coordinates and suffix norms."""
-    bounded = [
-        np.c_[m[:, :lead], np.sqrt(np.maximum((m[:, lead:] ** 2).sum(1), 0))].astype(np.float32) for m in (a, b)
-    ]
-    rows, columns = np.zeros(len(a), bool), np.zeros(len(b), bool)
-    for i in range(0, len(a), STRIP):
-        reach = bounded[0][i : i + STRIP] @ bounded[1].T >= threshold - SLACK
-        rows[i : i + STRIP] = reach.any(1)
-        columns |= reach.any(0)
-    return rows, columns
-
-
-def linked(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
-    """The links of unit rows, in double precision, as a Boolean matrix."""
+def linked(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float) -> np.ndarray:
+    """The links of unit rows as a Boolean matrix.
+
+    A strip of a meets all of b.  Products are accumulated along the principal
+    axes, some at a time; what the rest can add is at most the product of the
+    two suffix norms, and a pair that cannot reach the threshold is left.  Rows
+    and columns without an open pair are not carried on.  Pairs that stay open
+    are decided by the products of the original rows in double precision."""
+    sides = []
+    for rows in (a, b):
+        turned = rows @ axes
+        rest = np.sqrt(np.maximum(np.cumsum((turned * turned)[:, ::-1], axis=1)[:, ::-1], 0.0))
+        sides.append((turned.astype(np.float32), rest.astype(np.float32)))
+    (turned_a, rest_a), (turned_b, rest_b) = sides
+    stops = [s for s in STOPS if s < axes.shape[1]]
     links = np.zeros((len(a), len(b)), bool)
-    for i in range(0, len(a), STRIP):
-        links[i : i + STRIP] = a[i : i + STRIP] @ b.T >= threshold
+    for start in range(0, len(a), STRIP):
+        rows, columns = np.arange(start, min(start + STRIP, len(a))), np.arange(len(b))
+        partial, is_open, done = np.zeros((len(rows), len(b)), np.float32), None, 0
+        for stop in stops:
+            partial += turned_a[rows, done:stop] @ turned_b[columns, done:stop].T
+            may = partial + rest_a[rows, stop, None] * rest_b[None, columns, stop] >= threshold - SLACK
+            is_open = may if is_open is None else is_open & may
+            held, across, done = is_open.any(1), is_open.any(0), stop
+            rows, columns = rows[held], columns[across]
+            is_open, partial = is_open[np.ix_(held, across)], partial[np.ix_(held, across)]
+            if not len(rows):
+                break
+        if not len(rows):
+            continue
+        if is_open is None or is_open.mean() > DENSE:
+            links[np.ix_(rows, columns)] = a[rows] @ b[columns].T >= threshold
+        else:
+            i, j = np.nonzero(is_open)
+            for k in range(0, len(i), PAIRS):
+                x, y = rows[i[k : k + PAIRS]], columns[j[k : k + PAIRS]]
+                near = np.einsum("ij,ij->i", a[x], b[y]) >= threshold
+                links[x[near], y[near]] = True
     return links
 
 
@@ -112,20 +136,16 @@ def compare_tiles(
     a: dict[str, np.ndarray], b: dict[str, np.ndarray], same: bool, axes: np.ndarray, threshold: float
 ) -> list[tuple[int, int | None, int | None]]:
     """(rep, links, edge to): link counts of rows and forest edges of a pair of tiles."""
-    tiles = []
-    for tile in (a, b):
-        rows = unit(tile["v"].astype(np.float64))
-        tiles.append((rows, rows @ axes, np.arange(len(rows))))
-    (ra, pa_, ia), (rb, pb, ib) = tiles
-    for lead in LEADING:
-        if lead < pa_.shape[1] and len(ia) and len(ib):
-            rows, columns = open_pairs(pa_[ia], pb[ib], lead, threshold)
-            ia, ib = ia[rows], ib[columns]
-    if not len(ia) or not len(ib):
+    ra, rb = (unit(tile["v"].astype(np.float64)) for tile in (a, b))
+    links = linked(ra, rb, axes, threshold)
+    if same:
+        np.fill_diagonal(links, False)
+    if not links.any():
         return []
-    links = linked(ra[ia], rb[ib], threshold)
+    ia, ib = np.flatnonzero(links.any(1)), np.flatnonzero(links.any(0))
     if same:
-        links[ia[:, None] == ib[None, :]] = False
+        ia = ib = np.union1d(ia, ib)
+    links = links[np.ix_(ia, ib)]
     out = []
     rep_a, rep_b = a["rep"][ia], b["rep"][ib]
     copies_a, copies_b = a["copies"][ia], b["copies"][ib]
@@ -230,11 +250,14 @@ def near_duplicates(
     reps = reps.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
     reps = reps.select(
         "v",
+        "copies",
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         F.coalesce("component", "rep").alias("component_id"),
     )
+    reps = scratch.write(reps, "reps")
     apart = frame.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).alias("v"))
-    sound = usable(apart, "id", "v").join(reps, "v").select("id", "n_links", "component_id")
+    # A vector that many rows share is a hot key.
+    sound = hot_join(usable(apart, "id", "v"), reps, "v", "copies", F.col("id")).select("id", "n_links", "component_id")
     none = F.col("id").isNull() | ~usable_row("v")
     rest = apart.where(none).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return sound.unionByName(rest).select(

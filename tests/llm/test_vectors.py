@@ -131,3 +131,24 @@ def test_repeated_rows_leave_room_for_other_ids(spark, scratch):
     found = ann.search(frame, frame.where("vec_id in (1, 5)"), 3, scratch).collect()
     nearest = {q: [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (1, 5)}
     assert nearest == {1: [2, 3, 5], 5: [1, 2, 3]}
+
+
+def test_a_cosine_at_the_threshold_links(spark, scratch):
+    """0.6, 0.8 and multiples of them are as exact as doubles are: their cosine with the axes is the threshold itself."""
+    rows = [(1, [1.0, 0.0], 0), (2, [0.8, 0.6], 0), (3, [1.6, 1.2], 0), (4, [0.6, 0.8], 0), (5, [0.0, -1.0], 0), (5, [0.0, -2.0], 0)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumns({c: F.lit("x") for c in CLASHING})
+    found = {r["vec_id"]: r for r in embed_dedup.near_duplicates(frame, 0.8, scratch).collect()}
+    assert [found[i]["n_links"] for i in (1, 2, 3, 4)] == [2, 3, 3, 2]
+    assert {found[i]["component_id"] for i in (1, 2, 3, 4)} == {1} and found[5]["component_id"] == 5
+
+
+def test_links_of_a_block_are_those_of_a_full_product(monkeypatch):
+    rng = np.random.default_rng(8)
+    centers = embed_dedup.unit(rng.normal(size=(40, 64)))
+    rows = embed_dedup.unit(centers[rng.integers(0, 40, 700)] + rng.normal(size=(700, 64)) * rng.choice([0.02, 0.06, 0.3], (700, 1)))
+    axes = embed_dedup.principal_axes(rows.T @ rows)
+    want = rows[:300] @ rows[300:].T >= 0.9
+    for dense in (-1.0, 2.0):
+        monkeypatch.setattr(embed_dedup, "DENSE", dense)
+        monkeypatch.setattr(embed_dedup, "STRIP", 64)
+        assert (embed_dedup.linked(rows[:300], rows[300:], axes, 0.9) == want).all() and want.any()
