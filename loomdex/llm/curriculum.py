@@ -17,9 +17,11 @@ buckets.  Only DataFrame operations are used.
 
 Defined results: a null text has size 0, and a document of size 0 is never
 taken; a null source is a source, the last in order; repeated rows are read as
-further documents; without any words every target is 0.  The stream holds
-each row of the documents, with a null or repeated id too, as often as it is
-read.
+further documents, and an id that very many rows share makes its bucket as
+large; rows with a null id are placed by their texts; without any words every
+target is 0; an empty table gives no rows; texts are counted whole.  The
+stream holds each row of the documents, with a null or repeated id too, as
+often as it is read, with all its columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -109,7 +111,8 @@ def mix(
             F.col(doc_id).alias("doc_id"),
             key_of(F.col(source)).alias("source_key"),
             size_of(F.col(text)).alias("size"),
-            F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).alias("key"),
+            # Rows without an id are told apart by their texts, so that they do not share one bucket.
+            F.md5(F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("\x00"), F.col(text)), F.lit(""))).alias("key"),
         ).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS)),
         "sized",
     )

@@ -22,8 +22,9 @@ Only (document, place) of lines that go are joined back to the documents.
 
 Defined results: null texts stay null; lines shorter than `min_chars` after
 trimming, blank ones too, always stay; rows with a null id take no part;
-repeated rows of one document are one document and stay alike; other columns
-are kept as they are.
+repeated rows of one document are one document and stay alike; lines and texts
+of any length are compared whole; an empty table gives no rows; other columns,
+whatever their names, are kept as they are.
 """
 
 from __future__ import annotations
