@@ -1,6 +1,15 @@
 """The corpus pipeline: quality, line dedup, near-duplicate documents, mixing
 and tokens.  Each stage takes (spark, docs, sf_dir) and returns a DataFrame that
-is written as Parquet and read again as the next stage's docs."""
+is written as Parquet and read again as the next stage's docs.
+
+Defined results: a document with a null or empty text passes the first three
+stages by the rules of their operators (its quality score is that of a
+difference of zero) and is never read in training, as it has no words; rows
+with a null id keep their lines and are no near duplicates of any; repeated
+rows stay together through the first three stages and are read each; no
+documents give no rows; other columns, whatever their names, pass unchanged up
+to the last stage.  Texts of any length are taken whole.
+"""
 
 from __future__ import annotations
 
