@@ -179,7 +179,7 @@ def pack_tiles(distinct: DataFrame, axes: np.ndarray, scratch: Scratch) -> DataF
     sizes = placed.groupBy("interval").agg(F.count("*").alias("rows"))
     # Equal places can fill an interval beyond a tile; such an interval becomes several tiles.
     parts = F.ceil(F.col("rows") / TILE)
-    dealt = placed.join(F.broadcast(sizes), "interval").withColumn(
+    dealt = hot_join(placed, sizes, "interval", "rows", F.col("rep")).withColumn(
         "part", F.pmod(F.xxhash64("rep", F.lit(3)), parts).cast("int")
     )
     tiles = dealt.groupBy("interval", "part").agg(

@@ -281,8 +281,8 @@ def near_groups(
     # Round 1: every member of a posting list against the list's pivot.
     member = F.struct((F.col("p") - F.col("live")).alias("alone"), "id", "n", "p")
     pivots = live.groupBy("token").agg(F.min(member).alias("pivot"), F.count("*").alias("size")).where("size > 1")
-    pivots = pivots.select("token", F.col("pivot.id").alias("b"), F.col("pivot.n").alias("n_b"), F.col("pivot.p").alias("p_b"))
-    met = side("a").join(pivots, "token").where(F.col("a") != F.col("b"))
+    pivots = pivots.select("token", "size", F.col("pivot.id").alias("b"), F.col("pivot.n").alias("n_b"), F.col("pivot.p").alias("p_b"))
+    met = hot_join(side("a"), scratch.write(pivots, "pivots"), "token", "size", F.col("a")).where(F.col("a") != F.col("b"))
     met = met.where(measure.sizes_fit(F.col("n_a"), F.col("n_b")))
     met = met.groupBy("a", "b", "n_a", "n_b", "p_a", "p_b").agg(F.count("*").alias("m")).where(enough(F.col("m"), measure))
     likeliest = Window.partitionBy("a").orderBy(F.desc("m"), "b")
