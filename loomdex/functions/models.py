@@ -58,7 +58,7 @@ class HashedEmbedding:
         out = np.zeros((len(texts), self.dimension))
         for row, text in zip(out, texts):
             for word in WORDS.findall(text.lower()):
-                h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+                h = int.from_bytes(hashlib.md5(word.encode()).digest()[:8], "little")
                 row[h % self.dimension] += 1 if h >> 63 else -1
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return (out / np.where(norms > 0, norms, 1)).tolist()

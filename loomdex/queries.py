@@ -8,6 +8,7 @@ assistant the model answers, and events the log of runs.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -669,12 +670,136 @@ def article_chunks(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "chunk", F.md5("text").alias("text_md5"))
 
 
+# Sources and sinks: what is written is read back.
+
+
+def workspace(spark: SparkSession, name: str) -> str:
+    """A new folder for what a query writes."""
+    folder = tables.shared_folder(spark)
+    if folder is None:
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{folder}/loomdex-{name}-{uuid.uuid4().hex}"
+
+
+@query(f"""with {ORDINALS}, {QUESTIONS}
+select ordinal, question, array_to_string(options, '|') as options, answer_index, answer from questions join ordered on item_id = query_id""")
+def question_file(spark: SparkSession, d: str) -> DataFrame:
+    """Questions saved as one JSON array and loaded again, in order; a question file is small."""
+    rows = questions(spark, d).orderBy("query_id").select(F.to_json(F.struct("question", "options", "answer_index", "answer")))
+    path = f"{workspace(spark, 'questions')}/questions.json"
+    tables.put_text(spark, path, "[" + ",\n".join(r[0] for r in rows.collect()) + "]")
+    loaded = tables.read_questions(spark, path)
+    return loaded.select("ordinal", "question", F.array_join("options", "|").alias("options"), "answer_index", "answer")
+
+
+@query("select count(*) as questions, cast(0 as bigint) as missing from benchmark")
+def question_file_missing(spark: SparkSession, d: str) -> DataFrame:
+    none = tables.read_questions(spark, workspace(spark, "none") + "/absent.json", missing_ok=True)
+    there = read(spark, d, "benchmark").agg(F.count("*").alias("questions"))
+    return there.crossJoin(F.broadcast(none.agg(F.count("*").alias("missing"))))  # two one-row counts
+
+
+@query(f"select corpus, count(*) as records, cast(sum(length(content)) as bigint) as chars from ({CORPORA}) group by corpus")
+def corpus_store(spark: SparkSession, d: str) -> DataFrame:
+    path = workspace(spark, "corpus")
+    tables.write_corpus(corpus.union({n: corpus.documents(f) for n, f in corpora(spark, d).items()}), path)
+    kept = tables.read_chunks(spark, path)
+    return kept.groupBy("corpus").agg(F.count("*").alias("records"), F.sum(F.length("content").cast("long")).alias("chars"))
+
+
+@query("""select doc_id, to_json({'lang': lang, 'n_chars': n_chars}) as nested, concat('["', lang, '","', source, '"]') as listed,
+  concat('[{"key":"lang","value":"', lang, '"},{"key":"source","value":"', source, '"}]') as mapped from documents where lang is not null and source is not null""")
+def metadata_values(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "documents").where("lang is not null and source is not null").select(
+        "doc_id", F.struct("lang", "n_chars").alias("nested"), F.array("lang", "source").alias("listed"),
+        F.create_map(F.lit("source"), "source", F.lit("lang"), "lang").alias("mapped"),
+    )
+    kinds = dict(rows.dtypes)
+    return rows.select("doc_id", *(corpus.normalized(F.col(c), kinds[c]).alias(c) for c in ("nested", "listed", "mapped")))
+
+
+@query("""with runs as (select event_type, count(*) as total, count_if(event_type = 'click' or event_id % 3 > 0) as processed, count_if(event_id % 2 = 0) as correct from events group by 1)
+select event_type as script_name, total as total_questions, processed as processed_questions, correct as correct_count from runs where processed < total""")
+def checkpoint_files(spark: SparkSession, d: str) -> DataFrame:
+    """A checkpoint and its backup for each event type, of which the unfinished are found."""
+    folder = workspace(spark, "checkpoints")
+    rows = read(spark, d, "events").groupBy("event_type").agg(
+        F.count("*").alias("total"), F.count_if((F.col("event_type") == "click") | (F.col("event_id") % 3 > 0)).alias("processed"),
+        F.count_if(F.col("event_id") % 2 == 0).alias("correct"),
+    ).collect()  # one row for each kind of event
+    for r in rows:
+        for done, correct in ((r["processed"] // 2, 0), (r["processed"], r["correct"])):
+            state = {"total_questions": r["total"], "processed_questions": done, "correct_count": correct}
+            tables.write_checkpoint(spark, folder, r["event_type"], **state)
+    # A script that is complete has a backup that is not: only what is newest counts for it.
+    tables.clear_checkpoint(spark, folder, "click")
+    found = caching.interrupted(tables.read_checkpoints(spark, folder, [r["event_type"] for r in rows]))
+    return found.select("script_name", "total_questions", "processed_questions", "correct_count")
+
+
+@query(f"""with {GRADED}, {STAGES} select cast(stage as varchar) as stage, total_questions, cast(correct as bigint) as correct, accuracy, 'completed' as status, false as live_left from stages""")
+def run_results(spark: SparkSession, d: str) -> DataFrame:
+    """Live and then final results of a run, read from its JSON file."""
+    files = tables.RunFiles(spark, workspace(spark, "run"), "graded answers", {"k": 3})
+    found = {f"stage_{r['stage']}": r.asDict() for r in stages(spark, d).collect()}  # one row for each stage
+    files.live(next(iter(found.values())))
+    files.final(found)
+    body = spark.read.json(files.paths("completed")[0], multiLine=True)
+    rows = F.explode(F.array(*(F.col(name) for name in found))).alias("s")
+    left = any(tables.exists(spark, p) for p in files.paths("running"))
+    out = body.select("status", rows).select(F.col("s.stage").cast("string").alias("stage"), "s.total_questions", "s.correct", "s.accuracy", "status")
+    return out.withColumn("live_left", F.lit(left))
+
+
+@query(f"""with {dense_sql('dense', 3)}, held as (select distinct md5(b.text) as k from dense h join documents using (doc_id) join benchmark b on b.item_id = h.query_id)
+select count(*) as total_questions, count(k) as processed_questions, count(k) as cached_count from benchmark b left join held on md5(b.text) = k""")
+def retrieval_store(spark: SparkSession, d: str) -> DataFrame:
+    """Totals of a second run over a cache that the first one filled."""
+    path, config = workspace(spark, "cache"), evaluation.EvaluationConfig(top_k=3)
+    rows = questions(spark, d).withColumn("ordinal", F.col("query_id")).drop("query_id")
+    hits = dense.topk(vectors(spark, d), query_vectors(spark, d), 3)
+    for _ in range(2):
+        totals = evaluation.retrieve_to_cache(rows, hits, read(spark, d, "documents"), path, config)
+    return totals
+
+
 # Model adapters with deterministic stand-ins.
 
+HEX = "0123456789abcdef"
+BYTE = f"((instr('{HEX}', substr(h, {{0}}, 1)) - 1) * 16 + instr('{HEX}', substr(h, {{0}} + 1, 1)) - 1)"
+
+#: The stand-in's vectors by cell: words add 1 or take 1 away at the place that their MD5 gives.
+EMBEDDED = rf"""hashed as (select doc_id, md5(w) as h from (select doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]+')) as w from documents)),
+cells as (select doc_id, {BYTE.format(1)} % 64 as i, sum(case when instr('89abcdef', substr(h, 15, 1)) > 0 then 1 else -1 end) as x from hashed group by all),
+sums as (select doc_id, count_if(x <> 0) as filled, sum((i + 1) * x) as weighed, sqrt(sum(x * x)) as norm from cells group by doc_id),
+embedded as (select doc_id, cast(coalesce(filled, 0) as int) as filled, round(case when norm > 0 then weighed / norm else 0.0 end, 6) + 0.0 as checksum from documents left join sums using (doc_id))"""
+
+
+def vector_digest(v: str) -> list:
+    """How many cells of a vector are not zero, and their sum weighed by place."""
+    weighed = F.aggregate(F.transform(v, lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return [F.size(F.filter(v, lambda x: x != 0)).alias("filled"), (F.round(weighed, 6) + 0.0).alias("checksum")]
+
 
-@query()
+@query(f"with {EMBEDDED} select doc_id, filled, checksum from embedded")
 def embed_stub(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").select("doc_id", models.embed_column("text").alias("v"))
+    rows = read(spark, d, "documents").select("doc_id", models.embed_column("text").alias("v"))
+    return rows.select("doc_id", *vector_digest("v"))
+
+
+@query(f"with {EMBEDDED} select doc_id, source, filled, checksum from embedded join documents using (doc_id)")
+def vector_store(spark: SparkSession, d: str) -> DataFrame:
+    """A vector index of half of the documents to which all are added, loaded again."""
+    path, docs = workspace(spark, "vectors"), read(spark, d, "documents")
+    evaluation.build_vector_index(docs.where("doc_id % 2 = 0"), path)
+    evaluation.append_to_vector_index(docs, path)
+    return evaluation.load_vector_index(spark, path, "hashed-embedding").select("doc_id", "source", *vector_digest("v"))
+
+
+@query(f"with {EMBEDDED} select (select count(*) from documents) as document_count, source, count(*) as documents, 'hashed-embedding' as embedding_model from documents group by source")
+def vector_store_metadata(spark: SparkSession, d: str) -> DataFrame:
+    meta = evaluation.build_vector_index(read(spark, d, "documents"), workspace(spark, "metadata"))
+    return meta.select("document_count", F.explode("sources").alias("source", "documents"), "embedding_model")
 
 
 WORD_SETS = r"list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+'))"
@@ -702,15 +827,11 @@ def llm_rewrite_stub(spark: SparkSession, d: str) -> DataFrame:
     return models.rewrite_queries(asked, "query", text.needs_model_rewrite("query")).select("conv_id", "turn", "rewritten")
 
 
-HEX = "0123456789abcdef"
-
-
 def answered_sql(name: str, context: str | None, contexts_name: str = "contexts") -> str:
     """The stand-in's answers: an option letter by the first byte of the prompt's MD5."""
-    digit = lambda i: f"(instr('{HEX}', substr(h, {i}, 1)) - 1)"
     source = "questions" if context is None else f"questions left join {contexts_name} using (query_id)"
     return f"""{name}_hashed as (select query_id, {LETTER} as correct_answer, md5({prompt_sql(context)}) as h from {source}),
-{name} as (select query_id, substr('ABCDE', cast(({digit(1)} * 16 + {digit(2)}) % 5 + 1 as int), 1) as predicted_answer, correct_answer from {name}_hashed)"""
+{name} as (select query_id, substr('ABCDE', cast({BYTE.format(1)} % 5 + 1 as int), 1) as predicted_answer, correct_answer from {name}_hashed)"""
 
 
 SAID = "select query_id, predicted_answer, coalesce(predicted_answer = correct_answer, false) as is_correct, concat('Answer: ', predicted_answer) as response from said"
@@ -729,6 +850,16 @@ def llm_norag_stub(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.without_retrieval(rows).select("query_id", "predicted_answer", "is_correct", "response")
 
 
+@query(f"with {QUESTIONS}, {answered_sql('said', None)} {SAID}")
+def resumed_run(spark: SparkSession, d: str) -> DataFrame:
+    """A run in batches that goes on where an earlier one of a third of the questions ended."""
+    rows = questions(spark, d).withColumn("ordinal", F.col("query_id")).drop("query_id")
+    path, seen = workspace(spark, "resumed"), []
+    evaluation.resume(rows.where("ordinal % 3 = 0"), path, evaluation.without_retrieval)
+    out = evaluation.resume(rows, path, evaluation.without_retrieval, batch=64, progress=lambda done, correct: seen.append(done))
+    return out.select("query_id", "predicted_answer", "is_correct", "response")
+
+
 def grid_sql(ks: tuple[int, ...]) -> str:
     parts = [f"{contexts_sql(f'contexts_{k}', k)}, {answered_sql(f'said_{k}', 'context', f'contexts_{k}')}" for k in ks]
     rows = " union all ".join(
