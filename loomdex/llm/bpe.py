@@ -27,7 +27,6 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +41,8 @@ from .common import map_rows
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WHITE_SPACE = "\t-\r \x85\xa0  -     　"
 
-#: Chunks whose ids a worker keeps during a task, beyond which it keeps those in use only, and from one task to the next.
-CACHE_CHUNKS, KEPT_CHUNKS = 400_000, 40_000
+#: Chunks whose ids are kept during a task, beyond which only those in use are.
+CACHE_CHUNKS = 400_000
 #: Pairs of tokens kept, whether one may follow the other, and further steps of the automaton.
 CACHE_PAIRS, CACHE_STEPS = 250_000, 150_000
 #: Length of a prefix, in bytes, up to which its ids are kept for the words that share it.
@@ -109,7 +108,6 @@ class TrieEncoder:
         self.whole: dict[int, bool] = {}
         self.pairs: dict[int, bool] = {}
         self.cache: dict[str, bytes] = {}
-        self.again: set[str] = set()
 
     def _read_merges(self, ids: dict[bytes, int], merges: list, as_bytes) -> None:
         """Ranks by pair (left << 32 | right); and of each token the rank that
@@ -299,8 +297,6 @@ class TrieEncoder:
     def learn(self, chunks: set[str]) -> None:
         """Adds chunks and their words to the cache, all new words in one walk."""
         missing = chunks.difference(self.cache)
-        if len(missing) < len(chunks):
-            self.again = chunks - missing
         if not missing:
             return
         if len(self.cache) + len(missing) > CACHE_CHUNKS:
@@ -318,14 +314,6 @@ class TrieEncoder:
             if len(parts) > 1:
                 cache[c] = b"".join([cache[w] for w in parts])
 
-    def release(self) -> None:
-        """Gives up most chunks at the end of a task, as a worker that waits
-        for other work must be small.  Those that were met again stay first."""
-        kept = list(islice(chain(self.again & self.cache.keys(), self.cache), KEPT_CHUNKS))
-        self.cache = {c: self.cache[c] for c in kept}
-        self.again = set()
-        self.pairs.clear()
-
     def pieces(self, text: str) -> Iterator[list[str] | int]:
         """Lists of chunks that are encoded independently, and special ids."""
         parts = self.special.split(text) if self.special and any(s in text for s in self.specials) else [text]
@@ -376,9 +364,11 @@ def pack(tokens: list[int]) -> bytes:
     return array("I", tokens).tobytes()
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder(spec: str) -> TrieEncoder:
-    """One encoder for each worker process and tokenizer file."""
+    """The encoder of a worker's task.  It is made anew for each task and given
+    up after it: that takes half a second, and a worker that waits for other
+    work does not hold a hundred megabytes."""
     return TrieEncoder(spec)
 
 
@@ -400,7 +390,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, keep: list[str], text
             for t, packed in zip(texts, tool.encode_batch(texts)):
                 yield len(packed) // 4, np.frombuffer(packed, np.int32), tool.decode(packed) == t
 
-        run.done = tool.release
+        run.done = encoder.cache_clear
         return run
 
     schema = pa.schema([("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("intact", pa.bool_())])
@@ -434,7 +424,7 @@ def digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                     hashlib.sha256(tool.decode(packed).encode()).hexdigest(),
                 )
 
-        run.done = tool.release
+        run.done = encoder.cache_clear
         return run
 
     schema = pa.schema([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
