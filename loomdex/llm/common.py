@@ -3,8 +3,10 @@ reading and Arrow batch plumbing."""
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -44,7 +46,9 @@ def shared_dir(spark: SparkSession) -> str:
         return own.get().rstrip("/")
     if not LOCAL_MASTER.fullmatch(spark.sparkContext.master):
         raise ValueError(f"{CHECKPOINT_KEY} must name a folder that driver and executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomdex-"))
+    made = tempfile.mkdtemp(prefix="loomdex-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(made)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
