@@ -290,9 +290,11 @@ def arguments(args: argparse.Namespace) -> dict[str, str]:
 
 def run_job(spark: SparkSession, args: argparse.Namespace) -> str:
     """Runs a job.  While a run of questions goes on, its checkpoint tells so; a
-    failure is noted in it, and the end clears it."""
+    failure is noted in it, and the end clears it.  A run that finds its
+    checkpoint goes on with the results that are there; any other starts anew."""
     followed = args.questions is not None
-    if followed:
+    if followed and not tables.exists(spark, tables.checkpoint_path(args.out, args.job)):
+        tables.remove(spark, f"{args.out}/results")
         tables.write_checkpoint(spark, args.out, args.job, total_questions=0, processed_questions=0, config=arguments(args))
     try:
         said = JOBS[args.job](spark, args)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import json
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
@@ -81,7 +83,9 @@ def shared_folder(spark: SparkSession) -> str | None:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = own.get() if own.isDefined() else None
     if not found and re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomdex-"))
+        made = tempfile.mkdtemp(prefix="loomdex-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(made)
         found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return found.rstrip("/") if found else None
 

@@ -75,6 +75,10 @@ def test_a_run_that_is_cut_off_goes_on(spark, files, monkeypatch):
     assert "evaluate-no-rag: 6/8" in said and "total_questions: 8" in said
     assert spark.read.parquet(f"{out}/results").count() == 8
     assert jobs.main(["resume", "--out", out], spark) == "no interrupted run"
+    # A run that ended is not gone on with: the next one starts anew.
+    (files / "fewer.json").write_text(json.dumps(json.loads((files / "q.json").read_text())[:2]))
+    again = jobs.main(["evaluate-no-rag", "--questions", str(files / "fewer.json"), "--out", out], spark)
+    assert "total_questions: 2" in again and spark.read.parquet(f"{out}/results").count() == 2
 
 
 def test_settings():
