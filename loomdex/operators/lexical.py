@@ -31,6 +31,7 @@ class LexicalIndex:
         the count of documents and the parameters.  Terms are counted from the
         written postings, so texts are tokenized once for them."""
         spark = self.stats.sparkSession
+        self.stats.limit(0).write.mode("overwrite").parquet(f"{path}/stats")  # what was there before does not fit any more
         self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
         stats = self.stats.withColumns({"k1": F.lit(float(k1)), "b": F.lit(float(b))})
         stats.write.mode("overwrite").parquet(f"{path}/stats-part")
