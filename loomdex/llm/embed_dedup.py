@@ -37,11 +37,11 @@ from .common import Scratch, give_back, hot_join
 from .components import components
 from .vectors import distinct_vectors, matrix, unit, usable, usable_row
 
-#: Rows of a tile, the axes after which open pairs are told from others, and the slack of single precision.
+#: Rows of a tile, the first axes that a strip is multiplied along, those added to open pairs at a time, and the slack of single precision.
 TILE = 4096
-STOPS = (8, 16, 24, 32, 48)
+LEAD, STEP = 16, 16
 SLACK = 1e-5
-#: The share of open pairs from which a whole block is multiplied, and pairs that are decided at a time.
+#: The share of open pairs from which a whole strip is multiplied, and pairs that are decided at a time.
 DENSE, PAIRS = 0.02, 65_536
 #: Rows of a tile that are compared at a time.
 STRIP = 512
@@ -74,41 +74,45 @@ def principal_axes(total: np.ndarray) -> np.ndarray:
 def linked(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float) -> np.ndarray:
     """The links of unit rows as a Boolean matrix.
 
-    A strip of a meets all of b.  Products are accumulated along the principal
-    axes, some at a time; what the rest can add is at most the product of the
-    two suffix norms, and a pair that cannot reach the threshold is left.  Rows
-    and columns without an open pair are not carried on.  Pairs that stay open
-    are decided by the products of the original rows in double precision."""
+    A strip of a meets all of b along the LEAD first axes; what the other axes
+    can add is at most the product of the two suffix norms, which takes part in
+    the same product as one more coordinate.  Pairs that can still reach the
+    threshold are carried on by themselves, some axes at a time, until their
+    bound is too low.  What stays open is decided by the product of the original
+    rows in double precision; so is a strip of which a great share stays open,
+    as a whole, without rows and columns that have no open pair."""
     sides = []
     for rows in (a, b):
         turned = rows @ axes
         rest = np.sqrt(np.maximum(np.cumsum((turned * turned)[:, ::-1], axis=1)[:, ::-1], 0.0))
         sides.append((turned.astype(np.float32), rest.astype(np.float32)))
     (turned_a, rest_a), (turned_b, rest_b) = sides
-    stops = [s for s in STOPS if s < axes.shape[1]]
     links = np.zeros((len(a), len(b)), bool)
+    if axes.shape[1] <= LEAD:
+        bounded_a, bounded_b = turned_a, turned_b
+    else:
+        bounded_a, bounded_b = (np.c_[t[:, :LEAD], r[:, LEAD]] for t, r in sides)
+    stops = [s for s in range(LEAD + STEP, axes.shape[1], STEP)]
     for start in range(0, len(a), STRIP):
-        rows, columns = np.arange(start, min(start + STRIP, len(a))), np.arange(len(b))
-        partial, is_open, done = np.zeros((len(rows), len(b)), np.float32), None, 0
-        for stop in stops:
-            partial += turned_a[rows, done:stop] @ turned_b[columns, done:stop].T
-            may = partial + rest_a[rows, stop, None] * rest_b[None, columns, stop] >= threshold - SLACK
-            is_open = may if is_open is None else is_open & may
-            held, across, done = is_open.any(1), is_open.any(0), stop
-            rows, columns = rows[held], columns[across]
-            is_open, partial = is_open[np.ix_(held, across)], partial[np.ix_(held, across)]
-            if not len(rows):
-                break
-        if not len(rows):
-            continue
-        if is_open is None or is_open.mean() > DENSE:
+        reach = bounded_a[start : start + STRIP] @ bounded_b.T
+        is_open = reach >= threshold - SLACK
+        count = np.count_nonzero(is_open)
+        if count > DENSE * is_open.size:
+            rows, columns = start + np.flatnonzero(is_open.any(1)), np.flatnonzero(is_open.any(0))
             links[np.ix_(rows, columns)] = a[rows] @ b[columns].T >= threshold
-        else:
-            i, j = np.nonzero(is_open)
-            for k in range(0, len(i), PAIRS):
-                x, y = rows[i[k : k + PAIRS]], columns[j[k : k + PAIRS]]
-                near = np.einsum("ij,ij->i", a[x], b[y]) >= threshold
-                links[x[near], y[near]] = True
+            continue
+        i, j = np.nonzero(is_open) if count else ((), ())
+        for k in range(0, count, PAIRS):
+            x, y = start + i[k : k + PAIRS], j[k : k + PAIRS]
+            if stops:
+                partial = reach[x - start, y] - rest_a[x, LEAD] * rest_b[y, LEAD]
+            done = LEAD
+            for stop in stops:
+                partial += np.einsum("ij,ij->i", turned_a[x, done:stop], turned_b[y, done:stop])
+                may = partial + rest_a[x, stop] * rest_b[y, stop] >= threshold - SLACK
+                x, y, partial, done = x[may], y[may], partial[may], stop
+            near = np.einsum("ij,ij->i", a[x], b[y]) >= threshold
+            links[x[near], y[near]] = True
     return links
 
 
