@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import tokenize
+from ..sources import tables
 
 K1, B = 1.5, 0.75
 #: Share of the mean idf that a negative idf becomes.
@@ -57,12 +59,23 @@ class LexicalIndex:
 
 
 def stored_index(docs: DataFrame, folder: str, k1: float = K1, b: float = B) -> LexicalIndex:
-    """The index of `docs` kept in a folder, built and written if it is not there or does not fit."""
-    spark = docs.sparkSession
-    found = LexicalIndex.read_if_valid(spark, folder, docs.count(), k1, b)
+    """The index of `docs` kept in a folder, built if it is not there or does
+    not fit.  A new one is written beside it and takes its name when it is
+    whole; if another run was first, that one's is taken."""
+    spark, count = docs.sparkSession, docs.count()
+    found = LexicalIndex.read_if_valid(spark, folder, count, k1, b)
+    if found is not None:
+        return found
+    fresh = f"{folder}.{uuid.uuid4().hex}"
+    build_index(docs).write(fresh, k1, b)
+    if LexicalIndex.read_if_valid(spark, folder, count, k1, b) is None:
+        tables.remove(spark, folder)
+        if tables.move(spark, fresh, folder):
+            return LexicalIndex.read(spark, folder)
+    found = LexicalIndex.read_if_valid(spark, folder, count, k1, b)
     if found is None:
-        build_index(docs).write(folder, k1, b)
-        found = LexicalIndex.read(spark, folder)
+        return LexicalIndex.read(spark, fresh)
+    tables.remove(spark, fresh)
     return found
 
 

@@ -75,6 +75,13 @@ def remove(spark: SparkSession, path: str) -> None:
     store.delete(target, True)
 
 
+def move(spark: SparkSession, source: str, target: str) -> bool:
+    """Gives a folder a name that is free; False if that fails, as when another run was first."""
+    store, old = _store(spark, source)
+    _, new = _store(spark, target)
+    return not store.exists(new) and store.rename(old, new)
+
+
 def shared_folder(spark: SparkSession) -> str | None:
     """The folder that driver and executors share; one of this machine where all
     tasks run in this process; None on a cluster without one."""
