@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, curriculum, embed_dedup, learn, license_scan, line_dedup, ngram_join, quality, secrets, sql, toxicity
+from . import ann, bpe, curriculum, embed_dedup, fill_middle, learn, license_scan, line_dedup, ngram_join, quality, secrets, sql, toxicity
 from .common import Scratch, table
 
 
@@ -56,6 +56,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_permutation_index": op1_permutation_index,
     "op2_quality": op2_quality,
@@ -67,6 +71,7 @@ QUERIES = {
     "op8_curriculum_mix": op8_curriculum_mix,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
+    "op11_fill_middle": op11_fill_middle,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_license_scan": sql.license_scan(
@@ -76,4 +81,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_line_dedup": sql.LINE_DEDUP,
     "op7_ngram_jaccard": sql.NGRAM_JACCARD,
     "op8_curriculum_mix": sql.CURRICULUM_MIX,
+    "op11_fill_middle": sql.FILL_IN_MIDDLE,
 }

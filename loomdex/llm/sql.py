@@ -72,6 +72,28 @@ select d.doc_id, cast(coalesce(len(d.lines), 0) as bigint) as n_lines, cast(coal
 from docs d left join gone g on d.doc_id = g.doc_id
 """
 
+FILL_IN_MIDDLE = r"""
+with units as (
+  select doc_id, coalesce(text, '') as text, sha256('42:' || coalesce(cast(doc_id as varchar), '')) as digest,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as u
+  from documents
+), drawn as (
+  select doc_id, text, u, len(u) as n, list_transform([1, 9, 17, 25], lambda i: cast('0x' || substring(digest, i, 8) as bigint)) as h from units
+), formed as (
+  select *, case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h[3] % 100 >= 50 then 'plain'
+      when h[4] % 100 < 80 then 'spm' else 'psm' end as form,
+    least(h[1] % (n + 1), h[2] % (n + 1)) as low, greatest(h[1] % (n + 1), h[2] % (n + 1)) as high
+  from drawn
+), parts as (
+  select doc_id, text, n, form, array_to_string(u[1:low], '') as p, array_to_string(u[low + 1:high], '') as m, array_to_string(u[high + 1:], '') as s
+  from formed
+)
+select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+  sha256(case form when 'psm' then concat('<P>', p, '<S>', s, '<M>', m) when 'spm' then concat('<S>', s, '<P>', p, '<M>', m) else text end) as output_sha256,
+  sha256(text) as restored_sha256
+from parts
+"""
+
 
 def license_scan(templates: list[tuple[str, str]], threshold: float, marker: str, token: str) -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
