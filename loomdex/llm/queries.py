@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, curriculum, embed_dedup, fill_middle, learn, license_scan, line_dedup, ngram_join, quality, secrets, spelling, sql, toxicity
+from . import ann, bpe, curriculum, embed_dedup, fill_middle, learn, license_scan, line_dedup, ngram_join, quality, secrets, spelling, sql, substring_dedup, toxicity
 from .common import Scratch, table
 
 
@@ -64,6 +64,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"), Scratch(spark, "spelling"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(table(spark, sf_dir, "documents"), 35, Scratch(spark, "substring"))
+
+
 QUERIES = {
     "op1_permutation_index": op1_permutation_index,
     "op2_quality": op2_quality,
@@ -77,6 +81,7 @@ QUERIES = {
     "op10_bpe": op10_bpe,
     "op11_fill_middle": op11_fill_middle,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_license_scan": sql.license_scan(
@@ -88,4 +93,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_curriculum_mix": sql.CURRICULUM_MIX,
     "op11_fill_middle": sql.FILL_IN_MIDDLE,
     "op12_spelling_variants": sql.SPELLING_VARIANTS,
+    "op13_substring_dedup": sql.SUBSTRING_DEDUP,
 }

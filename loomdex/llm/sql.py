@@ -134,6 +134,27 @@ with recursive crc_table as (
 select word, form, root, n, n_near, form_n from forms join roots using (word)
 """
 
+SUBSTRING_DEDUP = r"""
+with docs as (
+  select row_number() over () as id, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as w from documents
+), starts as (
+  select id, place, md5(array_to_string(w[place:place + 34], ' ')) as key
+  from (select id, w, unnest(range(1, len(w) - 33)) as place from docs where len(w) >= 35)
+), repeated as (
+  select id, place from starts qualify count(*) over (partition by key) > 1
+), words as (
+  select id, unnest(w) as word, unnest(range(1, len(w) + 1)) as place from docs
+), marked as (
+  select id, place, word, coalesce(place - max(r.start) over (partition by id order by place rows between unbounded preceding and current row) < 35, false) as gone
+  from words left join (select id, place, place as start from repeated) r using (id, place)
+), rest as (
+  select id, count(*) as n_words, count(*) filter (gone) as n_removed, coalesce(string_agg(word, ' ' order by place) filter (not gone), '') as kept
+  from marked group by id
+)
+select doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from docs left join rest using (id)
+"""
+
 
 def license_scan(templates: list[tuple[str, str]], threshold: float, marker: str, token: str) -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
