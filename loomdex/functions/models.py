@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import importlib
 import json
+import logging
 import random
 import re
 import time
@@ -21,6 +22,7 @@ from collections import deque
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from concurrent.futures import Future, ThreadPoolExecutor
 from functools import partial
+from importlib.util import find_spec
 from threading import BoundedSemaphore, Lock
 from typing import Protocol
 
@@ -34,6 +36,8 @@ from .text import ERROR_PREFIX, rewrite_prompt
 WORDS = re.compile(r"\w+")
 
 
+LOG = logging.getLogger(__name__)
+
 class EmbeddingModel(Protocol):
     dimension: int
 
@@ -149,6 +153,8 @@ RERANKER = "BAAI/bge-reranker-large"
 class SentenceEmbedding:
     """Unit vectors of a sentence-transformers model, by its name or a short one."""
 
+    library = "sentence_transformers"
+
     def __init__(self, model: str = "default", device: str = "auto", batch_size: int = 256):
         from sentence_transformers import SentenceTransformer
 
@@ -163,6 +169,8 @@ class SentenceEmbedding:
 class CrossEncoderPairs:
     """Scores of a sentence-transformers cross-encoder."""
 
+    library = "sentence_transformers"
+
     def __init__(self, model: str = RERANKER, device: str = "auto"):
         from sentence_transformers import CrossEncoder
 
@@ -211,11 +219,11 @@ def create(name: str | Maker):
 
 
 def pair_stats(model: str | Maker | None, top_k: int, device: str = "auto") -> dict[str, object]:
-    """What a reranking run uses, and whether its model can be made here."""
-    try:
-        available = model is not None and create(model) is not None
-    except Exception:  # noqa: BLE001
-        available = False
+    """What a reranking run uses, and whether its model can be made here: a
+    model of a library can where that is installed; it is not loaded for this."""
+    make = maker(model) if model is not None else None
+    needs = getattr(getattr(make, "func", make), "library", None)
+    available = make is not None and (needs is None or find_spec(needs) is not None)
     name = model if model is None or isinstance(model, str) else getattr(model, "__name__", type(model).__name__)
     return {"reranking": model is not None, "available": available, "model": name, "device": device_for(device), "top_k": top_k}
 
@@ -275,7 +283,8 @@ def embed_column(text: Column | str, model: str | Maker = "hashed-embedding") ->
 
 
 def score_pairs(query: Column | str, text: Column | str, model: str | Maker = "overlap-pairs") -> Column:
-    """The model's scores; null where it cannot be made or fails, so that the old order holds."""
+    """The model's scores; null where it cannot be made or fails, so that the old
+    order holds.  The failure goes to the task's log."""
     make = maker(model)
 
     @F.pandas_udf("double")
@@ -283,12 +292,15 @@ def score_pairs(query: Column | str, text: Column | str, model: str | Maker = "o
         try:
             own = make()
         except Exception:  # noqa: BLE001
+            LOG.exception("the reranking model cannot be made")
             own = None
         for q, t in batches:
+            found = [None] * len(q)
             try:
-                found = own.score(list(zip(q.fillna(""), t.fillna(""))))
+                if own is not None:
+                    found = own.score(list(zip(q.fillna(""), t.fillna(""))))
             except Exception:  # noqa: BLE001
-                found = [None] * len(q)
+                LOG.exception("the reranking model failed on %d pairs", len(q))
             yield pd.Series(found, index=q.index, dtype="float64")
 
     return once(run)(query, text)

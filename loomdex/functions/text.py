@@ -166,16 +166,24 @@ def needs_model_rewrite(
     )
 
 
-# The wording of the rewriting prompt.
-REWRITE_ROLE = "You are a query rewriting assistant. Your task is to rewrite medical questions to make them more suitable for retrieval."
-REWRITE_RULES = ["Keep the core meaning", "Expand medical terms", "Remove ambiguity", "Make it more specific and detailed"]
+# Fixed value: the wording of the rewriting prompt.
+REWRITE_PROMPT = """You are a query rewriting assistant. Your task is to rewrite medical questions to make them more suitable for retrieval.
+
+Guidelines:
+- Keep the core meaning
+- Expand medical terms
+- Remove ambiguity
+- Make it more specific and detailed
+
+Original question: {query}
+
+Rewritten question:"""
 
 
 def rewrite_prompt(query: Column | str) -> Column:
     """The prompt that asks a model to rewrite a query."""
-    rules = "\n".join(["Guidelines:", *(f"- {rule}" for rule in REWRITE_RULES)])
-    head = F.lit(f"{REWRITE_ROLE}\n\n{rules}\n\nOriginal question: ")
-    return F.concat(head, F.coalesce(_col(query), F.lit("")), F.lit("\n\nRewritten question:"))
+    head, tail = REWRITE_PROMPT.split("{query}")
+    return F.concat(F.lit(head), F.coalesce(_col(query), F.lit("")), F.lit(tail))
 
 
 def question_preview(text: Column | str, chars: int = 80) -> Column:

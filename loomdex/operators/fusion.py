@@ -41,10 +41,10 @@ def with_texts(hits: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: s
 
 
 def rerank(hits: DataFrame, k: int, score: str = "rerank_score") -> DataFrame:
-    """The k best by a reranker's score, ties in the old order; a query without
-    any score keeps its old order."""
-    asked = F.max(F.col(score)).over(Window.partitionBy("query_id"))
-    value = F.when(asked.isNotNull(), F.col(score))
-    held = hits.withColumn("_value", value)
-    order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("_value"), "rank")
+    """The k best by a reranker's score, ties in the old order; a query that
+    lacks a score of any of its hits keeps its old order as a whole."""
+    query = Window.partitionBy("query_id")
+    whole = F.count(F.col(score)).over(query) == F.count("*").over(query)
+    held = hits.withColumn("_value", F.when(whole, F.col(score)))
+    order = query.orderBy(F.desc_nulls_last("_value"), "rank")
     return held.withColumn("new_rank", F.row_number().over(order)).where(F.col("new_rank") <= k).drop("_value")

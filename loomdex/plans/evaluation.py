@@ -19,11 +19,12 @@ from .config import RERANKER_DEVICE, RERANKER_MODEL, REWRITE, CallSettings, Chat
 @dataclass(frozen=True)
 class EvaluationConfig:
     """Parameters of a run.  A model is a name or what makes it; nothing that
-    `shown` gives is a credential."""
+    `shown` gives is a credential.  Unless set, a hybrid search fuses down to
+    twice top_k and takes three times that of each list."""
 
     top_k: int = 3
-    search_k: int = 10
-    fetch_k: int = 30
+    search_k: int | None = None
+    fetch_k: int | None = None
     dense_weight: float = fusion.DENSE_WEIGHT
     rrf_k: int = fusion.RRF_K
     answer_model: str | models.Maker = "hashed-answers"
@@ -55,6 +56,14 @@ class EvaluationConfig:
             own["rerank_model"] = models.maker("cross-encoder", model=name, device=env.get(RERANKER_DEVICE, "auto"))
         return cls(**own | {k: v for k, v in given.items() if v is not None})
 
+    @property
+    def searched(self) -> int:
+        return self.search_k if self.search_k is not None else 2 * self.top_k
+
+    @property
+    def fetched(self) -> int:
+        return self.fetch_k if self.fetch_k is not None else 3 * self.searched
+
     def call_options(self) -> dict[str, object]:
         return {
             "requests_per_minute": self.calls.requests_per_minute,
@@ -67,7 +76,7 @@ class EvaluationConfig:
         """What a run's results tell of its parameters."""
         name = lambda m: m if m is None or isinstance(m, str) else getattr(getattr(m, "func", m), "__name__", "model")
         return {
-            "top_k": self.top_k, "search_k": self.search_k, "fetch_k": self.fetch_k, "dense_weight": self.dense_weight, "rrf_k": self.rrf_k,
+            "top_k": self.top_k, "search_k": self.searched, "fetch_k": self.fetched, "dense_weight": self.dense_weight, "rrf_k": self.rrf_k,
             "answer_model": name(self.answer_model), "llm_provider": self.chat.provider, "llm_model": self.chat.model,
             "temperature": self.chat.temperature, "enable_thinking": self.chat.enable_thinking,
             "rewrite_model": name(self.rewrite_model), "rewrite_mode": self.gate.mode,
@@ -83,12 +92,14 @@ def prepared(questions: DataFrame) -> DataFrame:
     )
 
 
+def rated(rows: DataFrame, config: EvaluationConfig) -> DataFrame:
+    """Rows whose calls share a limited rate, dealt to call_partitions tasks."""
+    return rows.repartition(config.call_partitions) if config.calls.requests_per_minute else rows
+
+
 def answered(prompts: DataFrame, config: EvaluationConfig) -> DataFrame:
-    """Graded answers.  A limited rate is shared by call_partitions tasks, so
-    the prompts are dealt to as many."""
-    if config.calls.requests_per_minute:
-        prompts = prompts.repartition(config.call_partitions)
-    said = prompts.withColumn("response", models.complete_column(F.col("prompt"), config.answer_model, **config.call_options()))
+    """Graded answers."""
+    said = rated(prompts, config).withColumn("response", models.complete_column(F.col("prompt"), config.answer_model, **config.call_options()))
     return grading.grade(said, strict=config.strict_errors)
 
 
@@ -112,28 +123,53 @@ def dense_hits(questions: DataFrame, vectors: DataFrame, query_vectors: DataFram
     return dense.topk(vectors, query_vectors.join(questions.select("query_id"), "query_id", "left_semi"), k)
 
 
+def rewritten_queries(questions: DataFrame, config: EvaluationConfig) -> DataFrame:
+    """(query_id, query): each question rewritten by the dictionaries and then,
+    where the question as it was asked passes the gate, by the model.  It calls
+    the model whenever it is evaluated, so it is to be written once a run."""
+    asked = questions.select("query_id", "question", text.dictionary_rewrite("question").alias("query"))
+    if not config.rewrite_model:
+        return asked.select("query_id", "query")
+    g = config.gate
+    gate = text.needs_model_rewrite("question", g.enabled, g.mode, g.max_chars, g.max_words)
+    said = models.rewrite_queries(rated(asked, config), "query", gate, config.rewrite_model, **config.call_options())
+    return said.select("query_id", F.col("rewritten").alias("query"))
+
+
 def hybrid_hits(
-    questions: DataFrame, docs: DataFrame, index: lexical.LexicalIndex, vectors: DataFrame, query_vectors: DataFrame, config: EvaluationConfig
+    queries: DataFrame, docs: DataFrame, index: lexical.LexicalIndex, vectors: DataFrame, query_vectors: DataFrame, config: EvaluationConfig
 ) -> DataFrame:
-    """Rewritten queries, both retrievals, fusion and reranking, down to top_k.
-    The prompt later takes the question as it was asked."""
-    asked = questions.withColumn("query", text.dictionary_rewrite("question"))
-    if config.rewrite_model:
-        g = config.gate
-        gate = text.needs_model_rewrite("query", g.enabled, g.mode, g.max_chars, g.max_words)
-        said = models.rewrite_queries(asked, "query", gate, config.rewrite_model, **config.call_options())
-        asked = said.drop("query").withColumnRenamed("rewritten", "query")
-    sparse = lexical.topk_padded(index, docs, asked, "query_id", "query", config.fetch_k)
-    near = dense_hits(questions, vectors, query_vectors, config.fetch_k)
-    fused = fusion.hybrid(near, sparse, config.search_k, config.dense_weight, config.rrf_k)
+    """Both retrievals of rewritten queries (query_id, query) and of their
+    vectors (query_id, q), fusion and reranking, down to top_k.  The prompt
+    later takes the question as it was asked."""
+    sparse = lexical.topk_padded(index, docs, queries, "query_id", "query", config.fetched)
+    near = dense_hits(queries, vectors, query_vectors, config.fetched)
+    fused = fusion.hybrid(near, sparse, config.searched, config.dense_weight, config.rrf_k)
     if not config.rerank_model:
         return fused.where(F.col("rank") <= config.top_k)
-    pairs = fusion.with_texts(fused, docs).join(asked.select("query_id", "query"), "query_id")
+    pairs = fusion.with_texts(fused, docs).join(queries.select("query_id", "query"), "query_id")
     scored = pairs.withColumn("rerank_score", models.score_pairs("query", "text", config.rerank_model))
     ranked = fusion.rerank(scored, config.top_k)
     return ranked.select("query_id", "doc_id", "score", F.col("new_rank").alias("rank"))
 
 
+def hybrid_retrieval(
+    questions: DataFrame, docs: DataFrame, index: lexical.LexicalIndex, vectors: DataFrame, model: str | models.Maker, path: str, config: EvaluationConfig
+) -> DataFrame:
+    """The hits of a whole run, kept at a path: queries are rewritten once and
+    written, so both searches, their vectors and the reranking see the same
+    text; hits are retrieved once, however many batches of answers follow.  What
+    is there already is taken as it is, so a run that was cut off goes on."""
+    spark = questions.sparkSession
+    if not tables.exists(spark, f"{path}/queries/_SUCCESS"):
+        rewritten_queries(prepared(questions), config).write.mode("overwrite").parquet(f"{path}/queries")
+    queries = spark.read.parquet(f"{path}/queries")
+    if not tables.exists(spark, f"{path}/hits/_SUCCESS"):
+        own = queries.select("query_id", models.embed_column("query", model).alias("q"))
+        hybrid_hits(queries, docs, index, vectors, own, config).write.mode("overwrite").parquet(f"{path}/hits")
+    return spark.read.parquet(f"{path}/hits")
+
+
 def with_retrieval(questions: DataFrame, hits: DataFrame, docs: DataFrame, config: EvaluationConfig = EvaluationConfig()) -> DataFrame:
     rows = prepared(questions).join(contexts(hits, docs), "query_id", "left")
     prompt = text.build_prompt("question", "options", text.render_contexts("contexts"))

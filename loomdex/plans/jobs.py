@@ -145,12 +145,18 @@ def add_documents(spark: SparkSession, args: argparse.Namespace) -> str:
     return f"{meta['document_count']} documents"
 
 
-def opened(spark: SparkSession, args: argparse.Namespace, questions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The documents, their vectors and the questions' vectors, by the model of the index."""
+def opened_index(spark: SparkSession, args: argparse.Namespace) -> tuple[DataFrame, DataFrame, str]:
+    """The documents, their vectors and the name of the model that made them."""
     docs = spark.read.parquet(f"{args.index}/documents")
     vectors = evaluation.load_vector_index(spark, f"{args.index}/vectors", args.embedding_model)
     recorded = evaluation.vector_metadata(spark, f"{args.index}/vectors").asDict()
     model = args.embedding_model or embedding_runtime(recorded, "hashed-embedding")["model"]
+    return docs, vectors, model
+
+
+def opened(spark: SparkSession, args: argparse.Namespace, questions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents, their vectors and the questions' vectors, by the model of the index."""
+    docs, vectors, model = opened_index(spark, args)
     own = evaluation.prepared(questions)
     return docs, vectors, own.select("query_id", models.embed_column("question", model).alias("q"))
 
@@ -200,13 +206,9 @@ def evaluate_hybrid_rag(spark: SparkSession, args: argparse.Namespace) -> str:
     """Hybrid retrieval with rewriting and reranking; a run that was cut off goes on."""
     config = configured(args, True, top_k=args.top_k or 5)
     rows, index = asked(spark, args, "test"), lexical_index(spark, args)
-
-    def run(rest: DataFrame) -> DataFrame:
-        docs, vectors, own = opened(spark, args, rest)
-        hits = evaluation.hybrid_hits(evaluation.prepared(rest), docs, index, vectors, own, config)
-        return evaluation.with_retrieval(rest, hits, docs, config)
-
-    stage = tracked(spark, args, config, rows, run)
+    docs, vectors, model = opened_index(spark, args)
+    hits = evaluation.hybrid_retrieval(rows, docs, index, vectors, model, f"{args.out}/retrieval", config)
+    stage = tracked(spark, args, config, rows, lambda rest: evaluation.with_retrieval(rest, hits, docs, config))
     return finish(spark, args, {"test_set_evaluation": stage}, config)
 
 
@@ -294,7 +296,8 @@ def run_job(spark: SparkSession, args: argparse.Namespace) -> str:
     checkpoint goes on with the results that are there; any other starts anew."""
     followed = args.questions is not None
     if followed and not tables.exists(spark, tables.checkpoint_path(args.out, args.job)):
-        tables.remove(spark, f"{args.out}/results")
+        for part in ("results", "retrieval"):
+            tables.remove(spark, f"{args.out}/{part}")
         tables.write_checkpoint(spark, args.out, args.job, total_questions=0, processed_questions=0, config=arguments(args))
     try:
         said = JOBS[args.job](spark, args)

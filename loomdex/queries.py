@@ -122,7 +122,13 @@ def graded(spark: SparkSession, d: str) -> DataFrame:
 
 # Tokens and BM25.
 
-BM25 = r"""words as materialized (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') as w from documents),
+TOKENS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
+QUESTION_TEXTS = "select item_id as query_id, text as query from benchmark"
+
+
+def bm25_sql(queries: str = QUESTION_TEXTS) -> str:
+    """Scores of all documents that share a term with one of the queries (query_id, query)."""
+    return f"""words as materialized (select doc_id, {TOKENS.format("coalesce(text, '')")} as w from documents),
 lens as (select doc_id, len(w) as dl from words),
 stats as (select count(*) as n, avg(dl) as avgdl from lens),
 postings as materialized (select doc_id, term, count(*) as tf from (select doc_id, unnest(w) as term from words) group by all),
@@ -130,16 +136,22 @@ df as (select term, count(*) as df from postings group by term),
 raw as materialized (select term, df, ln(n - df + 0.5) - ln(df + 0.5) as raw from df, stats),
 mean as materialized (select avg(raw) as mean_idf from raw),
 terms as (select term, df, case when raw < 0 then 0.25 * mean_idf else raw end as idf from raw, mean),
-asked as (select query_id, term, count(*) as qtf from (
-  select item_id as query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) as term from benchmark) group by all),
+queried as materialized ({queries}),
+asked as (select query_id, term, count(*) as qtf from (select query_id, unnest({TOKENS.format("query")}) as term from queried) group by all),
 bm25 as (select query_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) as score
   from asked join terms using (term) join postings using (term) join lens using (doc_id), stats group by all)"""
 
-PADDED = f"""{BM25}, padded as (
+
+def padded_sql(k: int, queries: str = QUESTION_TEXTS) -> str:
+    """The k best of each query, filled up with documents of score 0."""
+    return f"""{bm25_sql(queries)}, padded as (
   select query_id, doc_id, sum(score) as score from (
     select * from bm25 union all
-    select item_id, doc_id, 0.0 from benchmark, (select doc_id from documents order by doc_id limit {FETCHED})) group by all),
-sparse as (select * from (select *, cast(row_number() over (partition by query_id order by score desc, doc_id) as int) as rank from padded) where rank <= {FETCHED})"""
+    select query_id, doc_id, 0.0 from queried, (select doc_id from documents order by doc_id limit {k})) group by all),
+sparse as (select * from (select *, cast(row_number() over (partition by query_id order by score desc, doc_id) as int) as rank from padded) where rank <= {k})"""
+
+
+BM25, PADDED = bm25_sql(), padded_sql(FETCHED)
 
 
 @query(r"select doc_id, cast(len(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) as int) as tokens, "
@@ -236,6 +248,18 @@ def rerank_fallback(spark: SparkSession, d: str) -> DataFrame:
     return fusion.rerank(hits, 5).select("query_id", "doc_id", "new_rank")
 
 
+@query(f"""with {RRF}, scored as (
+  select *, case when query_id % 3 = 0 then null when query_id % 3 = 1 and rank % 4 = 2 then null else (rank * 7) % 10 end as score_2 from hybrid),
+whole as (select *, count(score_2) over (partition by query_id) = count(*) over (partition by query_id) as whole from scored)
+select query_id, doc_id, new_rank from (
+  select *, cast(row_number() over (partition by query_id order by case when whole then score_2 end desc nulls last, rank) as int) as new_rank from whole) where new_rank <= 5""")
+def rerank_partial_failure(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of all candidates of a query, of some and of none: only the first kind is reranked."""
+    hits, q, rank = hybrid_rows(spark, d), F.col("query_id") % 3, F.col("rank")
+    score = F.when((q == 2) | ((q == 1) & (rank % 4 != 2)), ((rank * 7) % 10).cast("double"))
+    return fusion.rerank(hits.withColumn("rerank_score", score), 5).select("query_id", "doc_id", "new_rank")
+
+
 @query(f"""with {RRF}, scored as (
   select h.query_id, h.doc_id, h.rank,
     len(list_intersect(list_distinct(regexp_extract_all(lower(b.text), '[\\p{{L}}\\p{{N}}_]+')), list_distinct(regexp_extract_all(lower(t.text), '[\\p{{L}}\\p{{N}}_]+')))) as shared
@@ -875,3 +899,43 @@ def grid_search_stub(spark: SparkSession, d: str) -> DataFrame:
     rows = questions(spark, d).withColumn("ordinal", F.col("query_id")).drop("query_id")
     found = evaluation.grid_search(rows, hybrid_rows(spark, d), read(spark, d, "documents"), list(KS[:3]))
     return grading.best_k(found, "accuracy", "place").select("k", "total_questions", "correct", "accuracy")
+
+
+#: User turns as questions: rewritten by the dictionaries, and where the turn passes the gate by the stand-in, which collapses white space.
+REWRITTEN = rf"""{ASKED.replace("asked as (", "turns as (", 1)}, texts as (select conv_id * 1000 + turn as query_id, query as question, query from turns),
+one as (select query_id, question, {ABBREVIATED} as query from texts), two as (select query_id, question, {SYNONYMOUS} as query from one),
+three as (select query_id, regexp_replace(question, '^{SPACE}+|{SPACE}+$', '', 'g') as q, {chained_sql('query', FULL_CHINESE, False)} as query from two),
+gated as (select query_id, query, case when q = '' then false when regexp_matches(q, '[\x{{4e00}}-\x{{9fff}}]') then true
+  when regexp_matches(lower(q), '(^|[^\p{{L}}\p{{N}}_])({"|".join(k for k, _ in dictionary.ABBREVIATIONS)})([^\p{{L}}\p{{N}}_]|$)') then true
+  when length(q) > 160 then false when len(regexp_split_to_array(q, '{SPACE}+')) > 24 then false else true end as needed from three),
+rewritten as (select query_id, case when needed then regexp_replace(regexp_replace(query, '^{SPACE}+|{SPACE}+$', '', 'g'), '{SPACE}+', ' ', 'g') else query end as query from gated)"""
+
+#: Cosines of the stand-in's vectors of documents and of rewritten queries.
+NEAR_REWRITTEN = rf"""hashed as (select kind, id, md5(w) as h from (
+    select 0 as kind, doc_id as id, unnest({TOKENS.format("coalesce(text, '')")}) as w from documents
+    union all select 1, query_id, unnest({TOKENS.format("query")}) from rewritten)),
+cells as materialized (select * from (select kind, id, {BYTE.format(1)} % 64 as i, sum(case when instr('89abcdef', substr(h, 15, 1)) > 0 then 1 else -1 end) as x from hashed group by all) where x <> 0),
+norms as (select kind, id, sqrt(sum(x * x)) as norm from cells group by all),
+dots as (select q.id as query_id, c.id as doc_id, sum(q.x * c.x) as dot from cells q join cells c on q.kind = 1 and c.kind = 0 and q.i = c.i group by all),
+cosines as (select r.query_id, c.doc_id, round(coalesce(dot / (a.norm * b.norm), 0.0), 6) + 0.0 as score
+  from rewritten r cross join documents c left join dots d on d.query_id = r.query_id and d.doc_id = c.doc_id
+  left join norms a on a.kind = 1 and a.id = r.query_id left join norms b on b.kind = 0 and b.id = c.doc_id),
+dense as (select * from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from cosines) where rank <= {FETCHED})"""
+
+
+@query(f"""with {REWRITTEN}, {padded_sql(FETCHED, "select query_id, query from rewritten")}, {NEAR_REWRITTEN},
+fused as (select query_id, doc_id, round(sum(part), 9) as score from (
+  select query_id, doc_id, 0.5 / (60 + rank) as part from dense union all select query_id, doc_id, 0.5 / (60 + rank) from sparse) group by all),
+hybrid as (select * from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from fused) where rank <= {RETRIEVED}),
+pairs as (select h.query_id, h.doc_id, h.rank, h.score, {WORD_SETS.format('r.query')} as q, {WORD_SETS.format('t.text')} as t
+  from hybrid h join documents t using (doc_id) join rewritten r using (query_id)),
+scored as (select *, case when len(q) > 0 then len(list_intersect(q, t)) / len(q) else 0.0 end as shared from pairs)
+select query_id, doc_id, score, rank from (
+  select query_id, doc_id, score, cast(row_number() over (partition by query_id order by shared desc, rank) as int) as rank from scored) where rank <= 5""")
+def hybrid_rewritten(spark: SparkSession, d: str) -> DataFrame:
+    """A whole hybrid retrieval: rewritten queries for both searches and the reranker, the gate on the turn as it was said."""
+    docs, config = read(spark, d, "documents"), evaluation.EvaluationConfig(top_k=5, rewrite_model="echo-rewrite", rerank_model="overlap-pairs")
+    turns = asked_queries(spark, d).select((F.col("conv_id") * 1000 + F.col("turn")).alias("ordinal"), F.col("query").alias("question"))
+    turns = turns.withColumns({"answer_index": F.lit(0), "answer": F.lit("")})
+    vectors_of_docs = evaluation.vector_rows(docs, "hashed-embedding").select("doc_id", "v")
+    return evaluation.hybrid_retrieval(turns, docs, index(spark, d), vectors_of_docs, "hashed-embedding", workspace(spark, "hybrid"), config)

@@ -57,9 +57,12 @@ def test_works_without_the_training_data_part(tmp_path, gone):
     shutil.copytree(REPO, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache"))
     for name in gone:
         (shutil.rmtree if (copy / name).is_dir() else os.remove)(copy / name)
-    env = os.environ | {"PYTHONPATH": str(copy)}
+    others = [x for x in os.environ.get("PYTHONPATH", "").split(os.pathsep) if x and os.path.realpath(x) != os.path.realpath(REPO)]
+    env = os.environ | {"PYTHONPATH": os.pathsep.join([str(copy), *others])}
     code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), [n for n in e.queries() if n.startswith('op') or n == 'pipeline'])"
     said = subprocess.run([sys.executable, "-c", code], cwd=copy, env=env, capture_output=True, text=True)
     assert said.stdout.split() == [str(len(queries.QUERIES)), str(len(queries.SQL)), "[]"], said.stderr
     said = subprocess.run([sys.executable, "-m", "pytest", "--collect-only", "-q", "tests"], cwd=copy, env=env, capture_output=True, text=True)
     assert said.returncode == 0 and "test_entry.py" in said.stdout, said.stdout
+    said = subprocess.run([sys.executable, "-m", "pytest", "-q", "tests/test_text.py"], cwd=copy, env=env, capture_output=True, text=True)
+    assert said.returncode == 0, said.stdout

@@ -1,4 +1,5 @@
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -164,18 +165,67 @@ def test_resume_equals_one_shot(spark, questions, tmp_path):
     assert sorted(evaluation.resume(questions, path, run).collect()) == sorted(run(questions).collect())
 
 
-def test_hybrid_evaluation(spark, docs, questions):
-    asked = evaluation.prepared(questions)
-    vectors = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)], "doc_id long, v array<float>")
-    own = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "query_id long, q array<float>")
+class CountedRewrites:
+    """Answers with its prompt's question, and notes each call in a file."""
+
+    folder = ""
+
+    def complete(self, prompts):
+        for prompt in prompts:
+            with open(f"{self.folder}/{uuid.uuid4().hex}", "w") as f:
+                f.write(prompt)
+        return [f"{p} rewritten" for p in prompts]
+
+
+def test_hybrid_evaluation(spark, docs, questions, tmp_path):
+    vectors = evaluation.vector_rows(docs.fillna("").withColumn("source", F.lit("s")), "hashed-embedding").select("doc_id", "v")
     config = evaluation.EvaluationConfig(top_k=2, rewrite_model="echo-rewrite", rerank_model="overlap-pairs")
     filled = docs.fillna("")
-    found = evaluation.hybrid_hits(asked, filled, lexical.build_index(filled), vectors, own, config)
+    found = evaluation.hybrid_retrieval(questions, filled, lexical.build_index(filled), vectors, "hashed-embedding", str(tmp_path / "run"), config)
     assert {r["query_id"]: r["count"] for r in found.groupBy("query_id").count().collect()} == {0: 2, 1: 2}
     assert evaluation.with_retrieval(questions, found, filled, config).count() == 2
     assert evaluation.grid_search(questions, found, filled, [1, 2]).count() == 2
 
 
+def test_k_of_a_search_follows_top_k():
+    config = evaluation.EvaluationConfig(top_k=15)
+    assert (config.searched, config.fetched) == (30, 90)
+    assert (evaluation.EvaluationConfig(search_k=7).searched, evaluation.EvaluationConfig(search_k=7, fetch_k=9).fetched) == (7, 9)
+
+
+def test_one_rewriting_call_a_query_and_the_gate_sees_the_question(spark, docs, tmp_path):
+    """The dictionaries lengthen the first ten questions beyond the gate's limit
+    of characters, so a gate on what they make would let none of those pass."""
+    (tmp_path / "calls").mkdir()
+    folder = str(tmp_path / "calls")
+
+    def make():
+        own = CountedRewrites()
+        own.folder = folder
+        return own
+
+    make.takes_query = True
+    short, long = "heart attack " * 11, "word " * 60
+    rows = [(i, f"{short}{i}" if i < 10 else f"{long}{i}" if i >= 20 else f"plain {i}", [], 0, "") for i in range(25)]
+    asked = spark.createDataFrame(rows, "ordinal long, question string, options array<string>, answer_index int, answer string")
+    filled = docs.fillna("")
+    vectors = evaluation.vector_rows(filled.withColumn("source", F.lit("s")), "hashed-embedding").select("doc_id", "v")
+    config = evaluation.EvaluationConfig(top_k=2, rewrite_model=make, rerank_model="overlap-pairs")
+    for _ in range(2):  # what is there is not retrieved again
+        hits = evaluation.hybrid_retrieval(asked, filled, lexical.build_index(filled), vectors, "hashed-embedding", str(tmp_path / "run"), config)
+        assert evaluation.with_retrieval(asked, hits, filled, config).count() == 25
+    assert len(list((tmp_path / "calls").iterdir())) == 20
+    queries = {r["query_id"]: r["query"] for r in spark.read.parquet(str(tmp_path / "run/queries")).collect()}
+    assert all(q.endswith(" rewritten") == (i < 20) for i, q in queries.items()) and "myocardial" in queries[0]
+
+
+def test_a_partly_failed_reranking_keeps_the_old_order(spark):
+    rows = [(q, 10 * q + r, r, s) for q, scores in enumerate([[0.3, 0.1, 0.9], [None, 0.1, 0.9], [None, None, None]]) for r, s in enumerate(scores, 1)]
+    hits = spark.createDataFrame(rows, "query_id long, doc_id long, rank int, rerank_score double")
+    found = {(r["query_id"], r["new_rank"]): r["rank"] for r in fusion.rerank(hits, 3).collect()}
+    assert [[found[q, r] for r in (1, 2, 3)] for q in range(3)] == [[3, 1, 2], [1, 2, 3], [1, 2, 3]]
+
+
 def test_vector_index(spark, docs, tmp_path):
     named = docs.withColumn("source", F.lit("s"))
     meta = evaluation.build_vector_index(named, str(tmp_path)).first()
