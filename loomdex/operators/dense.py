@@ -92,6 +92,10 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int, measure: str = "cosine"
     if not parts:
         return spark.createDataFrame([], "query_id long, doc_id long, score double, rank int")
     # Adding 0 makes a negative zero positive, so equal scores are equal bits.
-    scored = reduce(DataFrame.unionByName, parts).withColumn("score", F.round("score", DIGITS) + 0.0)
+    return ranked(reduce(DataFrame.unionByName, parts).withColumn("score", F.round("score", DIGITS) + 0.0), k, measure)
+
+
+def ranked(scored: DataFrame, k: int, measure: str) -> DataFrame:
+    """The k best of each query with their rank; ties go to the smaller doc_id."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score") if measure == "cosine" else F.asc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

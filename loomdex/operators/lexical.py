@@ -1,94 +1,53 @@
-"""BM25 over an inverted index kept as tables: postings, documents and terms."""
+"""BM25 rankings over a stored index of segments, or over one made on the way."""
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import tokenize
-from ..sources import tables
+from .segments import SegmentedIndex, postings_of
 
 K1, B = 1.5, 0.75
 #: Share of the mean idf that a negative idf becomes.
 EPSILON = 0.25
-#: Most (query, term) pairs that are broadcast.
-BROADCAST_TERMS = 200_000
 
 
 @dataclass
 class LexicalIndex:
-    """postings (doc_id, term, tf, dl), terms (term, df, idf) and stats (n, avgdl)."""
+    """An index that is not stored: postings (doc_id, term, tf, dl), terms (term, df, idf) and stats (n, avgdl)."""
 
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
 
-    def write(self, path: str, k1: float = K1, b: float = B) -> None:
-        """As tables, postings sorted by term, and what tells whether they fit:
-        the count of documents and the parameters.  Terms are counted from the
-        written postings, so texts are tokenized once for them."""
-        spark = self.stats.sparkSession
-        self.stats.limit(0).write.mode("overwrite").parquet(f"{path}/stats")  # what was there before does not fit any more
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-        stats = self.stats.withColumns({"k1": F.lit(float(k1)), "b": F.lit(float(b))})
-        stats.write.mode("overwrite").parquet(f"{path}/stats-part")
-        stats = spark.read.parquet(f"{path}/stats-part")
-        weights(spark.read.parquet(f"{path}/postings"), stats).write.mode("overwrite").parquet(f"{path}/terms")
-        stats.write.mode("overwrite").parquet(f"{path}/stats")  # the last one: without it the index does not fit
-
-    @classmethod
-    def read(cls, spark, path: str) -> LexicalIndex:
-        return cls(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "terms", "stats")))
-
-    @classmethod
-    def read_if_valid(cls, spark, path: str, documents: int, k1: float = K1, b: float = B) -> LexicalIndex | None:
-        """The index at a path if it is whole and made of so many documents with
-        these parameters, else None."""
-        try:
-            known = spark.read.parquet(f"{path}/stats").first()
-            if (known["n"], known["k1"], known["b"]) != (documents, k1, b):
-                return None
-            return cls.read(spark, path)
-        except (AnalysisException, ValueError, TypeError):
-            return None
-
-
-def stored_index(docs: DataFrame, folder: str, k1: float = K1, b: float = B) -> LexicalIndex:
-    """The index of `docs` kept in a folder, built if it is not there or does
-    not fit.  A new one is written beside it and takes its name when it is
-    whole; if another run was first, that one's is taken."""
-    spark, count = docs.sparkSession, docs.count()
-    found = LexicalIndex.read_if_valid(spark, folder, count, k1, b)
-    if found is not None:
+    def hits(self, queries: DataFrame, query_id: str, text: str, k: int, also: DataFrame | None = None) -> tuple[DataFrame, None]:
+        """The scores of all documents that share a term with a query."""
+        return scores(self, queries, query_id, text), None
+
+
+Index = LexicalIndex | SegmentedIndex
+
+
+def stored_index(docs: DataFrame, folder: str, k1: float = K1, b: float = B) -> SegmentedIndex:
+    """The index of `docs` kept in a folder; a new version of all documents if
+    it is not there, or is of another number of documents or other parameters."""
+    found = SegmentedIndex.open(docs.sparkSession, folder)
+    if found is not None and (found.documents, found.k1, found.b) == (docs.count(), k1, b):
         return found
-    fresh = f"{folder}.{uuid.uuid4().hex}"
-    build_index(docs).write(fresh, k1, b)
-    if LexicalIndex.read_if_valid(spark, folder, count, k1, b) is None:
-        tables.remove(spark, folder)
-        if tables.move(spark, fresh, folder):
-            return LexicalIndex.read(spark, folder)
-    found = LexicalIndex.read_if_valid(spark, folder, count, k1, b)
-    if found is None:
-        return LexicalIndex.read(spark, fresh)
-    tables.remove(spark, fresh)
-    return found
+    return SegmentedIndex.build(docs, folder, k1, b)
 
 
 def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> LexicalIndex:
     """The index of all documents; one without words has no postings but counts
     for the mean length."""
-    words = docs.select(F.col(doc_id).alias("doc_id"), tokenize(F.coalesce(F.col(text), F.lit(""))).alias("words"))
-    words = words.withColumn("dl", F.size("words").cast("long"))
-    # An outer explode: for an inner one, a filter is inferred that tokenizes every text again.
-    # tf is counted within the partition that holds the document, before the exchange.
-    postings = words.select("doc_id", "dl", F.explode_outer("words").alias("term")).where("term is not null")
-    postings = postings.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    stats = words.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    postings = postings_of(docs, doc_id, text)
+    words = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words"))
+    stats = docs.agg(F.count("*").alias("n")).crossJoin(F.broadcast(words))  # two one-row counts
+    stats = stats.select("n", (F.col("words") / F.greatest("n", F.lit(1))).alias("avgdl"))
     return LexicalIndex(postings, weights(postings, stats), stats)
 
 
@@ -107,10 +66,7 @@ def scores(index: LexicalIndex, queries: DataFrame, query_id: str, text: str, k1
     a term counts as often as the query has it."""
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode_outer(tokenize(text)).alias("term"))
     asked = asked.where("term is not null").groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    # Few asked terms are broadcast, so postings stay where they are, however frequent a term is.
-    few = asked.count() <= BROADCAST_TERMS
-    asked = asked.join(index.terms, "term") if not few else index.terms.join(F.broadcast(asked), "term")
-    met = index.postings.join(F.broadcast(asked) if few else asked, "term").crossJoin(F.broadcast(index.stats.select("avgdl")))
+    met = index.postings.join(asked.join(index.terms, "term"), "term").crossJoin(F.broadcast(index.stats.select("avgdl")))
     norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / norm
     return met.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
@@ -122,17 +78,17 @@ def ranked(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def topk(index: LexicalIndex, queries: DataFrame, query_id: str, text: str, k: int) -> DataFrame:
+def topk(index: Index, queries: DataFrame, query_id: str, text: str, k: int) -> DataFrame:
     """The k best documents that share a term with the query."""
-    return ranked(scores(index, queries, query_id, text), k)
+    return ranked(index.hits(queries, query_id, text, k)[0], k)
 
 
-def topk_padded(index: LexicalIndex, docs: DataFrame, queries: DataFrame, query_id: str, text: str, k: int) -> DataFrame:
+def topk_padded(index: Index, docs: DataFrame, queries: DataFrame, query_id: str, text: str, k: int) -> DataFrame:
     """As topk, filled up to k with documents of score 0 in order of doc_id.
     The k smallest ids are all that can be needed, so they are all that is
     added to each query."""
-    hits = scores(index, queries, query_id, text)
     lowest = docs.select("doc_id").orderBy("doc_id").limit(k)
+    hits = index.hits(queries, query_id, text, k, lowest)[0]
     pad = queries.select(F.col(query_id).alias("query_id")).crossJoin(F.broadcast(lowest)).withColumn("score", F.lit(0.0))
     both = hits.unionByName(pad).groupBy("query_id", "doc_id")
     # A hit's own score holds, also where it is negative or equal.

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import models, text
-from ..operators import caching, dense, fusion, grading, lexical
-from ..sources import tables
+from ..operators import caching, cells, dense, fusion, grading, lexical
+from ..sources import tables, versions
 from .config import RERANKER_DEVICE, RERANKER_MODEL, REWRITE, CallSettings, ChatSettings, GateSettings
 
 
@@ -25,6 +25,7 @@ class EvaluationConfig:
     top_k: int = 3
     search_k: int | None = None
     fetch_k: int | None = None
+    nprobe: int | None = None
     dense_weight: float = fusion.DENSE_WEIGHT
     rrf_k: int = fusion.RRF_K
     answer_model: str | models.Maker = "hashed-answers"
@@ -76,7 +77,7 @@ class EvaluationConfig:
         """What a run's results tell of its parameters."""
         name = lambda m: m if m is None or isinstance(m, str) else getattr(getattr(m, "func", m), "__name__", "model")
         return {
-            "top_k": self.top_k, "search_k": self.searched, "fetch_k": self.fetched, "dense_weight": self.dense_weight, "rrf_k": self.rrf_k,
+            "top_k": self.top_k, "search_k": self.searched, "fetch_k": self.fetched, "nprobe": self.nprobe, "dense_weight": self.dense_weight, "rrf_k": self.rrf_k,
             "answer_model": name(self.answer_model), "llm_provider": self.chat.provider, "llm_model": self.chat.model,
             "temperature": self.chat.temperature, "enable_thinking": self.chat.enable_thinking,
             "rewrite_model": name(self.rewrite_model), "rewrite_mode": self.gate.mode,
@@ -118,9 +119,11 @@ def contexts(hits: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
 
-def dense_hits(questions: DataFrame, vectors: DataFrame, query_vectors: DataFrame, k: int) -> DataFrame:
-    """The k nearest of each question; query_vectors is (query_id, q)."""
-    return dense.topk(vectors, query_vectors.join(questions.select("query_id"), "query_id", "left_semi"), k)
+def dense_hits(questions: DataFrame, vectors: DataFrame | cells.CellIndex, query_vectors: DataFrame, k: int, nprobe: int | None = None) -> DataFrame:
+    """The k nearest of each question; query_vectors is (query_id, q).  Of an
+    index of cells, only the nprobe nearest are searched."""
+    asked = query_vectors.join(questions.select("query_id"), "query_id", "left_semi")
+    return vectors.search(asked, k, nprobe) if isinstance(vectors, cells.CellIndex) else dense.topk(vectors, asked, k)
 
 
 def rewritten_queries(questions: DataFrame, config: EvaluationConfig) -> DataFrame:
@@ -137,13 +140,13 @@ def rewritten_queries(questions: DataFrame, config: EvaluationConfig) -> DataFra
 
 
 def hybrid_hits(
-    queries: DataFrame, docs: DataFrame, index: lexical.LexicalIndex, vectors: DataFrame, query_vectors: DataFrame, config: EvaluationConfig
+    queries: DataFrame, docs: DataFrame, index: lexical.Index, vectors: DataFrame | cells.CellIndex, query_vectors: DataFrame, config: EvaluationConfig
 ) -> DataFrame:
     """Both retrievals of rewritten queries (query_id, query) and of their
     vectors (query_id, q), fusion and reranking, down to top_k.  The prompt
     later takes the question as it was asked."""
     sparse = lexical.topk_padded(index, docs, queries, "query_id", "query", config.fetched)
-    near = dense_hits(queries, vectors, query_vectors, config.fetched)
+    near = dense_hits(queries, vectors, query_vectors, config.fetched, config.nprobe)
     fused = fusion.hybrid(near, sparse, config.searched, config.dense_weight, config.rrf_k)
     if not config.rerank_model:
         return fused.where(F.col("rank") <= config.top_k)
@@ -154,7 +157,7 @@ def hybrid_hits(
 
 
 def hybrid_retrieval(
-    questions: DataFrame, docs: DataFrame, index: lexical.LexicalIndex, vectors: DataFrame, model: str | models.Maker, path: str, config: EvaluationConfig
+    questions: DataFrame, docs: DataFrame, index: lexical.Index, vectors: DataFrame | cells.CellIndex, model: str | models.Maker, path: str, config: EvaluationConfig
 ) -> DataFrame:
     """The hits of a whole run, kept at a path: queries are rewritten once and
     written, so both searches, their vectors and the reranking see the same
@@ -242,20 +245,34 @@ def vector_rows(docs: DataFrame, model: str | models.Maker) -> DataFrame:
     return docs.select("doc_id", models.embed_column("text", model).alias("v"), "source")
 
 
-def write_vector_metadata(spark: SparkSession, path: str, model: str) -> DataFrame:
-    kept = spark.read.parquet(f"{path}/vectors")
-    counts = kept.groupBy("source").agg(F.count("*").alias("n"))
-    meta = counts.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("document_count"), F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("sources")
-    ).withColumn("embedding_model", F.lit(model))
-    meta.write.mode("overwrite").parquet(f"{path}/metadata")
-    return spark.read.parquet(f"{path}/metadata")
+def _vectors(spark: SparkSession, path: str, parts: list[str]) -> DataFrame:
+    return spark.read.parquet(*(f"{path}/{part}" for part in parts))
+
+
+def _publish_vectors(spark: SparkSession, path: str, part: str, model: str, append: bool) -> DataFrame:
+    """Makes vectors with a new part, or these alone, the next version, and
+    returns its row of metadata.  Readers of the version before keep their files."""
+
+    def body(before: dict | None) -> dict:
+        parts = [*(before["parts"] if before and append else []), part]
+        counts = _vectors(spark, path, parts).groupBy("source").agg(F.count("*").alias("n"))
+        meta = counts.agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("document_count"), F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("sources")
+        ).withColumn("embedding_model", F.lit(model))
+        name = versions.fresh_part(path, "metadata")
+        meta.write.parquet(f"{path}/{name}")
+        return {"parts": parts, "metadata": name}
+
+    _, made = versions.publish(spark, path, body)
+    versions.prune(spark, path, lambda b: {*b["parts"], b["metadata"]})
+    return spark.read.parquet(f"{path}/{made['metadata']}")
 
 
 def build_vector_index(docs: DataFrame, path: str, model: str = "hashed-embedding") -> DataFrame:
-    """Writes (doc_id, v, source) and one row of metadata, and returns that."""
-    vector_rows(docs, model).write.mode("overwrite").parquet(f"{path}/vectors")
-    return write_vector_metadata(docs.sparkSession, path, model)
+    """Writes (doc_id, v, source) and one row of metadata as the next version, and returns that row."""
+    part = versions.fresh_part(path, "vectors")
+    vector_rows(docs, model).write.parquet(f"{path}/{part}")
+    return _publish_vectors(docs.sparkSession, path, part, model, append=False)
 
 
 def append_to_vector_index(docs: DataFrame, path: str, model: str | None = None) -> DataFrame:
@@ -265,28 +282,30 @@ def append_to_vector_index(docs: DataFrame, path: str, model: str | None = None)
     recorded = vector_metadata(spark, path)
     if recorded is None:
         return build_vector_index(docs, path, model or "hashed-embedding")
-    known = load_vector_index(spark, path, model)
+    known, part = load_vector_index(spark, path, model), versions.fresh_part(path, "vectors")
     fresh = docs.join(known.select("doc_id"), "doc_id", "left_anti")
-    vector_rows(fresh, recorded["embedding_model"]).write.mode("append").parquet(f"{path}/vectors")
-    return write_vector_metadata(spark, path, recorded["embedding_model"])
+    vector_rows(fresh, recorded["embedding_model"]).write.parquet(f"{path}/{part}")
+    return _publish_vectors(spark, path, part, recorded["embedding_model"], append=True)
 
 
 def vector_metadata(spark: SparkSession, path: str):
     """The row of metadata of an index; None if it is not there."""
-    return spark.read.parquet(f"{path}/metadata").first() if tables.exists(spark, f"{path}/metadata") else None
+    found = versions.current(spark, path)
+    return spark.read.parquet(f"{path}/{found[1]['metadata']}").first() if found else None
 
 
 def load_vector_index(spark: SparkSession, path: str, model: str | None = None, missing_ok: bool = False) -> DataFrame:
-    """The vectors; a model other than the recorded one is an error, and so is
+    """The vectors of the newest version; a model other than the recorded one is an error, and so is
     a missing index, unless `missing_ok` asks for no vectors then."""
-    recorded = vector_metadata(spark, path)
-    if recorded is None:
+    found = versions.current(spark, path)
+    if found is None:
         if missing_ok:
             return spark.createDataFrame([], "doc_id long, v array<double>, source string")
         raise FileNotFoundError(f"no vector index at {path}")
+    recorded = spark.read.parquet(f"{path}/{found[1]['metadata']}").first()
     if model is not None and model != recorded["embedding_model"]:
         raise ValueError(f"the index was built with {recorded['embedding_model']!r}, not {model!r}")
-    return spark.read.parquet(f"{path}/vectors")
+    return _vectors(spark, path, found[1]["parts"])
 
 
 # Queries that show whether an index answers.

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import models
-from ..operators import caching, corpus, grading, lexical
+from ..operators import caching, cells, corpus, grading, lexical
 from ..sources import tables
 from ..streaming.progress import line
 from . import evaluation
@@ -35,7 +35,7 @@ def configured(args: argparse.Namespace, enhanced: bool = False, **given) -> Eva
     """From the environment and the arguments; those go first."""
     own = {"answer_model": args.answer_model, "call_partitions": args.call_partitions}
     if enhanced:
-        own |= {"rewrite_model": args.rewrite_model, "rerank_model": args.rerank_model}
+        own |= {"nprobe": args.nprobe, "rewrite_model": args.rewrite_model, "rerank_model": args.rerank_model}
     return EvaluationConfig.read(os.environ, enhanced, **own | given)
 
 
@@ -118,9 +118,11 @@ def build_index(spark: SparkSession, args: argparse.Namespace) -> str:
     docs = read_corpus(spark, args.corpus)
     docs.write.mode("overwrite").parquet(f"{args.out}/documents")
     docs = spark.read.parquet(f"{args.out}/documents")
-    lexical.build_index(docs).write(f"{args.out}/lexical")
+    lexical.SegmentedIndex.build(docs, f"{args.out}/lexical", lexical.K1, lexical.B)
     model = args.embedding_model or os.environ.get(EMBEDDING_MODEL, "").strip() or "hashed-embedding"
     meta = evaluation.build_vector_index(docs, f"{args.out}/vectors", model).first()
+    if args.cells is not None:
+        cells.CellIndex.build(evaluation.load_vector_index(spark, f"{args.out}/vectors"), f"{args.out}/cells", args.cells or None)
     said = [f"{meta['document_count']} documents, model {meta['embedding_model']}, sources {meta['sources']}"]
     if not args.skip_smoke:
         vectors = evaluation.load_vector_index(spark, f"{args.out}/vectors")
@@ -140,18 +142,28 @@ def add_documents(spark: SparkSession, args: argparse.Namespace) -> str:
     fresh = corpus.with_ordinal(fresh, "doc_id", "_n").withColumn("doc_id", F.col("_n") + first).drop("_n")
     fresh.select("doc_id", "text", "source").write.mode("append").parquet(f"{folder}/documents")
     docs = spark.read.parquet(f"{folder}/documents")
-    lexical.build_index(docs).write(f"{folder}/lexical")
+    index = lexical.SegmentedIndex.open(spark, f"{folder}/lexical")
+    if index is not None and index.documents == first:
+        added = docs.where(F.col("doc_id") >= first)
+        if not added.isEmpty():
+            index.add(added).prune()
+    else:  # one that was cut off before, or is of another kind
+        lexical.stored_index(docs, f"{folder}/lexical")
     meta = evaluation.append_to_vector_index(docs, f"{folder}/vectors").first()
+    if (known_cells := cells.CellIndex.open(spark, f"{folder}/cells")) is not None:
+        known_cells.build(evaluation.load_vector_index(spark, f"{folder}/vectors"), f"{folder}/cells").prune()
     return f"{meta['document_count']} documents"
 
 
-def opened_index(spark: SparkSession, args: argparse.Namespace) -> tuple[DataFrame, DataFrame, str]:
-    """The documents, their vectors and the name of the model that made them."""
+def opened_index(spark: SparkSession, args: argparse.Namespace) -> tuple[DataFrame, DataFrame | cells.CellIndex, str]:
+    """The documents, their vectors (in cells, if so many are to be probed) and
+    the name of the model that made them."""
     docs = spark.read.parquet(f"{args.index}/documents")
     vectors = evaluation.load_vector_index(spark, f"{args.index}/vectors", args.embedding_model)
     recorded = evaluation.vector_metadata(spark, f"{args.index}/vectors").asDict()
     model = args.embedding_model or embedding_runtime(recorded, "hashed-embedding")["model"]
-    return docs, vectors, model
+    found = cells.CellIndex.open(spark, f"{args.index}/cells") if args.nprobe else None
+    return docs, found or vectors, model
 
 
 def opened(spark: SparkSession, args: argparse.Namespace, questions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -161,7 +173,7 @@ def opened(spark: SparkSession, args: argparse.Namespace, questions: DataFrame)
     return docs, vectors, own.select("query_id", models.embed_column("question", model).alias("q"))
 
 
-def lexical_index(spark: SparkSession, args: argparse.Namespace) -> lexical.LexicalIndex:
+def lexical_index(spark: SparkSession, args: argparse.Namespace) -> lexical.SegmentedIndex:
     """The index as built; built anew if it does not fit the documents."""
     return lexical.stored_index(spark.read.parquet(f"{args.index}/documents"), f"{args.index}/lexical")
 
@@ -183,13 +195,13 @@ def evaluate_naive_rag(spark: SparkSession, args: argparse.Namespace) -> str:
     else:
         dev = asked(spark, args, "dev")
         docs, vectors, own = opened(spark, args, dev)
-        hits = evaluation.dense_hits(evaluation.prepared(dev), vectors, own, max(KS))
+        hits = evaluation.dense_hits(evaluation.prepared(dev), vectors, own, max(KS), args.nprobe)
         best = grading.best_k(evaluation.grid_search(dev, hits, docs, list(KS), config), "accuracy", "place")
         sections["development_set_evaluation"] = best
         config = replace(config, top_k=best.first()["k"])
     rows = asked(spark, args, "test")
     docs, vectors, own = opened(spark, args, rows)
-    evaluation.dense_hits(evaluation.prepared(rows), vectors, own, max(KS)).write.mode("overwrite").parquet(f"{args.out}/hits")
+    evaluation.dense_hits(evaluation.prepared(rows), vectors, own, max(KS), args.nprobe).write.mode("overwrite").parquet(f"{args.out}/hits")
     hits = spark.read.parquet(f"{args.out}/hits")
     near = hits.where(F.col("rank") <= config.top_k)
     sections["test_set_evaluation"] = tracked(spark, args, config, rows, lambda rest: evaluation.with_retrieval(rest, near, docs, config))
@@ -220,7 +232,7 @@ def evaluate_sample(spark: SparkSession, args: argparse.Namespace) -> str:
 
     def run(rest: DataFrame) -> DataFrame:
         docs, vectors, own = opened(spark, args, rest)
-        return evaluation.with_retrieval(rest, evaluation.dense_hits(evaluation.prepared(rest), vectors, own, config.top_k), docs, config)
+        return evaluation.with_retrieval(rest, evaluation.dense_hits(evaluation.prepared(rest), vectors, own, config.top_k, args.nprobe), docs, config)
 
     return finish(spark, args, {"sample_evaluation": tracked(spark, args, config, rows, run)}, config)
 
@@ -235,7 +247,7 @@ def retrieve(spark: SparkSession, args: argparse.Namespace) -> str:
     began, config = time.time(), configured(args, top_k=args.top_k or 3)
     rows = sampled(spark, args, SAMPLE)
     docs, vectors, own = opened(spark, args, rows)
-    hits = evaluation.dense_hits(evaluation.prepared(rows), vectors, own, config.top_k)
+    hits = evaluation.dense_hits(evaluation.prepared(rows), vectors, own, config.top_k, args.nprobe)
     totals = evaluation.retrieve_to_cache(rows, hits, docs, cache_path(args), config).first().asDict()
     totals["elapsed_time"] = time.time() - began
     tables.put_text(spark, f"{args.out}/retrieval_results.json", json.dumps(totals))
@@ -262,7 +274,7 @@ def compare_sample(spark: SparkSession, args: argparse.Namespace) -> str:
     rows = sampled(spark, args, SMALL_SAMPLE)
     docs, vectors, own = opened(spark, args, rows)
     plain = graded_stage(evaluation.without_retrieval(rows, config), f"{args.out}/no_rag", "sample", rows.count())
-    hits = evaluation.dense_hits(evaluation.prepared(rows), vectors, own, config.top_k)
+    hits = evaluation.dense_hits(evaluation.prepared(rows), vectors, own, config.top_k, args.nprobe)
     naive = graded_stage(evaluation.with_retrieval(rows, hits, docs, config), f"{args.out}/naive_rag", "sample", rows.count())
     sections = {"no_rag_evaluation": plain, "naive_rag_evaluation": naive, "comparison": grading.compare(plain, naive)}
     return finish(spark, args, sections, config)
@@ -331,6 +343,8 @@ def parser() -> argparse.ArgumentParser:
     out.add_argument("--words", type=int, default=200)
     out.add_argument("--overlap", type=int, default=40)
     out.add_argument("--skip-smoke", action="store_true")
+    out.add_argument("--cells", type=int, default=None, help="build an index of so many cells too; 0: as many as fit")
+    out.add_argument("--nprobe", type=int, default=None, help="cells that a dense search reads")
     out.add_argument("--embedding-model", default=None)
     out.add_argument("--answer-model", default=None)
     out.add_argument("--rewrite-model", default=None)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import dictionary, models, text
-from .operators import caching, corpus, dense, fusion, grading, lexical
+from .operators import caching, cells, corpus, dense, fusion, grading, lexical
 from .plans import evaluation
 from .sources import tables
 
@@ -24,6 +24,8 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 RETRIEVED, FETCHED = 10, 30
+#: The share of cells that is probed where not all are; on vectors without structure, fewer find too few.
+PROBED = 0.7
 KS = (1, 3, 5, 10)
 
 
@@ -163,9 +165,25 @@ def tokenize_counts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(f"with {BM25} select term, df, round(idf, 9) as idf from terms")
+@query(f"""with {BM25} select df, round(idf, 9) as idf, count(*) as terms, cast(sum(cast('0x' || substr(md5(term), 1, 8) as bigint)) as bigint) as digest
+from terms group by all""")
 def bm25_term_stats(spark: SparkSession, d: str) -> DataFrame:
-    return index(spark, d).terms.select("term", "df", F.round("idf", 9).alias("idf"))
+    """Terms by their document frequency, with a digest of which they are."""
+    digest = F.sum(F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long")).alias("digest")
+    return index(spark, d).terms.groupBy("df", F.round("idf", 9).alias("idf")).agg(F.count("*").alias("terms"), digest)
+
+
+@query(f"with {BM25} select query_id, doc_id, score, rank from (select *, cast(row_number() over (partition by query_id order by score desc, doc_id) as int) as rank from bm25) where rank <= {RETRIEVED}")
+def bm25_segments_topk(spark: SparkSession, d: str) -> DataFrame:
+    """An index that grew: half of the documents, then the others in four parts,
+    of which like ones are merged.  Every time it is built anew."""
+    docs, folder = read(spark, d, "documents"), workspace(spark, "segments")
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(8))
+    grown = lexical.SegmentedIndex.build(docs.where(part < 4), folder, lexical.K1, lexical.B)
+    for i in range(4, 8):
+        grown = grown.add(docs.where(part == i))
+    grown.prune()
+    return lexical.topk(grown, questions(spark, d), "query_id", "question", RETRIEVED)
 
 
 @query(f"with {BM25} select query_id, doc_id, score, rank from (select *, cast(row_number() over (partition by query_id order by score desc, doc_id) as int) as rank from bm25) where rank <= {RETRIEVED}")
@@ -205,6 +223,20 @@ def dense_filtered_topk(spark: SparkSession, d: str) -> DataFrame:
     return dense.topk(vectors(spark, d), query_vectors(spark, d), RETRIEVED, where=F.col("label") < 5)
 
 
+@query(f"with {dense_sql('dense', RETRIEVED, 'label < 5')} select query_id, doc_id, score, rank from dense")
+def cells_every_topk(spark: SparkSession, d: str) -> DataFrame:
+    """An index of cells, all of which are probed."""
+    built = cells.CellIndex.build(vectors(spark, d), workspace(spark, "cells"))
+    return built.search(query_vectors(spark, d), RETRIEVED, where=F.col("label") < 5)
+
+
+@query()
+def cells_probed_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The share PROBED of the cells of such an index."""
+    built = cells.CellIndex.build(vectors(spark, d), workspace(spark, "cells"))
+    return built.search(query_vectors(spark, d), RETRIEVED, nprobe=round(PROBED * len(built.sizes)))
+
+
 @query(f"with {dense_sql('dense', RETRIEVED, best='score', l2=True)} select query_id, doc_id, score, rank from dense")
 def l2_distance_topk(spark: SparkSession, d: str) -> DataFrame:
     return dense.topk(vectors(spark, d), query_vectors(spark, d), RETRIEVED, "l2")

@@ -45,7 +45,7 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def _store(spark: SparkSession, path: str):
+def store_of(spark: SparkSession, path: str):
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
@@ -53,8 +53,8 @@ def _store(spark: SparkSession, path: str):
 def put_text(spark: SparkSession, path: str, text: str) -> None:
     """A small file in whatever store Spark writes, all at once: it is written
     under another name that then takes its place."""
-    store, target = _store(spark, path)
-    _, fresh = _store(spark, f"{path}.{uuid.uuid4().hex}.new")
+    store, target = store_of(spark, path)
+    _, fresh = store_of(spark, f"{path}.{uuid.uuid4().hex}.new")
     out = store.create(fresh, True)
     out.write(bytearray(text.encode()))
     out.close()
@@ -71,14 +71,14 @@ def get_text(spark: SparkSession, path: str) -> str | None:
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    store, target = _store(spark, path)
+    store, target = store_of(spark, path)
     store.delete(target, True)
 
 
 def move(spark: SparkSession, source: str, target: str) -> bool:
     """Gives a folder a name that is free; False if that fails, as when another run was first."""
-    store, old = _store(spark, source)
-    _, new = _store(spark, target)
+    store, old = store_of(spark, source)
+    _, new = store_of(spark, target)
     return not store.exists(new) and store.rename(old, new)
 
 
@@ -97,11 +97,18 @@ def shared_folder(spark: SparkSession) -> str | None:
     return found.rstrip("/") if found else None
 
 
+def kept(frame: DataFrame) -> DataFrame:
+    """The frame as a checkpoint in the shared folder: computed once, read often."""
+    if shared_folder(frame.sparkSession) is None:
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return frame.checkpoint()
+
+
 def files_key(frame: DataFrame) -> str:
     """A short name of the files that a frame is read from, which changes with them."""
     spark, said = frame.sparkSession, []
     for path in sorted(frame.inputFiles()):
-        store, target = _store(spark, path)
+        store, target = store_of(spark, path)
         status = store.getFileStatus(target)
         said.append(f"{path} {status.getLen()} {status.getModificationTime()}")
     return hashlib.md5("\n".join(said).encode()).hexdigest()[:16]
@@ -109,7 +116,7 @@ def files_key(frame: DataFrame) -> str:
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     """Corpus chunks from JSON arrays, or from a folder of Parquet."""
-    store, target = _store(spark, path)
+    store, target = store_of(spark, path)
     if store.exists(target) and store.getFileStatus(target).isDirectory():
         return spark.read.parquet(path)
     return spark.read.schema(CHUNK_SCHEMA).option("multiLine", True).json(path)

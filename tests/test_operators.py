@@ -247,12 +247,11 @@ def test_writers(spark, docs, tmp_path):
 
 def test_a_stored_index_must_fit(spark, docs, tmp_path):
     path = str(tmp_path / "ix")
-    read = lambda *a: lexical.LexicalIndex.read_if_valid(spark, path, *a)
-    assert read(5) is None
+    assert lexical.SegmentedIndex.open(spark, path) is None
     assert lexical.stored_index(docs, path).terms.count() == 4
-    assert read(5) is not None and read(4) is None and read(5, 1.2) is None and read(5, 1.5, 0.5) is None
-    assert lexical.stored_index(docs.where("doc_id < 2"), path).terms.count() == 4
-    assert read(2) is not None
+    assert lexical.stored_index(docs, path).version == 1
+    assert lexical.stored_index(docs, path, 1.2).version == 2 and lexical.stored_index(docs, path, 1.2, 0.5).version == 3
+    assert lexical.stored_index(docs.where("doc_id < 2"), path).documents == 2
 
 
 def test_vectors_are_appended_once_and_may_be_missing(spark, docs, tmp_path):
