@@ -25,10 +25,6 @@ is a unit of one term, so it matches as a whole or not at all.  As licence texts
 share much of their wording, a full text needs a greater cosine; it and an
 identifier go before a notice, and "all rights reserved", which stands beside
 many licences, comes last.
-
-The SQL of the registered query knows whole licence files, marker lines and
-notices only, and takes the greatest cosine.  That is `as_sql`, which the query
-needs to equal its SQL; it loses what the rest finds.
 """
 
 from __future__ import annotations
@@ -110,16 +106,18 @@ def full_texts() -> dict[str, str]:
     return texts
 
 
-def template_rows(spark, as_sql: bool = False) -> DataFrame:
-    """(template, license, unit_text, place, least): place is the order in
-    which matches of a file are taken, least the cosine of a match, if greater."""
-    rows = [(name, text, 0 if as_sql else 2 if name == "Proprietary" else 1, 0.0) for name, text in TEMPLATES]
-    if not as_sql:
-        full = full_texts()
-        rows += [(name, text, 0, FULL_TEXT_THRESHOLD) for name, text in full.items()]
-        names = sorted({name for name, _ in TEMPLATES} - {"Proprietary"} | set(full))
-        rows += [(name, SPDX_TERM + name.lower(), 0, 0.0) for name in names]
-    rows = [(i, *row) for i, row in enumerate(rows)]
+def template_list() -> list[tuple[str, str, int, float]]:
+    """(license, unit_text, place, least): place is the order in which matches
+    of a file are taken, least the cosine of a match, if greater."""
+    full = full_texts()
+    rows = [(name, text, 2 if name == "Proprietary" else 1, 0.0) for name, text in TEMPLATES]
+    rows += [(name, text, 0, FULL_TEXT_THRESHOLD) for name, text in full.items()]
+    names = sorted({name for name, _ in TEMPLATES} - {"Proprietary"} | set(full))
+    return rows + [(name, SPDX_TERM + name.lower(), 0, 0.0) for name in names]
+
+
+def template_rows(spark) -> DataFrame:
+    rows = [(i, *row) for i, row in enumerate(template_list())]
     return spark.createDataFrame(rows, "template int, license string, unit_text string, place int, least double").coalesce(1)
 
 
@@ -137,31 +135,28 @@ def spdx_units(text: str) -> Column:
     return F.transform(names, lambda x: F.concat(F.lit(SPDX_TERM), F.regexp_replace(x, "-(only|or-later)$", "")))
 
 
-def units_of(files: DataFrame, as_sql: bool = False) -> DataFrame:
+def units_of(files: DataFrame) -> DataFrame:
     """(id, unit, unit_text): the text of a licence file, the marker lines of a
     file and the paragraphs with one, all together and each, its comments with
-    one, and its SPDX identifiers.  As_sql, only the text of a licence file and
-    the marker lines of others."""
+    one, and its SPDX identifiers."""
     named = F.coalesce(F.element_at(F.split("path", "/"), -1).rlike(LICENSE_NAME), F.lit(False))
     marked = lambda parts: F.filter(parts, lambda x: x.rlike(MARKER))
     both = lambda parts, sign: F.concat(F.array(F.array_join(parts, sign)), parts)
     held = files.where(F.col("text").isNotNull() & (named | F.col("text").rlike(MARKER)))
+    whole = F.when(named, F.array("text")).otherwise(F.array().cast("array<string>"))
     lines = both(marked(F.split("text", "\n")), "\n")
-    units = F.when(named, F.array("text")).otherwise(lines)
-    if not as_sql:
-        whole = F.when(named, F.array("text")).otherwise(F.array().cast("array<string>"))
-        comments = F.concat(*(F.regexp_extract_all("text", F.lit(c), F.lit(0)) for c in COMMENTS))
-        paragraphs = both(marked(F.split("text", BLANK)), "\n\n")
-        parts = F.concat(whole, lines, paragraphs, marked(comments))
-        units = F.concat(F.array_distinct(F.transform(parts, lambda x: F.btrim(x))), F.array_distinct(spdx_units("text")))
+    paragraphs = both(marked(F.split("text", BLANK)), "\n\n")
+    comments = F.concat(*(F.regexp_extract_all("text", F.lit(c), F.lit(0)) for c in COMMENTS))
+    parts = F.concat(whole, lines, paragraphs, marked(comments))
+    units = F.concat(F.array_distinct(F.transform(parts, lambda x: F.btrim(x))), F.array_distinct(spdx_units("text")))
     return held.select("id", F.posexplode_outer(units).alias("unit", "unit_text")).groupBy("id", "unit").agg(F.max("unit_text").alias("unit_text"))
 
 
-def best_templates(files: DataFrame, scratch: Scratch, threshold: float, as_sql: bool = False) -> DataFrame:
+def best_templates(files: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
     """(id, license, score) of files with a match of their own."""
-    rows = template_rows(files.sparkSession, as_sql)
+    rows = template_rows(files.sparkSession)
     templates = scratch.write(terms_of(rows), "templates")
-    units = scratch.write(terms_of(units_of(files, as_sql)), "terms")
+    units = scratch.write(terms_of(units_of(files)), "terms")
     # The count of all units, and the documents of each term, units and templates together.
     total = units.select("id", "unit").distinct().count() + rows.count()
     found = units.groupBy("term").agg(F.count("*").alias("df"))
@@ -209,10 +204,10 @@ def inherited(files: DataFrame, own: DataFrame) -> DataFrame:
     return near.select("dir", "n.from_dir", F.col("n.b.license").alias("dir_license"), (-F.col("n.b.less")).alias("dir_score"))
 
 
-def scan(files: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, as_sql: bool = False) -> DataFrame:
+def scan(files: DataFrame, scratch: Scratch, threshold: float = THRESHOLD) -> DataFrame:
     """(id, path, license, score, origin, from_dir) of each row of files (id,
     path, text).  origin is own or inherited, null where nothing was found."""
-    own = scratch.write(best_templates(files, scratch, threshold, as_sql), "own")
+    own = scratch.write(best_templates(files, scratch, threshold), "own")
     paths = scratch.write(files.select("id", "path"), "paths")
     above = scratch.write(inherited(paths, own), "above")
     rows = paths.join(own, "id", "left").withColumn("dir", directory(F.col("path"))).join(above, "dir", "left")

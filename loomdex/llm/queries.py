@@ -22,7 +22,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = license_scan.document_paths(table(spark, sf_dir, "documents"))
-    return license_scan.scan(files, Scratch(spark, "license"), as_sql=True).withColumnRenamed("id", "doc_id")
+    return license_scan.scan(files, Scratch(spark, "license")).withColumnRenamed("id", "doc_id")
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +85,8 @@ QUERIES = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_license_scan": sql.license_scan(
-        license_scan.TEMPLATES, license_scan.THRESHOLD, license_scan.MARKER, license_scan.TOKEN
+        license_scan.template_list(), license_scan.THRESHOLD, license_scan.MARKER, license_scan.TOKEN, license_scan.BLANK,
+        license_scan.COMMENTS, license_scan.SPDX, license_scan.SPDX_NAME, license_scan.SPDX_TERM,
     ),
     "op5_embedding_near_dedup": sql.EMBEDDING_NEAR_DEDUP,
     "op6_line_dedup": sql.LINE_DEDUP,

@@ -156,9 +156,13 @@ from docs left join rest using (id)
 """
 
 
-def license_scan(templates: list[tuple[str, str]], threshold: float, marker: str, token: str) -> str:
+def license_scan(
+    templates: list[tuple[str, str, int, float]], threshold: float, marker: str, token: str, blank: str, comments: list[str], spdx: str, spdx_name: str, spdx_term: str
+) -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    rows = ",\n    ".join(f"({i}, {quoted(n)}, {quoted(t)})" for i, (n, t) in enumerate(templates))
+    # Without the signs for "give nothing back" and "lines end in line feeds only", which are so here anyway.
+    plain = lambda p: p.replace("*+", "*").replace("++", "+").replace("(?md)", "(?m)")
+    rows = ",\n    ".join(f"({i}, {quoted(n)}, {quoted(t)}, {place}, {least})" for i, (n, t, place, least) in enumerate(templates))
     return rf"""
 with files as (
   select doc_id as id, text, doc_id % 10 = 0 as named,
@@ -170,13 +174,20 @@ with files as (
     case when named then concat(case when id % 100 = 0 then thousands else hundreds end, '/LICENSE.', cast(id as varchar))
       else concat(hundreds, '/text.', cast(id as varchar)) end as path
   from files
-), templates(template, license, unit_text) as (
+), templates(template, license, unit_text, place, least) as (
   values {rows}
-), marked as (
-  select id, named, text, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{marker}')) as lines
-  from placed where named or regexp_matches(text, '{marker}')
+), held as (
+  select id, named, text, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{marker}')) as lines,
+    list_filter(regexp_split_to_array(text, '{plain(blank)}'), lambda x: regexp_matches(x, '{marker}')) as paragraphs,
+    list_filter(list_concat({", ".join(f"regexp_extract_all(text, {quoted(plain(c))})" for c in comments)}), lambda x: regexp_matches(x, '{marker}')) as remarks,
+    flatten(list_transform(regexp_extract_all(lower(text), '{spdx}', 1), lambda x: regexp_extract_all(x, '{spdx_name}'))) as names
+  from placed where text is not null and (named or regexp_matches(text, '{marker}'))
 ), listed as (
-  select id, case when named then [text] else list_concat([array_to_string(lines, chr(10))], lines) end as units from marked
+  select id, list_concat(
+    list_distinct(list_transform(list_concat(case when named then [text] else [] end, [array_to_string(lines, chr(10))], lines,
+      [array_to_string(paragraphs, chr(10) || chr(10))], paragraphs, remarks), lambda x: trim(x))),
+    list_distinct(list_transform(list_filter(names, lambda x: x not in ('and', 'or', 'with')), lambda x: concat('{spdx_term}', regexp_replace(x, '-(only|or-later)$', ''))))) as units
+  from held
 ), units as (
   select id, unnest(units) as unit_text, unnest(range(len(units))) as unit from listed
 ), words as (
@@ -184,8 +195,8 @@ with files as (
 ), terms as (
   select id, unit, term, count(*) as tf from words group by all
 ), template_terms as (
-  select template, license, term, count(*) as tf
-  from (select template, license, unnest(regexp_extract_all(lower(unit_text), '{token}')) as term from templates) group by all
+  select template, license, place, least, term, count(*) as tf
+  from (select template, license, place, least, unnest(regexp_extract_all(lower(unit_text), '{token}')) as term from templates) group by all
 ), total as (
   select (select count(*) from (select distinct id, unit from terms)) + {len(templates)} as n
 ), idf as (
@@ -194,16 +205,16 @@ with files as (
 ), weighed as (
   select id, unit, term, tf * idf as w from terms join idf using (term)
 ), known as (
-  select template, license, term, tf * idf as w from template_terms join idf using (term)
+  select template, license, place, least, term, tf * idf as w from template_terms join idf using (term)
 ), norms as (select id, unit, sqrt(sum(w * w)) as norm from weighed group by all),
 template_norms as (select template, sqrt(sum(w * w)) as norm from known group by all),
 scored as (
-  select u.id, k.license, round(sum(u.w * k.w) / any_value(n.norm * t.norm), 6) as score
+  select u.id, k.license, k.place, k.least, round(sum(u.w * k.w) / any_value(n.norm * t.norm), 6) as score
   from weighed u join known k using (term) join norms n on u.id = n.id and u.unit = n.unit join template_norms t on k.template = t.template
-  group by u.id, u.unit, k.template, k.license
+  group by u.id, u.unit, k.template, k.license, k.place, k.least
 ), own as (
-  select id, license, score from scored where score >= {threshold}
-  qualify row_number() over (partition by id order by score desc, license) = 1
+  select id, license, score from scored where score >= greatest({threshold}, least)
+  qualify row_number() over (partition by id order by place, score desc, license) = 1
 ), stated as (
   select p.dir, o.license, o.score from placed p join own o using (id) where p.named
   qualify row_number() over (partition by p.dir order by o.score desc, o.license) = 1
