@@ -4,10 +4,11 @@ import hashlib
 import math
 import re
 import struct
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import regex
 import xxhash
 import zstandard
 
@@ -268,3 +269,50 @@ def toxicity_scores(texts, marks, words_of):
         z = shift + (design(np.array([features(words_of(t or ""), whole)])) @ beta)[0]
         out[i] = 1 / (1 + math.exp(-max(-30, min(30, z))))
     return out
+
+
+def license_scan(rows, templates, threshold, name, marker, token, blank, comments, spdx, spdx_name, spdx_term):
+    """{id: (license, score, origin, from_dir)} of rows (id, path, text)."""
+    plain = lambda p: regex.compile(p.replace("(?md)", "(?m)"))
+    marked = lambda parts: [p for p in parts if re.search(marker, p)]
+    units = {}
+    for i, path, text in rows:
+        named = path is not None and re.search(name, path.split("/")[-1]) is not None
+        if text is None or not (named or re.search(marker, text)):
+            continue
+        lines, paragraphs = marked(text.split("\n")), marked(plain(blank).split(text))
+        remarks = marked([m.group(0) for c in comments for m in plain(c).finditer(text)])
+        parts = ([text] if named else []) + ["\n".join(lines), *lines, "\n\n".join(paragraphs), *paragraphs, *remarks]
+        names = [n for x in re.findall(spdx, text.lower()) for n in re.findall(spdx_name, x) if n not in ("and", "or", "with")]
+        units[i] = {p.strip(" ") for p in parts} | {spdx_term + re.sub("-(only|or-later)$", "", n) for n in names}
+    count = lambda text: Counter(re.findall(token, text.lower()))
+    own = [(i, c) for i, texts in units.items() for c in map(count, texts) if c]
+    known = [(t, count(t[1])) for t in templates]
+    df = Counter(term for _, c in [*own, *known] for term in c)
+    idf = {term: math.log((1 + len(own) + len(known)) / (1 + n)) + 1 for term, n in df.items()}
+    weigh = lambda c: {term: n * idf[term] for term, n in c.items()}
+    norm = lambda w: math.sqrt(sum(x * x for x in w.values()))
+    known, best = [(t, w, norm(w)) for t, w in ((t, weigh(c)) for t, c in known)], {}
+    for i, c in own:
+        w = weigh(c)
+        for (license, _, place, least), k, size in known:
+            score = round(sum(x * k[term] for term, x in w.items() if term in k) / (norm(w) * size), 6)
+            if score >= max(threshold, least):
+                best[i] = min(best.get(i, (9,)), (place, -score, license))
+    folder = lambda path: path.rpartition("/")[0]
+    stated = {}
+    for i, path, _ in rows:
+        if i in best and path is not None and re.search(name, path.split("/")[-1]):
+            stated[folder(path)] = min(stated.get(folder(path), (9,)), best[i][1:])
+    out = {}
+    for i, path, _ in rows:
+        at = None if path is None else folder(path)
+        while at and at not in stated:
+            at = folder(at)
+        if i in best:
+            out[i] = (best[i][2], -best[i][1], "own", None)
+        elif at is not None and at in stated:
+            out[i] = (stated[at][1], -stated[at][0], "inherited", at)
+        else:
+            out[i] = (None, None, None, None)
+    return out

@@ -1,6 +1,10 @@
+import random
 import textwrap
 
+import pytest
+
 from loomdex.llm import license_scan
+from tests.llm import brute
 
 
 def files(spark, rows):
@@ -92,3 +96,46 @@ def test_wrapped_headers_and_spdx(spark, scratch):
         rows.append((len(rows), f"f{len(rows)}.c", f"/* SPDX-License-Identifier: {name} */\n" + PROSE))
     found = {r["id"]: r["license"] for r in license_scan.scan(files(spark, rows), scratch).collect()}
     assert found == want
+
+
+def random_files(seed, n=160):
+    """Files in directories of several depths: notices whole, wrapped, changed, in comments, beside prose, and identifiers."""
+    rng = random.Random(seed)
+    words = "river bank quiet sun dawn license copyright software the of and a to in".split()
+    prose = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(12)))
+    full, rows = list(license_scan.full_texts().values()), []
+    for i in range(n):
+        parts = [prose() for _ in range(rng.randrange(4))]
+        for _ in range(rng.randrange(3)):
+            text = rng.choice([t for _, t in license_scan.TEMPLATES] if rng.random() < 0.8 else full[:4])
+            if rng.random() < 0.3:
+                text = " ".join(w for w in text.split() if rng.random() < 0.8)
+            lines = textwrap.wrap(text, 60) if rng.random() < 0.5 else [text]
+            parts.append(rng.choice(["\n".join(lines), "\n".join(f"// {x}" for x in lines), "/* " + "\n * ".join(lines) + " */", "  " + text]))
+        if rng.random() < 0.1:
+            parts.append("# SPDX-License-Identifier: " + rng.choice(["MIT", "GPL-2.0-only OR MIT", "Nothing-1.0", "(Apache-2.0 WITH x)"]))
+        rng.shuffle(parts)
+        folder = "/".join(rng.choice("ab") for _ in range(rng.randrange(4)))
+        name = rng.choice(["LICENSE", "COPYING.md", "x.py", "y.txt", "licensed.txt"]) if rng.random() < 0.5 else f"{i}.c"
+        rows.append((i, None if rng.random() < 0.05 else f"{folder}/{name}" if folder else name, None if rng.random() < 0.05 else rng.choice(["\n", "\n\n", "\n--\n"]).join(parts)))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_equals_brute_force(spark, scratch, seed):
+    rows = random_files(seed)
+    own = license_scan
+    want = brute.license_scan(
+        rows, own.template_list(), own.THRESHOLD, own.LICENSE_NAME, own.MARKER, own.TOKEN, own.BLANK, own.COMMENTS, own.SPDX, own.SPDX_NAME, own.SPDX_TERM
+    )
+    found = {r["id"]: (r["license"], r["score"], r["origin"], r["from_dir"]) for r in own.scan(files(spark, rows), scratch).collect()}
+    differing = {i for i in want if want[i][0] != found[i][0] or want[i][2:] != found[i][2:] or abs((want[i][1] or 0) - (found[i][1] or 0)) > 2e-6}
+    assert not differing, [(want[i], found[i], rows[i]) for i in sorted(differing)[:3]]
+    assert sum(origin == "inherited" for _, _, origin, _ in want.values()) > 10
+
+
+def test_documents_inherit(spark, scratch):
+    """In the documents that the registered query scans, some inherit."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = license_scan.scan(license_scan.document_paths(docs), scratch).groupBy("origin").count().collect()
+    assert {r["origin"]: r["count"] > 5 for r in rows} == {"own": True, "inherited": True, None: True}
