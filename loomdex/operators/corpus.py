@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -75,6 +76,68 @@ def chunks(articles: DataFrame, text: str, words: int = 200, overlap: int = 40)
     return rows.select(*others, (F.col("_start") / step).cast("int").alias("chunk"), passage.alias(text))
 
 
+#: Parts of a page that are no text, headings, and what else is between angle brackets.
+NO_TEXT = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|<head\b.*?</head>|<nav\b.*?</nav>"
+HEADING = r"(?is)<h[1-6][^>]*>(.*?)</h[1-6]>"
+TAG = r"(?s)<[^>]*>"
+#: A sentence with what ends it, or the rest of a text.
+SENTENCE = re.compile(r"[^.!?。！？]*[.!?。！？]+[\"')\]]*\s*|[^.!?。！？]+")
+
+
+def plain_text(html: Column) -> Column:
+    """Without tags, white space collapsed; entities stay as they are."""
+    return F.btrim(F.regexp_replace(F.regexp_replace(html, TAG, " "), r"[ \t\n\r]+", " "))
+
+
+def sections(pages: DataFrame, html: str) -> DataFrame:
+    """(…, section, heading, content): a page cut at its headings, in order; the
+    part before the first has section 0 and an empty heading, and is left out if
+    it is blank.  A null page has no sections.  Other columns are kept."""
+    bare = F.regexp_replace(F.col(html), NO_TEXT, " ")
+    rows = pages.withColumn("_bare", bare).where("_bare is not null")
+    headings = F.concat(F.array(F.lit("")), F.regexp_extract_all("_bare", F.lit(HEADING), F.lit(1)))
+    cut = F.arrays_zip(headings.alias("h"), F.split("_bare", HEADING).alias("c"))
+    rows = rows.withColumn("_cut", cut).select(*(c for c in pages.columns if c != html), F.posexplode("_cut").alias("section", "_s"))
+    rows = rows.withColumns({"heading": plain_text(F.col("_s.h")), "content": plain_text(F.col("_s.c"))}).drop("_s")
+    return rows.where((F.col("section") > 0) | (F.col("content") != ""))
+
+
+def packed(text: str, most: int) -> Iterator[str]:
+    """Sentences one after the other, so many characters at most; a longer
+    sentence is cut at words, a longer word where it must be."""
+    held = ""
+    for sentence in (m[0] for m in SENTENCE.finditer(text)):
+        if len(held) + len(sentence.rstrip()) <= most:
+            held += sentence
+            continue
+        if held.strip():
+            yield held.strip()
+        held = sentence
+        while len(held.rstrip()) > most:
+            at = held.rfind(" ", 1, most + 1)
+            at = at if at > 0 else most
+            yield held[:at].strip()
+            held = held[at:].lstrip()
+    if held.strip():
+        yield held.strip()
+
+
+@F.udtf(returnType="part int, passage string")
+class Passages:
+    """The passages of a text of so many characters at most, in order."""
+
+    def eval(self, text: str, most: int):
+        if most < 1:
+            raise ValueError("a passage must have characters")
+        yield from enumerate(packed(text or "", most))
+
+
+def section_passages(pages: DataFrame, html: str, most: int = 1000) -> DataFrame:
+    """(…, section, heading, part, passage): sections cut at sentences."""
+    rows = sections(pages, html)
+    return rows.lateralJoin(Passages(F.col("content").outer(), F.lit(most))).drop("content")
+
+
 def identity(content: Column, metadata: Sequence[tuple[str, Column]]) -> Column:
     """A digest of content and metadata in order of the keys."""
     ordered = sorted(metadata, key=lambda kv: kv[0])

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import models
 from ..operators import caching, cells, corpus, grading, lexical
-from ..sources import tables
+from ..sources import archives, tables
 from ..streaming.progress import line
 from . import evaluation
 from .config import EMBEDDING_MODEL, embedding_runtime, sane_environment
@@ -68,9 +68,10 @@ def tracked(spark: SparkSession, args: argparse.Namespace, config: EvaluationCon
 
 @job
 def chunk_corpus(spark: SparkSession, args: argparse.Namespace) -> str:
-    """Passages of downloaded articles (JSON with `content`), as a corpus that
-    combine-corpora reads."""
-    articles = tables.read_chunks(spark, args.articles)
+    """Passages of downloaded articles (JSON with `content`, or archives of text
+    files), as a corpus that combine-corpora reads."""
+    archived = args.articles.endswith((".zip", ".tar", ".tar.gz", ".tgz", ".tar.bz2", ".tar.xz"))
+    articles = archives.read_articles(spark, *args.articles.split(",")) if archived else tables.read_chunks(spark, args.articles)
     passages = corpus.chunks(articles.where("content is not null"), "content", args.words, args.overlap)
     numbered = passages.withColumn("id", F.concat_ws("-", F.nullif("id", F.lit("")), F.col("chunk").cast("string"))).drop("chunk")
     numbered.write.mode("overwrite").parquet(f"{args.out}/chunks")
@@ -339,7 +340,7 @@ def parser() -> argparse.ArgumentParser:
     out.add_argument("--batch", type=int, default=200, help="questions between two checkpoints")
     out.add_argument("--call-partitions", type=int, default=1, help="tasks that share the rate of calls")
     out.add_argument("--cache", help="folder of cached retrievals")
-    out.add_argument("--articles", help="JSON articles to cut into passages")
+    out.add_argument("--articles", help="JSON articles, or tar or zip archives of articles, to cut into passages")
     out.add_argument("--words", type=int, default=200)
     out.add_argument("--overlap", type=int, default=40)
     out.add_argument("--skip-smoke", action="store_true")

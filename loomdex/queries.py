@@ -726,6 +726,36 @@ def article_chunks(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "chunk", F.md5("text").alias("text_md5"))
 
 
+NO_TEXT = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|<head\b.*?</head>|<nav\b.*?</nav>"
+
+
+def plain_sql(html: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace({html}, '(?s)<[^>]*>', ' ', 'g'), '[ \t\n\r]+', ' ', 'g'))"
+
+
+@query(rf"""with bare as (select page_id, regexp_replace(html, '{NO_TEXT}', ' ', 'g') as b from pages where html is not null),
+cut as (select page_id, list_concat([''], regexp_extract_all(b, '(?is)<h[1-6][^>]*>(.*?)</h[1-6]>', 1)) as h, regexp_split_to_array(b, '(?is)<h[1-6][^>]*>.*?</h[1-6]>') as c from bare),
+parts as (select page_id, unnest(range(len(h))) as section, h, c from cut),
+plain as (select page_id, section, {plain_sql("h[section + 1]")} as heading, {plain_sql("c[section + 1]")} as content from parts)
+select page_id, cast(section as int) as section, heading, md5(content) as content_md5 from plain where section > 0 or content <> ''""")
+def page_sections(spark: SparkSession, d: str) -> DataFrame:
+    rows = corpus.sections(read(spark, d, "pages").select("page_id", "html"), "html")
+    return rows.select("page_id", "section", "heading", F.md5("content").alias("content_md5"))
+
+
+@query(f"""select page_id, section, cast(sum(length(regexp_replace(content, ' ', '', 'g'))) as bigint) as chars from (
+  select page_id, cast(section as int) as section, content from ({{SECTIONS}})) group by all having sum(length(regexp_replace(content, ' ', '', 'g'))) > 0""")
+def page_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Passages of 400 characters at most; together they hold what their section does."""
+    rows = corpus.section_passages(read(spark, d, "pages").select("page_id", "html"), "html", 400)
+    chars = F.length(F.regexp_replace("passage", " ", ""))
+    too_long = F.max(F.length("passage")) > 400
+    return rows.groupBy("page_id", "section").agg(F.when(too_long, -1).otherwise(F.sum(chars)).cast("long").alias("chars"))
+
+
+SQL["page_passages"] = SQL["page_passages"].replace("{SECTIONS}", SQL["page_sections"].replace("md5(content) as content_md5", "content"))
+
+
 # Sources and sinks: what is written is read back.
 
 
