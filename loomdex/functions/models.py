@@ -31,6 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .rates import Places
 from .text import ERROR_PREFIX, rewrite_prompt
 
 WORDS = re.compile(r"\w+")
@@ -338,16 +339,20 @@ def complete_column(
     partitions: int = 1,
     in_flight: int = 4,
     attempts: int = 5,
+    places: Places | None = None,
 ) -> Column:
-    """The model's text for each prompt.  The rate is that of all partitions
-    together.  A call that keeps failing gives the error text instead, so one
-    failure does not end the job."""
+    """The model's text for each prompt.  Calls take their places in the run's
+    schedule, if it has one; else a rate is that of all partitions together, of
+    which each has a share.  A call that keeps failing gives the error text
+    instead, so one failure does not end the job."""
     make = maker(model)
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = make()
-        bucket = TokenBucket(rate_for(requests_per_minute, partitions), in_flight) if requests_per_minute else None
+        bucket = places
+        if bucket is None and requests_per_minute:
+            bucket = TokenBucket(rate_for(requests_per_minute, partitions), in_flight)
 
         def attempt(p: str) -> str:
             if bucket:

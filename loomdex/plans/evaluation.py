@@ -4,13 +4,14 @@ retrieval and reranking; in one go or as retrieval, cache and generation."""
 from __future__ import annotations
 
 import os
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import models, text
+from ..functions import models, rates, text
 from ..operators import caching, cells, dense, fusion, grading, lexical
 from ..sources import tables, versions
 from .config import RERANKER_DEVICE, RERANKER_MODEL, REWRITE, CallSettings, ChatSettings, GateSettings
@@ -38,6 +39,7 @@ class EvaluationConfig:
     gate: GateSettings = GateSettings()
     calls: CallSettings = CallSettings(requests_per_minute=None)
     call_partitions: int = 1
+    places: rates.Places | None = None
 
     @classmethod
     def read(cls, env: Mapping[str, str] = os.environ, enhanced: bool = False, **given) -> EvaluationConfig:
@@ -71,8 +73,21 @@ class EvaluationConfig:
             "partitions": self.call_partitions,
             "in_flight": self.calls.in_flight,
             "attempts": self.calls.attempts,
+            "places": self.places,
         }
 
+    @contextmanager
+    def sharing(self, spark: SparkSession) -> Iterator[EvaluationConfig]:
+        """The parameters with one schedule of calls for all tasks of a run,
+        rewriting and answering alike, if there is a limit.  The driver's host
+        is the one that executors reach it by."""
+        if not self.calls.requests_per_minute:
+            yield self
+            return
+        host = spark.sparkContext.getConf().get("spark.driver.bindAddress", None) or spark.sparkContext.getConf().get("spark.driver.host", "127.0.0.1")
+        with rates.SharedRate(models.rate_for(self.calls.requests_per_minute, 1), self.calls.in_flight, host) as shared:
+            yield replace(self, places=shared.places())
+
     def shown(self) -> dict[str, object]:
         """What a run's results tell of its parameters."""
         name = lambda m: m if m is None or isinstance(m, str) else getattr(getattr(m, "func", m), "__name__", "model")
@@ -94,7 +109,8 @@ def prepared(questions: DataFrame) -> DataFrame:
 
 
 def rated(rows: DataFrame, config: EvaluationConfig) -> DataFrame:
-    """Rows whose calls share a limited rate, dealt to call_partitions tasks."""
+    """Rows whose calls have a limited rate, dealt to call_partitions tasks: each
+    has a share of the rate, unless the run has a schedule."""
     return rows.repartition(config.call_partitions) if config.calls.requests_per_minute else rows
 
 

@@ -182,7 +182,8 @@ def lexical_index(spark: SparkSession, args: argparse.Namespace) -> lexical.Segm
 @job
 def evaluate_no_rag(spark: SparkSession, args: argparse.Namespace) -> str:
     config, rows = configured(args), asked(spark, args, "test")
-    stage = tracked(spark, args, config, rows, lambda rest: evaluation.without_retrieval(rest, config))
+    with config.sharing(spark) as shared:
+        stage = tracked(spark, args, config, rows, lambda rest: evaluation.without_retrieval(rest, shared))
     return finish(spark, args, {"test_set_evaluation": stage}, config)
 
 
@@ -197,15 +198,18 @@ def evaluate_naive_rag(spark: SparkSession, args: argparse.Namespace) -> str:
         dev = asked(spark, args, "dev")
         docs, vectors, own = opened(spark, args, dev)
         hits = evaluation.dense_hits(evaluation.prepared(dev), vectors, own, max(KS), args.nprobe)
-        best = grading.best_k(evaluation.grid_search(dev, hits, docs, list(KS), config), "accuracy", "place")
-        sections["development_set_evaluation"] = best
+        with config.sharing(spark) as shared:
+            best = grading.best_k(evaluation.grid_search(dev, hits, docs, list(KS), shared), "accuracy", "place")
+            best.write.mode("overwrite").parquet(f"{args.out}/grid")
+        sections["development_set_evaluation"] = best = spark.read.parquet(f"{args.out}/grid")
         config = replace(config, top_k=best.first()["k"])
     rows = asked(spark, args, "test")
     docs, vectors, own = opened(spark, args, rows)
     evaluation.dense_hits(evaluation.prepared(rows), vectors, own, max(KS), args.nprobe).write.mode("overwrite").parquet(f"{args.out}/hits")
     hits = spark.read.parquet(f"{args.out}/hits")
     near = hits.where(F.col("rank") <= config.top_k)
-    sections["test_set_evaluation"] = tracked(spark, args, config, rows, lambda rest: evaluation.with_retrieval(rest, near, docs, config))
+    with config.sharing(spark) as shared:
+        sections["test_set_evaluation"] = tracked(spark, args, config, rows, lambda rest: evaluation.with_retrieval(rest, near, docs, shared))
     texts = hits.join(docs.select("doc_id", "text"), "doc_id")
     found = grading.recall_at_k(texts, evaluation.prepared(rows).select("query_id", "answer"), KS)
     found.write.mode("overwrite").parquet(f"{args.out}/recall")
@@ -220,8 +224,9 @@ def evaluate_hybrid_rag(spark: SparkSession, args: argparse.Namespace) -> str:
     config = configured(args, True, top_k=args.top_k or 5)
     rows, index = asked(spark, args, "test"), lexical_index(spark, args)
     docs, vectors, model = opened_index(spark, args)
-    hits = evaluation.hybrid_retrieval(rows, docs, index, vectors, model, f"{args.out}/retrieval", config)
-    stage = tracked(spark, args, config, rows, lambda rest: evaluation.with_retrieval(rest, hits, docs, config))
+    with config.sharing(spark) as shared:
+        hits = evaluation.hybrid_retrieval(rows, docs, index, vectors, model, f"{args.out}/retrieval", shared)
+        stage = tracked(spark, args, config, rows, lambda rest: evaluation.with_retrieval(rest, hits, docs, shared))
     return finish(spark, args, {"test_set_evaluation": stage}, config)
 
 
@@ -231,11 +236,12 @@ def evaluate_sample(spark: SparkSession, args: argparse.Namespace) -> str:
     config = configured(args, top_k=args.top_k or 3)
     rows = sampled(spark, args, SAMPLE)
 
-    def run(rest: DataFrame) -> DataFrame:
-        docs, vectors, own = opened(spark, args, rest)
-        return evaluation.with_retrieval(rest, evaluation.dense_hits(evaluation.prepared(rest), vectors, own, config.top_k, args.nprobe), docs, config)
-
-    return finish(spark, args, {"sample_evaluation": tracked(spark, args, config, rows, run)}, config)
+    docs, vectors, own = opened(spark, args, rows)
+    evaluation.dense_hits(evaluation.prepared(rows), vectors, own, config.top_k, args.nprobe).write.mode("overwrite").parquet(f"{args.out}/hits")
+    hits = spark.read.parquet(f"{args.out}/hits")
+    with config.sharing(spark) as shared:
+        stage = tracked(spark, args, config, rows, lambda rest: evaluation.with_retrieval(rest, hits, docs, shared))
+    return finish(spark, args, {"sample_evaluation": stage}, config)
 
 
 def sampled(spark: SparkSession, args: argparse.Namespace, n: int) -> DataFrame:
@@ -260,7 +266,8 @@ def generate(spark: SparkSession, args: argparse.Namespace) -> str:
     """Second of two stages: answers of the sample from the cache."""
     config = configured(args, top_k=args.top_k or 3)
     rows = sampled(spark, args, SAMPLE)
-    stage = tracked(spark, args, config, rows, lambda rest: evaluation.generate_from_cache(rest, cache_path(args), config))
+    with config.sharing(spark) as shared:
+        stage = tracked(spark, args, config, rows, lambda rest: evaluation.generate_from_cache(rest, cache_path(args), shared))
     return finish(spark, args, {"sample_evaluation": stage}, config)
 
 
@@ -274,9 +281,10 @@ def compare_sample(spark: SparkSession, args: argparse.Namespace) -> str:
     config = configured(args, top_k=args.top_k or 3)
     rows = sampled(spark, args, SMALL_SAMPLE)
     docs, vectors, own = opened(spark, args, rows)
-    plain = graded_stage(evaluation.without_retrieval(rows, config), f"{args.out}/no_rag", "sample", rows.count())
     hits = evaluation.dense_hits(evaluation.prepared(rows), vectors, own, config.top_k, args.nprobe)
-    naive = graded_stage(evaluation.with_retrieval(rows, hits, docs, config), f"{args.out}/naive_rag", "sample", rows.count())
+    with config.sharing(spark) as shared:
+        plain = graded_stage(evaluation.without_retrieval(rows, shared), f"{args.out}/no_rag", "sample", rows.count())
+        naive = graded_stage(evaluation.with_retrieval(rows, hits, docs, shared), f"{args.out}/naive_rag", "sample", rows.count())
     sections = {"no_rag_evaluation": plain, "naive_rag_evaluation": naive, "comparison": grading.compare(plain, naive)}
     return finish(spark, args, sections, config)
 
