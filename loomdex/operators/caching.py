@@ -27,14 +27,15 @@ def misses(questions: DataFrame, cache: DataFrame) -> DataFrame:
 
 def totals(questions: DataFrame, cache: DataFrame) -> DataFrame:
     """One row: all keyed questions, those that the cache holds and those that it lacks."""
-    held = cache.select("question_key").distinct().withColumn("_c", F.lit(1))
+    held = cache.select("question_key", F.lit(1).alias("_c"))
     rows = questions.join(held, "question_key", "left")
     return rows.agg(F.count("*").alias("total_questions"), F.count("_c").alias("cached_count"), F.count_if(F.col("_c").isNull()).alias("missing_count"))
 
 
 def for_generation(questions: DataFrame, cache: DataFrame) -> DataFrame:
-    """Keyed questions with their cached retrieval; one without gets an error."""
-    held = cache.dropDuplicates(["question_key"]).withColumn("_held", F.lit(True))
+    """Keyed questions with their cached retrieval; one without gets an error.
+    A cache has each question once."""
+    held = cache.withColumn("_held", F.lit(True))
     joined = questions.join(held, "question_key", "left")
     return joined.withColumn("error", F.when(F.col("_held").isNull(), F.lit(MISSING))).drop("_held")
 

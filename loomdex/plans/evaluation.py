@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import models, rates, text
 from ..operators import caching, cells, dense, fusion, grading, lexical
-from ..sources import tables, versions
+from ..sources import cache, tables, versions
 from .config import RERANKER_DEVICE, RERANKER_MODEL, REWRITE, CallSettings, ChatSettings, GateSettings
 
 
@@ -200,24 +200,25 @@ def retrieve_to_cache(questions: DataFrame, hits: DataFrame, docs: DataFrame, pa
     all questions, those that now have a retrieval, and those that had one."""
     spark = questions.sparkSession
     rows = caching.keyed(prepared(questions))
-    cache = tables.read_cache(spark, path, config.index_version, config.top_k)
-    before = caching.totals(rows, cache).first()
-    missing = caching.misses(rows, cache).dropDuplicates(["question_key"])
+    held = cache.read(spark, path, config.index_version, config.top_k)
+    before = caching.totals(rows, held).first()
+    missing = caching.misses(rows, held).dropDuplicates(["question_key"])
     found = missing.join(contexts(hits, docs), "query_id")
-    tables.append_cache(found, path, config.index_version, config.top_k)
-    held = caching.hits(rows, tables.read_cache(spark, path, config.index_version, config.top_k)).count()
-    row = (before["total_questions"], held, before["cached_count"])
+    if before["missing_count"]:
+        cache.append(found, path, config.index_version, config.top_k)
+    now = caching.hits(rows, cache.read(spark, path, config.index_version, config.top_k)).count()
+    row = (before["total_questions"], now, before["cached_count"])
     return spark.createDataFrame([row], "total_questions long, processed_questions long, cached_count long")
 
 
 def generate_from_cache(questions: DataFrame, path: str, config: EvaluationConfig) -> DataFrame:
     """Graded answers from cached retrievals; a question without one is an error."""
-    cache = tables.read_cache(questions.sparkSession, path, config.index_version, config.top_k)
-    rows = caching.for_generation(caching.keyed(prepared(questions)), cache)
+    held = cache.read(questions.sparkSession, path, config.index_version, config.top_k)
+    rows = caching.for_generation(caching.keyed(prepared(questions)), held)
     prompt = text.build_prompt("question", "options", text.render_contexts("contexts"))
-    held = answered(rows.where("error is null").drop("error").withColumn("prompt", prompt), config)
+    found = answered(rows.where("error is null").drop("error").withColumn("prompt", prompt), config)
     lost = rows.where("error is not null").withColumn("is_correct", F.lit(False))
-    return held.unionByName(lost, allowMissingColumns=True)
+    return found.unionByName(lost, allowMissingColumns=True)
 
 
 def resume(questions: DataFrame, results_path: str, run, key: str = "ordinal", batch: int | None = None, progress=None) -> DataFrame:

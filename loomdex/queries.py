@@ -13,11 +13,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .functions import dictionary, models, text
 from .operators import caching, cells, corpus, dense, fusion, grading, lexical
 from .plans import evaluation
-from .sources import tables
+from .sources import cache, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -536,7 +537,7 @@ def cached(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Keyed questions, and a cache of the even ones."""
     rows = caching.keyed(questions(spark, d))
     held = rows.where("query_id % 2 = 0").select("question_key", F.array(F.col("answer")).alias("contexts"))
-    return rows, held
+    return rows, held.dropDuplicates(["question_key"])
 
 
 @query("select item_id as query_id from benchmark where md5(text) in (select md5(text) from benchmark where item_id % 2 = 0)")
@@ -849,6 +850,20 @@ def retrieval_store(spark: SparkSession, d: str) -> DataFrame:
     return totals
 
 
+@query("""select item_id as query_id, case when item_id % 3 = 0 then 'second' when item_id % 3 = 1 then 'first' end as context, md5(text) as question_key
+from benchmark where item_id = (select min(b.item_id) from benchmark b where b.text = benchmark.text) and item_id % 3 < 2""")
+def cache_compacted(spark: SparkSession, d: str) -> DataFrame:
+    """A cache of two thirds of the questions, a third of which was retrieved again, as one part."""
+    path = workspace(spark, "bucketed")
+    rows = caching.keyed(questions(spark, d))
+    first = Window.partitionBy("question_key").orderBy("query_id")
+    rows = rows.withColumn("n", F.row_number().over(first)).where("n = 1").select("query_id", "question_key")
+    for context, some in (("first", "query_id % 3 < 2"), ("second", "query_id % 3 = 0")):
+        cache.append(rows.where(some).select("question_key", F.array(F.lit(1.0)).alias("scores"), F.array(F.lit(context)).alias("contexts")), path, "1", 3)
+    cache.compact(spark, path)
+    return rows.join(cache.read(spark, path, "1", 3), "question_key").select("query_id", F.element_at("contexts", 1).alias("context"), "question_key")
+
+
 # Model adapters with deterministic stand-ins.
 
 HEX = "0123456789abcdef"

@@ -27,16 +27,6 @@ QUESTION_SCHEMA = T.StructType(
         T.StructField("answer", T.StringType()),
     ]
 )
-CACHE_SCHEMA = T.StructType(
-    [
-        T.StructField("question_key", T.StringType()),
-        T.StructField("index_version", T.StringType()),
-        T.StructField("top_k", T.IntegerType()),
-        T.StructField("scores", T.ArrayType(T.DoubleType())),
-        T.StructField("contexts", T.ArrayType(T.StringType())),
-    ]
-)
-
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, in whatever store Spark reads."""
@@ -135,19 +125,6 @@ def read_questions(spark: SparkSession, path: str, missing_ok: bool = False) ->
     return rows.select("q.*", F.col("ordinal").cast("long").alias("ordinal"))
 
 
-def read_cache(spark: SparkSession, path: str, index_version: str, top_k: int) -> DataFrame:
-    """Cached retrievals that fit the index and k; none if the cache is not there."""
-    if not exists(spark, path):
-        return spark.createDataFrame([], CACHE_SCHEMA)
-    rows = spark.read.schema(CACHE_SCHEMA).parquet(path)
-    return rows.where((F.col("index_version") == index_version) & (F.col("top_k") == top_k))
-
-
-def append_cache(rows: DataFrame, path: str, index_version: str, top_k: int) -> None:
-    named = rows.withColumn("index_version", F.lit(index_version)).withColumn("top_k", F.lit(top_k))
-    named.select(*(f.name for f in CACHE_SCHEMA)).write.mode("append").parquet(path)
-
-
 def write_corpus(docs: DataFrame, path: str) -> None:
     """A combined corpus; an empty one is an error."""
     if docs.isEmpty():
