@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomdex.operators import caching, corpus, dense, fusion, grading, lexical
 from loomdex.plans import evaluation
-from loomdex.sources import tables
+from loomdex.sources import cache, tables
 
 DOCS = [(0, "alpha beta gamma"), (1, "beta beta delta"), (2, ""), (3, None), (4, "alpha alpha")]
 
@@ -30,13 +30,6 @@ def test_padding_fills_up_with_the_first_documents(spark, docs):
     assert set(plain) == {(2, 1)}
 
 
-def test_index_round_trip(spark, docs, tmp_path):
-    index = lexical.build_index(docs)
-    index.write(str(tmp_path))
-    again = lexical.LexicalIndex.read(spark, str(tmp_path))
-    assert sorted(again.terms.collect()) == sorted(index.terms.collect())
-
-
 def test_fusion_equals_a_full_join(spark):
     rng = random.Random(0)
     lists = []
@@ -152,7 +145,7 @@ def test_two_stage_equals_one_stage(spark, docs, questions, tmp_path):
     assert len(missing) == 2 and all(r["error"] and not r["is_correct"] for r in missing)
     for _ in range(2):  # the second time, nothing is missing
         evaluation.retrieve_to_cache(questions, found, docs, path, config)
-    assert spark.read.parquet(path).count() == 2
+    assert cache.read(spark, path, config.index_version, config.top_k).count() == 2
     two = {r["ordinal"]: (r["response"], r["is_correct"]) for r in evaluation.generate_from_cache(questions, path, config).collect()}
     one = {r["ordinal"]: (r["response"], r["is_correct"]) for r in evaluation.with_retrieval(questions, found, docs, config).collect()}
     assert one == two and len(one) == 2
