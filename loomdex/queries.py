@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import dictionary, models, text
-from .operators import caching, cells, corpus, dense, fusion, grading, lexical
+from .operators import caching, cells, corpus, dense, fusion, grading, lexical, rewriting
 from .plans import evaluation
 from .sources import cache, tables
 
@@ -511,6 +511,19 @@ def dictionary_rewrite(spark: SparkSession, d: str) -> DataFrame:
     return asked_queries(spark, d).select("conv_id", "turn", text.dictionary_rewrite("query").alias("rewritten"))
 
 
+@query(rf"""with {ASKED}, known as (select distinct term, 'known ' || term as replacement from (select unnest({TOKENS.format("text")}) as term from benchmark)),
+pieces as (select conv_id, turn, regexp_extract_all(lower(query), '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+') as p from asked),
+placed as (select conv_id, turn, unnest(range(1, len(p) + 1)) as i, unnest(p) as piece from pieces)
+select a.conv_id, a.turn, coalesce(string_agg(coalesce(k.replacement, piece), '' order by i) filter (piece is not null), '') as rewritten
+from asked a left join placed using (conv_id, turn) left join known k on k.term = piece group by all""")
+def rewrite_by_table(spark: SparkSession, d: str) -> DataFrame:
+    """A dictionary of all words of the passages, joined to the runs of words of each turn."""
+    terms = read(spark, d, "benchmark").select(F.explode(text.tokenize("text")).alias("entry")).distinct()
+    turns = asked_queries(spark, d).withColumn("query_id", F.concat_ws(":", "conv_id", "turn"))
+    found = rewriting.rewrite(turns, terms.withColumn("replacement", F.concat(F.lit("known "), F.col("entry"))))
+    return found.select("conv_id", "turn", "rewritten")
+
+
 @query(rf"""with {ASKED}, flat as (select conv_id, turn, regexp_replace(query, '^{SPACE}+|{SPACE}+$', '', 'g') as q from asked)
 select conv_id, turn, case when q = '' then false when regexp_matches(q, '[\x{{4e00}}-\x{{9fff}}]') then true
   when regexp_matches(lower(q), '(^|[^\p{{L}}\p{{N}}_])({"|".join(k for k, _ in dictionary.ABBREVIATIONS)})([^\p{{L}}\p{{N}}_]|$)') then true
