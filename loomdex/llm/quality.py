@@ -145,7 +145,7 @@ def scored_documents(docs: DataFrame, model: QualityModel, fold: int, held_out:
     found = score(docs, model, ["doc_id"])
     return found.select(
         "doc_id",
-        (F.crc32(F.col("doc_id").cast("string")) % fold == held_out).alias("held_out"),
+        F.coalesce(F.crc32(F.col("doc_id").cast("string")) % fold == held_out, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )

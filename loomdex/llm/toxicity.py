@@ -11,10 +11,11 @@ numbers.  Three lexicons are learned side by side: of the whole sample, and of
 either half of it for the calibration of the other half.  Copies of a text are
 one text for the lexicons and are in the same half.
 
-At most LEXICON_SIZE terms are kept, those that explain most; and a sum of
-weights beyond ENOUGH counts as ENOUGH in one of the four numbers.
+At most `lexicon_size` terms are kept, those that explain most; and a sum of
+weights beyond `enough` counts as that in one of the four numbers.  With None,
+neither is bounded; such a lexicon is as large as the sample makes it.
 
-Defined results: a null or empty text has no hits; with labels of one class
+Defined results: a null or empty text has no hits; a null id is not held out; with labels of one class
 only, every score is the smoothed class share; repeated rows score alike;
 repeated ids give one sampled text each; an empty table gives no rows; texts
 are read whole, in time linear in their length; other columns, whatever their
@@ -106,11 +107,12 @@ class ToxicityModel:
     weights: dict[str, float]
     exceptions: set[tuple[str, str]]
     calibration: Logistic | None = None
+    enough: float | None = ENOUGH
 
 
 class Matcher:
     def __init__(self, model: ToxicityModel):
-        self.exceptions = model.exceptions
+        self.exceptions, self.enough = model.exceptions, model.enough
         self.found = ahocorasick.Automaton() if model.weights else None
         for term, weight in model.weights.items():
             self.found.add_word(term, (len(term), weight))
@@ -130,7 +132,8 @@ class Matcher:
             if best and self.exceptions:
                 best = {s: w for s, w in best.items() if not self.excepted(line, s)}
         total = sum(best.values())
-        return float(np.log1p(total)), min(total, ENOUGH), total / (len(words) + 20), float(np.log1p(len(words)))
+        most = total if self.enough is None else min(total, self.enough)
+        return float(np.log1p(total)), most, total / (len(words) + 20), float(np.log1p(len(words)))
 
     def excepted(self, line: str, start: int) -> bool:
         """Whether the hit's word is in an exception phrase with a neighbour."""
@@ -189,7 +192,7 @@ def fits_of(half: int) -> tuple[int, int]:
     return half, 2
 
 
-def learned_weights(sample: DataFrame, sizes: dict[int, Sizes]) -> dict[int, dict[str, float]]:
+def learned_weights(sample: DataFrame, sizes: dict[int, Sizes], lexicon_size: int | None = LEXICON_SIZE) -> dict[int, dict[str, float]]:
     """The terms and weights of each lexicon."""
 
     def found(half: int, text: str) -> list[tuple[int, str]]:
@@ -215,7 +218,7 @@ def learned_weights(sample: DataFrame, sizes: dict[int, Sizes]) -> dict[int, dic
         for t in sorted(own, key=lambda t: (-len(t), t)):
             if any(own.get(t[: n + 1], -1.0) >= own[t] for n in STEM_LENGTHS if n + 1 < len(t)):
                 del own[t]
-        kept = sorted(own, key=lambda t: (-own[t] * counts[fit][t], t))[:LEXICON_SIZE]
+        kept = sorted(own, key=lambda t: (-own[t] * counts[fit][t], t))[:lexicon_size]
         out[fit] = {t: own[t] for t in kept}
     return out
 
@@ -261,7 +264,13 @@ def calibration_rows(sample: DataFrame, models: dict[int, ToxicityModel]) -> lis
 
 
 def fit(
-    docs: DataFrame, marks: DataFrame, scratch: Scratch | None = None, per_class: int = SAMPLE_PER_CLASS, longest: int = SAMPLE_LONGEST
+    docs: DataFrame,
+    marks: DataFrame,
+    scratch: Scratch | None = None,
+    per_class: int = SAMPLE_PER_CLASS,
+    longest: int = SAMPLE_LONGEST,
+    lexicon_size: int | None = LEXICON_SIZE,
+    enough: float | None = ENOUGH,
 ) -> ToxicityModel:
     """From documents and their marks (doc_id, label)."""
     scratch = scratch or Scratch(docs.sparkSession, "toxicity")
@@ -273,9 +282,9 @@ def fit(
     held = {(r["half"], r["label"]): r["count"] for r in sample.groupBy("half", "label").count().collect()}
     size = lambda halves: Sizes(*(sum(held.get((h, label), 0) for h in halves) for label in (1, 0)))
     sizes = {0: size([0]), 1: size([1]), 2: size([0, 1])}
-    weights = learned_weights(sample, sizes)
+    weights = learned_weights(sample, sizes, lexicon_size)
     exceptions = learned_exceptions(sample, sizes, weights)
-    models = {f: ToxicityModel(weights[f], exceptions[f]) for f in FITS}
+    models = {f: ToxicityModel(weights[f], exceptions[f], enough=enough) for f in FITS}
     found = calibration_rows(sample, models)
     scratch.drop(sample)
     features = np.repeat(np.array([f for _, f, _ in found]).reshape(-1, 4), [n for *_, n in found], axis=0)
@@ -304,7 +313,7 @@ def scored_documents(docs: DataFrame, model: ToxicityModel, fold: int, held_out:
     found = score(docs, model, ["doc_id"])
     return found.select(
         "doc_id",
-        (F.crc32(F.col("doc_id").cast("string")) % fold == held_out).alias("held_out"),
+        F.coalesce(F.crc32(F.col("doc_id").cast("string")) % fold == held_out, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )

@@ -106,3 +106,17 @@ def test_the_toxicity_query_equals_plain_python(spark):
         assert r["score"] == pytest.approx(want[r["doc_id"]], abs=1e-9)
         assert r["predicted"] == int(r["score"] >= 0.5)
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
+def test_caps_of_the_lexicon_are_parameters(documents_of, scratch):
+    """With None nothing is cut; a small lexicon holds the terms that explain most."""
+    bad = ["idiot", "moron", "stupid", "pathetic", "loser"]
+    rows = [(i, f"you are a {bad[i % 5]} and {bad[(i + i // 5) % 5]} {i}", "en", "s", 0) for i in range(60)]
+    rows += [(i, f"the river bank is quiet at dawn number {i}", "en", "s", 0) for i in range(60, 180)]
+    docs = documents_of([*rows, (None, "nobody", "en", "s", 0)])
+    marks = docs.where("doc_id is not null").selectExpr("doc_id", "cast(doc_id < 60 as int) as label")
+    whole, small = (toxicity.fit(docs, marks, scratch, lexicon_size=n, enough=None) for n in (None, 2))
+    assert len(small.weights) == 2 and set(small.weights) < set(whole.weights) and whole.enough is None
+    text = " ".join(bad) * 50
+    assert toxicity.Matcher(whole).features(text)[1] > toxicity.ENOUGH
+    assert toxicity.scored_documents(docs, whole, 5, 0, 0.5).where("held_out is null").count() == 0
