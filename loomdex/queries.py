@@ -715,14 +715,14 @@ def retrieval_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""select doc_id, array_to_string(list_transform(list_sort([concat('lang=', lang), concat('source=', source), 'kind=text']), lambda x: x), '|') as items,
-  coalesce(source, 'unknown') as source, 'none' as publisher from documents where lang is not null and source is not null""")
+  coalesce(source, 'unknown') as source, 'none' as publisher from documents""")
 def metadata_map(spark: SparkSession, d: str) -> DataFrame:
-    """Metadata as a map: merged, with a default, and as sorted items."""
-    rows = read(spark, d, "documents").where("lang is not null and source is not null")
+    """Metadata as a map: merged, with a default, and as sorted items; what is null is shown as nothing."""
+    rows = read(spark, d, "documents")
     own = F.create_map(F.lit("kind"), F.lit("document"), F.lit("lang"), F.col("lang"))
     merged = corpus.updated(own, F.create_map(F.lit("kind"), F.lit("text"), F.lit("source"), F.col("source")))
     rows = rows.withColumn("m", merged)
-    items = F.array_join(F.transform(corpus.sorted_items(F.col("m")), lambda e: F.concat_ws("=", e["key"], e["value"])), "|")
+    items = F.array_join(F.transform(corpus.sorted_items(F.col("m")), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("")))), "|")
     return rows.select(
         "doc_id", items.alias("items"), corpus.with_default(F.col("m"), "source", F.lit("unknown")).alias("source"),
         corpus.with_default(F.col("m"), "publisher", F.lit("none")).alias("publisher"),
@@ -807,10 +807,12 @@ def corpus_store(spark: SparkSession, d: str) -> DataFrame:
     return kept.groupBy("corpus").agg(F.count("*").alias("records"), F.sum(F.length("content").cast("long")).alias("chars"))
 
 
-@query("""select doc_id, to_json({'lang': lang, 'n_chars': n_chars}) as nested, concat('["', lang, '","', source, '"]') as listed,
-  concat('[{"key":"lang","value":"', lang, '"},{"key":"source","value":"', source, '"}]') as mapped from documents where lang is not null and source is not null""")
+@query("""select doc_id, case when lang is null and n_chars is null then '{}' when lang is null then to_json({'n_chars': n_chars})
+    when n_chars is null then to_json({'lang': lang}) else to_json({'lang': lang, 'n_chars': n_chars}) end as nested,
+  concat('[', coalesce('"' || lang || '"', 'null'), ',', coalesce('"' || source || '"', 'null'), ']') as listed,
+  concat('[{"key":"lang"', coalesce(',"value":"' || lang || '"', ''), '},{"key":"source"', coalesce(',"value":"' || source || '"', ''), '}]') as mapped from documents""")
 def metadata_values(spark: SparkSession, d: str) -> DataFrame:
-    rows = read(spark, d, "documents").where("lang is not null and source is not null").select(
+    rows = read(spark, d, "documents").select(
         "doc_id", F.struct("lang", "n_chars").alias("nested"), F.array("lang", "source").alias("listed"),
         F.create_map(F.lit("source"), "source", F.lit("lang"), "lang").alias("mapped"),
     )
